@@ -9,14 +9,71 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.secret_scan import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetwright.llm.jaccard import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.url_filter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_warc": op5_warc,
+    "op7_sharding": op7_sharding,
+    "op8_url_filters": op8_url_filters,
+}
+
+ORACLE_SQL = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+        SELECT page_id, payload_bytes, p.payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to, true AS intact
+        FROM p LEFT JOIN f USING (payload_digest)""",
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _url_sql() -> str:
+    from sheetwright.llm.url_filter import RULES, SOFT, SOFT_HITS, STRICT, STRICT_WEIGHT
+
+    hit = lambda term: f"CAST(regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS BIGINT)"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    cases = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(v, h, p)}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+    strict, soft = " + ".join(map(hit, STRICT)), " + ".join(map(hit, SOFT))
+    score = " + ".join([f"{STRICT_WEIGHT} * ({strict})", *(f"{w} * {hit(t)}" for t, w in SOFT.items())])
+    return f"""
+        WITH u AS (SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
+                          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{upper}', '{lower}') AS host,
+                          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+        c AS (SELECT *, {strict} AS strict_terms, {soft} AS soft_terms, {score} AS score FROM u)
+        SELECT page_id, host, path, {cases(lambda v, h, p: h + p)} AS rule,
+               coalesce({cases(lambda v, h, p: v)}, CASE WHEN strict_terms > 0 OR soft_terms >= {SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,
+               strict_terms, soft_terms, score FROM c"""
+
+
+ORACLE_SQL["op8_url_filters"] = _url_sql()
