@@ -21,6 +21,19 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetwright.llm.warc import round_trip
 
@@ -42,6 +55,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_exact_topk": op3_exact_topk,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
