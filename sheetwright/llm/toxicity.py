@@ -25,10 +25,10 @@ from sheetwright.llm.common import short_batches
 from sheetwright.llm.wordsets import _LOWER, _power, mix, pieces_of
 
 #: Labelled documents to learn from at most (those whose id has the smallest hash), and feature weights.
-SAMPLE, WEIGHTS = 4000, 1 << 18
-EPOCHS, BATCH_TOKENS, RATE = 6, 60_000, 0.5
+SAMPLE, WEIGHTS = 6000, 1 << 18
+EPOCHS, BATCH_TOKENS, RATE = 5, 150_000, 0.5
 #: A word or beginning counts as toxic from this share of toxic documents and this ratio of the shares on.
-SUPPORT, RATIO = 0.015, 20.0
+SUPPORT, RATIO = 0.01, 20.0
 PREDICTED = 0.7
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = _LETTER[65:91] = _LETTER[97:123] = True
@@ -135,10 +135,18 @@ def marginals(emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, start: fl
 def _labelled(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Toxic tokens of the training documents, from what sets toxic documents apart."""
     doc = np.repeat(np.arange(len(toxic)), tokens.counts)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    # Near copies of a document would make its rare words look frequent: of those only one is counted.
+    two = mix((tokens.features[0, :-1] * WEIGHTS + tokens.features[0, 1:]).astype(np.uint64))
+    least = np.full(len(toxic), np.uint64(0))
+    full = tokens.counts > 1
+    if full.any():
+        least[full] = np.minimum.reduceat(np.append(two, two[-1:]), (np.cumsum(tokens.counts) - tokens.counts)[full])
+    own = np.zeros(len(toxic), bool)
+    own[np.unique(least, return_index=True)[1]] = True
+    n1, n0 = int((toxic & own).sum()), int((~toxic & own).sum())
     out = np.zeros(len(doc), bool)
     for row in tokens.features:
-        pair = np.unique(doc * WEIGHTS + row)
+        pair = np.unique((doc * WEIGHTS + row)[own[doc]])
         held, of = pair % WEIGHTS, toxic[pair // WEIGHTS]
         c1, c0 = np.bincount(held[of], minlength=WEIGHTS), np.bincount(held[~of], minlength=WEIGHTS)
         ratio = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))
