@@ -26,7 +26,7 @@ from sheetwright.llm.wordsets import _LOWER, _power, mix, pieces_of
 
 #: Labelled documents to learn from at most (those whose id has the smallest hash), and feature weights.
 SAMPLE, WEIGHTS = 6000, 1 << 18
-EPOCHS, BATCH_TOKENS, RATE = 5, 150_000, 0.5
+EPOCHS, BATCHES, RATE = 5, 40, 0.5
 #: A word or beginning counts as toxic from this share of toxic documents and this ratio of the shares on.
 SUPPORT, RATIO = 0.01, 20.0
 PREDICTED = 0.7
@@ -188,7 +188,7 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     order, rng = np.arange(len(y)), np.random.default_rng(7)
     for _ in range(EPOCHS):
         rng.shuffle(order)
-        cut = np.cumsum(counts[order]) // BATCH_TOKENS
+        cut = np.cumsum(counts[order]) * BATCHES // (counts.sum() + 1)
         for group in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
             n = counts[group]
             if not n.sum():
