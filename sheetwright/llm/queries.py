@@ -40,6 +40,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.chat import render
+
+    return render(_table(spark, sf_dir, "conversations"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetwright.llm.sharding import shard
 
@@ -52,17 +58,41 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.mixing import sampled
+
+    return sampled(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_sharding": op7_sharding,
     "op8_url_filters": op8_url_filters,
+    "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
+    "op6_chat_formatting": """
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+                          '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT conv_id, place, list(line) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far,
+                     count(*) OVER (PARTITION BY conv_id) AS turns FROM t),
+        w AS (SELECT turns, so_far, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE place = turns GROUP BY ALL),
+        k AS (SELECT * FROM w WHERE so_far NOT IN (SELECT so_far FROM p WHERE place < turns))
+        SELECT conv_id, turns, copies, array_to_string(so_far, '') AS rendered, sha256(array_to_string(so_far, '')) AS sha256 FROM k""",
     "op5_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
