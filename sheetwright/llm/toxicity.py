@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import short_batches
+from sheetwright.llm.common import on_table, short_batches
 from sheetwright.llm.wordsets import _LOWER, _power, mix, pieces_of
 
 #: Labelled documents to learn from at most (those whose id has the smallest hash), and feature weights.
@@ -64,15 +64,15 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     first = np.flatnonzero(starts)
     if not len(first):
         none = np.zeros(0, np.int64)
-        return Tokens(np.zeros((3, 0), np.int64), none, none, np.zeros(len(offsets) - 1, np.int64))
+        return Tokens(np.zeros((3, 0), np.int32), none, none, np.zeros(len(offsets) - 1, np.int64))
     at = np.arange(len(data), dtype=np.int64)
     place = at - np.maximum.accumulate(np.where(starts, at, 0))
     place[~letter] = 0
     value = np.where(letter, _LOWER[data] * _power(int(place.max()) + 1)[place], np.uint64(0))
-    features = np.empty((3, len(first)), np.int64)
+    features = np.empty((3, len(first)), np.int32)
     for i, reach in enumerate((None, 4, 5)):
         part = value if reach is None else np.where(place < reach, value, np.uint64(0))
-        features[i] = (mix(np.add.reduceat(part, first) + np.uint64(i)) % np.uint64(WEIGHTS)).astype(np.int64)
+        features[i] = (mix(np.add.reduceat(part, first) + np.uint64(i)) % np.uint64(WEIGHTS)).astype(np.int32)
     length = np.add.reduceat(letter.astype(np.int64), first)
     # A token ends where a text ends, even if the next one begins with a letter.
     return Tokens(features, first, first + length, np.diff(np.searchsorted(first, offsets)))
@@ -136,7 +136,7 @@ def _labelled(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Toxic tokens of the training documents, from what sets toxic documents apart."""
     doc = np.repeat(np.arange(len(toxic)), tokens.counts)
     # Near copies of a document would make its rare words look frequent: of those only one is counted.
-    two = mix((tokens.features[0, :-1] * WEIGHTS + tokens.features[0, 1:]).astype(np.uint64))
+    two = mix(tokens.features[0, :-1].astype(np.uint64) * np.uint64(WEIGHTS) + tokens.features[0, 1:].astype(np.uint64))
     least = np.full(len(toxic), np.uint64(0))
     full = tokens.counts > 1
     if full.any():
@@ -172,14 +172,15 @@ def _summary(p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return total, np.stack([np.ones(len(counts)), np.minimum(total, 4), np.log1p(total)], 1)
 
 
-def train(texts: list[str], toxic: list[bool]) -> Model:
+def train(texts: pa.Array, toxic: np.ndarray) -> Model:
     """Fit the chain and the document curve to labelled texts. Without texts of both kinds every score is 0."""
-    y = np.array(toxic, bool)
+    y = np.asarray(toxic, bool)
     if not y.any() or y.all():
         return Model(np.zeros(WEIGHTS, np.float32), np.zeros(4), -5.0, np.array([-30.0, 0, 0]))
-    runs = [tokens_of(data, offsets) for _, _, data, offsets in pieces_of(pa.array(texts, pa.string()))]
-    counts = np.concatenate([r.counts for r in runs])
-    features = np.concatenate([r.features for r in runs], 1)
+    runs = [(r.counts, r.features) for _, _, data, offsets in pieces_of(texts) if (r := tokens_of(data, offsets))]
+    counts = np.concatenate([r[0] for r in runs])
+    features = np.concatenate([r[1] for r in runs], 1)
+    del runs
     label = _labelled(Tokens(features, counts, counts, counts), y)
     ends = np.cumsum(counts)
     weights, moves, start = np.zeros(WEIGHTS), np.zeros(4), -5.0
@@ -208,7 +209,11 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
             g_moves += g * g
             moves = moves + RATE * g / np.sqrt(g_moves)
             moves = moves - moves[0]
-    p = np.concatenate([marginals(weights[features[:, e - c : e]].sum(0), np.array([c]), moves, start)[0] for e, c in zip(ends, counts, strict=True)]) if len(y) < 50 else marginals(weights[features].sum(0), counts, moves, start)[0]
+    parts = []
+    for group in np.split(np.arange(len(y)), np.flatnonzero(np.diff(np.cumsum(counts) * BATCHES // (counts.sum() + 1))) + 1):
+        part = features[:, ends[group[0]] - counts[group[0]] : ends[group[-1]]]
+        parts.append(marginals(weights[part].sum(0), counts[group], moves, start)[0])
+    p = np.concatenate(parts)
     return Model(weights.astype(np.float32), moves, start, _curve(_summary(p, counts)[1], y.astype(float)))
 
 
@@ -222,9 +227,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.where("crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] > 0 for r in rows])
+    rows = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # The sample is bounded, so one task learns from it; the driver gets the weights only.
+    learned = rows.groupBy(F.lit(0).alias("all")).applyInArrow(on_table(_learn), "weights binary, moves binary, start double, curve binary").first()
+    if learned is None:
+        return train(pa.array([], pa.string()), np.zeros(0, bool))
+    return Model(np.frombuffer(learned["weights"], np.float32), np.frombuffer(learned["moves"]), learned["start"], np.frombuffer(learned["curve"]))
+
+
+def _learn(table: pa.Table) -> pa.Table:
+    table = table.sort_by("doc_id")
+    model = train(table["text"], table["toxic"].to_numpy() > 0)
+    return pa.table({"weights": [model.weights.tobytes()], "moves": [model.moves.astype(float).tobytes()], "start": [float(model.start)], "curve": [model.curve.astype(float).tobytes()]}, schema=pa.schema([("weights", pa.binary()), ("moves", pa.binary()), ("start", pa.float64()), ("curve", pa.binary())]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
