@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from sheetwright.plans import banding, extraction, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **banding.QUERIES, **extraction.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **banding.ORACLE_SQL, **extraction.ORACLE_SQL}
+FLAGSHIP = extraction.flagship
