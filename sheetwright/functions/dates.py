@@ -38,7 +38,8 @@ def parse_date(value: Column) -> Column:
 
 def date_after(text: Column, labels: list[str]) -> Column:
     """The date after the first label that one follows; of each label the first match is tried."""
-    return F.coalesce(*[parse_date(first(text, rf"(?isU){label}\s*:?\s*({_DATE})")) for label in labels])
+    raw = F.array(*[first(text, rf"(?isU){label}\s*:?\s*({_DATE})") for label in labels])
+    return F.try_element_at(F.array_compact(F.transform(F.array_compact(raw), parse_date)), F.lit(1))
 
 
 def revision_date(text: Column) -> Column:

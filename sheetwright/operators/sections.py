@@ -69,22 +69,26 @@ def split_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     pick = lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))
     heads = F.array_sort(F.array_distinct(F.concat(F.transform(F.filter("_words", is_heading), pick), F.transform(F.filter("_numbers", lambda c: _titled(c["n"], c["next"])), pick))))
     out = out.withColumn("_heads", heads)
-    begin = F.array().cast("array<struct<start:int,n:int>>")
+    # The headings travel in the fold's state: a lambda that named the column would have it made again in each step.
+    begin = F.struct(F.col("_heads").alias("heads"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
 
     def extend(acc: Column, n: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["start"], F.lit(-1))
-        later = F.filter("_heads", lambda c: (c["n"] == n) & (c["start"] > last))
-        return F.when(F.size(later) > 0, F.concat(acc, F.slice(later, F.lit(1), F.lit(1)))).otherwise(acc)
+        last = F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["start"], F.lit(-1))
+        later = F.slice(F.filter(acc["heads"], lambda c: (c["n"] == n) & (c["start"] > last)), F.lit(1), F.lit(1))
+        return F.struct(acc["heads"].alias("heads"), F.concat(acc["out"], later).alias("out"))
 
-    out = out.withColumn("_chain", F.aggregate(F.sequence(F.lit(1), F.lit(16)), begin, extend))
+    out = out.withColumn("_chain", F.aggregate(F.sequence(F.lit(1), F.lit(16)), begin, extend, lambda acc: acc["out"]))
     whole = F.transform("_chain", lambda c, i: F.struct(c["n"].alias("key"), F.regexp_replace(F.substring(t, c["start"] + 1, F.coalesce(F.try_element_at("_chain", i + 2)["start"], F.length(t)) - c["start"]), r"(?U)^\s+|\s+$", "").alias("value")))
     sections = F.map_from_entries(F.filter(whole, lambda e: e["value"] != ""))
     return out.withColumn("sections", sections).drop("_text", "_words", "_numbers", "_heads", "_chain")
 
 
 def section_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """A row for each section: doc_id, section_number, content."""
-    return docs.select(doc_id, F.explode("sections").alias("section_number", "content"))
+    """A row for each section: doc_id, section_number, content.
+
+    The outer form keeps the optimizer from adding a filter on the map, which would make the map twice.
+    """
+    return docs.select(doc_id, F.explode_outer("sections").alias("section_number", "content")).where("section_number is not null")
 
 
 def main_numbers(text: Column) -> Column:
