@@ -2,8 +2,11 @@
 
 1. Each document becomes its set of ``k``-word shingles; documents with equal sets form one class.
 2. Partition: two sets with similarity of at least ``num/den`` differ in at most
-   ``d = (n1 + n2)(den - num)/(den + num)`` shingles, so of more than ``d`` hash pieces one is equal.
-   Equal pieces chain similar sets into clusters; no link leaves a cluster, so nothing is lost.
+   ``d = (n1 + n2)(den - num)/(den + num)`` shingles, so of more than ``d`` hash pieces one is equal. Large
+   sets do with fewer: of ``p`` random pieces none is equal with a chance below ``exp(-p exp(-d/p))``, which
+   is kept under 1e-12. Pairs that share a piece are candidates. A bitmap of each set's parities is a lower
+   bound of how much two sets differ, so candidates beyond ``d`` go; what is left chains sets into clusters,
+   and no link leaves a cluster.
 3. Token-group matrix: inside a cluster (cut into blocks of bounded size, every two blocks meeting in
    one task) similar sets form small groups, each with its token union. A query's overlap with the union
    bounds its overlap with every member, and only groups whose bound reaches the needed overlap open.
@@ -27,12 +30,19 @@ from sheetwright.llm.wordsets import U, mix, prints, sets_of
 
 #: Pieces beyond the pigeonhole's count, so that so many empty pieces need not be written.
 SPARE = 2
+#: Equal pieces that a link has on average where fewer pieces than the pigeonhole's are used: exp(-28) < 1e-12.
+EMPTY = 28.0
 #: Signatures in one part of the piece join, and shingles in one block of a cluster.
 PART_SIGNATURES, BLOCK_TOKENS = 1_500_000, 1_000_000
 #: Representatives up to which a lookup of their texts is broadcast; beyond, it is a shuffled join.
 BROADCAST_ROWS = 400_000
 #: Members of one group of the token-group matrix.
 GROUP = 32
+#: Sets that share a piece up to which their pairs are listed; more of them meet as one group of bitmaps.
+LISTED = 100
+#: 64-bit words of a set's bitmap.
+WORDS = 8
+_BITS = [f"b{i}" for i in range(WORDS)]
 
 
 def size_classes(most: int, num: int, den: int) -> np.ndarray:
@@ -44,6 +54,19 @@ def size_classes(most: int, num: int, den: int) -> np.ndarray:
     return np.array([*ends, low, low * den // num + 1], np.int64)
 
 
+def piece_counts(differ: np.ndarray) -> np.ndarray:
+    """Pieces for sets that differ in at most ``differ`` shingles: by the pigeonhole, or fewer where chance allows."""
+    sure = differ + 1 + SPARE
+    most = int(sure.max(initial=1))
+    # p * exp(-d / p) grows with p: the least p that reaches EMPTY, found for every d by bisection.
+    low, high = np.ones_like(sure), sure.copy()
+    for _ in range(int(most).bit_length() + 1):
+        mid = (low + high) // 2
+        enough = mid * np.exp(-differ / np.maximum(mid, 1)) >= EMPTY
+        high, low = np.where(enough, mid, high), np.where(enough, low, np.minimum(mid + 1, high))
+    return np.minimum(sure, high)
+
+
 def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of the hash pieces of each set, under its own size class and the next."""
     lows = size_classes(int(sizes.max(initial=1)), num, den)
@@ -53,7 +76,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     for step in (0, 1):
         scheme = np.minimum(own + step, len(lows) - 2)
         differ = 2 * (lows[scheme + 1] - 1) * (den - num) // (den + num)
-        parts = np.where((sizes > 0) & (differ > 0), differ + 1 + SPARE, 0)
+        parts = np.where((sizes > 0) & (differ > 0), piece_counts(differ), 0)
         use = np.repeat(parts > 0, sizes)
         row = np.repeat(np.arange(len(sizes)), np.where(parts > 0, sizes, 0))
         base = np.cumsum(parts) - parts
@@ -71,11 +94,19 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(rows), np.concatenate(marks)
 
 
+def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, for each of WORDS * 64 classes of hashes, whether it holds an odd number of them."""
+    out = np.zeros(len(sizes) * WORDS, np.uint64)
+    bit = flat >> U(64 - 6 - (WORDS - 1).bit_length())
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(sizes)) * WORDS, sizes) + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.reshape(-1, WORDS)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, end, flat, sizes in sets_of(batch.column(1), k):
             hi, lo = prints(flat, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["doc_id", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bitmaps(flat, sizes).T)], ["doc_id", "n", "hi", "lo", *_BITS])
 
 
 def _packed(x: np.ndarray, width: int) -> np.ndarray:
@@ -148,18 +179,58 @@ def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Chains of sets that share a piece, within one part of the signatures."""
+    """Sets that share a piece, within one part of the signatures: (a, b, null) pairs, or (key, null, group) rows."""
     mark, key = _unpacked(table["marks"].to_pylist(), 5), _unpacked(table["keys"].to_pylist(), 6)
-    order = np.argsort(mark)
+    order = np.lexsort((key, mark))
     mark, key = mark[order], key[order]
-    head = np.append(True, mark[1:] != mark[:-1])
-    begins = np.flatnonzero(head)
-    low = np.minimum.reduceat(key, begins)
-    low = np.repeat(low, np.diff(np.append(begins, len(mark))))
-    other = key != low
-    pair = np.unique(np.stack([low[other], key[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-    node, root = _rooted(pair[:, 0], pair[:, 1]) if len(pair) else (pair[:, 0], pair[:, 1])
-    return pa.table({"a": pa.array(node.astype(np.int64)), "b": pa.array(root.astype(np.int64))})
+    new = np.append(True, (mark[1:] != mark[:-1]) | (key[1:] != key[:-1])) if len(mark) else np.zeros(0, bool)
+    mark, key = mark[new], key[new]
+    begins = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])) if len(mark) else np.zeros(0, int)
+    counts = np.diff(np.append(begins, len(mark)))
+    part = table["part"][0].as_py()
+    left, right = [], []
+    few = begins[(counts > 1) & (counts <= LISTED)]
+    size = counts[(counts > 1) & (counts <= LISTED)]
+    for step in range(1, int(size.max(initial=1))):  # the pairs (i, i + step) of all groups at once
+        some = size > step
+        at, n = few[some], size[some] - step
+        i = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        left.append(key[i])
+        right.append(key[i + step])
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.uint64)
+    hot = np.repeat(counts > LISTED, counts)
+    a = np.concatenate([pairs[:, 0], key[hot]]).astype(np.int64)
+    b = pa.array(np.concatenate([pairs[:, 1], np.zeros(int(hot.sum()), np.uint64)]).astype(np.int64), mask=np.arange(len(a)) >= len(pairs))
+    group = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), (mark[hot] ^ (U(part) << U(40))).astype(np.int64)]), mask=np.arange(len(a)) < len(pairs))
+    return pa.table({"a": pa.array(a), "b": b, "hot": group})
+
+
+def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
+    """A spanning chain of the pairs in a group of sets that share a piece whose bitmaps allow a link."""
+    table = table.sort_by("n")
+    key, n = table["key"].to_numpy(), table["n"].to_numpy()
+    bits = np.stack([table[b].to_numpy().view(np.uint64) for b in _BITS], 1)
+    label = np.arange(len(key))
+    for at in range(0, len(key), 256):
+        end = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * den // num, "right"))
+        rows, others = slice(at, at + 256), slice(at, end)
+        apart = np.zeros((len(key[rows]), end - at), np.uint16)
+        for w in range(WORDS):
+            apart += np.bitwise_count(bits[rows, w, None] ^ bits[None, others, w])
+        most = (n[rows, None] + n[None, others]) * (den - num) // (den + num)
+        i, j = np.nonzero(apart <= most)
+        i, j = i + at, j + at
+        while len(i):  # join the groups that these pairs connect
+            low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            apart_ = low != high
+            if not apart_.any():
+                break
+            np.minimum.at(label, high[apart_], low[apart_])
+            label = label[label]
+    while (label != label[label]).any():
+        label = label[label]
+    moved = label != np.arange(len(key))
+    return pa.table({"a": pa.array(key[moved]), "b": pa.array(key[label[moved]])})
 
 
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -298,16 +369,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = saved(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n long, hi long, lo long"), "sets")
+    sets = saved(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n long, hi long, lo long, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(tokens * 2.5 * (den - num) / (den + num)) // PART_SIGNATURES + 8
     packed = docs.select("text").mapInArrow(partial(_pieces, k=k, num=num, den=den, parts=parts), "part int, marks binary, keys binary")
-    chains = packed.groupBy("part").applyInArrow(on_table(_meet), "a long, b long")
-    clusters = components(chains)
-
-    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"))
+    met = saved(packed.groupBy("part").applyInArrow(on_table(_meet), "a long, b long, hot long"), "met")
+    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS])
     classes = saved(classes, "classes")
-    member = classes.where("rep is not null").join(clusters, classes["lo"].bitwiseAND(F.lit((1 << 48) - 1)) == clusters["node"]).select("rep", "hi", "lo", "mult", "n", "root")
+    key = classes["lo"].bitwiseAND(F.lit((1 << 48) - 1))
+    maps = classes.select(key.alias("key"), "n", *_BITS)
+    pairs = met.where("hot is null").select("a", "b").distinct()
+    both = pairs.join(maps.select(F.col("key").alias("a"), F.struct("n", *_BITS).alias("x")), "a").join(maps.select(F.col("key").alias("b"), F.struct("n", *_BITS).alias("y")), "b")
+    apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
+    close = both.where(apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)).select("a", "b")
+    crowds = met.where("hot is not null").select(F.col("a").alias("key"), "hot").join(maps, "key")
+    crowds = crowds.groupBy("hot").applyInArrow(on_table(_crowd, num=num, den=den), "a long, b long")
+    clusters = components(close.unionByName(crowds))
+
+    member = classes.where("rep is not null").join(clusters, key == clusters["node"]).select("rep", "hi", "lo", "mult", "n", "root")
     blocks = member.groupBy("root").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).where("sets > 1").withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS))
     member = saved(member.join(blocks, "root").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")), "members")
     size = member.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
