@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.functions import banding, codes, dates, text
+from sheetwright.functions import banding, codes, dates, fragments, text
 from sheetwright.operators.facts import document_facts, physical_form
 from sheetwright.operators.sections import document_type, section_rows, split_sections
 from sheetwright.plans.views import table
+from sheetwright.sources.files import safe_file_name
 from sheetwright.sources.render import HAZARDS, MONTHS_EN, MONTHS_TR, SIGNALS, TITLES, rendered
 
 
@@ -40,6 +41,18 @@ def _date_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", text_.alias("raw"))
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Short section texts of each part."""
+    k = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select(
+        "p_partkey",
+        F.concat(F.lit("H "), F.lpad((F.col("p_partkey") % 900 + 100).cast("string"), 3, "0"), F.lit(" P305 + 351 +P338 + 310")).alias("spaced"),
+        F.concat(F.lit("Nitrile gloves ≥ 0,"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit(" mm or 2 mm. Wash hands. Wash Hands. İyi olur! no")).alias("gloves"),
+        F.concat(F.lit("7.1 Keep "), k, F.lit(" closed.\n7.2 Store dry, see 7.1 above.\n7.1 late\n 7.3 No use.")).alias("seven"),
+        F.when(F.col("p_partkey") % 3 == 0, "too short").when(F.col("p_partkey") % 3 == 1, "two  wordsonly").otherwise("three words here").alias("value"),
+    )
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -90,6 +103,12 @@ QUERIES = {
     "clean_lines": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(text.clean_lines(F.col("text"))).alias("lines")),
     "placeholder_filter": lambda s, d: table(s, d, "orders").select("o_orderkey", text.is_placeholder(F.element_at(F.array(*map(F.lit, [" -- ", "n/a", "...", "", " : - / ", "x"])), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("placeholder")),
     "unique_ci": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.unique_ci(F.array(F.upper("p_brand"), F.lit(" "), F.col("p_brand"), F.col("p_type"), F.lower("p_type"))), "|").alias("distinct_values")),
+    "p_group_normalise": lambda s, d: _lines(s, d).select("p_partkey", fragments.joined_p_groups(fragments.joined_hazard_codes(F.col("spaced"))).alias("joined")),
+    "s8_glove_thickness": lambda s, d: _lines(s, d).select("p_partkey", F.array_join(fragments.thicknesses(F.col("gloves")), "|").alias("sizes")),
+    "s8_sentences": lambda s, d: _lines(s, d).select("p_partkey", F.size(fragments.sentences(F.col("gloves"))).alias("sentences")),
+    "s7_subsections": lambda s, d: _lines(s, d).select("p_partkey", F.explode_outer(fragments.subsections(F.col("seven"), 7)).alias("number", "content")),
+    "s7_meaningful": lambda s, d: _lines(s, d).select("p_partkey", fragments.is_meaningful(F.col("value")).alias("meaningful")),
+    "safe_file_name": lambda s, d: table(s, d, "part").select("p_partkey", safe_file_name(F.concat("p_name", F.lit(" : a/b?"))).alias("name")),
     "html_text_lines": lambda s, d: table(s, d, "pages").select("page_id", F.size(text.clean_lines(F.regexp_replace("html", r"(?s)<[^>]*>", "\n"))).alias("lines")),
 }
 
@@ -117,5 +136,11 @@ ORACLE_SQL = {
     "s9_boiling": f"WITH {_K} SELECT k AS doc_id, ['Katı', 'Sıvı', 'Toz', 'Gaz'][k % 4 + 1] AS physical_state, concat(p_size * 10, ' °C') AS boiling_point FROM k",
     "ws_collapse": r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents",
     "placeholder_filter": "SELECT o_orderkey, o_orderkey % 6 NOT IN (1, 5) AS placeholder FROM orders",
+    "p_group_normalise": "SELECT p_partkey, concat('H', p_partkey % 900 + 100, ' P305+P351+P338+P310') AS joined FROM part",
+    "s8_glove_thickness": "SELECT p_partkey, concat('≥ 0,', p_partkey % 9 + 1, ' mm|2 mm') AS sizes FROM part",
+    "s8_sentences": "SELECT p_partkey, 3 AS sentences FROM part",
+    "s7_subsections": "SELECT p_partkey, unnest([1, 2, 3]) AS number, unnest(['Keep ' || p_partkey || ' closed.', 'Store dry, see 7.1 above.', 'No use.']) AS content FROM part",
+    "s7_meaningful": "SELECT p_partkey, p_partkey % 3 = 2 AS meaningful FROM part",
+    "safe_file_name": r"SELECT p_partkey, left(regexp_replace(p_name || ' : a/b?', '[ :/?]', '_', 'g'), 80) AS name FROM part",
     "unique_ci": "SELECT p_partkey, upper(p_brand) || '|' || p_type AS distinct_values FROM part",
 }

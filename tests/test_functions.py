@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwright.functions import banding, codes, dates, text
+from sheetwright.functions import banding, codes, dates, fragments, text
 
 
 def one(spark, value, expression, kind="string"):
@@ -82,3 +82,11 @@ def test_numbers(spark):
     assert one(spark, "1.013,5", banding.numeric_value) == 1.013
     assert one(spark, "100-120", banding.numeric_value) == 100
     assert one(spark, "-3,5 °C", banding.numeric_value) == -3.5
+
+
+def test_fragments(spark):
+    assert one(spark, "P305 + 351+338, H 315", fragments.joined_p_groups) == "P305+P351+P338, H 315"
+    assert one(spark, "H 315", fragments.joined_hazard_codes) == "H315"
+    assert one(spark, ">= 0.4 mm, 2 MM", fragments.thicknesses) == [">= 0.4 mm", "2 MM"]
+    assert one(spark, "7.1 A\n7.2 B\n7.1 C", lambda c: fragments.subsections(c, 7)) == {1: "A", 2: "B"}
+    assert [one(spark, n, fragments.file_size, "long") for n in (None, 0, 2048, 3 << 20)] == ["0 KB", "0 KB", "2.0 KB", "3.00 MB"]
