@@ -39,7 +39,7 @@ BROADCAST_ROWS = 400_000
 #: Members of one group of the token-group matrix.
 GROUP = 32
 #: Sets that share a piece up to which their pairs are listed; more of them meet as one group of bitmaps.
-LISTED = 100
+LISTED = 16
 #: 64-bit words of a set's bitmap.
 WORDS = 8
 _BITS = [f"b{i}" for i in range(WORDS)]
