@@ -40,6 +40,8 @@ BROADCAST_ROWS = 400_000
 GROUP = 32
 #: Sets that share a piece up to which their pairs are listed; more of them meet as one group of bitmaps.
 LISTED = 16
+#: Sets in one block of those that share a piece; each two blocks meet in one task.
+CROWD = 2048
 #: 64-bit words of a set's bitmap.
 WORDS = 8
 _BITS = [f"b{i}" for i in range(WORDS)]
@@ -213,26 +215,38 @@ def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
     label = np.arange(len(key))
     for at in range(0, len(key), 256):
         end = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * den // num, "right"))
-        rows, others = slice(at, at + 256), slice(at, end)
-        apart = np.zeros((len(key[rows]), end - at), np.uint16)
-        for w in range(WORDS):
-            apart += np.bitwise_count(bits[rows, w, None] ^ bits[None, others, w])
-        most = (n[rows, None] + n[None, others]) * (den - num) // (den + num)
-        i, j = np.nonzero(apart <= most)
-        i, j = i + at, j + at
-        while len(i):  # join the groups that these pairs connect
-            low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-            apart_ = low != high
-            if not apart_.any():
-                break
-            np.minimum.at(label, high[apart_], low[apart_])
+        rows, others = np.arange(at, min(at + 256, len(key))), np.arange(at, end)
+        main = np.bincount(label[rows]).argmax()
+        inside = label[rows] == main
+        # Pairs that are connected already need no test: near copies of the most common group skip each other.
+        for some, rest in ((rows[inside], others[label[others] != main]), (rows[~inside], others)):
+            apart = np.zeros((len(some), len(rest)), np.uint16)
+            for w in range(WORDS):
+                apart += np.bitwise_count(bits[some, w, None] ^ bits[None, rest, w])
+            most = (n[some, None] + n[None, rest]) * (den - num) // (den + num)
+            i, j = np.nonzero(apart <= most)
+            i, j = some[i], rest[j]
+            while len(i):  # join the groups that these pairs connect
+                low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                split = low != high
+                if not split.any():
+                    break
+                np.minimum.at(label, high[split], low[split])
+                label = label[label]
+        while (label != label[label]).any():
             label = label[label]
-    while (label != label[label]).any():
-        label = label[label]
     moved = label != np.arange(len(key))
     return pa.table({"a": pa.array(key[moved]), "b": pa.array(key[label[moved]])})
 
 
+def _in_blocks(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Rows of ``df`` dealt to the pairs (i, j) of blocks of their group, of about ``most`` rows each."""
+    sizes = df.groupBy(group).count().select(group, F.ceil(F.col("count") / most).alias("blocks"))
+    dealt = df.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
+
+
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Least overlap with a set of unknown size that a set of ``n`` needs."""
     return -(-n * num // den)
@@ -383,7 +397,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
     close = both.where(apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)).select("a", "b")
     crowds = met.where("hot is not null").select(F.col("a").alias("key"), "hot").join(maps, "key")
-    crowds = crowds.groupBy("hot").applyInArrow(on_table(_crowd, num=num, den=den), "a long, b long")
+    crowds = _in_blocks(crowds, "hot", "key", CROWD).groupBy("hot", "i", "j").applyInArrow(on_table(_crowd, num=num, den=den), "a long, b long")
     clusters = components(close.unionByName(crowds))
 
     member = classes.where("rep is not null").join(clusters, key == clusters["node"]).select("rep", "hi", "lo", "mult", "n", "root")

@@ -86,6 +86,7 @@ def test_jaccard_large_cluster_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 1500)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jaccard, "LISTED", 5)
+    monkeypatch.setattr(jaccard, "CROWD", 7)
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(120)]
     rows = []
