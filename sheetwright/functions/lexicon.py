@@ -155,3 +155,56 @@ STATUS_LABELS = {
     "failed": "Hata", "completed": "Tamamlandı",
 }
 TEST_NAMES = ["string", "test", "test product", "test manufacturer"]
+
+# Labels of the physical properties in section 9, as patterns.
+PROPERTY_LABELS = {
+    "physical_state": [r"Fiziksel\s+hal(?:i)?", r"Fiziksel\s+durum", r"Toplama\s+durumu", r"Physical\s+state", r"Appearance", r"Görünüş", r"Görünüm"],
+    "color": [r"Renk", r"Colou?r"],
+    "odor": [r"Koku(?!\s+eşiği)", r"Odou?r(?!\s+threshold)"],
+    "ph": [r"pH\s+değeri", r"pH\s+value", r"pH"],
+    "melting_freezing_point": [r"Erime\s+noktası\s*/\s*donma\s+noktası", r"Erime\s+noktası", r"Donma\s+noktası", r"Melting\s+point\s*/\s*freezing\s+point", r"Melting\s+point", r"Freezing\s+point"],
+    "boiling_point": [
+        r"Kaynama\s+noktası\s+veya\s+başlangıç\s+kaynama\s+noktası\s+ve\s+kaynama\s+aralığı", r"Kaynama\s+noktası\s*/\s*kaynama\s+aralığı", r"Kaynama\s+noktası", r"Kaynama\s+aralığı",
+        r"Boiling\s+point\s+or\s+initial\s+boiling\s+point\s+and\s+boiling\s+range", r"Boiling\s+point\s*/\s*boiling\s+range", r"Boiling\s+point", r"Boiling\s+range",
+    ],
+    "flash_point": [r"Parlama\s+noktası", r"Flash\s+point"],
+    "vapour_pressure": [r"Buhar\s+basıncı", r"Vapou?r\s+pressure"],
+    "density": [r"Density\s+and/or\s+relative\s+density", r"Sıvı\s+yoğunluğu", r"Kütle\s+yoğunluğu", r"Özgül\s+ağırlık", r"Bağıl\s+yoğunluk", r"Nispi\s+yoğunluk", r"Relative\s+density", r"Specific\s+gravity", r"Density", r"Yoğunluk"],
+    "viscosity": [r"Kinematik\s+viskozite", r"Dinamik\s+viskozite", r"Akışkanlık\s*\(viskozite\)", r"Viskozite", r"Kinematic\s+viscosity", r"Dynamic\s+viscosity", r"Viscosity"],
+    "solubility": [
+        r"Suda\s+çözünürlüğü", r"Suda\s+çözünürlük", r"Su\s+içinde\s+çözünürlüğü", r"Su\s+içinde\s+çözünürlük", r"Çözünürlüğü\s*\(su\s+içinde\)", r"Çözünürlük\s*\(ler\)", r"Çözünürlük",
+        r"Solubility\s+in\s+water", r"Solubility",
+    ],
+    "flammability": [r"Alevlenebilirlik\s*\(katı,\s*gaz\)", r"Alevlenebilirlik", r"Alevlenirlik", r"Yanıcılık", r"Flammability"],
+    "explosive_properties": [r"Patlayıcılık\s+özellikleri", r"Patlayıcılık\s+özellikler", r"Patlama\s+özellikleri", r"Patlayıcı\s+özellikler", r"Explosive\s+properties"],
+    "oxidising_properties": [r"Oksitleyici\s+özellikler", r"Oxidi[sz]ing\s+properties"],
+    "lower_explosion_limit": [r"Alt\s+alevlenebilirlik\s+veya\s+patlama\s+limitleri", r"Alt\s+(?:alevlenirlik|alevlenebilirlik|patlama)\s+(?:limiti|limitleri|sınırı)", r"Lower\s+(?:explosion|flammability)\s+limit"],
+    "upper_explosion_limit": [r"Üst\s+alevlenebilirlik\s+veya\s+patlama\s+limitleri", r"Üst\s+(?:alevlenirlik|alevlenebilirlik|patlama)\s+(?:limiti|limitleri|sınırı)", r"Upper\s+(?:explosion|flammability)\s+limit"],
+}
+# Labels that end a property's value only.
+PROPERTY_ENDS = [
+    r"Koku\s+eşiği", r"Odou?r\s+threshold", r"Buharlaşma\s+hızı", r"Evaporation\s+rate", r"Buhar\s+yoğunluğu", r"Vapou?r\s+density", r"Bölüntü\s+katsayısı", r"Partition\s+coefficient",
+    r"Kendiliğinden\s+tutuşma\s+sıcaklığı", r"Otomatik\s+tutuşma\s+sıcaklığı", r"Auto[-\s]*ignition\s+temperature", r"Bozunma\s+sıcaklığı", r"Decomposition\s+temperature", r"Patlayıcı\s+sınırlar",
+    r"Explosive\s+limits", r"Moleküler\s+ağırlık", r"Molecular\s+weight", r"Diğer\s+bilgiler", r"Other\s+information", r"Alev\s+Alma\s+Sıcaklığı", r"Tutuşma\s+sıcaklığı", r"Kısmi\s+Buhar\s+Basıncı",
+    r"Partial\s+vapou?r\s+pressure", r"Molekül\s+Ağırlığı", r"Dağılım\s+katsayısı", r"Solvent\s*/\s*Alkol\s+Çözünürlüğü", r"Açıklamalar", r"Remarks?", r"Solvent\s+content", r"Organic\s+solvents?",
+    r"Change\s+in\s+condition", r"Üst\s*/\s*Alt\s+Alevlenirlik\s+veya\s+patlayıcı\s+Limitleri", r"Alt\s*/\s*Üst\s+Alevlenirlik\s+veya\s+patlayıcı\s+Limitleri",
+    r"Lower\s+and\s+upper\s+(?:explosion|flammability)\s+limits?", r"Upper\s+and\s+lower\s+(?:explosion|flammability)\s+limits?", r"9\.2\.?",
+]
+# Notes beside a property's value, and units of measured properties.
+PROPERTY_NOTES = ["Hiçbiri bilinmiyor", "None known", "No method available"]
+PRESSURE_UNITS = r"hPa|kPa|Pa|mbar|bar|mmHg"
+DENSITY_UNITS = r"kg\s*/\s*l|g\s*/\s*ml|g\s*/\s*cm(?:3|³)|kg\s*/\s*m(?:3|³)"
+VISCOSITY_UNITS = r"mPa\s*[·.]?\s*s|Pa\s*[·.]?\s*s|cP|cps|mm(?:2|²)\s*/\s*s|cSt"
+# What shows that a value ran into another field, for every property and for single ones.
+FOREIGN_MARKERS = ["güvenlik bilgi formu", "safety data sheet", "sayfa no:", "page no:", "düzenleme sayısı", "hazırlama tarihi", "printing date", "form no:", "www."]
+FOREIGN_PROPERTY_MARKERS = {
+    "melting_freezing_point": ["mmhg", "kaynama noktası", "boiling point", "alevlenebilirlik"],
+    "boiling_point": ["mmhg", "alevlenebilirlik", "flammability", "parlama noktası", "flash point"],
+    "flash_point": ["alev alma sıcaklığı", "tutuşma sıcaklığı", "auto-ignition", "buharlaşma hızı", "evaporation rate", "buhar basıncı", "vapour pressure", "vapor pressure"],
+    "vapour_pressure": ["kısmi buhar basıncı", "partial vapour pressure", "buhar yoğunluğu", "vapour density", "vapor density", "bağıl yoğunluk", "relative density"],
+    "density": ["çözünürlük", "solubility", "bölüntü katsayısı", "partition coefficient"],
+    "viscosity": ["molekül ağırlığı", "molecular weight", "patlayıcılık", "explosive properties", "oksitleyici", "oxidising", "oxidizing"],
+    "solubility": ["solvent/alkol çözünürlüğü", "dağılım katsayısı", "bölüntü katsayısı", "partition coefficient", "kendiliğinden tutuşma", "auto-ignition"],
+    "explosive_properties": ["solvent content", "organic solvents", "change in condition"],
+    "oxidising_properties": ["açıklamalar", "remarks"],
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwright.functions import banding, codes, dates, fragments, text
+from sheetwright.functions.properties import with_properties
 from sheetwright.operators.facts import document_facts, physical_form
 from sheetwright.operators.sections import document_type, section_rows, split_sections
 from sheetwright.plans.views import table
@@ -53,6 +54,14 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _property_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Section 9 of each part: plain lines, or a table whose columns ran together."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    plain = F.concat(F.lit("Physical state: liquid\nOdour threshold: none\nOdour: "), F.col("p_brand"), F.lit("\npH value "), (k % 14).cast("string"), F.lit("\nBoiling point: > "), n, F.lit(" °C\nDensity 1."), n, F.lit(" g/cm3\nFlash point: -"), n, F.lit(" °C None known"))
+    table_ = F.concat(F.lit("Fiziksel hal sıvı Koku eşiği: yok Koku: "), F.col("p_brand"), F.lit(" pH "), (k % 14).cast("string"), F.lit(" Kaynama noktası (°C) 760 mmHg "), n, F.lit(" Bağıl Yoğunluk g/cm3 20°C / 4°C 1."), n, F.lit(" Parlama noktası -"), n, F.lit(" °C"))
+    return table(spark, d, "part").select("p_partkey", F.when(k % 2 == 0, plain).otherwise(table_).alias("nine"))
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -107,6 +116,7 @@ QUERIES = {
     "s8_glove_thickness": lambda s, d: _lines(s, d).select("p_partkey", F.array_join(fragments.thicknesses(F.col("gloves")), "|").alias("sizes")),
     "s8_sentences": lambda s, d: _lines(s, d).select("p_partkey", F.size(fragments.sentences(F.col("gloves"))).alias("sentences")),
     "s7_subsections": lambda s, d: _lines(s, d).select("p_partkey", F.explode_outer(fragments.subsections(F.col("seven"), 7)).alias("number", "content")),
+    "s9_properties": lambda s, d: with_properties(_property_tables(s, d), "nine").select("p_partkey", *[f"properties.{f}" for f in ("physical_state", "odor", "ph", "boiling_point", "density", "flash_point", "viscosity")]),
     "s7_meaningful": lambda s, d: _lines(s, d).select("p_partkey", fragments.is_meaningful(F.col("value")).alias("meaningful")),
     "safe_file_name": lambda s, d: table(s, d, "part").select("p_partkey", safe_file_name(F.concat("p_name", F.lit(" : a/b?"))).alias("name")),
     "html_text_lines": lambda s, d: table(s, d, "pages").select("page_id", F.size(text.clean_lines(F.regexp_replace("html", r"(?s)<[^>]*>", "\n"))).alias("lines")),
@@ -140,6 +150,9 @@ ORACLE_SQL = {
     "s8_glove_thickness": "SELECT p_partkey, concat('≥ 0,', p_partkey % 9 + 1, ' mm|2 mm') AS sizes FROM part",
     "s8_sentences": "SELECT p_partkey, 3 AS sentences FROM part",
     "s7_subsections": "SELECT p_partkey, unnest([1, 2, 3]) AS number, unnest(['Keep ' || p_partkey || ' closed.', 'Store dry, see 7.1 above.', 'No use.']) AS content FROM part",
+    "s9_properties": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'liquid' ELSE 'sıvı' END AS physical_state, p_brand AS odor, CAST(p_partkey % 14 AS VARCHAR) AS ph,
+               CASE WHEN p_partkey % 2 = 0 THEN '> ' || p_size || ' °C' ELSE p_size || ' °C (760 mmHg)' END AS boiling_point,
+               CASE WHEN p_partkey % 2 = 0 THEN '1.' || p_size || ' g/cm3' ELSE '1.' || p_size || ' g/cm3 (20°C / 4°C)' END AS density, '-' || p_size || ' °C' AS flash_point, CAST(NULL AS VARCHAR) AS viscosity FROM part""",
     "s7_meaningful": "SELECT p_partkey, p_partkey % 3 = 2 AS meaningful FROM part",
     "safe_file_name": r"SELECT p_partkey, left(regexp_replace(p_name || ' : a/b?', '[ :/?]', '_', 'g'), 80) AS name FROM part",
     "unique_ci": "SELECT p_partkey, upper(p_brand) || '|' || p_type AS distinct_values FROM part",

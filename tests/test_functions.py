@@ -90,3 +90,19 @@ def test_fragments(spark):
     assert one(spark, ">= 0.4 mm, 2 MM", fragments.thicknesses) == [">= 0.4 mm", "2 MM"]
     assert one(spark, "7.1 A\n7.2 B\n7.1 C", lambda c: fragments.subsections(c, 7)) == {1: "A", 2: "B"}
     assert [one(spark, n, fragments.file_size, "long") for n in (None, 0, 2048, 3 << 20)] == ["0 KB", "0 KB", "2.0 KB", "3.00 MB"]
+
+
+def test_properties(spark):
+    from sheetwright.functions.properties import with_properties
+
+    texts = [
+        "9.1 Physical state: liquid\nColour: clear\nOdour threshold: n/a\nOdour: mild\npH value ~ 7,5\nMelting point / freezing point: -52 °C\nBoiling point (°C) 760 mmHg 114 Flash point: 23 °C None known x\nVapour density: 3\nVapour pressure (mmHg) @ 30°C 18\nBağıl Yoğunluk kg/l 20°C / 4°C 1.19\nViskozite cps @25°C 1.245\n9.2 other",
+        "--- PAGE 3 ---\nErime noktası 760 mmHg %15 20 5\nLower and upper explosion limits Lower: 1,1 %(V); Upper: 7 %(V). Density 1.56 g / cm3 Solubility: /\nFlammability: see www.example.com",
+        None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").transform(lambda d: with_properties(d, "s")).select("properties.*").collect()
+    one_, two, none = (r.asDict() for r in rows)
+    want = {"physical_state": "liquid", "color": "clear", "odor": "mild", "ph": "~ 7,5", "melting_freezing_point": "-52 °C", "boiling_point": "114 °C (760 mmHg)", "flash_point": "23 °C", "vapour_pressure": "18 mmHg @ 30°C", "density": "1.19 kg/l (20°C / 4°C)", "viscosity": "1.245 cps @ 25°C"}
+    assert {k: v for k, v in one_.items() if v is not None} == want
+    assert {k: v for k, v in two.items() if v is not None} == {"melting_freezing_point": "5 °C", "density": "1.56 g / cm3", "lower_explosion_limit": "1,1 %(V)", "upper_explosion_limit": "7 %(V)", "flammability": "see www.example.com"}
+    assert set(none.values()) == {None}
