@@ -60,6 +60,25 @@ NO_DATA = [
 ]
 LABEL_NAMES = ["bilgisi", "adı", "firma", "firma bilgisi", "şirket", "şirket bilgisi", "üretici", "tedarikçi", "manufacturer", "supplier", "company"]
 
+# Labels of a product's name in section 1, in their order, and what ends its value.
+NAME_LABELS = [r"Ürün\s+Adı", r"Ürün\s+İsmi", r"Ticari\s+Adı", r"Madde\s+Adı", r"Madde/Karışım\s+Adı", r"Product\s+Name", r"Product\s+Identifier", r"Trade\s+Name"]
+NAME_ENDS = [r"Ürün\s+Kodu", r"Product\s+Code", r"Article\s+(?:No|Number)", "UFI", r"Benzersiz\s+Formül", "REACH", r"CAS(?:\s+No\.?)?", r"EC(?:\s+No\.?)?", r"1\.2\b", r"1\.3\b", r"1\.4\b"]
+# Labels of a product's name in any line.
+NAME_LINE_LABELS = [
+    r"Madde\s+Adı", r"Madde/Karışım\s+Adı", r"Madde/Karışımın\s+Adı", r"Ürün\s+ismi", r"Ürün\s+adı", r"Ticari\s+ismi", r"Ticari\s+adı", r"Product\s+name", r"Trade\s+name", r"Commercial\s+name",
+    r"Product\s+identifier",
+]
+# Labels of a manufacturer in section 1, what ends its value, and values that are none.
+MAKER_LABELS = [
+    r"Üretici(?:\s*/\s*Tedarikçi)?", r"İmalatçı(?:\s*/\s*Tedarikçi)?", r"Tedarikçi(?:\s*/\s*Üretici)?", r"Manufacturer(?:\s*/\s*Supplier)?", r"Supplier(?:\s*/\s*Manufacturer)?", r"Firma\s+Adı",
+    r"Şirket\s+Adı", "Firma", r"Company\s+Name",
+]
+MAKER_ENDS = ["Address", "Adres", "Telefon", "Telephone", "Phone", r"Tel\.?", "Fax", "E-?mail", "E-posta", "Email", "Web", "Website", r"www\."]
+NOT_MAKERS = ["undertaking", "company/undertaking", "the company/undertaking", "company", "supplier", "manufacturer", "details", "information"]
+# Labels of a manufacturer in any line, and what is taken off the front of one, in their order.
+MAKER_LINE_LABELS = ["Tedarikçi", "Üretici", r"Firma\s+Adı", r"Şirket\s+Adı", "Manufacturer", "Supplier", "Company"]
+MAKER_PREFIXES = [r"Firma\s+Adı", r"Şirket\s+Adı", "Üretici", "İmalatçı", "Tedarikçi", "Manufacturer", "Supplier", "Company", "Adı"]
+
 # Months in Turkish and English, folded.
 MONTHS = {
     "oca": 1, "ocak": 1, "sub": 2, "subat": 2, "mar": 3, "mart": 3, "nis": 4, "nisan": 4, "may": 5, "mayis": 5, "haz": 6, "haziran": 6, "tem": 7, "temmuz": 7, "agu": 8, "agustos": 8,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.functions import codes, dates
+from sheetwright.functions import codes, dates, identity
 from sheetwright.functions.text import collapsed, is_suspicious_name
 from sheetwright.operators.sections import classification_status, confidence, document_type, split_sections
 
@@ -26,14 +26,13 @@ def physical_form(state: Column) -> Column:
 
 def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the facts of each sheet. Product identifiers come from section 1, components from 3, hazards from 2."""
-    split = split_sections(docs, text)
     s = {n: F.try_element_at("sections", F.lit(n)) for n in (1, 2, 3, 8, 9, 16)}
+    split = identity.with_manufacturer(split_sections(docs, text), s[1], F.col(text))
     line = lambda n, label: collapsed(codes.first(s[n], rf"(?imU)^\s*(?:{label})\s*:\s*([^\n]+)"))
     facts = split.withColumns(
         {
             "document_type": document_type(F.col(text)),
-            "product_name": line(1, "Product name|Ürün adı"),
-            "manufacturer": line(1, "Manufacturer|Üretici"),
+            "product_name": identity.product_name(s[1], F.col(text)),
             "product_code": codes.product_code(s[1]),
             "ufi": F.array_join(codes.ufis(s[1]), "; "),
             "product_cas": codes.cas_numbers(s[1]),

@@ -10,6 +10,9 @@ HAZARDS = ["H315", "H302", "H314", "H351", "H340", "H290", "H350i", "H319", "H36
 PRECAUTIONS = ["P280", "P305 + P351 + 338", "P302+352", "P264"]
 SIGNALS = ["Danger", "Warning"]
 STATES = ["Katı", "Sıvı", "Toz", "Gaz"]
+NAME_LABELS = ["Product name: ", "Ürün adı: ", "Trade name: ", "• Ticari Adı ", "Product identifier:\\n", "MADDE ADI : ", "Madde/Karışım adı: ", "Code sheet, Ürün ismi: ", "Commercial name: "]
+MAKER_LABELS = ["Manufacturer: ", "Supplier: ", "Tedarikçi:\\n", "Firma Adı: ", "Company name: ", "Üretici / Tedarikçi\\n+90 212 000\\ninfo@example.com\\n", "İmalatçı : ", "Supplier ", "Company: "]
+MAKER_ENDS = ["", " Tel: 0212", " Address: Main street 1", " E-posta: a@example.com"]
 MONTHS_TR = ["Oca", "Şub", "Mar", "Nis", "May", "Haz", "Tem", "Ağu", "Eyl", "Eki", "Kas", "Ara"]
 MONTHS_EN = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 TITLES = [
@@ -37,7 +40,7 @@ _DATE = (
 def _body(n: int) -> str:
     """SQL for the text of section ``n`` below its heading."""
     return {
-        1: "concat('Product name: ', name, '\\nProduct code: BK', k, '\\nUFI: V873-MN1G-R608-', lpad(k % 10000, 4, '0'), '\\nManufacturer: ', brand, ' Chemicals\\n')",
+        1: f"concat({_pick(NAME_LABELS, 'int(k % 9)')}, name, '\\nProduct code: BK', k, '\\nUFI: V873-MN1G-R608-', lpad(k % 10000, 4, '0'), '\\n', {_pick(MAKER_LABELS, 'int(k % 9)')}, brand, ' Chemicals', if(k % 9 < 7, {_pick(MAKER_ENDS, 'int(k % 4)')}, ''), '\\n')",
         2: f"concat('Hazard statements ', {_pick(HAZARDS, 'int(k % 10)')}, ' EUH208 ', {_pick(HAZARDS, 'int((k + 3) % 10)')}, '\\n', {_pick(PRECAUTIONS, 'int(k % 4)')}, '\\nSignal word: ', {_pick(SIGNALS, 'int(k % 2)')}, '\\n')",
         3: f"concat('CAS ', {_CAS}, '-', ({_DIGIT} + if(k % 3 = 0, 1, 0)) % 10, ' index 019-002-00-8\\nEC No: 2', lpad(k % 100, 2, '0'), '-181-', k % 10, '\\n')",
         7: "concat('Keep closed.', if(k % 5 = 0, ' For disposal see Section 13 of this sheet.', ''), '\\n')",
