@@ -322,6 +322,8 @@ def _verify(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
     order = np.lexsort((table["rep"].to_numpy(), table["root"].to_numpy()))
     table = table.take(pa.array(order)).combine_chunks()
     rep, mult, side, root = (table[c].to_numpy() for c in ("rep", "mult", "side", "root"))
+    # Rows of one block only also come to (i, j) where block j holds no set: there no pair is counted.
+    same = table["i"][0].as_py() == table["j"][0].as_py()
     flats, sizes = [], []
     for _, _, flat, size in sets_of(table["text"].combine_chunks(), k):
         flats.append(flat)
@@ -342,7 +344,6 @@ def _verify(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
             cluster = _Cluster(flat[offsets[begin] : offsets[end]], sizes[begin:end], num, den)
             here = np.arange(end - begin)
             first = here[side[begin:end] == 0]
-            same = len(first) == end - begin
             for a, b in cluster.pairs(first, here if same else here[side[begin:end] == 1], same):
                 a, b = a + begin, b + begin
                 np.add.at(degree, a, mult[b])
