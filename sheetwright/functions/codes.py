@@ -85,10 +85,10 @@ def implied_pictograms(codes: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(codes, lambda c: F.try_element_at(table, c))))
 
 
-def component_names(lines: Column) -> Column:
-    """Names under a composition heading, or after a label, distinct."""
-    heading = r"(?iU)^(?:Bileşen(?:ler)?|Components?|Chemical\s+name|Kimyasal\s+adı)\s*:?$"
-    after = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(heading), F.try_element_at(lines, (i + 2).cast("int")))), lambda x: x.isNotNull())
-    label = r"(?iU)^(?:Bileşen|Component|Chemical\s+name|Kimyasal\s+adı)\s*:\s*(.+)$"
-    inline = F.filter(F.transform(lines, lambda x: F.nullif(F.regexp_extract(x, label, 1), F.lit(""))), lambda x: x.isNotNull())
-    return unique_ci(F.concat(after, inline))
+def component_names(text: Column) -> Column:
+    """Names on the line below a composition heading, or after a label, distinct, in order."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    heading = r"(?iU)^(?:Kimyasal\s+yap[ıi]s[ıi]|Kimyasal\s+özellikleri|Chemical\s+composition)\s*:?$"
+    label = r"(?iU)^(?:Kimyasal\s+ad[ıi]|Madde\s+ad[ıi](?:\s*\([^)]*\))?|Chemical\s+name|Substance\s+name)\s*:?\s*(.+)$"
+    named = F.transform(lines, lambda x, i: F.array(F.when(x.rlike(heading), F.try_element_at(lines, (i + 2).cast("int"))), F.regexp_extract(x, label, 1)))
+    return unique_ci(F.flatten(named))

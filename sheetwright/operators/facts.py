@@ -37,6 +37,8 @@ def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
             "ufi": F.array_join(codes.ufis(s[1]), "; "),
             "product_cas": codes.cas_numbers(s[1]),
             "component_cas": codes.cas_numbers(s[3]),
+            "component_names": codes.component_names(s[3]),
+            "component_reach": codes.reach_numbers(s[3]),
             "component_ec": codes.ec_number(s[3]),
             "hazard_codes": codes.hazard_codes(s[2]),
             "precautionary_codes": codes.precautionary_codes(s[2]),

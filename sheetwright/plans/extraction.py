@@ -90,6 +90,8 @@ QUERIES = {
     "flagship_band_summary": flagship,
     "cas_extract_all": lambda s, d: _facts(s, d, "component_cas"),
     "cas_checksum_valid": lambda s, d: table(s, d, "part").select("p_partkey", codes.cas_is_valid(F.concat((F.col("p_partkey") + 100).cast("string"), F.lit("-"), F.lpad((F.col("p_partkey") % 97).cast("string"), 2, "0"), F.lit("-"), (F.col("p_partkey") % 10).cast("string"))).alias("valid")),
+    "component_names": lambda s, d: _facts(s, d, "component_names"),
+    "reach_all": lambda s, d: _facts(s, d, "component_reach"),
     "ec_number_first": lambda s, d: _facts(s, d, "component_ec"),
     "ufi_join": lambda s, d: _facts(s, d, "ufi"),
     "product_code": lambda s, d: _facts(s, d, "product_code"),
@@ -126,6 +128,8 @@ ORACLE_SQL = {
     "flagship_band_summary": _FLAGSHIP_SQL,
     "cas_extract_all": f"WITH {_K} SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN [] ELSE [{_CAS}] END AS component_cas FROM k",
     "cas_checksum_valid": f"WITH {_K} SELECT k AS p_partkey, {_CAS} = concat(100 + k, '-', lpad(CAST(k % 97 AS VARCHAR), 2, '0'), '-', k % 10) AS valid FROM k",
+    "component_names": f"WITH {_K} SELECT k AS doc_id, [p_name] AS component_names FROM k",
+    "reach_all": f"WITH {_K} SELECT k AS doc_id, [concat('01-2119', lpad(CAST(k % 1000000 AS VARCHAR), 6, '0'), '-33-0001')] AS component_reach FROM k",
     "ec_number_first": f"WITH {_K} SELECT k AS doc_id, concat('2', lpad(CAST(k % 100 AS VARCHAR), 2, '0'), '-181-', k % 10) AS component_ec FROM k",
     "ufi_join": f"WITH {_K} SELECT k AS doc_id, concat('V873-MN1G-R608-', lpad(CAST(k % 10000 AS VARCHAR), 4, '0')) AS ufi FROM k",
     "product_code": f"WITH {_K} SELECT k AS doc_id, concat('BK', k) AS product_code FROM k",

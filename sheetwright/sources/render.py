@@ -42,7 +42,7 @@ def _body(n: int) -> str:
     return {
         1: f"concat({_pick(NAME_LABELS, 'int(k % 9)')}, name, '\\nProduct code: BK', k, '\\nUFI: V873-MN1G-R608-', lpad(k % 10000, 4, '0'), '\\n', {_pick(MAKER_LABELS, 'int(k % 9)')}, brand, ' Chemicals', if(k % 9 < 7, {_pick(MAKER_ENDS, 'int(k % 4)')}, ''), '\\n')",
         2: f"concat('Hazard statements ', {_pick(HAZARDS, 'int(k % 10)')}, ' EUH208 ', {_pick(HAZARDS, 'int((k + 3) % 10)')}, '\\n', {_pick(PRECAUTIONS, 'int(k % 4)')}, '\\nSignal word: ', {_pick(SIGNALS, 'int(k % 2)')}, '\\n')",
-        3: f"concat('CAS ', {_CAS}, '-', ({_DIGIT} + if(k % 3 = 0, 1, 0)) % 10, ' index 019-002-00-8\\nEC No: 2', lpad(k % 100, 2, '0'), '-181-', k % 10, '\\n')",
+        3: f"concat('CAS ', {_CAS}, '-', ({_DIGIT} + if(k % 3 = 0, 1, 0)) % 10, ' index 019-002-00-8\\nEC No: 2', lpad(k % 100, 2, '0'), '-181-', k % 10, '\\n', if(k % 2 = 0, 'Chemical name: ', 'Chemical composition:\\n'), name, '\\nREACH No: 01-2119', lpad(k % 1000000, 6, '0'), '-33-0001\\n')",
         7: "concat('Keep closed.', if(k % 5 = 0, ' For disposal see Section 13 of this sheet.', ''), '\\n')",
         9: f"concat('State: ', {_pick(STATES, 'int(k % 4)')}, '\\nBoiling point: ', size * 10, ' °C\\n')",
         16: f"concat('Revision date: ', {_DATE}, '\\nVersion: ', k % 9 + 1, '.', k % 5, '\\n')",
