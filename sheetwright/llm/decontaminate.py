@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import short_batches
+from sheetwright.llm.common import saved, short_batches
 
 #: Edits allowed for a character of an item; characters of items that one pass over the texts carries.
 RATE, BLOCK_CHARS = 0.06, 8 << 20
@@ -125,6 +125,8 @@ def _matched(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
         held = [(r["item_id"], text) for r in rows if (text := normalised(r["text"]))]
         if held:
             out = out.mapInArrow(partial(_match, items=held, rate=rate), out.schema)
+            if blocks > 1:  # the next block starts from a table, so a task carries one block's items at a time
+                out = saved(out, "leaks")
     return out
 
 
