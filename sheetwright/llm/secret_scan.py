@@ -1,17 +1,17 @@
 """Secret scan by one combined deterministic automaton.
 
 Rule regexes become nondeterministic automata over bytes; subset construction makes one deterministic
-automaton for all rules, minimisation shrinks it, and its transition array is walked once over the UTF-8
-bytes of a text. The walk tells which rules occur at all. For those (few texts have any) two small arrays
-of the rule itself give exact spans: one walked from the end marks where matches begin, one walked from
-such a place gives the longest end. So spans are leftmost, longest and non-overlapping for each rule.
+automaton for all rules, minimisation shrinks it to transition arrays. It reads rules from right to left and is
+walked once over the UTF-8 bytes of a text, last byte first: wherever it accepts, matches of the accepted rules
+begin. From such a place a small anchored array of the rule reads the match itself and gives its longest end. So
+spans are leftmost, longest and non-overlapping for each rule, and no byte outside matches is read twice.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import short_batches
+try:
+    from re import _parser as regex_parser
+except ImportError:  # its place in older Pythons
+    import sre_parse as regex_parser
 
 #: (kind, regex, least length of a match), in the order in which kinds are listed. The first three are the
 #: base rules. Shorter matches are dropped after they are found, so they still take their place.
@@ -127,7 +130,7 @@ class Automaton:
         for i, pattern in enumerate(patterns):
             first = nfa.state()
             nfa.empty[begin].append(first)
-            finals[nfa.add(re._parser.parse(pattern), first, back)] = 1 << i
+            finals[nfa.add(regex_parser.parse(pattern), first, back)] = 1 << i
         masks = sorted({mask for moves in nfa.moves for mask, _ in moves})
         kinds: dict[tuple[bool, ...], int] = {}
         of = [kinds.setdefault(tuple(bool(m >> b & 1) for m in masks), len(kinds)) for b in range(256)]
@@ -163,68 +166,63 @@ class Automaton:
         self.accepting = int((marks[first] == 0).sum()) * width
         self.rules = np.repeat(marks[first[order]], width).tolist()
         self.states = len(order)
+        #: States that no byte leads out of.
+        self.dead = {s for s in range(0, self.states * width, width) if all(x == s for x in self.step[s : s + width])}
 
-    def found(self, data: bytes) -> int:
-        """Bits of the rules that occur in ``data``: the one pass over its bytes."""
-        step, accepting, s, bits = self.step, self.accepting, self.start, 0
-        for c in data.translate(self.classes):
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, bits of the rules of which a match begins there), last place first: the one pass over the bytes."""
+        step, accepting, s, out = self.step, self.accepting, self.start, []
+        for i, c in enumerate(data.translate(self.classes)[::-1]):
             s = step[s + c]
             if s >= accepting:
-                bits |= self.rules[s]
-        return bits
-
-
-class _Rule:
-    """Exact spans of one rule."""
-
-    def __init__(self, pattern: str) -> None:
-        self.starts, self.ends = Automaton((pattern,), back=True), Automaton((pattern,), anywhere=False)
-
-    def spans(self, data: bytes) -> Iterator[tuple[int, int]]:
-        a = self.starts
-        s, at = a.start, []
-        for i, c in enumerate(reversed(data.translate(a.classes))):
-            s = a.step[s + c]
-            if s >= a.accepting:
-                at.append(len(data) - 1 - i)
-        e, past = self.ends, 0
-        for begin in reversed(at):
-            if begin < past:
-                continue
-            s, end = e.start, begin
-            for i in range(begin, len(data)):
-                s = e.step[s + e.classes[data[i]]]
-                if s >= e.accepting:
-                    end = i + 1
-                elif all(x == s for x in e.step[s : s + max(e.classes) + 1]):
-                    break
-            past = end
-            yield begin, end
+                out.append((len(data) - 1 - i, self.rules[s]))
+        return out
+
+    def longest(self, data: bytes, begin: int) -> int:
+        """The end of the longest match that begins at ``begin``."""
+        step, classes, s, end = self.step, self.classes, self.start, begin
+        for i in range(begin, len(data)):
+            s = step[s + classes[data[i]]]
+            if s >= self.accepting:
+                end = i + 1
+            elif s in self.dead:
+                break
+        return end
 
 
 @lru_cache(maxsize=4)
-def compiled(rules: tuple[tuple[str, str, int], ...] = RULES) -> tuple[Automaton, list[_Rule]]:
-    """The combined automaton, and each rule's own: small arrays, built on the driver and sent with the task."""
-    return Automaton(tuple(rule[1] for rule in rules)), [_Rule(rule[1]) for rule in rules]
+def compiled(rules: tuple[tuple[str, str, int], ...] = RULES) -> tuple[Automaton, list[Automaton]]:
+    """The combined automaton, and each rule's anchored one: small arrays, built on the driver and sent with the task."""
+    return Automaton(tuple(rule[1] for rule in rules), back=True), [Automaton((rule[1],), anywhere=False) for rule in rules]
+
+
+def _code_points(data: bytes) -> Callable[[int], int]:
+    """From byte places to code points, by one count over the bytes."""
+    before = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
+    return lambda i: int(before[i])
 
 
-def find_secrets(text: str, automata: tuple[Automaton, list[_Rule]], rules: tuple[tuple[str, str, int], ...] = RULES) -> list[tuple[int, int, int]]:
+def find_secrets(text: str, automata: tuple[Automaton, list[Automaton]], rules: tuple[tuple[str, str, int], ...] = RULES) -> list[tuple[int, int, int]]:
     """(start, rule number, end) in code points, ends exclusive, sorted."""
     combined, each = automata
     data = text.encode()
-    bits, out = combined.found(data), []
-    if not bits:
+    starts, out = combined.starts(data), []
+    if not starts:
         return out
-    point = (lambda i: i) if len(data) == len(text) else (lambda i: len(data[:i].decode()))
-    for i, (kind, _, least) in enumerate(rules):
-        if bits >> i & 1:
-            for a, b in each[i].spans(data):
-                if b - a >= least and (kind != "assign" or b - _VALUE.match(data, a).end() >= ASSIGNED):
-                    out.append((point(a), i, point(b)))
+    past = [0] * len(rules)
+    for begin, bits in reversed(starts):
+        for i, (kind, _, least) in enumerate(rules):
+            if bits >> i & 1 and begin >= past[i]:
+                past[i] = end = each[i].longest(data, begin)
+                if end - begin >= least and (kind != "assign" or end - _VALUE.match(data, begin).end() >= ASSIGNED):
+                    out.append((begin, i, end))
+    if len(data) != len(text):
+        point = _code_points(data)
+        out = [(point(a), i, point(b)) for a, i, b in out]
     return sorted(out)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], automata: tuple[Automaton, list[_Rule]]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], automata: tuple[Automaton, list[Automaton]]) -> Iterator[pa.RecordBatch]:
     joined = lambda found: ",".join(f"{RULES[i][0]}:{a}:{b}" for a, i, b in found)
     for batch in batches:
         counts, digests, spans = ([], [], []), [], []
@@ -248,6 +246,5 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     doc_id is passed on. Repeated rows give repeated results, an empty table an empty one; other columns are
     ignored, whatever their names. Memory is a text's size; there is no limit on it.
     """
-    short_batches(docs.sparkSession)
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return kept.mapInArrow(partial(_scan, automata=compiled()), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
