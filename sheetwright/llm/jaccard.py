@@ -2,17 +2,16 @@
 
 1. Each document becomes its set of ``k``-word shingles; documents with equal sets form one class.
 2. Partition: two sets with similarity of at least ``num/den`` differ in at most
-   ``d = (n1 + n2)(den - num)/(den + num)`` shingles, so of more than ``d`` hash pieces one is equal. Large
-   sets do with fewer: of ``p`` random pieces none is equal with a chance below ``exp(-p exp(-d/p))``, which
-   is kept under 1e-12. Pairs that share a piece are candidates. A bitmap of each set's parities is a lower
-   bound of how much two sets differ, so candidates beyond ``d`` go; what is left chains sets into clusters,
-   and no link leaves a cluster.
+   ``d = (n1 + n2)(den - num)/(den + num)`` shingles, so of more than ``d`` hash pieces one is equal, whatever
+   the sizes. Pairs that share a piece are candidates. A bitmap of each set's parities is a lower bound of how
+   much two sets differ, so candidates beyond ``d`` go; what is left chains sets into clusters, and no link
+   leaves a cluster.
 3. Token-group matrix: inside a cluster (cut into blocks of bounded size, every two blocks meeting in
    one task) similar sets form small groups, each with its token union. A query's overlap with the union
    bounds its overlap with every member, and only groups whose bound reaches the needed overlap open.
 4. Opened pairs are counted exactly; links become components by Spark joins.
 
-Nothing is capped: a large cluster only makes more block pairs.
+Nothing is capped and nothing is left to chance: a large cluster only makes more block pairs.
 """
 
 from __future__ import annotations
@@ -22,19 +21,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import components, on_table, saved, short_batches
+from sheetwright.llm.common import beside, components, on_table, saved
 from sheetwright.llm.wordsets import U, mix, prints, sets_of
 
-#: Pieces beyond the pigeonhole's count, so that so many empty pieces need not be written.
+#: Pieces beyond the pigeonhole's count, so that so many empty pieces need not be written; see ``piece_counts``.
 SPARE = 2
-#: Equal pieces that a link has on average where fewer pieces than the pigeonhole's are used: exp(-28) < 1e-12.
-EMPTY = 28.0
 #: Signatures in one part of the piece join, and shingles in one block of a cluster.
 PART_SIGNATURES, BLOCK_TOKENS = 1_500_000, 1_000_000
-#: Representatives up to which a lookup of their texts is broadcast; beyond, it is a shuffled join.
+#: Representatives (eight numbers each: 26 MB at most) up to which a lookup of their texts is broadcast; beyond,
+#: it is a shuffled join with the same result.
 BROADCAST_ROWS = 400_000
 #: Members of one group of the token-group matrix.
 GROUP = 32
@@ -56,17 +56,18 @@ def size_classes(most: int, num: int, den: int) -> np.ndarray:
     return np.array([*ends, low, low * den // num + 1], np.int64)
 
 
-def piece_counts(differ: np.ndarray) -> np.ndarray:
-    """Pieces for sets that differ in at most ``differ`` shingles: by the pigeonhole, or fewer where chance allows."""
-    sure = differ + 1 + SPARE
-    most = int(sure.max(initial=1))
-    # p * exp(-d / p) grows with p: the least p that reaches EMPTY, found for every d by bisection.
-    low, high = np.ones_like(sure), sure.copy()
-    for _ in range(int(most).bit_length() + 1):
-        mid = (low + high) // 2
-        enough = mid * np.exp(-differ / np.maximum(mid, 1)) >= EMPTY
-        high, low = np.where(enough, mid, high), np.where(enough, low, np.minimum(mid + 1, high))
-    return np.minimum(sure, high)
+def piece_counts(differ: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, spare pieces) for sets of at least ``least`` shingles that differ in at most ``differ``.
+
+    With ``differ + 1 + spare`` pieces more than ``spare`` are equal in two linked sets, so a set with up to
+    ``spare`` empty pieces needs to write none of them: one equal piece that isn't empty is left. ``spare`` is
+    what a set has of empty pieces with few exceptions, and those write their empty pieces too.
+    """
+    spare = np.full_like(differ, SPARE)
+    for _ in range(4):
+        empty = (differ + 1 + spare) * np.exp(-least / (differ + 1 + spare))
+        spare = SPARE + np.ceil(empty + 5 * np.sqrt(empty)).astype(np.int64)
+    return differ + 1 + spare, spare
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +79,9 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     for step in (0, 1):
         scheme = np.minimum(own + step, len(lows) - 2)
         differ = 2 * (lows[scheme + 1] - 1) * (den - num) // (den + num)
-        parts = np.where((sizes > 0) & (differ > 0), piece_counts(differ), 0)
+        # The scheme's sets lie in its size class or in the one below.
+        pieces, spare = piece_counts(differ, lows[np.maximum(scheme - 1, 0)])
+        parts = np.where((sizes > 0) & (differ > 0), pieces, 0)
         use = np.repeat(parts > 0, sizes)
         row = np.repeat(np.arange(len(sizes)), np.where(parts > 0, sizes, 0))
         base = np.cumsum(parts) - parts
@@ -88,7 +91,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
         filled = np.bincount(place, minlength=len(total)) > 0
         owner = np.repeat(np.arange(len(sizes)), parts)
         blank = np.bincount(owner[~filled], minlength=len(sizes))
-        filled |= (blank > SPARE)[owner]
+        filled |= (blank > spare)[owner]
         index = np.arange(len(total)) - base[owner]
         mark = mix(total + mix((scheme[owner] * 1_000_003 + 7).astype(np.uint64)) + mix(index.astype(np.uint64) + U(1)) * U(3))
         rows.append(owner[filled])
@@ -122,22 +125,50 @@ def _unpacked(x: list[bytes], width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _grouped(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (mark, key) in order, and where each mark begins and how many keys it has."""
+    order = np.lexsort((key, mark))
+    mark, key = mark[order], key[order]
+    new = np.append(True, (mark[1:] != mark[:-1]) | (key[1:] != key[:-1])) if len(mark) else np.zeros(0, bool)
+    mark, key = mark[new], key[new]
+    begins = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])) if len(mark) else np.zeros(0, int)
+    return key, mark, begins, np.diff(np.append(begins, len(mark)))
+
+
+#: What a row of packed signatures is: signatures, pieces known to be hot, or the sets that share such pieces.
+_PLAIN, _HOT, _MEMBERS = 0, 1, 2
+_PIECE_ROW = "at int, part int, kind int, marks binary, keys binary"
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Signatures with the 48-bit key of their set, packed by part. A set seen before in this task is not repeated."""
+    """Signatures with the 48-bit key of their set, packed by part. A set seen before in this task is not repeated.
+
+    Of a piece that more than LISTED sets of one run (a million signatures) share, only the name goes to its part
+    and the sets are spread over other tasks. So a part gets at most LISTED sets of a piece from each run, however
+    many share it.
+    """
     seen: set[int] = set()
-    keys, marks, held = [], [], 0
+    keys, marks, held, runs = [], [], 0, 0
 
-    def flush() -> pa.RecordBatch:
-        key, mark = np.concatenate(keys), np.concatenate(marks)
+    def packed(key: np.ndarray, mark: np.ndarray, kind: int) -> pa.RecordBatch:
         part = (mark >> U(40)) % U(parts)
         order = np.argsort(part, kind="stable")
-        part, key, mark = part[order], _packed(key[order], 6), _packed(mark[order], 5)
+        part, key, mark = part[order].astype(np.int64), _packed(key[order], 6), _packed(mark[order], 5)
         ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
         begins = np.append(0, ends[:-1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[begins].astype(np.int32)), pa.array([mark[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]), pa.array([key[a:b].tobytes() for a, b in zip(begins, ends, strict=True)])],
-            ["part", "marks", "keys"],
-        )
+        at = part[begins] if kind != _MEMBERS else parts + (part[begins] + TaskContext.get().partitionId() * 7919 + runs) % parts
+        bytes_of = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(part[begins].astype(np.int32)), pa.array(np.full(len(begins), kind, np.int32)), bytes_of(mark), bytes_of(key)], ["at", "part", "kind", "marks", "keys"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, mark, begins, counts = _grouped(np.concatenate(keys), np.concatenate(marks))
+        many = np.repeat(counts > LISTED, counts)
+        if not many.all():
+            yield packed(key[~many], mark[~many], _PLAIN)
+        if many.any():
+            first = begins[counts > LISTED]
+            yield packed(key[first], mark[first], _HOT)
+            yield packed(key[many], mark[many], _MEMBERS)
 
     for batch in batches:
         for _, _, flat, sizes in sets_of(batch.column(0), k):
@@ -154,10 +185,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts
             marks.append(mark)
             held += len(row)
             if held >= 1_000_000:
-                yield flush()
-                keys, marks, held = [], [], 0
+                yield from flush()
+                keys, marks, held, runs = [], [], 0, runs + 1
     if held:
-        yield flush()
+        yield from flush()
 
 
 def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,50 +212,61 @@ def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Sets that share a piece, within one part of the signatures: (a, b, null) pairs, or (key, null, group) rows."""
+    """Sets that share a piece, within one part of the signatures: (a, b, null) pairs, or (key, null, piece) rows."""
+    kind, lengths = table["kind"].to_numpy(), pc.binary_length(table["marks"]).to_numpy() // 5
     mark, key = _unpacked(table["marks"].to_pylist(), 5), _unpacked(table["keys"].to_pylist(), 6)
-    order = np.lexsort((key, mark))
-    mark, key = mark[order], key[order]
-    new = np.append(True, (mark[1:] != mark[:-1]) | (key[1:] != key[:-1])) if len(mark) else np.zeros(0, bool)
-    mark, key = mark[new], key[new]
-    begins = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])) if len(mark) else np.zeros(0, int)
-    counts = np.diff(np.append(begins, len(mark)))
-    part = table["part"][0].as_py()
-    left, right = [], []
-    few = begins[(counts > 1) & (counts <= LISTED)]
-    size = counts[(counts > 1) & (counts <= LISTED)]
-    for step in range(1, int(size.max(initial=1))):  # the pairs (i, i + step) of all groups at once
-        some = size > step
-        at, n = few[some], size[some] - step
-        i = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        left.append(key[i])
-        right.append(key[i + step])
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.uint64)
-    hot = np.repeat(counts > LISTED, counts)
-    a = np.concatenate([pairs[:, 0], key[hot]]).astype(np.int64)
-    b = pa.array(np.concatenate([pairs[:, 1], np.zeros(int(hot.sum()), np.uint64)]).astype(np.int64), mask=np.arange(len(a)) >= len(pairs))
-    group = pa.array(np.concatenate([np.zeros(len(pairs), np.int64), (mark[hot] ^ (U(part) << U(40))).astype(np.int64)]), mask=np.arange(len(a)) < len(pairs))
+    name = mark ^ (np.repeat(table["part"].to_numpy().astype(np.uint64), lengths) << U(40))
+    kind = np.repeat(kind, lengths)
+    if kind[:1].sum() == _MEMBERS:  # those come to tasks of their own
+        pairs, hot_key, hot_name = np.zeros((0, 2), np.uint64), key, name
+    else:
+        known = np.unique(name[kind == _HOT])
+        key, name, begins, counts = _grouped(key[kind == _PLAIN], name[kind == _PLAIN])
+        hot = (counts > LISTED) | np.isin(name[begins], known)
+        left, right = [], []
+        few = (counts > 1) & ~hot
+        first, size = begins[few], counts[few]
+        for step in range(1, int(size.max(initial=1))):  # the pairs (i, i + step) of all groups at once
+            some = size > step
+            at, n = first[some], size[some] - step
+            i = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            left.append(key[i])
+            right.append(key[i + step])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.zeros((0, 2), np.uint64)
+        hot = np.repeat(hot, counts)
+        hot_key, hot_name = key[hot], name[hot]
+    a = np.concatenate([pairs[:, 0], hot_key]).astype(np.int64)
+    is_pair = np.arange(len(a)) < len(pairs)
+    b = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(hot_key), np.uint64)]).astype(np.int64), mask=~is_pair)
+    group = pa.array(np.concatenate([np.zeros(len(pairs), np.uint64), hot_name]).astype(np.int64), mask=is_pair)
     return pa.table({"a": pa.array(a), "b": b, "hot": group})
 
 
 def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
-    """A spanning chain of the pairs in a group of sets that share a piece whose bitmaps allow a link."""
+    """Chains of the sets that share a piece where their bitmaps allow a link: (a, b) edges, and a row for each chain.
+
+    A row of the table stands for sets of up to ``n`` shingles whose bitmaps differ from its own in at most
+    ``reach`` places; two rows chain where any two of their sets could link. The rows that come out (``b`` null)
+    stand for all sets of their chain, so that other blocks need only meet those.
+    """
     table = table.sort_by("n")
-    key, n = table["key"].to_numpy(), table["n"].to_numpy()
+    key, n, reach = table["key"].to_numpy(), table["n"].to_numpy(), table["reach"].to_numpy()
     bits = np.stack([table[b].to_numpy().view(np.uint64) for b in _BITS], 1)
     label = np.arange(len(key))
+
+    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(bits[i, w] ^ bits[j, w]).astype(np.int64) for w in range(WORDS))
+
     for at in range(0, len(key), 256):
-        end = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * den // num, "right"))
-        rows, others = np.arange(at, min(at + 256, len(key))), np.arange(at, end)
+        rows, others = np.arange(at, min(at + 256, len(key))), np.arange(at, len(key))
+        if not reach.any():
+            others = others[: int(np.searchsorted(n, n[rows[-1]] * den // num, "right")) - at]
         main = np.bincount(label[rows]).argmax()
         inside = label[rows] == main
         # Pairs that are connected already need no test: near copies of the most common group skip each other.
         for some, rest in ((rows[inside], others[label[others] != main]), (rows[~inside], others)):
-            apart = np.zeros((len(some), len(rest)), np.uint16)
-            for w in range(WORDS):
-                apart += np.bitwise_count(bits[some, w, None] ^ bits[None, rest, w])
-            most = (n[some, None] + n[None, rest]) * (den - num) // (den + num)
-            i, j = np.nonzero(apart <= most)
+            most = (n[some, None] + n[None, rest]) * (den - num) // (den + num) + reach[some, None] + reach[None, rest]
+            i, j = np.nonzero(apart(some[:, None], rest[None, :]) <= most)
             i, j = some[i], rest[j]
             while len(i):  # join the groups that these pairs connect
                 low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
@@ -236,17 +278,44 @@ def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
         while (label != label[label]).any():
             label = label[label]
     moved = label != np.arange(len(key))
-    return pa.table({"a": pa.array(key[moved]), "b": pa.array(key[label[moved]])})
+    heads = np.flatnonzero(~moved)
+    most, far = n.copy(), reach.copy()
+    np.maximum.at(most, label, n)
+    np.maximum.at(far, label, apart(np.arange(len(key)), label) + reach)
+    a = np.concatenate([key[moved], key[heads]])
+    edge = np.arange(len(a)) < int(moved.sum())
+    b = pa.array(np.concatenate([key[label[moved]], np.zeros(len(heads), np.int64)]), mask=~edge)
+    of = lambda x: pa.array(np.concatenate([np.zeros(int(moved.sum()), np.int64), x[heads].astype(np.int64)]), mask=edge)
+    hot = pa.array(np.full(len(a), table["hot"][0].as_py()))
+    return pa.table({"a": pa.array(a), "b": b, "hot": hot, "n": of(most), "reach": of(far), **{x: of(bits[:, w].view(np.int64)) for w, x in enumerate(_BITS)}})
+
+
+def _blocks(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Rows of ``df`` with a block of their group, of about ``most`` rows, and the number of its blocks."""
+    sizes = df.groupBy(group).count().select(group, F.ceil(F.col("count") / most).alias("blocks"))
+    return beside(df, sizes, group, key).withColumn("block", F.pmod(F.xxhash64(key, F.lit("block")), F.col("blocks")))
 
 
-def _in_blocks(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
-    """Rows of ``df`` dealt to the pairs (i, j) of blocks of their group, of about ``most`` rows each."""
-    sizes = df.groupBy(group).count().select(group, F.ceil(F.col("count") / most).alias("blocks"))
-    dealt = df.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+def _paired(df: DataFrame) -> DataFrame:
+    """Rows of blocks dealt to the pairs (i, j) of their group's blocks."""
+    dealt = df.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
 
 
+def crowded(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that chain all sets of each hot piece that may link: ``rows`` of key, hot, n and bitmap.
+
+    Sets meet within blocks first; then only one row for each chain of a block goes on to the pairs of blocks. So
+    many near copies, which make few chains, cost in proportion to their number.
+    """
+    run = on_table(_crowd, num=num, den=den)
+    columns = "a long, b long, hot long, n long, reach long, " + ", ".join(f"{b} long" for b in _BITS)
+    near = saved(_blocks(rows.withColumn("reach", F.lit(0).cast("long")), "hot", "key", CROWD).drop("blocks").groupBy("hot", "block").applyInArrow(run, columns), "crowds")
+    heads = near.where("b is null").select(F.col("a").alias("key"), "hot", "n", "reach", *_BITS)
+    far = _paired(_blocks(heads, "hot", "key", CROWD)).groupBy("hot", "i", "j").applyInArrow(run, columns)
+    return near.unionByName(far).where("b is not null").select("a", "b")
+
+
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Least overlap with a set of unknown size that a set of ``n`` needs."""
     return -(-n * num // den)
@@ -319,9 +388,8 @@ class _Cluster:
 
 def _verify(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
     """Links inside the clusters, or between the two blocks, that one task holds: a spanning chain and link counts."""
-    order = np.lexsort((table["rep"].to_numpy(), table["root"].to_numpy()))
-    table = table.take(pa.array(order)).combine_chunks()
-    rep, mult, side, root = (table[c].to_numpy() for c in ("rep", "mult", "side", "root"))
+    table = table.sort_by([(c, "ascending") for c in ("root", "rep", "hi", "lo")]).combine_chunks()
+    rep, mult, side, root, own_hi, own_lo = (table[c].to_numpy() for c in ("rep", "mult", "side", "root", "hi", "lo"))
     # Rows of one block only also come to (i, j) where block j holds no set: there no pair is counted.
     same = table["i"][0].as_py() == table["j"][0].as_py()
     flats, sizes = [], []
@@ -330,10 +398,13 @@ def _verify(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
         sizes.append(size)
     flat, sizes = np.concatenate(flats), np.concatenate(sizes)
     hi, lo = prints(flat, sizes)
-    right = (hi.view(np.int64) == table["hi"].to_numpy()) & (lo.view(np.int64) == table["lo"].to_numpy())
-    right &= np.append(True, (rep[1:] != rep[:-1]) | (root[1:] != root[:-1]) | ~right[:-1])
-    flat, sizes = flat[np.repeat(right, sizes)], sizes[right]
-    rep, mult, side, root = rep[right], mult[right], side[right], root[right]
+    # Rows that share an id come with each other's text, and copies of a row come twice: one row of a set stays.
+    right = np.flatnonzero((hi.view(np.int64) == own_hi) & (lo.view(np.int64) == own_lo))
+    new = np.append(True, np.any([x[right][1:] != x[right][:-1] for x in (root, own_hi, own_lo)], axis=0))[: len(right)]
+    kept = np.zeros(len(sizes), bool)
+    kept[right[new]] = True
+    flat, sizes = flat[np.repeat(kept, sizes)], sizes[kept]
+    rep, mult, side, root, own_hi, own_lo = (x[kept] for x in (rep, mult, side, root, own_hi, own_lo))
     degree = np.zeros(len(rep), np.int64)
     tops = []
     ends = np.flatnonzero(np.append(root[1:] != root[:-1], True)) + 1 if len(root) else []
@@ -366,7 +437,7 @@ def _verify(table: pa.Table, k: int, num: int, den: int) -> pa.Table:
         back = np.argsort(rep, kind="stable")
         node, top = _rooted(rank[edge[:, 0]], rank[edge[:, 1]])
         up[back[node]] = back[top]
-    return pa.table({"rep": pa.array(rep[linked]), "top": pa.array(rep[up[linked]]), "degree": pa.array(degree[linked])})
+    return pa.table({"rep": pa.array(rep[linked]), "hi": pa.array(own_hi[linked]), "lo": pa.array(own_lo[linked]), "top": pa.array(rep[up[linked]]), "degree": pa.array(degree[linked])})
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,18 +448,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     Null, empty and blank texts have the empty set and link with nothing. Texts of any length count whole.
     A text of fewer than ``k`` words has one shingle, its whole word sequence. Rows with a null doc_id come
-    back with their own doc_id (null) as component unless an equal set has one. Repeated rows are rows like
-    others: they link with each other. Other columns are ignored, whatever their names; an empty table gives
+    back with their own doc_id (null) as component unless an equal set has one; sets that only such rows have
+    link with nothing. Repeated rows are rows like others: they link with each other. Rows that share a doc_id
+    and differ in text share a component. Other columns are ignored, whatever their names; an empty table gives
     an empty result.
+
+    Memory of a task is bounded by PART_SIGNATURES, CROWD sets or two blocks of BLOCK_TOKENS. Work inside a
+    cluster of different near copies grows with the square of its size, as does the number of links to count.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = saved(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n long, hi long, lo long, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(tokens * 2.5 * (den - num) / (den + num)) // PART_SIGNATURES + 8
-    packed = docs.select("text").mapInArrow(partial(_pieces, k=k, num=num, den=den, parts=parts), "part int, marks binary, keys binary")
-    met = saved(packed.groupBy("part").applyInArrow(on_table(_meet), "a long, b long, hot long"), "met")
+    packed = docs.select("text").mapInArrow(partial(_pieces, k=k, num=num, den=den, parts=parts), _PIECE_ROW)
+    met = saved(packed.groupBy("at").applyInArrow(on_table(_meet), "a long, b long, hot long"), "met")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS])
     classes = saved(classes, "classes")
     key = classes["lo"].bitwiseAND(F.lit((1 << 48) - 1))
@@ -397,13 +470,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     both = pairs.join(maps.select(F.col("key").alias("a"), F.struct("n", *_BITS).alias("x")), "a").join(maps.select(F.col("key").alias("b"), F.struct("n", *_BITS).alias("y")), "b")
     apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
     close = both.where(apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)).select("a", "b")
-    crowds = met.where("hot is not null").select(F.col("a").alias("key"), "hot").join(maps, "key")
-    crowds = _in_blocks(crowds, "hot", "key", CROWD).groupBy("hot", "i", "j").applyInArrow(on_table(_crowd, num=num, den=den), "a long, b long")
-    clusters = components(close.unionByName(crowds))
+    crowds = met.where("hot is not null").select(F.col("a").alias("key"), "hot").distinct().join(maps, "key")
+    clusters = components(close.unionByName(crowded(crowds, num, den)))
 
     member = classes.where("rep is not null").join(clusters, key == clusters["node"]).select("rep", "hi", "lo", "mult", "n", "root")
     blocks = member.groupBy("root").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).where("sets > 1").withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS))
-    member = saved(member.join(blocks, "root").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")), "members")
+    member = saved(beside(member, blocks, "root", "rep").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")), "members")
     size = member.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bins = size[0] // BLOCK_TOKENS + 1
     wanted = member.select("root", F.col("rep").alias("doc_id"), "hi", "lo", "mult", "block", "blocks")
@@ -415,10 +487,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
         "root", F.col("doc_id").alias("rep"), "mult", "hi", "lo", "text",
     )
-    links = saved(dealt.groupBy("bin", "i", "j").applyInArrow(on_table(_verify, k=k, num=num, den=den), "rep long, top long, degree long"), "links")
+    links = saved(dealt.groupBy("bin", "i", "j").applyInArrow(on_table(_verify, k=k, num=num, den=den), "rep long, hi long, lo long, top long, degree long"), "links")
     found = components(links.select(F.col("rep").alias("a"), F.col("top").alias("b")))
-    more = links.groupBy("rep").agg(F.sum("degree").alias("degree"))
-    known = classes.join(found, classes["rep"] == found["node"], "left").join(more, "rep", "left")
+    more = links.groupBy("hi", "lo").agg(F.sum("degree").alias("degree"))
+    known = classes.join(found, classes["rep"] == found["node"], "left").join(more, ["hi", "lo"], "left")
     known = known.select("hi", "lo", F.coalesce("root", "rep").alias("top"), (F.col("mult") - 1 + F.coalesce("degree", F.lit(0))).alias("links"))
     out = sets.join(known, ["hi", "lo"], "left")
     return out.select(
@@ -432,8 +504,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay unless their set equals that of a row that has one. Of rows that repeat a
-    doc_id one stays. Columns and their order are those of ``docs``.
+    Rows with a null doc_id all stay, since no group can name them. Of rows that repeat a doc_id one stays. Columns and their order are those of ``docs``.
     """
     parts = jaccard_components(docs, k, num, den)
     keep = parts.where("doc_id = component_id").select("doc_id").distinct()
