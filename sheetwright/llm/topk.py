@@ -3,8 +3,12 @@
 Every vector has a row of distances to many pivots. By the triangle inequality the largest difference of two
 rows is a lower bound of the vectors' distance, and with their lengths an upper bound of their inner product.
 A query evaluates candidates in the order of that bound and stops once no bound reaches its k-th score, so the
-result is exact whatever the pivots are. Candidates lie in buckets, queries in blocks; every block meets every
-bucket in a row of its own, and the best of all buckets are merged by a window.
+result is exact whatever the pivots are.
+
+Vectors lie in buckets of bounded bytes by their nearest pivot, queries likewise in blocks. A block first meets
+one bucket of its own pivot, which gives its queries a k-th score to beat. Buckets keep the least and greatest
+distance to each pivot, so a whole bucket has a bound too: only buckets that can still beat a query's score are
+read for its block. The best of all buckets are merged by a window.
 """
 
 from __future__ import annotations
@@ -14,33 +18,49 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheetwright.llm.common import on_table, saved
 
-#: Pivots, vectors from which they are chosen, candidates of a bucket, queries of a block.
-PIVOTS, SAMPLE, BUCKET, BLOCK = 16, 512, 16_384, 512
+#: Pivots, vectors from which they are chosen, bytes of a bucket's vectors, queries of a block, buckets whose
+#: bounds travel in one row.
+PIVOTS, SAMPLE, BUCKET_BYTES, BLOCK, CHUNK = 64, 512, 8 << 20, 512, 256
 #: Candidates evaluated first, and in each further step.
 FIRST, STEP = 256, 1024
-_EXACT = 2.0**53
+#: Squared lengths below which sums of products of whole numbers are exact in float64.
+_EXACT = 2.0**50
 _LONG = (1 << 63) - 1
 
 
 def _matrix(vectors: list) -> np.ndarray:
-    """floor(64 x) of each component as float64, which is a whole number; shorter vectors end in zeros."""
+    """The components as float64; shorter vectors end in zeros."""
     width = max(map(len, vectors), default=0)
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
-    return np.floor(out * 64.0)
+    return out
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """floor(64 x), a whole number in float64, or infinite beyond its range."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * 64.0)
+
+
+def _integers(row: np.ndarray) -> list[int]:
+    """floor(64 x) as Python integers, exact for any finite x: from 2**53 on, x is a whole number itself."""
+    return [int(x) * 64 if abs(x) >= 2.0**53 else int(np.floor(x * 64.0)) for x in row.tolist()]
 
 
 def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first: each pivot is the vector farthest from those before it."""
     if not len(vectors):
         return vectors
+    if not np.isfinite(vectors).all() or (_squares(vectors) >= _EXACT).any():
+        return vectors[:0]  # distances would not be sure
     far = np.linalg.norm(vectors - vectors.mean(0), axis=1)
     chosen: list[int] = []
     near = np.full(len(vectors), np.inf)
@@ -55,15 +75,71 @@ def _fit(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def _pack(table: pa.Table, pivots: np.ndarray) -> pa.Table:
-    """One row for a bucket: its ids, vectors, squared lengths and pivot distances."""
-    table = table.sort_by("vec_id")
-    x = _matrix(table["vector"].to_pylist())
+def _squares(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.einsum("ij,ij->i", x, x)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of whole numbers to pivots; exact squares where lengths are below the limit."""
     width = max(x.shape[1], pivots.shape[1])
     x, p = _fit(x, width), _fit(pivots, width)
     with np.errstate(over="ignore", invalid="ignore"):
-        far = np.stack([np.linalg.norm(x - row, axis=1) for row in p], 1) if len(p) else np.zeros((len(x), 0))
-    return pa.table({"bucket": table["bucket"][:1], "ids": [table["vec_id"].to_numpy().tobytes()], "vectors": [x.tobytes()], "far": [far.tobytes()]}, schema=pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("far", pa.binary())]))
+        return np.sqrt(np.maximum(_squares(x)[:, None] + _squares(p)[None, :] - 2 * (x @ p.T), 0))
+
+
+def _place(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Append each vector's nearest pivot of those given, and its width."""
+    for batch in batches:
+        raw = _matrix(batch.column(1).to_pylist())
+        far = _distances(_whole(raw), pivots) if len(pivots) else np.zeros((len(raw), 1))
+        cell = np.argmin(np.where(np.isfinite(far), far, np.inf), axis=1)
+        width = pc.list_value_length(batch.column(1)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), width], ["vec_id", "vector", "cell", "width"])
+
+
+_PACK = "bucket long, ids binary, vectors binary, far binary, floors binary, low binary, high binary, most double"
+
+
+def _pack(table: pa.Table, pivots: np.ndarray) -> pa.Table:
+    """One row for a bucket or a block: ids, vectors, distances to pivots, scores to beat, and the bucket's bounds."""
+    table = table.sort_by("vec_id")
+    x = _matrix(table["vector"].to_pylist())
+    whole = _whole(x)
+    far = _distances(whole, pivots) if len(pivots) else np.zeros((len(x), 0))
+    most = float(_squares(whole).max(initial=0))
+    exact = most < _EXACT
+    low, high = (far.min(0), far.max(0)) if exact else (np.zeros(far.shape[1]), np.full(far.shape[1], np.inf))
+    row = {"bucket": table["bucket"][:1], "ids": [table["vec_id"].to_numpy().tobytes()], "vectors": [x.tobytes()], "far": [far.tobytes()], "floors": [table["floor"].to_numpy().astype(float).tobytes()], "low": [low.tobytes()], "high": [high.tobytes()], "most": [most if exact else np.inf]}
+    return pa.table(row, schema=pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("ids", "vectors", "far", "floors", "low", "high")), ("most", pa.float64())]))
+
+
+def _chunk(table: pa.Table) -> pa.Table:
+    """The bounds of up to CHUNK buckets in one row."""
+    joined = lambda c: [b"".join(table[c].to_pylist())]
+    return pa.table({"chunk": table["chunk"][:1], "buckets": [table["bucket"].to_numpy().tobytes()], "lows": joined("low"), "highs": joined("high"), "mosts": [table["most"].to_numpy().tobytes()]}, schema=pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("buckets", "lows", "highs", "mosts"))]))
+
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bucket) where a query of the block may still find a vector of the bucket; the bucket met first is left out."""
+    for batch in batches:
+        blocks, found = [], []
+        for r in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+            buckets, mosts, floors = np.frombuffer(r["buckets"], np.int64), np.frombuffer(r["mosts"]), np.frombuffer(r["floors"])
+            far = np.frombuffer(r["far"]).reshape(len(floors), -1)
+            lows, highs = (np.frombuffer(r[c]).reshape(len(buckets), -1) for c in ("lows", "highs"))
+            x = np.frombuffer(r["vectors"]).reshape(len(floors), -1)
+            q2 = _squares(_whole(x))
+            q2 = np.where(q2 < _EXACT, q2, np.inf)
+            for j, bucket in enumerate(buckets.tolist()):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    gap = np.maximum(np.maximum(far - highs[j], lows[j] - far), 0).max(1, initial=0)
+                    gap = np.where(np.isfinite(gap), gap, 0)
+                    bound = (q2 + mosts[j] - gap * gap) / 2 + 1e-12 * (q2 + mosts[j]) + 1
+                if bucket != r["first"] and not (bound < floors).all():
+                    blocks.append(r["block"])
+                    found.append(bucket)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(found, pa.int64())], ["block", "bucket"])
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -75,60 +151,71 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _by_integers(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """The best by Python integers, for whole numbers beyond float64; scores are held to the range of long."""
+    own = _integers(q)
+    scores = [max(-_LONG, min(_LONG, sum(a * b for a, b in zip(own, _integers(row), strict=True)))) for row in x]
+    order = sorted(zip(scores, ids.tolist(), strict=True), key=lambda s: (-s[0], s[1]))[:k]
+    return [i for _, i in order], [s for s, _ in order]
+
+
+def _by_bounds(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bound: np.ndarray, floor: float, k: int) -> tuple[list[int], list[int]]:
+    """The best that reach ``floor``, by evaluating candidates in the order of their bounds until none can matter."""
+    if len(ids) <= FIRST:
+        place = np.arange(len(ids))
+        score = x @ q
+    else:
+        place = np.argpartition(-bound, FIRST - 1)[:FIRST]
+        score = x[place] @ q
+        done = np.zeros(len(ids), bool)
+        done[place] = True
+        best = _best(score, ids[place], k)
+        score, place = score[best], place[best]
+        rest = np.flatnonzero((bound >= max(floor, score[-1] if len(score) == k else -np.inf)) & ~done)
+        rest = rest[np.argsort(-bound[rest])]
+        for s in range(0, len(rest), STEP):
+            more = rest[s : s + STEP]
+            if len(score) == k and bound[more[0]] < score[-1]:
+                break
+            score, place = np.append(score, x[more] @ q), np.append(place, more)
+            best = _best(score, ids[place], k)
+            score, place = score[best], place[best]
+    best = _best(score, ids[place], k)
+    return ids[place[best]].tolist(), score[best].astype(np.int64).tolist()
+
+
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-            q, x = (np.frombuffer(r[c], np.float64).reshape(n, -1) for c, n in (("q_vectors", len(q_ids)), ("vectors", len(ids))))
-            q_far, far = (np.frombuffer(r[c], np.float64).reshape(n, -1) for c, n in (("q_far", len(q_ids)), ("far", len(ids))))
-            width = max(q.shape[1], x.shape[1])
-            q, x = _fit(q, width), _fit(x, width)
-            with np.errstate(over="ignore", invalid="ignore"):
-                q2, x2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
-                exact = float(q2.max(initial=0)) ** 0.5 * float(x2.max(initial=0)) ** 0.5 < _EXACT and max(q2.max(initial=0), x2.max(initial=0)) < _EXACT
-            out: tuple[list, list, list] = ([], [], [])
-            for at in range(0, len(q), 32):
-                part = slice(at, at + 32)
+    """(query_id, vec_id, score): the best of a bucket for each query of a block."""
+    for r in (row for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+        q_ids, ids, floors = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["floors"])
+        q_raw, x_raw = np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1), np.frombuffer(r["vectors"]).reshape(len(ids), -1)
+        q_far, far = np.frombuffer(r["q_far"]).reshape(len(q_ids), -1), np.frombuffer(r["far"]).reshape(len(ids), -1)
+        width = max(q_raw.shape[1], x_raw.shape[1])
+        q_raw, x_raw = _fit(q_raw, width), _fit(x_raw, width)
+        q, x = _whole(q_raw), _whole(x_raw)
+        q2, x2 = _squares(q), _squares(x)
+        exact = max(q2.max(initial=0), x2.max(initial=0)) < _EXACT
+        out: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(q), 32):
+            part = slice(at, at + 32)
+            if exact:
+                low = np.zeros((len(q[part]), len(x)))
+                for p in range(far.shape[1]):
+                    np.maximum(low, np.abs(q_far[part, p, None] - far[None, :, p]), out=low)
+                both = q2[part, None] + x2[None, :]
+                # The slack covers rounding: a bound is never below the score it bounds.
+                bounds = (both - low * low) / 2 + 1e-12 * both + 1
+            for i in range(len(q[part])):
+                others = np.flatnonzero(ids != q_ids[at + i])
                 if exact:
-                    low = np.zeros((len(q[part]), len(x)))
-                    for p in range(far.shape[1]):
-                        np.maximum(low, np.abs(q_far[part, p, None] - far[None, :, p]), out=low)
-                    # The slack covers rounding: a bound is never below the score it bounds.
-                    bounds = (q2[part, None] + x2[None, :] - low * low) / 2 * (1 + 1e-12) + 1
-                for i in range(len(q[part])):
-                    others = ids != q_ids[at + i]
-                    if not exact:  # whole numbers beyond float64: Python integers, held to the range of long
-                        own = [int(v) for v in q[at + i]]
-                        scores = [max(-_LONG, min(_LONG, sum(a * int(b) for a, b in zip(own, row, strict=True)))) for row in x[others]]
-                        order = sorted(zip(scores, ids[others].tolist(), strict=True), key=lambda s: (-s[0], s[1]))[:k]
-                        found, score = [i for _, i in order], [s for s, _ in order]
-                    else:
-                        bound = np.where(others, bounds[i], -np.inf)
-                        many = int(others.sum())
-                        first = np.argpartition(-bound, FIRST - 1)[:FIRST] if len(bound) > FIRST else np.flatnonzero(others)
-                        first = first[others[first]]
-                        score, place = x[first] @ q[at + i], first
-                        if many > len(first):
-                            best = _best(score, ids[place], k)
-                            score, place = score[best], place[best]
-                            floor = score[-1] if len(score) == k else -np.inf
-                            done = np.zeros(len(bound), bool)
-                            done[first] = True
-                            rest = np.flatnonzero((bound >= floor) & others & ~done)
-                            rest = rest[np.argsort(-bound[rest])]
-                            for s in range(0, len(rest), STEP):
-                                more = rest[s : s + STEP]
-                                if len(score) == k and bound[more[0]] < score[-1]:
-                                    break
-                                score, place = np.append(score, x[more] @ q[at + i]), np.append(place, more)
-                                best = _best(score, ids[place], k)
-                                score, place = score[best], place[best]
-                        best = _best(score, ids[place], k)
-                        found, score = ids[place[best]].tolist(), score[best].astype(np.int64).tolist()
-                    out[0].extend([int(q_ids[at + i])] * len(found))
-                    out[1].extend(found)
-                    out[2].extend(score)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                    others = others[bounds[i, others] >= floors[at + i]]
+                    found, score = _by_bounds(q[at + i], x[others], ids[others], bounds[i, others], floors[at + i], k)
+                else:
+                    found, score = _by_integers(q_raw[at + i], x_raw[others], ids[others], k)
+                out[0].extend([int(q_ids[at + i])] * len(found))
+                out[1].extend(found)
+                out[2].extend(score)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -136,32 +223,62 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS
 
     Components count as floor(64 x). Queries are the rows whose id is divisible by ``every``, candidates all
     rows with another id; ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
-    components take no part, nor do rows without an id. A shorter vector counts as ending in zeros. Rows that
-    repeat an id are candidates each; as a query the smallest of their vectors counts. Scores beyond long are
-    held to its range. Other columns are ignored; an empty table gives an empty result.
+    components take no part, nor do rows without an id. A shorter vector counts as ending in zeros, an empty
+    one as zero. Rows that repeat an id are candidates each; as a query the smallest of their vectors counts.
+    Scores beyond long are held to its range. Other columns are ignored; an empty table gives an empty result.
 
     The pivots come from ``SAMPLE`` vectors at most (those of smallest hash); all rows are indexed.
     """
-    spark = vectors.sparkSession
     usable = "vec_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(usable)
+    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    found = choose_pivots(_matrix([r["vector"] for r in sample]), pivots) if sample else np.zeros((0, 0))
-    if not np.isfinite(found).all():
-        found = found[:0]
-    count = rows.count()
-
-    def packed(df: DataFrame, size: int, n: int, name: str) -> DataFrame:
-        dealt = df.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size)))))
-        return saved(dealt.groupBy("bucket").applyInArrow(on_table(_pack, pivots=found), "bucket long, ids binary, vectors binary, far binary"), name)
-
-    buckets = packed(rows, BUCKET, count, "buckets")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    blocks = packed(asked, BLOCK, -(-count // every), "blocks")
-    n = max(1, -(-count // BUCKET))
-    sent = blocks.selectExpr("bucket as block", "ids as q_ids", "vectors as q_vectors", "far as q_far").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # each row is a block and a bucket
-    met = sent.hint("shuffle_hash").join(buckets, "bucket").repartition(max(1, n * -(-count // every // BLOCK)), "bucket", "block")
-    best = saved(met.drop("bucket", "block").mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long"), "best")
+    found = choose_pivots(_whole(_matrix([r["vector"] for r in sample])), pivots) if sample else np.zeros((0, 0))
+    # As many pivots part the vectors as there will be full buckets.
+    near = found[: max(1, count * width * 8 // BUCKET_BYTES)]
+    placed = saved(rows.mapInArrow(partial(_place, pivots=near), "vec_id long, vector array<double>, cell int, width long"), "placed")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("width").alias("width")).orderBy("cell").collect()  # one row for each pivot
+
+    def dealt(df: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        """``df`` with a bucket: each cell has its own ones, as many as its size asks for."""
+        begin, at = {}, 0
+        for cell, n in sorted(sizes.items()):
+            begin[cell], at = at, at + n
+        lookup = lambda d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in d.items() for v in pair]), F.col("cell")), F.lit(0)) if d else F.lit(0)
+        return df.withColumn("bucket", (lookup(begin) + F.pmod(F.xxhash64("vec_id"), F.greatest(lookup(sizes), F.lit(1)))).cast("long"))
+
+    many = {r["cell"]: -(-r["n"] * max(1, r["width"]) * 8 // BUCKET_BYTES) for r in cells}
+    run = on_table(_pack, pivots=found)
+    buckets = saved(dealt(placed, many).withColumn("floor", F.lit(0.0)).groupBy("bucket").applyInArrow(run, _PACK), "buckets")
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("vector", "cell"), "vector").alias("v")).select("vec_id", "v.*")
+    asked = saved(asked, "asked")
+    own = {r["cell"]: -(-r["count"] // BLOCK) for r in asked.groupBy("cell").count().collect()}
+    blocked = dealt(asked, own)
+    firsts = {cell: sum(n for c, n in many.items() if c < cell) for cell in many}  # each cell's first bucket
+    cell_of = [(sum(n for c, n in own.items() if c < cell) + i, firsts[cell]) for cell in own for i in range(own[cell])]
+    spark = vectors.sparkSession
+    first = spark.createDataFrame(cell_of, "block long, first long")
+
+    def blocks_with(floors: DataFrame | None) -> DataFrame:
+        rows = blocked.withColumn("floor", F.lit(float("-inf"))) if floors is None else blocked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        packed = rows.groupBy("bucket").applyInArrow(run, _PACK)
+        return packed.select(F.col("bucket").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("far").alias("q_far"), "floors").join(F.broadcast(first), "block")
+
+    def met(pairs: DataFrame) -> DataFrame:
+        rows = pairs.hint("shuffle_hash").join(buckets.select("bucket", "ids", "vectors", "far"), "bucket")
+        return rows.select("q_ids", "q_vectors", "q_far", "floors", "ids", "vectors", "far").mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
+
+    home = saved(met(blocks_with(None).withColumn("bucket", F.col("first"))), "home")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda best: best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if sum(many.values()) <= 1:  # every block has met the only bucket
+        return ranked(home)
+    kth = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    floors = kth.select("vec_id", F.when((F.col("n") >= k) & (F.col("least") > -_LONG), F.col("least").cast("double")).alias("floor"))
+    blocks = saved(blocks_with(floors), "blocks")
+    chunks = buckets.select("bucket", "low", "high", "most", F.expr(f"bucket div {CHUNK}").alias("chunk")).groupBy("chunk").applyInArrow(on_table(_chunk), "chunk long, buckets binary, lows binary, highs binary, mosts binary")
+    bounds = blocks.select("block", "first", "floors", F.col("q_far").alias("far"), F.col("q_vectors").alias("vectors"))
+    bounds = bounds.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sum(many.values()) // CHUNK).cast("long")))).join(chunks, "chunk")
+    pairs = saved(bounds.mapInArrow(_reach, "block long, bucket long"), "pairs")
+    rest = met(pairs.repartition("block", "bucket").join(blocks.drop("first"), "block"))
+    return ranked(saved(home.unionByName(rest), "best"))
