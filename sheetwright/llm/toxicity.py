@@ -6,8 +6,10 @@ chain is trained on those by gradient ascent; forward-backward marginals of a do
 expected number of toxic tokens, from which a fitted logistic curve makes the score. Tokens with a marginal of
 at least one half are the offending offsets.
 
-With two states, forward and backward messages are one odds value each, so many documents are run side by
-side: they are laid end to end in lanes, and each step moves all lanes by a token.
+With two states, forward and backward messages are one odds value each, and a token turns one value into the next
+by a fraction of linear terms. Such steps compose, so texts laid end to end are cut into pieces that run side by
+side: the composed steps of each piece give the values at its edge, then all pieces are filled in. A text of any
+length takes about twice the square root of the number of tokens in numpy steps.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import on_table, short_batches
+from sheetwright.llm.common import on_table, saved
 from sheetwright.llm.wordsets import _LOWER, _power, mix, pieces_of
 
-#: Labelled documents to learn from at most (those whose id has the smallest hash), and feature weights.
-SAMPLE, WEIGHTS = 6000, 1 << 18
+#: Labelled documents and bytes of their texts to learn from at most (ids of the smallest hash first), and feature weights.
+SAMPLE, SAMPLE_BYTES, WEIGHTS = 6000, 64 << 20, 1 << 18
 EPOCHS, BATCHES, RATE = 5, 40, 0.5
 #: A word or beginning counts as toxic from this share of toxic documents and this ratio of the shares on.
 SUPPORT, RATIO = 0.01, 20.0
@@ -69,26 +71,44 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     place = at - np.maximum.accumulate(np.where(starts, at, 0))
     place[~letter] = 0
     value = np.where(letter, _LOWER[data] * _power(int(place.max()) + 1)[place], np.uint64(0))
-    features = np.empty((3, len(first)), np.int32)
-    for i, reach in enumerate((None, 4, 5)):
-        part = value if reach is None else np.where(place < reach, value, np.uint64(0))
-        features[i] = (mix(np.add.reduceat(part, first) + np.uint64(i)) % np.uint64(WEIGHTS)).astype(np.int32)
-    length = np.add.reduceat(letter.astype(np.int64), first)
     # A token ends where a text ends, even if the next one begins with a letter.
-    return Tokens(features, first, first + length, np.diff(np.searchsorted(first, offsets)))
-
-
-def _lanes(counts: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """(lane * length + step of each text's first token, lanes, length): texts laid end to end in lanes."""
-    length = max(int(counts.max(initial=1)), -(-int(counts.sum()) // 256), 1)
-    at = np.zeros(len(counts), np.int64)
-    lane = used = 0
-    for i in np.argsort(-counts, kind="stable").tolist():
-        n = int(counts[i])
-        if used + n > length:
-            lane, used = lane + 1, 0
-        at[i], used = lane * length + used, used + n
-    return at, lane + 1, length
+    stops = letter.copy()
+    stops[:-1] &= ~letter[1:]
+    edge = offsets[1:][offsets[1:] > 0] - 1
+    stops[edge] = letter[edge]
+    ends = np.flatnonzero(stops) + 1
+    hashes = [np.add.reduceat(value, first)]
+    start = np.zeros(len(first), np.uint64)
+    for i in range(5):  # beginnings of four and five bytes
+        start += np.where(first + i < ends, value[np.minimum(first + i, len(data) - 1)], np.uint64(0))
+        if i >= 3:
+            hashes.append(start.copy())
+    features = np.stack([(mix(h + np.uint64(i)) % np.uint64(WEIGHTS)).astype(np.int32) for i, h in enumerate(hashes)])
+    return Tokens(features, first, ends, np.diff(np.searchsorted(first, offsets)))
+
+
+def _chain(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """x[t] = (a[t] + b[t] x[t - 1]) / (c[t] + d[t] x[t - 1]) for all t; the first step must not depend on x (b = d = 0)."""
+    size = len(a)
+    length = max(1, int(size**0.5))
+    lanes = -(-size // length)
+    fill = lambda v, x: np.ascontiguousarray(np.append(v, np.full(lanes * length - size, x)).reshape(lanes, length).T)
+    a, b, c, d = fill(a, 0.0), fill(b, 1.0), fill(c, 1.0), fill(d, 0.0)
+    p, q, r, s = np.zeros(lanes), np.ones(lanes), np.ones(lanes), np.zeros(lanes)  # each lane's steps so far, composed
+    for t in range(length):
+        p, q, r, s = a[t] * r + b[t] * p, a[t] * s + b[t] * q, c[t] * r + d[t] * p, c[t] * s + d[t] * q
+        if t % 4 == 3:
+            scale = 1 / (p + q + r + s)
+            p, q, r, s = p * scale, q * scale, r * scale, s * scale
+    edge, x = np.empty(lanes), 1.0
+    for i, (pi, qi, ri, si) in enumerate(zip(p.tolist(), q.tolist(), r.tolist(), s.tolist(), strict=True)):
+        edge[i] = x
+        x = (pi + qi * x) / (ri + si * x)
+    out = np.empty_like(a)
+    for t in range(length):
+        edge = (a[t] + b[t] * edge) / (c[t] + d[t] * edge)
+        out[t] = edge
+    return out.T.ravel()[:size]
 
 
 def marginals(emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
@@ -96,37 +116,19 @@ def marginals(emit: np.ndarray, counts: np.ndarray, moves: np.ndarray, start: fl
     total = np.zeros(4)
     if not len(emit):
         return emit, total
-    head, lanes, length = _lanes(counts)
-    full = counts > 0
-    firsts = np.cumsum(counts) - counts
-    cell = np.arange(len(emit)) + np.repeat(head - firsts, counts)
     odds = np.exp(np.clip(emit, -30, 30))
-    e = np.ones(lanes * length)
-    e[cell] = odds
-    begin = np.zeros(lanes * length, bool)
-    begin[head[full]] = True
-    close = np.zeros(lanes * length, bool)
-    close[(head + counts - 1)[full]] = True
-    e, begin, close = (np.ascontiguousarray(x.reshape(lanes, length).T) for x in (e, begin, close))
     t00, t01, t10, t11 = np.exp(moves)
-    pi = np.exp(start)
-    ahead, back = np.empty_like(e), np.empty_like(e)
-    r = np.full(lanes, pi)
-    for t in range(length):
-        r = e[t] * np.where(begin[t], pi, (t01 + r * t11) / (t00 + r * t10))
-        ahead[t] = r
-    b = np.ones(lanes)
-    for t in range(length - 1, -1, -1):
-        b = np.where(close[t], 1.0, b)
-        back[t] = b
-        x = e[t] * b
-        b = (t10 + t11 * x) / (t00 + t01 * x)
-    m = (ahead * back).T.ravel()[cell]
-    inner = np.ones(len(emit), bool)
-    inner[firsts[full]] = False
-    now = np.flatnonzero(inner)
+    ends = np.cumsum(counts)[counts > 0]
+    begin, close = np.zeros(len(emit), bool), np.zeros(len(emit), bool)
+    begin[np.append(0, ends[:-1])] = True
+    close[ends - 1] = True
+    ahead = _chain(odds * np.where(begin, np.exp(start), t01), odds * np.where(begin, 0, t11), np.where(begin, 1, t00), np.where(begin, 0, t10))
+    after = np.append(odds[1:], 1.0)
+    back = _chain(*(x[::-1] for x in (np.where(close, 1, t10), np.where(close, 0, t11 * after), np.where(close, 1, t00), np.where(close, 0, t01 * after))))[::-1]
+    m = ahead * back
+    now = np.flatnonzero(~begin)
     if len(now):
-        r, x = ahead.T.ravel()[cell[now - 1]], odds[now] * back.T.ravel()[cell[now]]
+        r, x = ahead[now - 1], odds[now] * back[now]
         w = np.stack([np.full(len(now), t00), t01 * x, r * t10, r * t11 * x])
         total = (w / w.sum(0)).sum(1)
     return m / (1 + m), total
@@ -220,14 +222,17 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled documents whose crc32(doc_id as text) mod 3 isn't 1.
 
-    Those with the smallest hash of doc_id are taken, whole. A doc_id with several labels counts as toxic if
+    Those with the smallest hash of doc_id are taken, whole, up to ``SAMPLE_BYTES`` bytes of text together. A doc_id with several labels counts as toxic if
     one says so; null labels and ids are left out, and of rows that repeat a doc_id the smallest text counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where("crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = saved(texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # of ``sample`` rows
+    within = rows.select("doc_id", F.coalesce(so_far, F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_BYTES).select("doc_id")
+    rows = rows.join(F.broadcast(within), "doc_id")
     # The sample is bounded, so one task learns from it; the driver gets the weights only.
     learned = rows.groupBy(F.lit(0).alias("all")).applyInArrow(on_table(_learn), "weights binary, moves binary, start double, curve binary").first()
     if learned is None:
@@ -275,7 +280,6 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     of such texts. Repeated rows are scored alike; other columns are ignored; an empty table gives an empty
     result.
     """
-    short_batches(docs.sparkSession)
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", held.alias("held_out"), "text")
     return kept.mapInArrow(partial(_score, model=model), "doc_id long, held_out boolean, score double, predicted int, toxic_tokens double, spans string")
@@ -286,7 +290,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Scores depend on the text alone, so every row is judged where it lies and no id is needed.
     """
-    short_batches(docs.sparkSession)
     model = fit(docs, labels)
     return docs.mapInArrow(partial(_keep, model=model, column=docs.columns.index("text")), docs.schema)
 
