@@ -3,7 +3,8 @@
 A payload becomes rows (record, chunk number, text) of bounded size. Every chunk is written as a WARC record of
 its own: the first as ``response`` or ``revisit``, further ones as ``continuation`` segments with
 WARC-Segment-Number and WARC-Segment-Origin-ID, the last with WARC-Segment-Total-Length and the digest of the
-whole payload. Digests are carried from chunk to chunk by writer and reader, so neither joins a payload.
+whole payload. Digests are carried from chunk to chunk by writer and reader, so neither joins a payload. A page's
+html is one value of its input row all the same: whole records are avoided from the cut on, and when reading.
 Spark's text sink, with CRLF CRLF as its line end, writes the files: any store that Spark writes to will do.
 """
 
@@ -20,18 +21,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import by_key, saved, scratch_path, short_batches
+from sheetwright.llm.common import by_key, saved, scratch_path
 
 #: Bytes of a chunk, and chunks of one archive file: what a reader holds of a file is bounded.
 CHUNK, FILE_CHUNKS = 128 << 10, 1024
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
+#: Revisits (a number, a digest and a number each: 30 MB at most) up to which they are broadcast to their pages;
+#: beyond, pages are shuffled to them, with the same result.
+BROADCAST_ROWS = 200_000
 _END = "\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 _ROW = "record string, chunk_no int, last boolean, kind string, page_id long, first_page long, url string, payload binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], chunk: int, archive: str) -> Iterator[pa.RecordBatch]:
     """Chunk rows of page rows; a chunk ends between characters. An empty payload is one empty chunk."""
     task, count = TaskContext.get().partitionId(), 0
     names = [x.split()[0] for x in _ROW.split(", ")]
@@ -40,7 +44,8 @@ def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBat
         rows, held = [], 0
         for page_id, url, html, first in zip(*batch.columns, strict=True):
             data = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
-            record, count = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{task}-{count}")), count + 1
+            name = f"{archive} {page_id.as_py()} {hashlib.sha256(data).hexdigest()} {task} {count}"  # equal rows are records of their own
+            record, count = str(uuid.uuid5(uuid.NAMESPACE_OID, name)), count + 1
             at = number = 0
             while True:
                 end = min(len(data), at + chunk)
@@ -94,14 +99,13 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     null payload is empty; a row with a null page_id is a response and no other refers to it. Columns beside
     the three are ignored; an empty table makes archives without records.
     """
-    short_batches(pages.sparkSession)
     kept = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     kept = kept.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     prints = saved(kept.where(F.octet_length("html") >= LEAST).where("page_id is not null").select("page_id", "digest"), "payloads")
     firsts = prints.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("other")).where("other > first_page")
-    later = prints.distinct().join(firsts.drop("other"), "digest").where("page_id <> first_page")
-    typed = kept.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "first_page")
-    chunks = typed.mapInArrow(partial(_cut, chunk=chunk), _ROW)
+    later = saved(prints.distinct().join(firsts.drop("other"), "digest").where("page_id <> first_page"), "revisits")
+    typed = kept.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, ["page_id", "digest"], "left").select("page_id", "url", "html", "first_page")
+    chunks = typed.mapInArrow(partial(_cut, chunk=chunk, archive=path), _ROW)
     lines = chunks.mapInArrow(_render, "value string")
     lines.write.option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
@@ -172,7 +176,6 @@ _CHUNK_ROW = "record string, chunk_no int, kind string, page_id long, first_page
 
 def read_chunks(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """The chunk table of the archives under ``path``: a row for each WARC record, payloads never joined."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # an Arrow batch holds few archives
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(partial(_parse, whole=whole), _CHUNK_ROW)
 
 
@@ -202,8 +205,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     several chunks are shuffled, by record, and their digests are carried from chunk to chunk.
     """
     chunks = saved(read_chunks(spark, path, whole=False), "chunks")
-    short_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     several = by_key(chunks.where("digest is null"), "record").sortWithinPartitions("record", "chunk_no")
     joined = several.mapInArrow(_chain, _CHUNK_ROW.replace(", payload binary", ""))
     out = chunks.where("digest is not null").drop("payload").unionByName(joined)
