@@ -7,6 +7,9 @@ The ring has ``CELLS`` cells. A virtual node owns the cells before it (an arc);
 hash. Rows of an arc go to the arc's shard while it has room, arcs clockwise; what overflows continues
 clockwise to the next shards with room. Both steps need only how many rows an arc has, so the plan is
 made from one row for each arc, and rows find their place by their rank within the arc.
+
+A cell that holds far more than its share (a row repeated very often) is cut into parts by a number each row
+drew when it was written, so ranks are taken within parts of bounded size.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from sheetwright.llm.common import saved
 
 #: Cells of the ring and virtual nodes of a shard. Fixed: tables of cells and arcs don't grow with the data.
 CELLS, NODES = 16_384, 64
+#: A cell is cut into parts where it holds more than so many times a cell's share of the rows.
+CROWDED = 8
 
 
 def _ring(spark, shards: int) -> DataFrame:
@@ -83,21 +88,32 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     A null text has no bytes and the checksum of no bytes. A null doc_id hashes like a value of its own.
     Repeated rows and ties are ordered by doc_id, checksum and size; which of two equal rows gets which slot
     doesn't matter. Other columns are ignored, whatever their names. An empty table gives an empty result.
-    Skew in sources or texts has no effect: the hash takes doc_id and the text's checksum.
+    Skew in sources or texts has no effect: the hash takes doc_id and the text's checksum. A row that is repeated
+    so often that it crowds its cell is spread over parts; those few cells place rows in the order of writing.
     """
     spark = docs.sparkSession
     blob = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(blob) + 1).cast("long").alias("size"), F.crc32(blob).alias("text_crc32"))
     # Placing must not see a row twice: the narrow rows are written once.
-    rows = saved(rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32")).withColumn("cell", F.pmod("hash", F.lit(CELLS))), "rows")
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32")).withColumn("cell", F.pmod("hash", F.lit(CELLS)))
+    rows = saved(rows.withColumn("drawn", F.xxhash64(F.monotonically_increasing_id())), "rows")
     ring = F.broadcast(_ring(spark, shards))  # CELLS rows
-    cells = rows.groupBy("cell").agg(F.count("*").alias("n")).join(ring, "cell")
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    share = counts.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)) / CELLS, F.lit(1.0)).alias("share"))  # one row
+    counts = saved(counts.join(F.broadcast(share)).select("cell", "n", F.ceil(F.col("n") / (F.col("share") * CROWDED)).alias("parts")), "counts")
+    cells = counts.select("cell", "n").join(ring, "cell")
     arcs = cells.groupBy("arc", "own").agg(F.sum("n").alias("n"), F.first("order").alias("order"))
     within = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("offset", F.coalesce(F.sum("n").over(within), F.lit(0))).select("cell", "arc", "offset")
     cells = saved(cells.join(F.broadcast(_plan(arcs, shards)), "arc"), "cells")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("hash", "doc_id", "text_crc32", "size")) - 1
-    placed = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(cells), "cell").withColumn("at", F.col("offset") + F.col("rank"))
+    # At most CELLS / CROWDED parts beyond one for each cell.
+    dealt = rows.join(F.broadcast(counts.select("cell", "parts")), "cell").withColumn("part", F.pmod("drawn", F.col("parts")))
+    crowded = dealt.where("parts > 1").groupBy("cell", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = crowded.select("cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("hash", "doc_id", "text_crc32", "size")) - 1
+    placed = dealt.withColumn("rank", rank.cast("long")).join(F.broadcast(ahead), ["cell", "part"], "left").join(F.broadcast(cells), "cell")
+    placed = placed.withColumn("at", F.col("offset") + F.coalesce("ahead", F.lit(0)) + F.col("rank"))
     cut = F.filter("cuts", lambda c: (c["begin"] <= F.col("at")) & (F.col("at") < c["end"]))[0]
     placed = placed.withColumn("cut", cut)
     return placed.select(
