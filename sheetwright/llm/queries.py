@@ -104,7 +104,7 @@ ORACLE_SQL = {
 
 
 def _url_sql() -> str:
-    from sheetwright.llm.url_filter import RULES, SOFT, SOFT_HITS, STRICT, STRICT_WEIGHT
+    from sheetwright.llm.url_filter import RULES, SOFT, SOFT_HITS, SOFT_WEIGHT, STRICT, STRICT_WEIGHT
 
     hit = lambda term: f"CAST(regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS BIGINT)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,7 +117,7 @@ def _url_sql() -> str:
                           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
         c AS (SELECT *, {strict} AS strict_terms, {soft} AS soft_terms, {score} AS score FROM u)
         SELECT page_id, host, path, {cases(lambda v, h, p: h + p)} AS rule,
-               coalesce({cases(lambda v, h, p: v)}, CASE WHEN strict_terms > 0 OR soft_terms >= {SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce({cases(lambda v, h, p: v)}, CASE WHEN strict_terms > 0 OR soft_terms >= {SOFT_HITS} AND score >= {SOFT_WEIGHT} THEN 'block' ELSE 'allow' END) AS verdict,
                strict_terms, soft_terms, score FROM c"""
 
 
