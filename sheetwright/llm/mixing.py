@@ -1,14 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are counted for each cell of (source, language, topic). The table of cells is bounded by the stated
-targets, since whatever they don't list is one category; raking fits it to the target margins in turn until
-they hold, with no cell above the weight at which all its documents are kept. A document's chance is the kept
-share times its cell's fitted weight over its natural one; a hash of the document decides. So kept tokens have
-the target margins in expectation, as far as there are tokens for them.
+Tokens are counted for each cell of (source, language, topic). The table of cells is bounded, since whatever isn't
+listed is one category; raking fits it to the target margins in turn until they hold, with no cell above the weight
+at which all its documents are kept. A document's chance is the kept share times its cell's fitted weight over its
+natural one; a hash of the document decides. So kept tokens have the target margins in expectation, as far as there
+are tokens for them; ``achieved`` shows what a sample has and ``rake`` warns where a margin can't be met.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -18,37 +19,51 @@ from pyspark.sql import functions as F
 from sheetwright.llm.common import saved
 
 OTHER = "(other)"
-#: Target shares. A category that isn't listed keeps its natural share, and listed ones share the rest.
-SOURCES = {f"src{i}": 0.05 for i in range(20)}
-LANGUAGES = {"en": 0.54, "fr": 0.17, "de": 0.17, "es": 0.12}
-TOPICS = {"figures": 0.12, "prose": 0.875, "short": 0.005}
+#: Without stated targets, values with at least one LISTED-th of all tokens are listed (so at most LISTED of them):
+#: sources in equal parts, languages and topics by their share to the power of LEVEL, which at most doubles a share.
+#: On each axis what isn't listed keeps its natural share, and listed ones share the rest.
+LISTED, LEVEL = 200, 0.87
 TOLERANCE, ROUNDS = 1e-10, 2000
 #: Share of all tokens that is kept in expectation.
 KEEP = 0.5
+_AXES = ("source", "lang", "topic")
+_CELL = "source string, lang string, topic string, chance double"
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def topic(text: Column) -> Column:
-    """The topic that documents without such a column get: figures (a digit occurs), short, or prose."""
+    """The form of a text, the topic of documents without such a column.
+
+    short (fewer than 60 words), tables (a column mark for every eight words), code (a brace, bracket, semicolon
+    or equals sign for every six words), figures (a digit for every twelve words), or prose: the first that holds.
+    """
     whole = F.coalesce(text, F.lit(""))
-    return F.when(whole.rlike("[0-9]"), "figures").when(F.length(whole) < 400, "short").otherwise("prose")
+    words = _count(whole, r"\S+")
+    marks = lambda pattern, words_each: _count(whole, pattern) * words_each >= words
+    return F.when(words < 60, "short").when(marks(r"[|\t]", 8), "tables").when(marks("[{}\\[\\];=]", 6), "code").when(marks("[0-9]", 12), "figures").otherwise("prose")
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], keep: float = KEEP) -> np.ndarray:
     """Scale ``mass`` until its margins are ``targets`` (each summing to 1), no cell above ``mass / keep``.
 
     Categories without mass are left out. A category whose cells are all at their bound stays short of its
-    target; the next axis then shares out what is missing.
+    target; the next axis then shares out what is missing. A warning says which margins are off in the end.
     """
     natural = mass / mass.sum()
     most = natural / keep
     fitted = natural.copy()
+    wants = []
+    for axis, target in enumerate(targets):
+        want = np.where(natural.sum(axis=tuple(i for i in range(mass.ndim) if i != axis)) > 0, target, 0)
+        wants.append(want / want.sum())
     for _ in range(ROUNDS):
         before = fitted
-        for axis, target in enumerate(targets):
+        for axis, want in enumerate(wants):
             rest = tuple(i for i in range(mass.ndim) if i != axis)
             shape = [-1 if i == axis else 1 for i in range(mass.ndim)]
-            want = np.where(natural.sum(axis=rest) > 0, target, 0)
-            want = want / want.sum()
             for _ in range(50):  # scale the cells of each category that are below their bound
                 free = fitted < most
                 held, open_ = np.where(free, 0, fitted).sum(axis=rest), np.where(free, fitted, 0).sum(axis=rest)
@@ -60,6 +75,9 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], keep: float = KEEP) -> np.
             fitted = fitted * np.where(over > want, want / np.where(over > 0, over, 1), 1).reshape(shape)
         if np.abs(fitted - before).max() < TOLERANCE:
             break
+    off = [(axis, int(i), float(want[i]), float(got)) for axis, want in enumerate(wants) for i, got in enumerate(fitted.sum(axis=tuple(j for j in range(mass.ndim) if j != axis))) if abs(got - want[i]) > 1e-4]
+    if off:
+        warnings.warn(f"margins that can't be met while keeping {keep:g} of the tokens (axis, category, target, fitted): {off[:20]}", stacklevel=2)
     return fitted
 
 
@@ -67,41 +85,58 @@ def _category(column: Column, listed: Mapping[str, float]) -> Column:
     return F.when(column.isin(list(listed)), column).otherwise(F.lit(OTHER))
 
 
-def calibrated(docs: DataFrame, sources: Mapping[str, float] = SOURCES, languages: Mapping[str, float] = LANGUAGES, topics: Mapping[str, float] = TOPICS, topic_column: Column | None = None) -> tuple[DataFrame, dict[tuple[str, str, str], float]]:
-    """(narrow rows with cell, tokens and hash; the chance of each cell)."""
+def _found(rows: DataFrame, axis: str) -> dict[str, int]:
+    """Tokens of the values of ``axis`` that have at least one LISTED-th of all tokens."""
+    total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    large = rows.where(F.col(axis).isNotNull()).groupBy(axis).agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") * LISTED >= max(total, 1))
+    return {r[axis]: r["tokens"] for r in large.orderBy(axis).collect()}
+
+
+def calibrated(docs: DataFrame, sources: Mapping[str, float] | None = None, languages: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None, topic_column: Column | None = None, keep: float = KEEP) -> tuple[DataFrame, DataFrame, tuple[Mapping[str, float], ...]]:
+    """(narrow rows with cell, tokens and draw; a row for each cell with its chance; the targets of each axis)."""
     text = F.col("text").cast("string")
-    words = F.size(F.split(F.trim(text), r"\s+"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        _category(F.col("source").cast("string"), sources).alias("source"),
-        _category(F.col("lang").cast("string"), languages).alias("lang"),
-        _category(topic(text) if topic_column is None else topic_column, topics).alias("topic"),
-        F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).otherwise(words).cast("long").alias("tokens"),
+        F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"),
+        (topic(text) if topic_column is None else topic_column).alias("topic"),
+        F.coalesce(_count(text, r"\S+"), F.lit(0)).cast("long").alias("tokens"),
         _draw().alias("draw"),
     )
     rows = saved(rows, "cells")
-    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).collect()  # at most the product of the lists
-    return rows, chances({(r["source"], r["lang"], r["topic"]): r["tokens"] for r in cells}, (sources, languages, topics))
-
-
-def chances(cells: Mapping[tuple[str, ...], int], listed: tuple[Mapping[str, float], ...]) -> dict[tuple[str, ...], float]:
+    if sources is None:
+        sources = dict.fromkeys(_found(rows, "source"), 1.0)
+    levelled = lambda axis: {k: float(n) ** LEVEL for k, n in _found(rows, axis).items()}
+    listed = (sources, levelled("lang") if languages is None else languages, levelled("topic") if topics is None else topics)
+    rows = rows.withColumns({a: _category(F.col(a), names) for a, names in zip(_AXES, listed, strict=True)})
+    cells = rows.groupBy(*_AXES).agg(F.sum("tokens").alias("tokens")).collect()  # at most the product of the lists
+    chance = chances({tuple(r[a] for a in _AXES): r["tokens"] for r in cells}, listed, keep)
+    return rows, docs.sparkSession.createDataFrame([(*cell, p) for cell, p in sorted(chance.items())], _CELL), listed
+
+
+def wanted(natural: np.ndarray, names: Mapping[str, float]) -> np.ndarray:
+    """Target shares of the listed categories and, last, of all others, which keep their natural share."""
+    weights = np.array([*names.values(), 0.0])
+    if not weights.sum():
+        return natural
+    want = weights / weights.sum() * (1 - natural[-1])
+    want[-1] = natural[-1]
+    return want
+
+
+def chances(cells: Mapping[tuple[str, ...], int], listed: tuple[Mapping[str, float], ...], keep: float = KEEP) -> dict[tuple[str, ...], float]:
     """The sampling chance of each cell. Cells without tokens are kept whole: they weigh nothing."""
     if not sum(cells.values()):
         return dict.fromkeys(cells, 1.0)
     axes = [[*names, OTHER] for names in listed]
+    place = [{x: i for i, x in enumerate(a)} for a in axes]
     mass = np.zeros([len(a) for a in axes])
-    for cell, tokens in sorted(cells.items()):
-        mass[tuple(a.index(x) for a, x in zip(axes, cell, strict=True))] = tokens
-    targets = []
-    for axis, names in enumerate(listed):
-        natural = mass.sum(axis=tuple(i for i in range(mass.ndim) if i != axis)) / mass.sum()
-        want = np.array([*names.values(), 0.0])
-        want = want / want.sum() * (1 - natural[-1])
-        want[-1] = natural[-1]
-        targets.append(want)
-    fitted = rake(mass, targets)
-    chance = np.minimum(KEEP * np.divide(fitted, mass / mass.sum(), out=np.zeros_like(fitted), where=mass > 0), 1)
-    return {cell: float(chance[tuple(a.index(x) for a, x in zip(axes, cell, strict=True))]) if tokens else 1.0 for cell, tokens in cells.items()}
+    for cell, tokens in cells.items():
+        mass[tuple(p[x] for p, x in zip(place, cell, strict=True))] = tokens
+    margins = [mass.sum(axis=tuple(i for i in range(mass.ndim) if i != axis)) / mass.sum() for axis in range(mass.ndim)]
+    fitted = rake(mass, [wanted(m, names) for m, names in zip(margins, listed, strict=True)], keep)
+    chance = np.minimum(keep * np.divide(fitted, mass / mass.sum(), out=np.zeros_like(fitted), where=mass > 0), 1)
+    return {cell: float(chance[tuple(p[x] for p, x in zip(place, cell, strict=True))]) if tokens else 1.0 for cell, tokens in cells.items()}
 
 
 def _draw() -> Column:
@@ -109,27 +144,34 @@ def _draw() -> Column:
     return F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id").cast("long"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))), F.lit(1 << 53)) / float(1 << 53)
 
 
-def _lookup(chance: Mapping[tuple[str, str, str], float], *columns: Column) -> Column:
-    key = F.concat_ws("\x1f", *columns)
-    items = [F.lit(x) for cell, p in sorted(chance.items()) for x in ("\x1f".join(cell), p)]
-    return F.element_at(F.create_map(*items), key) if items else F.lit(1.0)
-
-
 def sampled(docs: DataFrame, **targets) -> DataFrame:
     """A row for each document: doc_id, source, lang, topic (as categories), tokens, chance, kept.
 
     Null or unlisted categories are one category, ``(other)``, with its natural share. Null and blank texts
     have no tokens. Rows that repeat id and text share their draw. Targets of categories without tokens go to
-    the others in proportion. Empty tables give empty results; more columns are ignored.
+    the others in proportion. Empty tables give empty results; more columns are ignored, whatever their names.
     """
-    rows, chance = calibrated(docs, **targets)
-    p = _lookup(chance, F.col("source"), F.col("lang"), F.col("topic"))
-    return rows.withColumn("chance", p).select("doc_id", "source", "lang", "topic", "tokens", "chance", (F.col("draw") < F.col("chance")).alias("kept"))
+    rows, cells, _ = calibrated(docs, **targets)
+    return rows.join(F.broadcast(cells), list(_AXES)).select("doc_id", *_AXES, "tokens", "chance", (F.col("draw") < F.col("chance")).alias("kept"))
 
 
-def mixed(docs: DataFrame, sources: Mapping[str, float] = SOURCES, languages: Mapping[str, float] = LANGUAGES, topics: Mapping[str, float] = TOPICS) -> DataFrame:
+def achieved(sample: DataFrame) -> DataFrame:
+    """What ``sampled`` gave: axis, category, tokens, kept_tokens, natural_share and kept_share of each category."""
+    kept = sample.withColumn("kept_tokens", F.when(F.col("kept"), F.col("tokens")).otherwise(0))
+    cells = kept.groupBy(*_AXES).agg(F.sum("tokens").alias("tokens"), F.sum("kept_tokens").alias("kept_tokens"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("category")) for a in _AXES]))
+    rows = cells.select(pairs.alias("p"), "tokens", "kept_tokens").groupBy("p.axis", "p.category").agg(F.sum("tokens").alias("tokens"), F.sum("kept_tokens").alias("kept_tokens"))
+    whole = cells.agg(F.sum("tokens").alias("all_tokens"), F.sum("kept_tokens").alias("all_kept"))  # one row
+    share = lambda part, total: F.col(part) / F.nullif(F.col(total), F.lit(0))
+    return rows.join(F.broadcast(whole)).select("axis", "category", "tokens", "kept_tokens", share("tokens", "all_tokens").alias("natural_share"), share("kept_tokens", "all_kept").alias("kept_share"))
+
+
+def mixed(docs: DataFrame, **targets) -> DataFrame:
     """The sampled rows of ``docs``, with the columns of ``docs``."""
-    _, chance = calibrated(docs, sources, languages, topics)
-    text = F.col("text").cast("string")
-    p = _lookup(chance, _category(F.col("source").cast("string"), sources), _category(F.col("lang").cast("string"), languages), _category(topic(text), topics))
-    return docs.where(_draw() < p)
+    _, cells, (sources, languages, topics) = calibrated(docs, **targets)
+    text, names = F.col("text").cast("string"), ("mix_source", "mix_lang", "mix_topic", "mix_chance")
+    of = targets.get("topic_column")
+    keys = (_category(F.col("source").cast("string"), sources), _category(F.col("lang").cast("string"), languages), _category(topic(text) if of is None else of, topics))
+    cells = F.broadcast(cells.toDF(*names))
+    meets = (keys[0] == cells[names[0]]) & (keys[1] == cells[names[1]]) & (keys[2] == cells[names[2]])
+    return docs.join(cells, meets).where(_draw() < cells[names[3]]).select(*[docs[c] for c in docs.columns])
