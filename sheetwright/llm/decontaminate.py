@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.llm.common import saved, short_batches
+from sheetwright.llm.common import saved
 
 #: Edits allowed for a character of an item; characters of items that one pass over the texts carries.
 RATE, BLOCK_CHARS = 0.06, 8 << 20
@@ -60,7 +60,7 @@ def least_distance(item: str, text: str) -> int:
 class Matcher:
     """The pieces of all items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
         self.items = items
         self.budget = [int(rate * len(text)) for _, text in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -97,37 +97,45 @@ class Matcher:
         return sorted(out.items())
 
 
-def _match(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], rate: float) -> Iterator[pa.RecordBatch]:
-    """Append this block's matches to the arrays that rows carry."""
-    matcher = Matcher(items, rate)
-    at = None
+@lru_cache(maxsize=1)
+def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+    """A worker builds a block's automaton once, not in every task."""
+    return Matcher(items, rate)
+
+
+def _match(batches: Iterator[pa.RecordBatch], items: tuple[tuple[int, str], ...], rate: float) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, text, items, edits) with this block's matches appended."""
+    matcher = _matcher(items, rate)
     for batch in batches:
-        at = at or [batch.schema.get_field_index(c) for c in ("_text", "_items", "_edits")]
         names, edits = [], []
-        for text, old, cost in zip(*(batch.column(i) for i in at), strict=True):
+        for text, old, cost in zip(*batch.columns[1:], strict=True):
             hits = matcher.found(normalised(text.as_py()))
             names.append([*old.as_py(), *(i for i, _ in hits)])
             edits.append([*cost.as_py(), *(e for _, e in hits)])
-        columns = list(batch.columns)
-        columns[at[1]], columns[at[2]] = pa.array(names, batch.schema.field(at[1]).type), pa.array(edits, batch.schema.field(at[2]).type)
-        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, kind), pa.array(edits, kind)], batch.schema.names)
+
+
+def _keep(batches: Iterator[pa.RecordBatch], items: tuple[tuple[int, str], ...], rate: float, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text holds no item of this block."""
+    matcher = _matcher(items, rate)
+    for batch in batches:
+        yield batch.filter(pa.array([not matcher.found(normalised(text.as_py())) for text in batch.column(column)], pa.bool_()))
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
-    """``docs`` (with a column _text) and its matches as _items and _edits."""
-    short_batches(docs.sparkSession)
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, step) -> DataFrame:
+    """``docs`` after ``step(docs, items)`` for each block of items, one block after another."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and trim(text) <> ''").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    out = docs.withColumn("_items", F.array().cast("array<bigint>")).withColumn("_edits", F.array().cast("array<bigint>"))
     blocks = -(-chars // BLOCK_CHARS)
     for block in range(blocks):  # one, unless the items outgrow what a task should carry
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        held = [(r["item_id"], text) for r in rows if (text := normalised(r["text"]))]
+        held = tuple((r["item_id"], text) for r in rows if (text := normalised(r["text"])))
         if held:
-            out = out.mapInArrow(partial(_match, items=held, rate=rate), out.schema)
-            if blocks > 1:  # the next block starts from a table, so a task carries one block's items at a time
-                out = saved(out, "leaks")
-    return out
+            docs = step(docs, held)
+            if blocks > 1:  # the next block starts from a table, so neither driver nor task holds more than one block
+                docs = saved(docs, "leaks")
+    return docs
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,17 +145,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id
     floor(rate * length) edits of it; ``edits`` is the least distance in the text. Items that are null or
     blank, or have no id, take no part; rows of an item id count as one item, found if any of them is. Null
     and empty texts hold nothing. Null doc_ids are passed on, repeated rows judged alike, other columns are
-    ignored. Empty tables: no documents give no rows, no items give clean documents.
+    ignored, whatever their names. Empty tables: no documents give no rows, no items give clean documents.
 
     Items travel to the tasks in blocks of at most about ``BLOCK_CHARS`` characters, one after another.
     """
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    ids = F.array_sort(F.array_distinct("_items"))
-    edits = F.transform(ids, lambda i: F.array_min(F.transform(F.filter("pairs", lambda p: p["_items"] == i), lambda p: p["_edits"])))
-    out = _matched(kept, benchmark, rate).withColumn("pairs", F.arrays_zip("_items", "_edits"))
-    return out.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), edits.alias("edits"))
+    none = F.array().cast("array<bigint>")
+    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), none.alias("items"), none.alias("costs"))
+    out = _by_blocks(kept, benchmark, lambda df, items: df.mapInArrow(partial(_match, items=items, rate=rate), "doc_id long, text string, items array<bigint>, costs array<bigint>"))
+    ids = F.array_sort(F.array_distinct("items"))
+    edits = F.transform(ids, lambda i: F.array_min(F.transform(F.filter("pairs", lambda p: p["items"] == i), lambda p: p["costs"])))
+    out = out.withColumn("pairs", F.arrays_zip("items", "costs"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), edits.alias("edits"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with the columns of ``docs``."""
-    return _matched(docs.withColumn("_text", F.col("text").cast("string")), benchmark, rate).where(F.size("_items") == 0).select(docs.columns)
+    """The rows of ``docs`` that hold no test item, with the columns of ``docs``, whatever they are called."""
+    column = docs.columns.index("text")
+    return _by_blocks(docs, benchmark, lambda df, items: df.mapInArrow(partial(_keep, items=items, rate=rate, column=column), docs.schema))
