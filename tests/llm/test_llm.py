@@ -115,32 +115,43 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("size", [8 << 20, 4096])
+def test_top_k(spark, monkeypatch, size):
+    from sheetwright.llm import topk
     from sheetwright.llm.topk import top_k
 
+    monkeypatch.setattr(topk, "BUCKET_BYTES", size)
+    monkeypatch.setattr(topk, "BLOCK", 9)
+    monkeypatch.setattr(topk, "CHUNK", 3)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)]
-    rows += [(1000, None), (1001, [1.0, None]), (1020, [float("nan")] * 8), (1040, [1e12] * 8), (1041, [1e12] * 8), (1060, [0.5, 0.5]), (1061, rows[3][1]), (None, rows[3][1])]
+    rows += [(1100, [1e307, 1.0]), (1120, []), (1000, None), (1001, [1.0, None]), (1020, [float("nan")] * 8), (1040, [1e12] * 8), (1041, [1e12] * 8), (1060, [0.5, 0.5]), (1061, rows[3][1]), (None, rows[3][1])]
     got = {}
     for r in sorted(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: r.rank):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = lambda x: int(x) * 64 if abs(x) >= 2**53 else int(np.floor(64 * x))
+    good = {i: [whole(x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     clip = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
     for q in (i for i in good if i % 20 == 0):
         scores = sorted(((-clip(sum(a * b for a, b in zip(good[q], v, strict=False))), i) for i, v in good.items() if i != q))[:20]
         assert got[q] == [(i, -s) for s, i in scores]
     assert set(got) == {i for i in good if i % 20 == 0}
+    clash = spark.createDataFrame([(0, [1.0], 1, "x"), (1, [2.0], 2, "y"), (1, [2.0], 2, "y")], "vec_id long, embedding array<float>, bucket int, floor string")
+    assert [tuple(r) for r in top_k(clash).collect()] == [(0, 1, 1, 64 * 128), (0, 2, 1, 64 * 128)]
+    assert top_k(clash.limit(0)).count() == 0
 
 
 def test_toxicity_held_out(spark, odd):
     from sheetwright.llm.toxicity import fit, score
 
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = score(d, fit(d, labels)).join(labels, "doc_id").where("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
-    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
-    assert np.mean([r.predicted for r in rows if not r.toxic]) < 0.03
+    toxic = [r.predicted for r in rows if r.toxic]
+    assert len(toxic) > 100
+    assert np.mean(toxic) > 0.9  # what is missed holds nothing of what sets toxic documents apart
+    assert np.mean([r.predicted for r in rows if not r.toxic]) < 0.005
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     model = fit(odd, labels.limit(0))
     assert score(odd, model).count() == 10
@@ -209,7 +220,7 @@ def test_sharding(spark, docs, odd):
 def test_urls(spark):
     from sheetwright.llm.url_filter import judge_urls
 
-    urls = [None, "no scheme casino", "http://A.Example.ORG/es/x", "https://example.org/en/12", "http://x.com/fr/casino", "http://x.com/de?x", "http://com/de/", "http://xcom/de/", "http://n.net/casinos", "http://n.net/free-bet", "http://n.net/free_free", "http://n.net/a://b.org/", ""]
+    urls = [None, "no scheme casino", "http://A.Example.ORG/es/x", "https://example.org/en/12", "http://x.com/fr/casino", "http://x.com/de?x", "http://com/de/", "http://xcom/de/", "http://n.net/casinoz", "http://n.net/free-poker", "http://n.net/free_free", "http://n.net/a://b.org/", ""]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert got[0] == ("", "", None, "allow")
     assert got[1] == ("", "", None, "block")
@@ -224,7 +235,7 @@ def test_urls(spark):
 
 
 def test_mixing(spark, docs, odd):
-    from sheetwright.llm.mixing import chances, mixed, sampled
+    from sheetwright.llm.mixing import achieved, chances, mixed, sampled
 
     cells = {(s, l, "prose"): n for s, l, n in [("a", "en", 900), ("a", "fr", 100), ("b", "en", 300), ("b", "fr", 700)]}
     p = chances(cells, ({"a": 0.5, "b": 0.5}, {"en": 0.5, "fr": 0.5}, {"prose": 1.0}))
@@ -232,11 +243,58 @@ def test_mixing(spark, docs, odd):
     assert abs(sum(kept.values()) - 1000) < 1e-3
     assert abs(sum(v for c, v in kept.items() if c[0] == "a") - 500) < 1e-3
     assert abs(sum(v for c, v in kept.items() if c[1] == "fr") - 500) < 1e-3
-    rows = sampled(docs).collect()
+    got = sampled(docs)
+    rows = got.collect()
+    assert {r.doc_id: r.tokens for r in rows} == {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
     ids = {r.doc_id for r in rows if r.kept}
     assert ids == {r.doc_id for r in mixed(docs).collect()}
+    shares = {(r.axis, r.category): r for r in achieved(got).collect()}
+    assert sum(r.kept_tokens for (axis, _), r in shares.items() if axis == "lang") == sum(r.tokens for r in rows if r.kept)
     assert sampled(odd).count() == 10
     assert sampled(odd.limit(0)).count() == 0
+    assert mixed(odd.limit(0)).columns == odd.columns
+    twice = odd.union(odd)  # ties: equal rows share their draw
+    assert len({(r.doc_id, r.kept) for r in sampled(twice).where("doc_id = 4").collect()}) == 1
+
+
+def test_raking_is_proportional_fitting():
+    """Where no bound matters, raking is the textbook's loop: scale each margin in turn."""
+    from sheetwright.llm.mixing import rake
+
+    rng = np.random.default_rng(8)
+    mass = rng.integers(50, 200, (4, 3, 5)).astype(float)
+    targets = [x / x.sum() for x in (rng.uniform(0.9, 1.1, n) for n in mass.shape)]
+    want = mass / mass.sum()
+    for _ in range(500):
+        for i in range(4):
+            want[i] *= targets[0][i] / want[i].sum()
+        for j in range(3):
+            want[:, j] *= targets[1][j] / want[:, j].sum()
+        for k in range(5):
+            want[:, :, k] *= targets[2][k] / want[:, :, k].sum()
+    assert np.allclose(rake(mass, targets, keep=0.2), want, atol=1e-8)
+
+
+def test_margins_that_cannot_be_met():
+    from sheetwright.llm.mixing import rake
+
+    with pytest.warns(UserWarning, match="can't be met"):
+        fitted = rake(np.array([[98.0], [2.0]]), [np.array([0.5, 0.5]), np.array([1.0])], keep=0.5)
+    assert np.allclose(fitted.ravel(), [0.96, 0.04])  # all of the second category, the rest from the first
+
+
+def test_mixture_of_stated_targets(spark):
+    """Kept tokens of a larger corpus against stated margins."""
+    from sheetwright.llm.mixing import achieved, sampled
+
+    rows = spark.range(40000).selectExpr("id as doc_id", "concat(repeat('word ', 90 + id % 7), id) as text", "if(id % 3 = 0, 'big', concat('s', id % 5)) as source", "if(id % 4 = 0, 'fr', 'en') as lang")
+    got = achieved(sampled(rows, sources={"big": 1, "s1": 1, "s2": 1}, languages={"en": 3, "fr": 2})).collect()
+    share = {(r.axis, r.category): (r.natural_share, r.kept_share) for r in got}
+    rest = share["source", "(other)"]
+    assert abs(rest[0] - rest[1]) < 0.02
+    for s in ("big", "s1", "s2"):
+        assert abs(share["source", s][1] - (1 - rest[0]) / 3) < 0.02
+    assert abs(share["lang", "fr"][1] - 0.4) < 0.02
 
 
 def test_decontamination(spark, odd):
@@ -271,15 +329,74 @@ def test_decontamination(spark, odd):
     assert find_leaks(odd, items).count() == 10
 
 
+def _least(a, b):
+    last = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return min(last)
+
+
+def test_decontamination_of_several_items(spark):
+    """Items that share pieces, and texts with several of them, against the plain distance of every item and text."""
+    from sheetwright.llm.decontaminate import find_leaks
+
+    rng = np.random.default_rng(9)
+    head = "a passage that all items begin with, word for word, and "
+    bodies = ["".join(rng.choice(list("abcdefgh "), 40)).strip() for _ in range(6)]
+    items = [(i, " ".join((head + b).split())) for i, b in enumerate(bodies)] + [(3, "a second text of item three, told apart by its words"), (9, "ab")]
+    rows = []
+    for i in range(30):
+        parts = []
+        for j in rng.choice(len(items), int(rng.integers(0, 3)), replace=False):
+            own = list(items[j][1])
+            for at in rng.choice(len(own), int(rng.integers(0, 8)) % len(own), replace=False):
+                own[at] = "#"
+            parts.append("".join(own))
+        rows.append((i, " zz ".join(["qq", *parts, "qq"])))
+    got = {r.doc_id: (r.item_ids, r.edits) for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, text in rows:
+        want = {}
+        for name, item in items:
+            edits = _least(item, text)
+            if edits <= int(0.06 * len(item)):
+                want[name] = min(edits, want.get(name, edits))
+        assert got[i] == (sorted(want), [want[k] for k in sorted(want)])
+
+
 def test_pipeline(spark):
+    """Each stage's kept ids against a plain version of its rule on what the stage before kept."""
     import corpus_pipeline
+    from sheetwright.llm.decontaminate import normalised
+    from sheetwright.llm.mixing import sampled
+    from sheetwright.llm.toxicity import fit, score
 
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    now, sizes = d, []
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = [(r.item_id, normalised(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    now, rows, sizes = d, [(r.doc_id, r.text) for r in d.collect()], []
     for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, SF)
-        sizes.append(now.count())
+        before, now = now, stage(spark, now, SF)
+        if name == "toxicity":
+            bad = {r.doc_id for r in score(d, fit(d, labels)).where("predicted = 1").collect()}
+            want = [i for i, _ in rows if i not in bad]
+        elif name.startswith("n-gram"):
+            want = [i for i, (_, _, top) in zip(sorted(i for i, _ in rows), sorted(((int(a), n, int(c)) for a, n, c in _links(rows, 5, 80)), key=lambda r: r[0]), strict=True) if i == top]
+        elif name.startswith("benchmark"):
+            held = {i: normalised(t) for i, t in rows}
+            near = lambda item, text: item in text or (any(item[a : a + 12] in text for a in range(0, len(item) - 11)) and _least(item, text) <= int(0.06 * len(item)))
+            want = [i for i, t in held.items() if not any(near(item, t) for _, item in items)]
+        elif name.startswith("mixing"):
+            want = [r.doc_id for r in sampled(before).where("kept").collect()]
+        else:
+            want = [i for i, _ in rows]
+        got = now.collect()
+        assert sorted(r.doc_id for r in got) == sorted(want), name
         if name != "sharding":
             assert now.columns == d.columns
+            rows = [(r.doc_id, r.text) for r in got]
+        sizes.append(len(got))
     assert sizes == sorted(sizes, reverse=True)
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
