@@ -30,8 +30,11 @@ _AXES = ("source", "lang", "topic")
 _CELL = "source string, lang string, topic string, chance double"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def words(text: Column) -> Column:
+    """How many words a text has: the pieces between white space, but for empty ones at its ends."""
+    whole = F.coalesce(text, F.lit(""))
+    ends = whole.rlike(r"^\s").cast("int") + F.substring(whole, -1, 1).rlike(r"\s").cast("int")
+    return F.when(whole.rlike(r"\S"), F.size(F.split(whole, r"\s+")) - ends).otherwise(0).cast("long")
 
 
 def topic(text: Column) -> Column:
@@ -40,10 +43,12 @@ def topic(text: Column) -> Column:
     short (fewer than 60 words), tables (a column mark for every eight words), code (a brace, bracket, semicolon
     or equals sign for every six words), figures (a digit for every twelve words), or prose: the first that holds.
     """
-    whole = F.coalesce(text, F.lit(""))
-    words = _count(whole, r"\S+")
-    marks = lambda pattern, words_each: _count(whole, pattern) * words_each >= words
-    return F.when(words < 60, "short").when(marks(r"[|\t]", 8), "tables").when(marks("[{}\\[\\];=]", 6), "code").when(marks("[0-9]", 12), "figures").otherwise("prose")
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9|\t{}\[\];=]+", "")
+    # One array of one value, so that words and marks are counted once for all cases.
+    facts = F.array(F.struct(words(text).alias("words"), marks.alias("marks")))
+    often = lambda f, other, each: F.length(F.regexp_replace(f["marks"], other, "")) * each >= f["words"]
+    form = lambda f: F.when(f["words"] < 60, "short").when(often(f, r"[^|\t]", 8), "tables").when(often(f, r"[^{}\[\];=]", 6), "code").when(often(f, "[^0-9]", 12), "figures").otherwise("prose")
+    return F.transform(facts, form)[0]
 
 
 def rake(mass: np.ndarray, targets: list[np.ndarray], keep: float = KEEP) -> np.ndarray:
@@ -100,7 +105,7 @@ def calibrated(docs: DataFrame, sources: Mapping[str, float] | None = None, lang
         F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"),
         (topic(text) if topic_column is None else topic_column).alias("topic"),
-        F.coalesce(_count(text, r"\S+"), F.lit(0)).cast("long").alias("tokens"),
+        words(text).alias("tokens"),
         _draw().alias("draw"),
     )
     rows = saved(rows, "cells")
