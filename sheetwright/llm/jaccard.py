@@ -243,30 +243,23 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Chains of the sets that share a piece where their bitmaps allow a link: (a, b) edges, and a row for each chain.
-
-    A row of the table stands for sets of up to ``n`` shingles whose bitmaps differ from its own in at most
-    ``reach`` places; two rows chain where any two of their sets could link. The rows that come out (``b`` null)
-    stand for all sets of their chain, so that other blocks need only meet those.
-    """
+    """A spanning chain of the pairs in a group of sets that share a piece whose bitmaps allow a link."""
     table = table.sort_by("n")
-    key, n, reach = table["key"].to_numpy(), table["n"].to_numpy(), table["reach"].to_numpy()
+    key, n = table["key"].to_numpy(), table["n"].to_numpy()
     bits = np.stack([table[b].to_numpy().view(np.uint64) for b in _BITS], 1)
     label = np.arange(len(key))
-
-    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(bits[i, w] ^ bits[j, w]).astype(np.int64) for w in range(WORDS))
-
     for at in range(0, len(key), 256):
-        rows, others = np.arange(at, min(at + 256, len(key))), np.arange(at, len(key))
-        if not reach.any():
-            others = others[: int(np.searchsorted(n, n[rows[-1]] * den // num, "right")) - at]
+        end = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * den // num, "right"))
+        rows, others = np.arange(at, min(at + 256, len(key))), np.arange(at, end)
         main = np.bincount(label[rows]).argmax()
         inside = label[rows] == main
         # Pairs that are connected already need no test: near copies of the most common group skip each other.
         for some, rest in ((rows[inside], others[label[others] != main]), (rows[~inside], others)):
-            most = (n[some, None] + n[None, rest]) * (den - num) // (den + num) + reach[some, None] + reach[None, rest]
-            i, j = np.nonzero(apart(some[:, None], rest[None, :]) <= most)
+            apart = np.zeros((len(some), len(rest)), np.uint16)
+            for w in range(WORDS):
+                apart += np.bitwise_count(bits[some, w, None] ^ bits[None, rest, w])
+            most = (n[some, None] + n[None, rest]) * (den - num) // (den + num)
+            i, j = np.nonzero(apart <= most)
             i, j = some[i], rest[j]
             while len(i):  # join the groups that these pairs connect
                 low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
@@ -278,42 +271,19 @@ def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
         while (label != label[label]).any():
             label = label[label]
     moved = label != np.arange(len(key))
-    heads = np.flatnonzero(~moved)
-    most, far = n.copy(), reach.copy()
-    np.maximum.at(most, label, n)
-    np.maximum.at(far, label, apart(np.arange(len(key)), label) + reach)
-    a = np.concatenate([key[moved], key[heads]])
-    edge = np.arange(len(a)) < int(moved.sum())
-    b = pa.array(np.concatenate([key[label[moved]], np.zeros(len(heads), np.int64)]), mask=~edge)
-    of = lambda x: pa.array(np.concatenate([np.zeros(int(moved.sum()), np.int64), x[heads].astype(np.int64)]), mask=edge)
-    hot = pa.array(np.full(len(a), table["hot"][0].as_py()))
-    return pa.table({"a": pa.array(a), "b": b, "hot": hot, "n": of(most), "reach": of(far), **{x: of(bits[:, w].view(np.int64)) for w, x in enumerate(_BITS)}})
-
-
-def _blocks(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
-    """Rows of ``df`` with a block of their group, of about ``most`` rows, and the number of its blocks."""
-    sizes = df.groupBy(group).count().select(group, F.ceil(F.col("count") / most).alias("blocks"))
-    return beside(df, sizes, group, key).withColumn("block", F.pmod(F.xxhash64(key, F.lit("block")), F.col("blocks")))
-
-
-def _paired(df: DataFrame) -> DataFrame:
-    """Rows of blocks dealt to the pairs (i, j) of their group's blocks."""
-    dealt = df.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
+    return pa.table({"a": pa.array(key[moved]), "b": pa.array(key[label[moved]])})
 
 
 def crowded(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) that chain all sets of each hot piece that may link: ``rows`` of key, hot, n and bitmap.
 
-    Sets meet within blocks first; then only one row for each chain of a block goes on to the pairs of blocks. So
-    many near copies, which make few chains, cost in proportion to their number.
+    A piece's sets are dealt to blocks of about CROWD, and to the pairs (i, j) of blocks; each pair is a task's group.
     """
-    run = on_table(_crowd, num=num, den=den)
-    columns = "a long, b long, hot long, n long, reach long, " + ", ".join(f"{b} long" for b in _BITS)
-    near = saved(_blocks(rows.withColumn("reach", F.lit(0).cast("long")), "hot", "key", CROWD).drop("blocks").groupBy("hot", "block").applyInArrow(run, columns), "crowds")
-    heads = near.where("b is null").select(F.col("a").alias("key"), "hot", "n", "reach", *_BITS)
-    far = _paired(_blocks(heads, "hot", "key", CROWD)).groupBy("hot", "i", "j").applyInArrow(run, columns)
-    return near.unionByName(far).where("b is not null").select("a", "b")
+    sizes = rows.groupBy("hot").count().select("hot", F.ceil(F.col("count") / CROWD).alias("blocks"))
+    dealt = beside(rows, sizes, "hot", "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
+    return dealt.groupBy("hot", "i", "j").applyInArrow(on_table(_crowd, num=num, den=den), "a long, b long")
 
 
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -453,7 +423,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     and differ in text share a component. Other columns are ignored, whatever their names; an empty table gives
     an empty result.
 
-    Memory of a task is bounded by PART_SIGNATURES, CROWD sets or two blocks of BLOCK_TOKENS. Work inside a
+    Memory of a task is bounded by PART_SIGNATURES, two blocks of CROWD sets or two blocks of BLOCK_TOKENS. Work inside a
     cluster of different near copies grows with the square of its size, as does the number of links to count.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
