@@ -44,7 +44,10 @@ LISTED = 16
 CROWD = 2048
 #: 64-bit words of a set's bitmap.
 WORDS = 8
+#: Sets of more shingles have a second bitmap, of four bits for each shingle: in the first, large sets look all alike.
+WIDE = 500
 _BITS = [f"b{i}" for i in range(WORDS)]
+_MAPS = ", ".join([*(f"{b} long" for b in _BITS), "wide binary"])
 
 
 def size_classes(most: int, num: int, den: int) -> np.ndarray:
@@ -99,19 +102,52 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(rows), np.concatenate(marks)
 
 
-def bitmaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set, for each of WORDS * 64 classes of hashes, whether it holds an odd number of them."""
-    out = np.zeros(len(sizes) * WORDS, np.uint64)
-    bit = flat >> U(64 - 6 - (WORDS - 1).bit_length())
-    np.bitwise_xor.at(out, np.repeat(np.arange(len(sizes)) * WORDS, sizes) + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
-    return out.reshape(-1, WORDS)
+def bitmaps(flat: np.ndarray, sizes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """For each set, for each of ``words * 64`` classes of hashes, whether it holds an odd number of them."""
+    out = np.zeros(len(sizes) * words, np.uint64)
+    bit = flat >> U(64 - 6 - (words - 1).bit_length())
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(sizes)) * words, sizes) + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.reshape(-1, words)
+
+
+def wide_bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """The second bitmap of each large set; null for others."""
+    out: list[bytes | None] = [None] * len(sizes)
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > WIDE).tolist():
+        words = 1 << (int(sizes[i]) * 4 // 64).bit_length()
+        out[i] = bitmaps(flat[ends[i] - sizes[i] : ends[i]], sizes[i : i + 1], words).tobytes()
+    return out
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """Places in which two second bitmaps differ; the longer one is folded to the other's length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    # Classes are the first bits of a hash, so neighbours fall together.
+    b = np.bitwise_xor.reduce(_spread(b).reshape(len(a) * 64, -1), axis=1)
+    return int(np.count_nonzero(_spread(a) != b))
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    return np.unpackbits(x.view(np.uint8), bitorder="little")
+
+
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of large sets whose second bitmaps allow a link."""
+    for batch in batches:
+        most = (batch.column(2).to_numpy() * (den - num)) // (den + num)
+        keep = [wide_apart(x.as_buffer(), y.as_buffer()) <= m for x, y, m in zip(batch.column(3), batch.column(4), most.tolist(), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, end, flat, sizes in sets_of(batch.column(1), k):
             hi, lo = prints(flat, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bitmaps(flat, sizes).T)], ["doc_id", "n", "hi", "lo", *_BITS])
+            maps = [*(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bitmaps(flat, sizes).T), pa.array(wide_bitmaps(flat, sizes), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *maps], ["doc_id", "n", "hi", "lo", *_BITS, "wide"])
 
 
 def _packed(x: np.ndarray, width: int) -> np.ndarray:
@@ -246,7 +282,7 @@ def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
     """A spanning chain of the pairs in a group of sets that share a piece whose bitmaps allow a link."""
     table = table.sort_by("n")
     key, n = table["key"].to_numpy(), table["n"].to_numpy()
-    bits = np.stack([table[b].to_numpy().view(np.uint64) for b in _BITS], 1)
+    bits, wide = np.stack([table[b].to_numpy().view(np.uint64) for b in _BITS], 1), table["wide"].to_pylist()
     label = np.arange(len(key))
     for at in range(0, len(key), 256):
         end = int(np.searchsorted(n, n[min(at + 255, len(n) - 1)] * den // num, "right"))
@@ -261,6 +297,9 @@ def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
             most = (n[some, None] + n[None, rest]) * (den - num) // (den + num)
             i, j = np.nonzero(apart <= most)
             i, j = some[i], rest[j]
+            if (large := (n[i] > WIDE) & (n[j] > WIDE) & (i != j)).any():
+                fits = [not w or wide_apart(wide[a], wide[b]) <= (n[a] + n[b]) * (den - num) // (den + num) for a, b, w in zip(i.tolist(), j.tolist(), large.tolist(), strict=True)]
+                i, j = i[fits], j[fits]
             while len(i):  # join the groups that these pairs connect
                 low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
                 split = low != high
@@ -427,19 +466,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     cluster of different near copies grows with the square of its size, as does the number of links to count.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = saved(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n long, hi long, lo long, " + ", ".join(f"{b} long" for b in _BITS)), "sets")
+    sets = saved(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n long, hi long, lo long, " + _MAPS), "sets")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(tokens * 2.5 * (den - num) / (den + num)) // PART_SIGNATURES + 8
     packed = docs.select("text").mapInArrow(partial(_pieces, k=k, num=num, den=den, parts=parts), _PIECE_ROW)
     met = saved(packed.groupBy("at").applyInArrow(on_table(_meet), "a long, b long, hot long"), "met")
-    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS])
+    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in (*_BITS, "wide")])
     classes = saved(classes, "classes")
     key = classes["lo"].bitwiseAND(F.lit((1 << 48) - 1))
-    maps = classes.select(key.alias("key"), "n", *_BITS)
+    maps = classes.select(key.alias("key"), "n", *_BITS, "wide")
     pairs = met.where("hot is null").select("a", "b").distinct()
-    both = pairs.join(maps.select(F.col("key").alias("a"), F.struct("n", *_BITS).alias("x")), "a").join(maps.select(F.col("key").alias("b"), F.struct("n", *_BITS).alias("y")), "b")
+    both = pairs.join(maps.select(F.col("key").alias("a"), F.struct("n", *_BITS, "wide").alias("x")), "a").join(maps.select(F.col("key").alias("b"), F.struct("n", *_BITS, "wide").alias("y")), "b")
     apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
-    close = both.where(apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)).select("a", "b")
+    close = both.where(apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
+    large = saved(close.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.wide").alias("wide"), F.col("y.wide").alias("other")), "close")
+    fits = large.where("wide is not null and other is not null").mapInArrow(partial(_near, num=num, den=den), "a long, b long")
+    close = large.where("wide is null or other is null").select("a", "b").unionByName(fits)
     crowds = met.where("hot is not null").select(F.col("a").alias("key"), "hot").distinct().join(maps, "key")
     clusters = components(close.unionByName(crowded(crowds, num, den)))
 
