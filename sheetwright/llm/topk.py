@@ -25,9 +25,12 @@ from pyspark.sql.window import Window
 
 from sheetwright.llm.common import on_table, saved
 
-#: Pivots, vectors from which they are chosen, bytes of a bucket's vectors, queries of a block, buckets whose
-#: bounds travel in one row.
-PIVOTS, SAMPLE, BUCKET_BYTES, BLOCK, CHUNK = 64, 512, 8 << 20, 512, 256
+#: Pivots at least and at most: one for every PER_PIVOT components, since a bound must cost less than the inner
+#: product that it saves.
+PIVOTS, MOST_PIVOTS, PER_PIVOT = 16, 128, 8
+#: Vectors from which pivots are chosen, bytes of a bucket's vectors, queries of a block, buckets whose bounds travel
+#: in one row.
+SAMPLE, BUCKET_BYTES, BLOCK, CHUNK = 512, 8 << 20, 512, 256
 #: Candidates evaluated first, and in each further step.
 FIRST, STEP = 256, 1024
 #: Squared lengths below which sums of products of whole numbers are exact in float64.
@@ -218,7 +221,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The ``k`` highest integer inner products of each query: query_id, rank (from 1), vec_id, score.
 
     Components count as floor(64 x). Queries are the rows whose id is divisible by ``every``, candidates all
@@ -227,13 +230,14 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS
     one as zero. Rows that repeat an id are candidates each; as a query the smallest of their vectors counts.
     Scores beyond long are held to its range. Other columns are ignored; an empty table gives an empty result.
 
-    The pivots come from ``SAMPLE`` vectors at most (those of smallest hash); all rows are indexed.
+    ``pivots``: their number, by default between PIVOTS and MOST_PIVOTS by the vectors' width. They come from
+    ``SAMPLE`` vectors at most (those of smallest hash); all rows are indexed.
     """
     usable = "vec_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(usable)
     count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    found = choose_pivots(_whole(_matrix([r["vector"] for r in sample])), pivots) if sample else np.zeros((0, 0))
+    found = choose_pivots(_whole(_matrix([r["vector"] for r in sample])), pivots or min(MOST_PIVOTS, max(PIVOTS, width // PER_PIVOT))) if sample else np.zeros((0, 0))
     # As many pivots part the vectors as there will be full buckets.
     near = found[: max(1, count * width * 8 // BUCKET_BYTES)]
     placed = saved(rows.mapInArrow(partial(_place, pivots=near), "vec_id long, vector array<double>, cell int, width long"), "placed")
