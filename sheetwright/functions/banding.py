@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon import (
     AMOUNT_UNITS,
-    AMOUNTS,
     CONTROL_APPROACHES,
     CONTROL_MATRIX,
     DUST_ADVICE,
     DUSTINESS,
-    EXPOSURES,
     HAZARD_GROUPS,
     LIQUID,
     NO_CONTROLS_ADVICE,
@@ -89,7 +87,7 @@ def is_liquid(form: Column) -> Column:
 
 def matrix_number(group: Column, amount: Column, column: Column) -> Column:
     """The matrix entry, a lookup in a literal map of its 60 cells."""
-    cells = [(f"{g}|{a}|{e}", int(row[i])) for g, rows in CONTROL_MATRIX.items() for a, row in zip(AMOUNTS, rows, strict=True) for i, e in enumerate(EXPOSURES)]
+    cells = [(f"{g}|{a}|{e}", n) for g, amounts in CONTROL_MATRIX.items() for a, row in amounts.items() for e, n in row.items()]
     table = F.create_map(*[F.lit(x) for cell in cells for x in cell])
     return F.try_element_at(table, F.concat_ws("|", group, amount, column))
 

@@ -81,7 +81,7 @@ def pictograms(text: Column) -> Column:
 
 def implied_pictograms(codes: Column) -> Column:
     """Pictograms that exact hazard codes imply, distinct, in the order of the codes."""
-    table = F.create_map(*[F.lit(x) for ghs, hs in PICTOGRAMS.items() for h in hs for x in (h, ghs)])
+    table = F.create_map(*[F.lit(x) for pair in PICTOGRAMS.items() for x in pair])
     return F.array_distinct(F.array_compact(F.transform(codes, lambda c: F.try_element_at(table, c))))
 
 

@@ -105,16 +105,13 @@ VERSION_WORDS = ["number", "no", "numara", "numarası", "numarasi", "sayısı",
 
 # Official letter suffixes of hazard codes, in their canonical case.
 HAZARD_SUFFIXES = {"350": ["i"], "360": ["F", "D", "FD", "DF"], "361": ["f", "d", "fd", "df"]}
-# Pictograms that hazard codes imply.
+# The pictogram that a hazard code implies.
 PICTOGRAMS = {
-    "GHS02": ["H220", "H221", "H224", "H225", "H226"],
-    "GHS03": ["H270", "H271", "H272"],
-    "GHS05": ["H290", "H314", "H318"],
-    "GHS06": ["H300", "H310", "H330"],
-    "GHS07": ["H302", "H312", "H315", "H317", "H319", "H332", "H335", "H336"],
-    "GHS08": ["H304", "H334", "H340", "H341", "H350", "H351", "H360", "H361", "H370", "H371", "H372", "H373"],
-    "GHS09": ["H400", "H410", "H411"],
-}
+    "H220": "GHS02", "H221": "GHS02", "H224": "GHS02", "H225": "GHS02", "H226": "GHS02", "H270": "GHS03", "H271": "GHS03", "H272": "GHS03", "H290": "GHS05", "H300": "GHS06", "H302": "GHS07",
+    "H304": "GHS08", "H310": "GHS06", "H312": "GHS07", "H314": "GHS05", "H315": "GHS07", "H317": "GHS07", "H318": "GHS05", "H319": "GHS07", "H330": "GHS06", "H332": "GHS07", "H334": "GHS08",
+    "H335": "GHS07", "H336": "GHS07", "H340": "GHS08", "H341": "GHS08", "H350": "GHS08", "H351": "GHS08", "H360": "GHS08", "H361": "GHS08", "H370": "GHS08", "H371": "GHS08", "H372": "GHS08",
+    "H373": "GHS08", "H400": "GHS09", "H410": "GHS09", "H411": "GHS09",
+}
 
 # Control banding.
 HAZARD_GROUPS = {
@@ -125,13 +122,33 @@ HAZARD_GROUPS = {
     "E": ["H334", "H340", "H341", "H350", "EUH070", "EU70"],
 }
 SKIN_EYE = ["H310", "H311", "H312", "H314", "H315", "H317", "H318", "H319", "EUH070", "EU70"]
-# Rows: group; columns: amounts Small, Medium, Large, in each Low, MediumSolid, MediumLiquid, High.
+# Control approach of a hazard group, by amount and exposure.
 CONTROL_MATRIX = {
-    "A": ["1111", "1112", "1212"],
-    "B": ["1111", "1222", "1323"],
-    "C": ["1122", "2333", "2444"],
-    "D": ["2233", "3444", "3444"],
-    "E": ["4444", "4444", "4444"],
+    "A": {
+        "Small": {"Low": 1, "MediumSolid": 1, "MediumLiquid": 1, "High": 1},
+        "Medium": {"Low": 1, "MediumSolid": 1, "MediumLiquid": 1, "High": 2},
+        "Large": {"Low": 1, "MediumSolid": 2, "MediumLiquid": 1, "High": 2},
+    },
+    "B": {
+        "Small": {"Low": 1, "MediumSolid": 1, "MediumLiquid": 1, "High": 1},
+        "Medium": {"Low": 1, "MediumSolid": 2, "MediumLiquid": 2, "High": 2},
+        "Large": {"Low": 1, "MediumSolid": 3, "MediumLiquid": 2, "High": 3},
+    },
+    "C": {
+        "Small": {"Low": 1, "MediumSolid": 1, "MediumLiquid": 2, "High": 2},
+        "Medium": {"Low": 2, "MediumSolid": 3, "MediumLiquid": 3, "High": 3},
+        "Large": {"Low": 2, "MediumSolid": 4, "MediumLiquid": 4, "High": 4},
+    },
+    "D": {
+        "Small": {"Low": 2, "MediumSolid": 2, "MediumLiquid": 3, "High": 3},
+        "Medium": {"Low": 3, "MediumSolid": 4, "MediumLiquid": 4, "High": 4},
+        "Large": {"Low": 3, "MediumSolid": 4, "MediumLiquid": 4, "High": 4},
+    },
+    "E": {
+        "Small": {"Low": 4, "MediumSolid": 4, "MediumLiquid": 4, "High": 4},
+        "Medium": {"Low": 4, "MediumSolid": 4, "MediumLiquid": 4, "High": 4},
+        "Large": {"Low": 4, "MediumSolid": 4, "MediumLiquid": 4, "High": 4},
+    },
 }
 AMOUNTS = ["Small", "Medium", "Large"]
 EXPOSURES = ["Low", "MediumSolid", "MediumLiquid", "High"]
@@ -173,6 +190,7 @@ STATUS_LABELS = {
     "pending": "Bekliyor", "processing": "İşleniyor", "uploaded": "Yüklendi", "classified": "Sınıflandırıldı", "sections_extracted": "Bölümler Çıkarıldı", "needs_review": "İnceleme Gerekli",
     "failed": "Hata", "completed": "Tamamlandı",
 }
+MONTH_NAMES = ["Oca", "Şub", "Mar", "Nis", "May", "Haz", "Tem", "Ağu", "Eyl", "Eki", "Kas", "Ara"]
 TEST_NAMES = ["string", "test", "test product", "test manufacturer"]
 
 # Labels of the physical properties in section 9, as patterns.
@@ -211,6 +229,13 @@ PROPERTY_ENDS = [
 ]
 # Notes beside a property's value, and units of measured properties.
 PROPERTY_NOTES = ["Hiçbiri bilinmiyor", "None known", "No method available"]
+NO_VALUE_NOTES = [r"Bilgi\s+yok", r"Not\s+available", r"Not\s+determined"]
+PROPERTY_TABLE_HEADINGS = [r"\bÖzellik\s+Değerler\s+Notlar\s*[•·]?\s*Yöntem\b", r"\bProperty\s+Values?\s+Remarks?\s+Method\b"]
+PROPERTY_ECHOES = {"melting_freezing_point": r"Donma\s+noktası|Freezing\s+point", "boiling_point": r"Kaynama\s+aralığı|Boiling\s+range"}
+#: A number with so few characters between it and a percent sign is no temperature.
+NEAR_PERCENT = 3
+#: Characters that a sentence about explosive properties has at least.
+SPLIT_SENTENCE = 20
 PRESSURE_UNITS = r"hPa|kPa|Pa|mbar|bar|mmHg"
 DENSITY_UNITS = r"kg\s*/\s*l|g\s*/\s*ml|g\s*/\s*cm(?:3|³)|kg\s*/\s*m(?:3|³)"
 VISCOSITY_UNITS = r"mPa\s*[·.]?\s*s|Pa\s*[·.]?\s*s|cP|cps|mm(?:2|²)\s*/\s*s|cSt"

@@ -1,8 +1,9 @@
 """Physical properties of section 9 as one struct.
 
-All labels are marked in one pass over the text, so a label inside a longer one doesn't count; what stands
-between a label and the next one is its value. Measured properties whose table columns ran together are put
-together again from their unit, condition and number.
+All labels are marked in one pass over the flat text; what stands between a label and the next one is its value, so a
+label inside a longer one doesn't count. Tables whose columns ran together leave unit, condition and number in the
+order of the columns: one small grammar of number, unit and condition puts them in reading order for every measured
+property.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.functions.codes import first, found
-from sheetwright.functions.lexicon import DENSITY_UNITS, FOREIGN_MARKERS, FOREIGN_PROPERTY_MARKERS, PRESSURE_UNITS, PROPERTY_ENDS, PROPERTY_LABELS, PROPERTY_NOTES, VISCOSITY_UNITS
-from sheetwright.functions.text import collapsed
+from sheetwright.functions.codes import first
+from sheetwright.functions.lexicon import DENSITY_UNITS, FOREIGN_MARKERS, FOREIGN_PROPERTY_MARKERS, NEAR_PERCENT, NO_VALUE_NOTES, PRESSURE_UNITS, PROPERTY_ECHOES, PROPERTY_ENDS, PROPERTY_LABELS, PROPERTY_NOTES, PROPERTY_TABLE_HEADINGS, SPLIT_SENTENCE, VISCOSITY_UNITS
+from sheetwright.functions.lexicon_sections import PAGE_MARKS, REVISION_NOISE
+from sheetwright.functions.text import collapsed, unused
 
-_NUMBER = r"[<>≤≥~]?\s*\d+(?:[.,]\d+)?"
-#: A temperature: not a part of a longer number, not a pressure, not shortly after a percent sign.
-_DEGREES = r"(?i)(?<!%.{0,3}\s?)[<>≤≥~]?\s*-?(?<!\d)(?<!\d[.,])\d++(?:[.,]\d++)?+(?!\s*mmHg\b)"
-_MONTH = r"\d{1,2}\s*[-./]\s*[A-Za-zÇĞİÖŞÜçğıöşü]+\s*[-./]\s*\d{4}"
+#: A number with a comparison before it and a range after it.
+_NUMBER = r"(?:[<>≤≥~]|yaklaşık)?\s*\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]\d+)?)?"
+#: The condition a table names beside a unit: ``@ 30°C`` or ``20°C / 4°C``.
+_AT = r"@\s*(\S+)"
+_DEGREES = r"\d+(?:[.,]\d+)?\s*[°˚]?C"
+_BOTH = rf"({_DEGREES}\s*/\s*{_DEGREES})"
 
 
 def _any(labels: list[str]) -> str:
@@ -27,30 +31,33 @@ def _any(labels: list[str]) -> str:
 
 def flat(section: Column) -> Column:
     """A section on one line, without page marks, table headings and revision dates."""
-    noise = [r"---\s*PAGE\s+\d+\s*---", r"\bSayfa\s*(?:No\s*:\s*)?\d+\s*/\s*\d+\b", r"\bPage\s+\d+\s*(?:of|/)\s*\d+\b", r"\bÖzellik\s+Değerler\s+Notlar\s*[•·]?\s*Yöntem\b", r"\bProperty\s+Values?\s+Remarks?\s+Method\b", rf"\bRevizyon\s+tarihi\s+{_MONTH}", rf"\bRevision\s+date\s*:?\s*{_MONTH}"]
+    noise = [*PAGE_MARKS, *PROPERTY_TABLE_HEADINGS, *REVISION_NOISE]
     return F.coalesce(collapsed(F.regexp_replace(section, "(?iU)" + "|".join(noise), " ")), F.lit(""))
 
 
 def labelled(text: Column) -> Column:
-    """The labels of a flat text with the tidy value after each: array of struct(label, value)."""
+    """The labels of a flat text with the text after each: array of struct(field, raw, value, ahead).
+
+    ``field`` is null for labels that only end a value, ``value`` the tidy text, ``ahead`` the text before the label.
+    """
     every = [x for labels in PROPERTY_LABELS.values() for x in labels] + PROPERTY_ENDS
-    parts = F.split(F.regexp_replace(text, rf"(?iU)(?<!\w)({_any(every)})(?!\w)", "\u0001$1\u0002"), "\u0001")
-    pairs = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("\u0002"))), lambda p: F.split(p, "\u0002"))
-    return F.transform(pairs, lambda p: F.struct(p[0].alias("label"), tidy_value(p[1]).alias("value")))
+    marked = F.regexp_replace(F.translate(text, "\u0001\u0002", ""), rf"(?iU)(?<!\w)({_any(every)})(?!\w)", "\u0001$1\u0002")
+    pieces = F.transform(F.split(F.concat(F.lit("\u0002"), marked), "\u0001"), lambda p: F.split(p, "\u0002"))
 
+    def field_of(label: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for field, labels in PROPERTY_LABELS.items():
+            out = F.when(label.rlike(rf"(?iU)^{_any(labels)}$"), F.lit(field)).otherwise(out)
+        return out
 
-def _labelled_so(pairs: Column, pattern: str) -> Column:
-    """The first value whose label matches, null where there is none."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["value"].isNotNull() & p["label"].rlike(pattern)), F.lit(1))["value"]
+    return F.transform(pieces, lambda p, i: F.struct(field_of(p[0]).alias("field"), p[0].alias("label"), p[1].alias("raw"), tidy_value(p[1]).alias("value"), F.when(i > 0, pieces[i - 1][1]).alias("ahead")))
 
 
 def tidy_value(value: Column) -> Column:
     """Without table marks, notes and punctuation at the ends; a minus sign stays. Nothing left is null."""
     out = F.regexp_replace(F.regexp_replace(value, "[ꞏ▤▪■]+", " "), r"(?U)\s+", " ")
     out = F.regexp_replace(out, r"^[ :;–—•·]+|[ :;–—•·]+$", "")
-    for note in PROPERTY_NOTES:
-        out = F.regexp_replace(out, rf"(?iU)(?<=\S)\s*{note}.*$", "")
-    out = F.trim(out)
+    out = F.trim(F.regexp_replace(out, rf"(?iU)(?<=\S)\s*{_any(PROPERTY_NOTES)}.*$", ""))
     return F.when(~out.isin("", "/", "-"), out)
 
 
@@ -63,70 +70,69 @@ def is_foreign(field: str, value: Column) -> Column:
     return hit
 
 
-def _temperature(text: Column, labels: str, reach: int, stops: str, pressure: bool) -> Column:
-    """The first temperature within ``reach`` characters of a label and before the next property."""
-    tail = F.regexp_extract(text, rf"(?iU)(?:{labels})(?:\s*\([^)]{{0,80}}\))?(.{{0,{reach}}})", 1)
-    tail = F.regexp_replace(F.regexp_replace(tail, rf"(?iU)\b(?:{stops})\b.*$", ""), r"-\s+(?=\d)", "-")
-    value = F.regexp_replace(F.try_element_at(found(tail, _DEGREES), F.lit(1)), r"\s+", "")
-    out = F.concat(value, F.lit(" °C"))
-    if pressure:
-        out = F.concat(out, F.coalesce(F.concat(F.lit(" ("), first(tail, r"(?i)(\b\d+(?:[.,]\d+)?\s*mmHg\b)"), F.lit(")")), F.lit("")))
-    return out
+def measured(raw: Column, units: str) -> Column:
+    """A measure in reading order: ``18 mmHg @ 30°C`` or ``1.19 kg/l (20°C / 4°C)``, from columns or as it stands.
 
-
-def _measure(text: Column, labels: str, units: str, unit_first: str, conditioned: str = "") -> Column:
-    """A value with its unit: from ``label unit @condition value``, else from ``label value unit``."""
-    pattern = rf"(?iU)(?:{labels})\s*{unit_first}\s*(?:@\s*(\S+))?\s*({_NUMBER})"
-    unit, condition = first(text, pattern, 1), first(text, pattern, 2)
-    turned = F.concat(F.regexp_replace(first(text, pattern, 3), r"\s+", ""), F.lit(" "), unit, F.coalesce(F.concat(F.lit(" @ "), condition), F.lit("")))
-    return F.coalesce(turned, collapsed(first(text, rf"(?iU)(?:{labels})\s*:?\s*({_NUMBER}\s*(?:{units}){conditioned})")))
+    Columns: unit (in brackets or not), condition, number. Else a number with its unit begins the text, perhaps with a
+    condition in brackets. Null where neither does.
+    """
+    columns = rf"(?iU)^\s*:?\s*\(?\s*({units})\s*\)?\s*(?:{_AT}|{_BOTH})?\s*({_NUMBER})"
+    close = lambda x: F.regexp_replace(x, r"\s+", "")
+    condition = F.coalesce(F.concat(F.lit(" @ "), first(raw, columns, 2)), F.concat(F.lit(" ("), first(raw, columns, 3), F.lit(")")), F.lit(""))
+    turned = F.concat(close(first(raw, columns, 4)), F.lit(" "), close(first(raw, columns, 1)), condition)
+    return F.coalesce(turned, collapsed(first(raw, rf"(?iU)^\s*:?\s*({_NUMBER}\s*(?:{units})(?:\s*\([^)]{{1,40}}\))?)")))
 
 
-def _density(text: Column) -> Column:
-    labels = _any(PROPERTY_LABELS["density"])
-    degrees = r"\d+(?:[.,]\d+)?\s*[°˚]?C"
-    pattern = rf"(?iU){labels}\s*:?\s*({DENSITY_UNITS})\s*({degrees}\s*/\s*{degrees})\s*(\d+(?:[.,]\d+)?)"
-    turned = F.concat(first(text, pattern, 3), F.lit(" "), F.regexp_replace(first(text, pattern, 1), r"\s+", ""), F.lit(" ("), first(text, pattern, 2), F.lit(")"))
-    plain = first(text, rf"(?iU){labels}\s*:?\s*((?:yaklaşık\s*)?\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]\d+)?)?\s*(?:{DENSITY_UNITS}))")
-    return F.coalesce(turned, collapsed(plain))
+def temperature(raw: Column, with_pressure: bool) -> Column:
+    """The first number that is no pressure, no percentage or near one, in degrees, with the pressure it holds at."""
+    text = F.regexp_replace(F.regexp_replace(raw, r"^\s*\([^)]*\)", ""), r"-\s+(?=\d)", "-")
+    value = F.regexp_replace(first(text, rf"(?i)(?<!%.{{0,{NEAR_PERCENT}}})(?<![\d.,])([<>≤≥~]?\s*-?\d++(?:[.,]\d++)?+)(?!\s*mmHg)"), r"\s+", "")
+    at = F.coalesce(F.concat(F.lit(" ("), first(text, r"(?i)(\d+(?:[.,]\d+)?\s*mmHg)\b"), F.lit(")")), F.lit("")) if with_pressure else F.lit("")
+    return F.concat(value, F.lit(" °C"), at)
 
 
-def _explosive(text: Column) -> Column:
-    """A sentence that a table split around its label, joined."""
-    label = r"(?:Patlayıcılık\s+özellikleri|Patlayıcılık\s+özellikler|Patlama\s+özellikleri|Patlayıcı\s+özellikler|Explosive\s+properties)"
-    pattern = rf"(?iU)(?:Bilgi\s+yok\s+|Not\s+available\s+)?([^.!?]{{20,180}}?)\s+{label}\s+([^.!?]{{2,120}}[.!?])"
-    before = F.regexp_replace(first(text, pattern, 1), r"(?iU)^.*(?:Bilgi\s+yok|Not\s+available|Not\s+determined)\s*", "")
-    whole = collapsed(F.concat(before, F.lit(" "), first(text, pattern, 2)))
-    return F.when(text.rlike(r"(?iU)Patlayıcılık\s+Özellikler\b") & (F.length(whole) >= 20), whole)
+def rejoined(ahead: Column, raw: Column) -> Column:
+    """A sentence that a table split around its label: the open end of the text before it and the first sentence after."""
+    open_end = F.regexp_replace(F.regexp_extract(ahead, r"([^.!?]*)$", 1), rf"(?iU)^.*{_any(NO_VALUE_NOTES)}", "")
+    whole = collapsed(F.concat(open_end, F.lit(" "), F.nullif(F.regexp_extract(raw, r"^\s*([^.!?]+[.!?])", 1), F.lit(""))))
+    return F.when((F.length(F.trim(open_end)) >= SPLIT_SENTENCE) & (F.length(whole) >= SPLIT_SENTENCE), whole)
 
 
 def with_properties(df: DataFrame, section: str, name: str = "properties") -> DataFrame:
     """``df`` with a struct of the sixteen properties found in the column ``section`` (null or empty: all null).
 
-    pH, melting and boiling point are looked for again where they are missing or ran into another field; a
-    measured pressure, density, viscosity or pair of limits goes before the plain value; explosive properties
-    are joined where shorter than twenty characters.
+    The first label of a property with a value gives it. A measure in reading order goes before the plain value;
+    temperatures and pH are read from the text after their label where the value is missing or ran into another
+    field; a split sentence is joined where explosive properties say less than it does; limits that share a label are
+    parted. Other columns stay as they are.
     """
-    text, pairs = F.col("_flat"), F.col("_pairs")
-    value = {field: _labelled_so(pairs, rf"(?iU)^{_any(labels)}$") for field, labels in PROPERTY_LABELS.items()}
-    for field, echo in (("melting_freezing_point", r"Donma\s+noktası|Freezing\s+point"), ("boiling_point", r"Kaynama\s+aralığı|Boiling\s+range")):
-        value[field] = F.nullif(F.trim(F.regexp_replace(value[field], rf"(?iU)^/?\s*(?:{echo})\s*:?\s*", "")), F.lit(""))
-    plain = df.withColumn("_flat", flat(F.col(section))).withColumn("_pairs", labelled(text)).withColumn("_plain", F.struct(*[v.alias(f) for f, v in value.items()]))
-    got = {f: F.col(f"_plain.{f}") for f in value}
-    missing = lambda f: got[f].isNull() | is_foreign(f, got[f])
-    melting = _temperature(text, r"Erime\s+noktası(?:\s*/\s*donma\s+noktası)?|Melting\s+point(?:\s*/\s*freezing\s+point)?", 160, r"Kaynama\s+noktası|Boiling\s+point|Parlama\s+noktası|Flash\s+point", False)
-    boiling = _temperature(text, r"Kaynama\s+noktası(?:\s*/\s*kaynama\s+aralığı)?|Boiling\s+point(?:\s*/\s*boiling\s+range)?", 200, r"Parlama\s+noktası|Flash\s+point|Alevlenebilirlik|Flammability", True)
-    ph = F.regexp_replace(first(text, r"(?iU)(?<!\w)pH(?:\s+(?:değeri|value))?\s*:?\s*(~?\s*[<>]?\s*\d{1,2}(?:[.,]\d+)?)"), r"\s+", "")
-    limits = first(text, r"(?iU)(?:Lower\s+and\s+upper|Upper\s+and\s+lower)\s+(?:explosion|flammability)\s+limits?(.{0,260})")
+    pairs, plain, done = unused(df, 3)
+    out = df.withColumn(pairs, labelled(flat(F.col(section))))
+    nth = lambda condition, part: F.try_element_at(F.filter(pairs, condition), F.lit(1))[part]
+    named = lambda field: (lambda p: F.coalesce(p["field"] == field, F.lit(False)))
+
+    def value(field: str) -> Column:
+        found = nth(lambda p: named(field)(p) & p["value"].isNotNull(), "value")
+        echo = PROPERTY_ECHOES.get(field)
+        return F.nullif(F.trim(F.regexp_replace(found, rf"(?iU)^/?\s*(?:{echo})\s*:?\s*", "")), F.lit("")) if echo else found
+
+    out = out.withColumn(plain, F.struct(*[value(f).alias(f) for f in PROPERTY_LABELS]))
+    got = {f: F.col(f"{plain}.{f}") for f in PROPERTY_LABELS}
+    raw = lambda field: nth(named(field), "raw")
+    where_missing = lambda f, new: F.when(got[f].isNull() | is_foreign(f, got[f]), F.coalesce(new, got[f])).otherwise(got[f])
+    both = nth(lambda p: p["label"].rlike(r"(?iU)^(?:Lower\s+and\s+upper|Upper\s+and\s+lower)"), "raw")
+    split = rejoined(nth(named("explosive_properties"), "ahead"), raw("explosive_properties"))
+    short = got["explosive_properties"].isNull() | is_foreign("explosive_properties", got["explosive_properties"]) | (F.length(got["explosive_properties"]) < SPLIT_SENTENCE)
     again = {
-        **{f: F.when(missing(f), F.coalesce(new, got[f])).otherwise(got[f]) for f, new in (("ph", ph), ("melting_freezing_point", melting), ("boiling_point", boiling))},
-        "vapour_pressure": F.coalesce(_measure(text, r"Buhar\s+basıncı|Vapou?r\s+pressure", PRESSURE_UNITS, rf"\(({PRESSURE_UNITS})\)", r"(?:\s*\([^)]{1,40}\))?"), got["vapour_pressure"]),
-        "density": F.coalesce(_density(text), got["density"]),
-        "viscosity": F.coalesce(_measure(text, r"(?:Kinematik|Dinamik)\s+viskozite|Viskozite|(?:Kinematic|Dynamic)\s+viscosity|Viscosity", VISCOSITY_UNITS, rf":?\s*({VISCOSITY_UNITS})"), got["viscosity"]),
-        "explosive_properties": F.when(missing("explosive_properties") | (F.length(got["explosive_properties"]) < 20), F.coalesce(_explosive(text), got["explosive_properties"])).otherwise(got["explosive_properties"]),
-        "lower_explosion_limit": F.coalesce(first(limits, r"(?iU)\bLower\s*:?\s*([^.;]{1,100})"), got["lower_explosion_limit"]),
-        "upper_explosion_limit": F.coalesce(first(limits, r"(?iU)\bUpper\s*:?\s*([^.;]{1,100})"), got["upper_explosion_limit"]),
+        "ph": where_missing("ph", F.regexp_replace(first(raw("ph"), r"^\s*:?\s*(~?\s*[<>]?\s*\d{1,2}(?:[.,]\d+)?)"), r"\s+", "")),
+        "melting_freezing_point": where_missing("melting_freezing_point", temperature(raw("melting_freezing_point"), False)),
+        "boiling_point": where_missing("boiling_point", temperature(raw("boiling_point"), True)),
+        "vapour_pressure": F.coalesce(measured(raw("vapour_pressure"), PRESSURE_UNITS), got["vapour_pressure"]),
+        "density": F.coalesce(measured(raw("density"), DENSITY_UNITS), got["density"]),
+        "viscosity": F.coalesce(measured(raw("viscosity"), VISCOSITY_UNITS), got["viscosity"]),
+        "explosive_properties": F.when(short, F.coalesce(split, got["explosive_properties"])).otherwise(got["explosive_properties"]),
+        "lower_explosion_limit": F.coalesce(first(both, r"(?iU)\bLower\s*:?\s*([^.;]+)"), got["lower_explosion_limit"]),
+        "upper_explosion_limit": F.coalesce(first(both, r"(?iU)\bUpper\s*:?\s*([^.;]+)"), got["upper_explosion_limit"]),
     }
-    out = plain.withColumn("_done", F.transform(F.array(*[again.get(f, got[f]) for f in value]), tidy_value))
-    clean = {f: F.col("_done")[i] for i, f in enumerate(value)}
-    return out.withColumn(name, F.struct(*[v.alias(f) for f, v in clean.items()])).drop("_flat", "_pairs", "_plain", "_done")
+    out = out.withColumn(done, F.transform(F.array(*[again.get(f, got[f]) for f in PROPERTY_LABELS]), tidy_value))
+    return out.withColumn(name, F.struct(*[F.col(done)[i].alias(f) for i, f in enumerate(PROPERTY_LABELS)])).drop(pairs, plain, done)

@@ -52,7 +52,7 @@ def _group(code: str) -> str:
     return "CASE " + " ".join(f"WHEN {code} IN ({', '.join(repr(c) for c in members)}) THEN '{g}'" for g, members in HAZARD_GROUPS.items()) + " END"
 
 
-_MATRIX_SQL = "matrix(grp, amount_band, cell, number) AS (VALUES " + ", ".join(f"('{g}', '{a}', '{e}', {row[i]})" for g, rows in CONTROL_MATRIX.items() for a, row in zip(AMOUNTS, rows, strict=True) for i, e in enumerate(EXPOSURES)) + ")"
+_MATRIX_SQL = "matrix(grp, amount_band, cell, number) AS (VALUES " + ", ".join(f"('{g}', '{a}', '{e}', {n})" for g, amounts in CONTROL_MATRIX.items() for a, row in amounts.items() for e, n in row.items()) + ")"
 _SKIN = ", ".join(repr(c) for c in SKIN_EYE)
 _ASSESS_SQL = f"""WITH {_USES_SQL}, {_MATRIX_SQL},
     b AS (SELECT *, greatest({_group("c1")}, {_group("c2")}) AS grp, list_filter(list_distinct([c1, c2]), lambda c: c IN ({_SKIN})) AS skin,
