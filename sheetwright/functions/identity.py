@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon import MAKER_ENDS, MAKER_LABELS, MAKER_LINE_LABELS, MAKER_PREFIXES, NAME_ENDS, NAME_LABELS, NAME_LINE_LABELS, NOT_MAKERS
-from sheetwright.functions.text import is_suspicious_name
+from sheetwright.functions.text import is_suspicious_name, unused
 
 _LINE_ENDS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 _DECORATION = r"\-–—•·ꞏ*_:|/\\"
@@ -78,22 +78,23 @@ def with_manufacturer(docs: DataFrame, section: Column, text: Column) -> DataFra
     label that stands alone; where that is suspicious, beside or below a label in the lines of the text, or null.
     """
     lines = F.transform(F.filter(F.split(F.coalesce(section, F.lit("")), _LINE_ENDS), lambda x: x.rlike(r"(?U)\S")), _undecorated)
-    out = docs.withColumn("_lines", lines)
+    kept, maker = unused(docs, 2)
+    out = docs.withColumn(kept, lines)
 
     def beside_or_below(x: Column, i: Column) -> Column:
         beside = F.array(_maker_value(F.regexp_extract(x, rf"(?iU)^{_any(MAKER_LABELS)}\s*:\s*(.+)$", 1)))
-        below = F.transform(F.slice("_lines", i + 2, F.lit(3)), _maker_value)
+        below = F.transform(F.slice(kept, i + 2, F.lit(3)), _maker_value)
         return F.when(x.rlike(rf"(?iU)^{_any(MAKER_LABELS)}\s*:?$"), below).otherwise(beside)
 
-    out = out.withColumn("_maker", _tidy_maker(_first(F.flatten(F.transform("_lines", beside_or_below)))))
-    doubtful = is_suspicious_name(F.col("_maker"))
+    out = out.withColumn(maker, _tidy_maker(_first(F.flatten(F.transform(kept, beside_or_below)))))
+    doubtful = is_suspicious_name(F.col(maker))
     top = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), _LINE_ENDS), 1, MAKER_LINES), _clean_line)
-    out = out.withColumn("_lines", F.when(doubtful, top))
+    out = out.withColumn(kept, F.when(doubtful, top))
 
     def labelled(x: Column, i: Column) -> Column:
         label = rf"(?iU)^{_any(MAKER_LINE_LABELS)}\s*:?\s*(.*)$"
-        both = F.array(_tidy_maker(F.regexp_extract(x, label, 1)), _tidy_maker(F.try_element_at("_lines", (i + 2).cast("int"))))
+        both = F.array(_tidy_maker(F.regexp_extract(x, label, 1)), _tidy_maker(F.try_element_at(kept, (i + 2).cast("int"))))
         return F.when(x.rlike(label), both).otherwise(F.array().cast("array<string>"))
 
-    other = F.filter(F.flatten(F.transform("_lines", labelled)), lambda x: ~is_suspicious_name(x))
-    return out.withColumn("manufacturer", F.when(doubtful, F.try_element_at(other, F.lit(1))).otherwise(F.col("_maker"))).drop("_lines", "_maker")
+    other = F.filter(F.flatten(F.transform(kept, labelled)), lambda x: ~is_suspicious_name(x))
+    return out.withColumn("manufacturer", F.when(doubtful, F.try_element_at(other, F.lit(1))).otherwise(F.col(maker))).drop(kept, maker)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon import CHARACTER_REPAIRS, LABEL_NAMES, NO_DATA, PLACEHOLDERS
 
 #: Letters with marks and the letters under them, for matching.
-_MARKED, _PLAIN = "çğıöşüâîûêéèáàäëïôóòúùñ", "cgiosuaiueeeaaaeiooouun"
+MARKED, PLAIN = "çğıöşüâîûêéèáàäëïôóòúùñ", "cgiosuaiueeeaaaeiooouun"
 
 
 def lower_tr(value: Column) -> Column:
@@ -21,7 +18,7 @@ def lower_tr(value: Column) -> Column:
 
 def fold(value: Column) -> Column:
     """For matching: lower case, ı as i, letters without marks, white space collapsed, ends trimmed."""
-    plain = F.translate(F.lower(F.translate(value, "Iİı", "iii")), _MARKED, _PLAIN)
+    plain = F.translate(F.lower(F.translate(value, "Iİı", "iii")), MARKED, PLAIN)
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
@@ -30,13 +27,16 @@ def upper_plain(value: Column) -> Column:
     return F.upper(F.regexp_replace(value, r"(?U)\s+", " "))
 
 
-def _compatible(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def unused(df: DataFrame, count: int) -> list[str]:
+    """``count`` column names that ``df`` doesn't have, for values on the way."""
+    taken = {c.lower() for c in df.columns}
+    free = (f"tmp_{i}" for i in range(len(taken) + count))
+    return [name for name in free if name not in taken][:count]
 
 
 def nfkc(value: Column) -> Column:
-    """Unicode compatibility form, for which Spark has no function; ASCII texts keep their value."""
-    return F.when(value.rlike(r"^\p{ASCII}*$"), value).otherwise(F.pandas_udf(_compatible, "string")(value))
+    """Unicode compatibility form, by the Unicode library that comes with Spark: no Python worker takes part."""
+    return F.when(value.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(value, F.lit("")), F.lit(True)))
 
 
 def repaired(value: Column) -> Column:
@@ -66,16 +66,22 @@ def collapsed(value: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), F.lit(""))
 
 
+def clean_line(line: Column) -> Column:
+    """A line without bullets and surplus blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), r"^[ •●▪■◦*·–—-]+", ""))
+
+
 def clean_lines(value: Column) -> Column:
     """Lines without bullets and surplus blanks; empty ones dropped."""
-    line = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^[ •●▪■◦*·–—-]+", ""))
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "\n"), line), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "\n"), clean_line), lambda x: x != "")
 
 
 def unique_ci(values: Column, key=F.lower) -> Column:
     """Trimmed values, the first spelling of each, in order; ``key`` says what counts as equal."""
     trimmed = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.filter(trimmed, lambda x, i: ~F.exists(F.slice(trimmed, F.lit(1), i), lambda y: key(y) == key(x)))
+    keys = F.transform(trimmed, lambda x: key(x))
+    # Distinct keys keep their order, and the first place of each is that of its first spelling.
+    return F.transform(F.array_distinct(keys), lambda k: F.element_at(trimmed, F.array_position(keys, k).cast("int")))
 
 
 def is_placeholder(value: Column) -> Column:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.functions import codes, dates, identity
-from sheetwright.functions.text import collapsed, is_suspicious_name
+from sheetwright.functions.handling import with_handling
+from sheetwright.functions.properties import with_properties
+from sheetwright.functions.protection import with_protection
+from sheetwright.functions.text import collapsed, is_suspicious_name, normalised, unused
 from sheetwright.operators.sections import classification_status, confidence, document_type, split_sections
 
 PHYSICAL_FORMS = {"Sıvı": ["sıvı", "liquid"], "Katı": ["katı", "toz", "solid"], "Gaz": ["gaz", "buhar", "gas"]}
@@ -25,17 +28,28 @@ def physical_form(state: Column) -> Column:
 
 
 def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the facts of each sheet. Product identifiers come from section 1, components from 3, hazards from 2."""
-    s = {n: F.try_element_at("sections", F.lit(n)) for n in (1, 2, 3, 8, 9, 16)}
-    split = identity.with_manufacturer(split_sections(docs, text), s[1], F.col(text))
+    """``docs`` with the facts of each sheet. Product identifiers come from section 1, components from 3, hazards from 2.
+
+    The text is normalised first, as everything reads it. The facts' own columns (``sections``, ``product_name`` and so
+    on) replace columns of the same name; all others stay.
+    """
+    clean, parts = unused(docs, 2)
+    whole = F.col(clean)
+    split = split_sections(docs.withColumn(clean, normalised(F.col(text))), clean)
+    # Each section is looked up once; facts then read narrow columns.
+    split = split.withColumn(parts, F.struct(*[F.try_element_at("sections", F.lit(n)).alias(f"s{n}") for n in (1, 2, 3, 9)]))
+    s = {n: F.col(f"{parts}.s{n}") for n in (1, 2, 3, 9)}
+    split = identity.with_manufacturer(split, s[1], whole)
     line = lambda n, label: collapsed(codes.first(s[n], rf"(?imU)^\s*(?:{label})\s*:\s*([^\n]+)"))
     facts = split.withColumns(
         {
-            "document_type": document_type(F.col(text)),
-            "product_name": identity.product_name(s[1], F.col(text)),
+            "document_type": document_type(whole),
+            "product_name": identity.product_name(s[1], whole),
             "product_code": codes.product_code(s[1]),
             "ufi": F.array_join(codes.ufis(s[1]), "; "),
             "product_cas": codes.cas_numbers(s[1]),
+            "product_ec": codes.ec_number(s[1]),
+            "product_reach": F.try_element_at(codes.reach_numbers(s[1]), F.lit(1)),
             "component_cas": codes.cas_numbers(s[3]),
             "component_names": codes.component_names(s[3]),
             "component_reach": codes.reach_numbers(s[3]),
@@ -46,17 +60,44 @@ def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
             "explicit_ghs": codes.pictograms(s[2]),
             "physical_state": line(9, "State|Physical state|Fiziksel hal"),
             "boiling_point": line(9, "Boiling point|Kaynama noktası"),
-            "revision_date": dates.revision_date(F.col(text)),
-            "preparation_date": dates.preparation_date(F.col(text)),
-            "version": dates.version(F.col(text)),
-            "sds_confidence": confidence(F.col(text), F.col("sections")),
+            "revision_date": dates.revision_date(whole),
+            "preparation_date": dates.preparation_date(whole),
+            "version": dates.version(whole),
+            "sds_confidence": confidence(whole, F.col("sections")),
         }
     )
     status = classification_status(s[2], F.size("hazard_codes") > 0, F.size("precautionary_codes") > 0, F.col("signal_word").isNotNull(), F.size("explicit_ghs") > 0)
     facts = facts.withColumn("classification_status", status)
     ghs = F.when(F.col("classification_status") == "classified", F.array_union("explicit_ghs", codes.implied_pictograms(F.col("hazard_codes")))).otherwise(F.col("explicit_ghs"))
     facts = facts.withColumn("ghs_codes", ghs)
-    return facts.withColumn("review_reasons", review_reasons()).withColumn("processing_status", processing_status())
+    return facts.withColumn("review_reasons", review_reasons()).withColumn("processing_status", processing_status()).drop(clean, parts)
+
+
+def with_details(facts: DataFrame) -> DataFrame:
+    """``facts`` with ``handling`` (section 7), ``protection`` (section 8) and ``properties`` (section 9) as structs."""
+    names = unused(facts, 3)
+    out = facts.withColumns({c: F.try_element_at("sections", F.lit(n)) for c, n in zip(names, (7, 8, 9), strict=True)})
+    for read, column in zip((with_handling, with_protection, with_properties), names, strict=True):
+        out = read(out, column)
+    return out.drop(*names)
+
+
+def backfill_profile(facts: DataFrame) -> DataFrame:
+    """What a backfill compares: identifiers of section 1, or of section 3 where it has none; lists sorted and distinct."""
+    listed = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")))
+    tidy = lambda c: F.nullif(F.trim(c), F.lit(""))
+    cas = F.when(F.size("product_cas") > 0, F.col("product_cas")).otherwise(F.col("component_cas"))
+    return facts.withColumns(
+        {
+            "cas_numbers": listed(cas),
+            "ec_number": tidy(F.coalesce("product_ec", "component_ec")),
+            "reach_number": tidy(F.coalesce("product_reach", F.try_element_at("component_reach", F.lit(1)))),
+            "ufi": tidy(F.col("ufi")),
+            "product_code": tidy(F.col("product_code")),
+            "signal_word": tidy(F.col("signal_word")),
+            **{c: listed(F.col(c)) for c in ("hazard_codes", "precautionary_codes", "ghs_codes")},
+        }
+    )
 
 
 def review_reasons() -> Column:

@@ -18,26 +18,27 @@ def current_revisions(docs: DataFrame) -> DataFrame:
 
     The first document is current. A later one takes its place if both have a date and its own is later, or
     the dates are equal, both have a version and its own is higher; so a first document without a date stays.
-    This fold has a closed form in aggregates that combine before the shuffle, whatever a chemical's number of
-    documents: a dated first document gives way to the first of the latest date, and that one, if it has a
+    This fold has a closed form in one aggregation that combines before the shuffle, whatever a chemical's number
+    of documents: a dated first document gives way to the first of the latest date, and that one, if it has a
     version, to the highest version of that date.
     """
-    order = F.struct("uploaded_at", "id")
-    rows = docs.select("chemical_id", "id", "uploaded_at", effective_date(F.col("revision_date"), F.col("preparation_date")).alias("day"), version_key(F.col("version")).alias("key"))
-    head = rows.groupBy("chemical_id").agg(F.min_by(F.struct("id", "day"), order).alias("first"), F.max("day").alias("latest"))
-    top = rows.join(head, "chemical_id").where((F.col("day") == F.col("latest")) & F.col("first.day").isNotNull())
-    best = top.groupBy("chemical_id").agg(
-        F.min_by(F.struct("id", "key"), order).alias("lead"),
-        F.max("key").alias("high"),
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "uploaded_at") if dict(docs.dtypes)["uploaded_at"] == "timestamp_ntz" else F.unix_micros(F.col("uploaded_at").cast("timestamp"))
+    rows = docs.select("chemical_id", "id", F.coalesce(micros, F.lit(-(1 << 62))).alias("at"), effective_date(F.col("revision_date"), F.col("preparation_date")).alias("day"), version_key(F.col("version")).alias("key"))
+    early = (-F.col("at"), -F.col("id").cast("long"))  # the greatest of these is the earliest upload
+    out = rows.groupBy("chemical_id").agg(
+        F.min_by(F.struct("id", "day"), F.struct("at", "id")).alias("first"),
+        F.max_by(F.struct("id", "key"), F.when(F.col("day").isNotNull(), F.struct("day", *early))).alias("lead"),
+        F.max_by("id", F.when(F.col("day").isNotNull() & F.col("key").isNotNull(), F.struct("day", "key", *early))).alias("highest"),
     )
-    winner = top.join(best.select("chemical_id", "high"), "chemical_id").where("key = high").groupBy("chemical_id").agg(F.min_by("id", order).alias("highest"))
-    out = head.join(best.select("chemical_id", "lead"), "chemical_id", "left").join(winner, "chemical_id", "left")
     current = F.when(F.col("first.day").isNull(), F.col("first.id")).when(F.col("lead.key").isNull(), F.col("lead.id")).otherwise(F.col("highest"))
     return out.select("chemical_id", current.alias("current_id"))
 
 
 def history(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``position`` within a chemical's history: current first, then by date and upload, latest first."""
+    """``docs`` with ``position`` within a chemical's history: current first, then by date and upload, latest first.
+
+    Positions need a chemical's documents in one task, narrow rows that are sorted and may spill.
+    """
     w = Window.partitionBy("chemical_id").orderBy(F.desc("is_current"), F.desc_nulls_last("revision_date"), F.desc_nulls_last("uploaded_at"), F.desc("id"))
     return docs.withColumn("position", F.row_number().over(w))
 
@@ -53,6 +54,28 @@ def summaries(chemicals: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(chemicals["*"], F.coalesce("total_documents", F.lit(0)).alias("total_documents"), F.coalesce("needs_review_count", F.lit(0)).alias("needs_review_count"), "latest_id", "current_id")
 
 
+def details(summary: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, current_id, sds): each chemical with its documents (id, processing_status) by id; null where it has none.
+
+    The nested form holds a chemical's documents in one value, as an answer about one chemical needs it; for all
+    chemicals at once, the rows that it is made of are the better form.
+    """
+    nested = docs.groupBy(F.col("chemical_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "processing_status"))).alias("sds"))
+    return summary.join(nested, "id", "left").select("id", "current_id", "sds")
+
+
+def code_lists(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the trimmed, distinct values of each key, sorted; blank and null ones are left out."""
+    tidy = rows.select(key, F.trim(F.col(value)).alias("value")).where("value <> ''").distinct()
+    return tidy.groupBy(key).agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def identifier_of(identifiers: DataFrame, kind: str, blank: str = "—") -> DataFrame:
+    """(chemical_id, identifier): the identifier of a kind with the smallest id, whatever the case; blanks as a dash."""
+    rows = identifiers.where(F.upper(F.trim("identifier_type")) == kind.upper())
+    return rows.groupBy("chemical_id").agg(F.min_by("identifier_value", "id").alias("found")).select("chemical_id", F.coalesce(F.nullif(F.trim("found"), F.lit("")), F.lit(blank)).alias("identifier"))
+
+
 def matched_chemicals(parsed: DataFrame, chemicals: DataFrame, ufis: DataFrame) -> DataFrame:
     """``parsed`` with the chemical that is meant: by UFI, by name and maker, by code and maker, or by name.
 

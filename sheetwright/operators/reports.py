@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.functions.lexicon import STATUS_LABELS, TEST_NAMES
+from sheetwright.functions.lexicon import MONTH_NAMES, STATUS_LABELS, TEST_NAMES
 from sheetwright.functions.text import lower_tr
 
 NO_MAKER, NO_SHEET = "(none)", "no_sds"
@@ -86,3 +86,18 @@ def numbered(rows: DataFrame, key: str, values: str, blank: str) -> DataFrame:
     """(key, number, value): the values of an array, numbered from 1; a placeholder where there is none."""
     filled = F.when(F.size(values) > 0, F.col(values)).otherwise(F.array(F.lit(blank)))
     return rows.select(key, F.posexplode(filled).alias("at", "value")).select(key, (F.col("at") + 1).alias("number"), "value")
+
+
+def display_date(value: Column) -> Column:
+    """A date as day.month.year; what is no date is shown as it is, a missing one as a dash."""
+    text = F.trim(value.cast("string"))
+    day = F.try_to_date(text, "yyyy-MM-dd")
+    return F.when(F.coalesce(text, F.lit("")) == "", "—").otherwise(F.coalesce(F.date_format(day, "dd.MM.yyyy"), text))
+
+
+def display_time(value: Column) -> Column:
+    """A time as day month year hour:minute with the Turkish month's short name; a missing one as a dash."""
+    at = F.try_to_timestamp(F.trim(value.cast("string")))
+    month = F.element_at(F.array(*map(F.lit, MONTH_NAMES)), F.month(at))
+    shown = F.concat(F.dayofmonth(at).cast("string"), F.lit(" "), month, F.date_format(at, " yyyy HH:mm"))
+    return F.when(F.coalesce(F.trim(value.cast("string")), F.lit("")) == "", "—").otherwise(F.coalesce(shown, value.cast("string")))

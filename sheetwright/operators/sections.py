@@ -7,80 +7,94 @@ from pyspark.sql import functions as F
 
 from sheetwright.functions.codes import found
 from sheetwright.functions.lexicon import INSTRUCTION_MARKERS, NOT_CLASSIFIED, REFERENCE_STARTS, SCORE_CHEMISTRY, SCORE_HEADINGS, SCORE_TITLES, SECTION_TITLES, SHEET_MARKERS
-from sheetwright.functions.text import fold, upper_plain
+from sheetwright.functions.text import MARKED, PLAIN, fold, unused, upper_plain
 
-_WORD = r"(?iU)\b(BÖLÜM|BOLUM|SECTION)\s*(1[0-6]|[1-9])\s*([:.\-]?)"
-_NUMBER = r"(?mU)^[ \t]*(1[0-6]|[1-9])\s*[.)\-:]\s*"
+#: What may begin a section: a word with a number, a first subsection (n.1), or a number at a line's start.
+_WORD = r"(?U:\b)(?iu:BÖLÜM|BOLUM|SECTION)(?U:\s*)(1[0-6]|[1-9])(?U:\s*)([:.\-]?)"
+_FIRST = r"(^[ \t]*)?(?<!\d)(1[0-6]|[1-9])\s*\.\s*1\.?\s+"
+_LINE = r"^[ \t]*(1[0-6]|[1-9])(?U:\s*)[.)\-:](?U:\s*)"
+_ANY = rf"(?m)(?=[BSbs1-9 \t])(?:{_WORD}|{_FIRST}|{_LINE})"
+#: Characters that follow a heading and are searched for its title: after a word, a line's number, a subsection.
+WORD_REACH, LINE_REACH, FIRST_REACH = 160, 220, 300
+_CUT, _FIELD = "\u0001", "\u0002"
 
 
-def _scan(text: Column, pattern: str) -> Column:
-    """(start, end) of each match, counted from 0: matches and the gaps between them add up."""
-    hits = F.transform(found(text, pattern), F.length)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + pair["hit"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+def _plain(word: str) -> str:
+    """``fold`` for a fixed word."""
+    low = word.replace("I", "i").replace("İ", "i").replace("ı", "i").lower()
+    return low.translate(str.maketrans(MARKED, PLAIN)).strip()
 
 
 def _titled(number: Column, following: Column) -> Column:
-    """A title word of section ``number`` occurs in the folded text after the heading."""
-    table = F.create_map(*[x for n, words in SECTION_TITLES.items() for x in (F.lit(n), F.array(*[F.lit(w) for w in words]))])
-    return F.exists(F.try_element_at(table, number), lambda w: F.contains(following, fold(w)))
+    """A title word of section ``number`` occurs in the folded text after the heading (a stored value)."""
+    table = F.create_map(*[x for n, words in SECTION_TITLES.items() for x in (F.lit(n), F.array(*[F.lit(_plain(w)) for w in words]))])
+    return F.exists(F.try_element_at(table, number), lambda w: F.contains(following, w))
 
 
-def _after(text: Column, end: Column, size: int) -> Column:
-    return fold(F.replace(F.substring(text, end + 1, F.lit(size)), F.lit("\n"), F.lit(" ")))
+def _following(parts: Column, i: Column, size: int) -> Column:
+    """The ``size`` characters after part ``i``'s heading; what a short part lacks comes from those after it."""
+    here = F.substring(parts[i]["rest"], 1, size)
+    more = F.array_join(F.transform(F.slice(parts, i + 2, F.lit(8)), lambda p: F.concat(p["head"], F.substring(p["rest"], 1, size))), "")
+    return F.when(F.length(parts[i]["rest"]) >= size, here).otherwise(F.substring(F.concat(here, more), 1, size))
 
 
 def split_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sections``: map of section number to text, headings included.
 
     A heading is a word with a number, or a number at a line's start, whose title follows; mentions in running
-    text and references are none. Of the headings the earliest of each number after the one before is taken.
-    Text before the first heading belongs to no section; empty sections are left out; a null text has none.
+    text and references are none. Of the headings the earliest of each number after the one before is taken. Where
+    numbers are missing between two of them, a first subsection (n.1) whose title follows stands for the heading.
+    Text before the first heading belongs to no section; empty sections are left out; a null text has none. The
+    control characters U+0001 and U+0002 are dropped. Other columns stay as they are, whatever their names.
+
+    One pass marks all candidates; the text is cut there once, and sections are put together from the pieces.
     """
-    t = F.col("_text")
-    out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    words = F.zip_with(
-        F.zip_with(_scan(t, _WORD), found(t, _WORD, 2), lambda s, n: F.struct(s["start"].alias("start"), s["end"].alias("end"), n.cast("int").alias("n"))),
-        found(t, _WORD, 3),
-        lambda s, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["n"].alias("n"), p.alias("mark")),
-    )
-    numbers = F.zip_with(_scan(t, _NUMBER), found(t, _NUMBER, 1), lambda s, n: F.struct(s["start"].alias("start"), s["end"].alias("end"), n.cast("int").alias("n")))
-    out = out.withColumns({"_words": words, "_numbers": numbers})
-    out = out.withColumns(
-        {
-            "_words": F.transform("_words", lambda c: F.struct(*[c[x].alias(x) for x in ("start", "end", "n", "mark")], _after(t, c["end"], 160).alias("next"), F.regexp_extract(F.substring(t, 1, c["start"]), r"(?s)(?:^|\n)[^\n\p{L}\p{N}]*$", 0).alias("lead"), (c["start"] == 0).alias("top"))),
-            "_numbers": F.transform("_numbers", lambda c: F.struct(*[c[x].alias(x) for x in ("start", "end", "n")], _after(t, c["end"], 220).alias("next"))),
-        }
-    )
-
-    def is_heading(c: Column) -> Column:
-        at_start = c["top"] | (c["lead"] != "")
-        refers = c["mark"].isin("", ".") & F.exists(F.array(*map(F.lit, REFERENCE_STARTS)), lambda s: F.startswith(c["next"], F.trim(s)))
-        return (c["mark"].isin(":", "-") | at_start) & ~refers & _titled(c["n"], c["next"])
-
-    pick = lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))
-    heads = F.array_sort(F.array_distinct(F.concat(F.transform(F.filter("_words", is_heading), pick), F.transform(F.filter("_numbers", lambda c: _titled(c["n"], c["next"])), pick))))
-    out = out.withColumn("_heads", heads)
-    # The headings travel in the fold's state: a lambda that named the column would have it made again in each step.
-    begin = F.struct(F.col("_heads").alias("heads"), F.array().cast("array<struct<start:int,n:int>>").alias("out"))
+    cut, near, found, chosen = unused(docs, 4)
+    whole = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _CUT + _FIELD, "")
+    # Word number, its mark, number of a subsection, number of a line; the heading; what follows.
+    marked = F.regexp_replace(whole, _ANY, _CUT + _FIELD.join(["$1", "$2", "$4", "$5", "$0"]) + _FIELD)
+    pieces = F.transform(F.split(F.concat(F.lit(_FIELD * 5), marked), _CUT), lambda p: F.split(p, _FIELD))
+    number = lambda p, k: p[k].try_cast("int")
+    out = docs.withColumn(cut, F.transform(pieces, lambda p: F.struct(number(p, 0).alias("word"), p[1].alias("mark"), number(p, 2).alias("first"), number(p, 3).alias("line"), p[4].alias("head"), p[5].alias("rest"))))
+    parts = F.col(cut)
+
+    def around(p: Column, i: Column) -> Column:
+        """A candidate with the folded text after it and the end of the text before it."""
+        raw = F.when(p["word"].isNotNull(), _following(parts, i, WORD_REACH)).otherwise(_following(parts, i, LINE_REACH))
+        far = F.when(p["first"].isNotNull(), fold(F.replace(_following(parts, i, FIRST_REACH), F.lit("\n"), F.lit(" "))))
+        before = F.substring(F.concat(parts[i - 1]["head"], parts[i - 1]["rest"]), -200, 200)
+        n = F.coalesce(p["word"], p["line"], p["first"])
+        at_start = F.when(p["word"].isNotNull(), before.rlike(r"(?s)(?:^|\n)[^\n\p{L}\p{N}]*$")).otherwise(p["line"].isNotNull() | F.endswith(before, F.lit("\n")))
+        return F.when(n.isNotNull(), F.struct(i.alias("at"), n.alias("n"), p["word"].isNotNull().alias("by_word"), p["mark"].alias("mark"), fold(F.replace(raw, F.lit("\n"), F.lit(" "))).alias("near"), far.alias("far"), at_start.alias("at_start")))
+
+    out = out.withColumn(near, F.filter(F.transform(parts, around), lambda c: c.isNotNull()))
+
+    def judged(c: Column) -> Column:
+        refers = c["mark"].isin("", ".") & c["near"].rlike("^(?:" + "|".join(x.strip() for x in REFERENCE_STARTS) + ")")
+        placed = F.when(c["by_word"], (c["mark"].isin(":", "-") | c["at_start"]) & ~refers).otherwise(c["at_start"])
+        starts = c["far"].isNotNull() & _titled(c["n"], c["far"])
+        return F.struct(c["at"].alias("at"), c["n"].alias("n"), (placed & _titled(c["n"], c["near"])).alias("is_heading"), starts.alias("is_first"))
+
+    out = out.withColumn(found, F.filter(F.transform(near, judged), lambda c: c["is_heading"] | c["is_first"]))
+    pick = lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"))
+    none = F.array().cast("array<struct<at:int,n:int>>")
+    # The candidates travel in the fold's state: a lambda that named the column would have it made again in each step.
+    begin = F.struct(F.transform(F.filter(found, lambda c: c["is_heading"]), pick).alias("heads"), F.transform(F.filter(found, lambda c: c["is_first"]), pick).alias("firsts"), none.alias("out"))
+    last = lambda acc, field, default: F.coalesce(F.try_element_at(acc["out"], F.lit(-1))[field], F.lit(default))
 
     def extend(acc: Column, n: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["start"], F.lit(-1))
-        later = F.slice(F.filter(acc["heads"], lambda c: (c["n"] == n) & (c["start"] > last)), F.lit(1), F.lit(1))
-        return F.struct(acc["heads"].alias("heads"), F.concat(acc["out"], later).alias("out"))
-
-    out = out.withColumn("_chain", F.aggregate(F.sequence(F.lit(1), F.lit(16)), begin, extend, lambda acc: acc["out"]))
-    whole = F.transform("_chain", lambda c, i: F.struct(c["n"].alias("key"), F.regexp_replace(F.substring(t, c["start"] + 1, F.coalesce(F.try_element_at("_chain", i + 2)["start"], F.length(t)) - c["start"]), r"(?U)^\s+|\s+$", "").alias("value")))
-    sections = F.map_from_entries(F.filter(whole, lambda e: e["value"] != ""))
-    return out.withColumn("sections", sections).drop("_text", "_words", "_numbers", "_heads", "_chain")
+        """The next heading of number ``n``, and before it first subsections of the numbers that it leaves out."""
+        later = F.slice(F.filter(acc["heads"], lambda c: (c["n"] == n) & (c["at"] > last(acc, "at", -1))), F.lit(1), F.lit(1))
+        gap = F.filter(acc["firsts"], lambda c: (c["at"] > last(acc, "at", -1)) & (c["at"] < later[0]["at"]) & (c["n"] > last(acc, "n", 16)) & (c["n"] < n))
+        rising = F.aggregate(gap, none, lambda a, c: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["n"], F.lit(0)) < c["n"], F.concat(a, F.array(c))).otherwise(a))
+        between = F.when(F.size(later) > 0, rising).otherwise(none)
+        return F.struct(acc["heads"].alias("heads"), acc["firsts"].alias("firsts"), F.concat(acc["out"], between, later).alias("out"))
+
+    out = out.withColumn(chosen, F.aggregate(F.sequence(F.lit(1), F.lit(16)), begin, extend, lambda acc: acc["out"]))
+    content = lambda begin_, end: F.array_join(F.transform(F.slice(parts, begin_ + 1, end - begin_), lambda p: F.concat(p["head"], p["rest"])), "")
+    texts = F.transform(chosen, lambda c, i: F.struct(c["n"].alias("key"), F.regexp_replace(content(c["at"], F.coalesce(F.try_element_at(chosen, i + 2)["at"], F.size(parts))), r"(?U)^\s+|\s+$", "").alias("value")))
+    sections = F.map_from_entries(F.filter(texts, lambda e: e["value"] != ""))
+    return out.withColumn("sections", sections).drop(cut, near, found, chosen)
 
 
 def section_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

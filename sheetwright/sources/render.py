@@ -40,7 +40,7 @@ _DATE = (
 def _body(n: int) -> str:
     """SQL for the text of section ``n`` below its heading."""
     return {
-        1: f"concat({_pick(NAME_LABELS, 'int(k % 9)')}, name, '\\nProduct code: BK', k, '\\nUFI: V873-MN1G-R608-', lpad(k % 10000, 4, '0'), '\\n', {_pick(MAKER_LABELS, 'int(k % 9)')}, brand, ' Chemicals', if(k % 9 < 7, {_pick(MAKER_ENDS, 'int(k % 4)')}, ''), '\\n')",
+        1: f"concat({_pick(NAME_LABELS, 'int(k % 9)')}, name, '\\nProduct code: BK', k, '\\nUFI: V873-MN1G-R608-', lpad(k % 10000, 4, '0'), '\\n', if(k % 13 = 0, '', concat({_pick(MAKER_LABELS, 'int(k % 9)')}, brand, ' Chemicals', if(k % 9 < 7, {_pick(MAKER_ENDS, 'int(k % 4)')}, ''))), '\\n')",
         2: f"concat('Hazard statements ', {_pick(HAZARDS, 'int(k % 10)')}, ' EUH208 ', {_pick(HAZARDS, 'int((k + 3) % 10)')}, '\\n', {_pick(PRECAUTIONS, 'int(k % 4)')}, '\\nSignal word: ', {_pick(SIGNALS, 'int(k % 2)')}, '\\n')",
         3: f"concat('CAS ', {_CAS}, '-', ({_DIGIT} + if(k % 3 = 0, 1, 0)) % 10, ' index 019-002-00-8\\nEC No: 2', lpad(k % 100, 2, '0'), '-181-', k % 10, '\\n', if(k % 2 = 0, 'Chemical name: ', 'Chemical composition:\\n'), name, '\\nREACH No: 01-2119', lpad(k % 1000000, 6, '0'), '-33-0001\\n')",
         7: "concat('Keep closed.', if(k % 5 = 0, ' For disposal see Section 13 of this sheet.', ''), '\\n')",
@@ -50,12 +50,13 @@ def _body(n: int) -> str:
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): sheets of all parts. Section 12 is missing for every seventh key."""
-    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    """(doc_id, text): sheets of all parts. Every seventh lacks section 12, every eleventh its title, every thirteenth a maker."""
+    # The keys are one small file; sheets are dealt to all cores, since reading one takes about a millisecond.
+    part = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     sections = []
     for n in range(1, 17):
         word = "SECTION" if n % 2 else "BÖLÜM"
         text = f"concat('{word} {n}: {TITLES[n - 1]}\\n', {_body(n)})"
         sections.append(f"if(k % 7 = 0, '', {text})" if n == 12 else text)
-    whole = "concat('SAFETY DATA SHEET\\n', " + ", ".join(sections) + ")"
+    whole = "concat(if(k % 11 = 0, '', 'SAFETY DATA SHEET\\n'), " + ", ".join(sections) + ")"
     return part.selectExpr("p_partkey as k", "p_name as name", "p_brand as brand", "p_size as size").select(F.col("k").alias("doc_id"), F.expr(whole).alias("text"))

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from sheetwright.operators.facts import document_facts
+from sheetwright.operators.store import upload
 
 
 def document_stream(spark: SparkSession, path: str, schema: StructType, text: str = "text") -> DataFrame:
@@ -23,3 +24,12 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the facts of each new document to ``out`` as Parquet, then stop when no more are waiting."""
     facts = document_facts(stream).drop("text")
     return facts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_tables(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Upload each micro-batch of (doc_id, text) to the store at ``root``, then stop when no more are waiting.
+
+    Contents that the store has are skipped by a join with its documents, so no state grows. A micro-batch that is
+    given again after a failure replaces itself.
+    """
+    return stream.writeStream.foreachBatch(lambda docs, n: upload(docs, root, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
