@@ -68,7 +68,7 @@ def _list(values: list[str]) -> str:
 
 _K = "k AS (SELECT p_partkey AS k, p_name, p_brand, p_size FROM part)"
 _BODY = "concat(100 + k, lpad(CAST(k % 97 AS VARCHAR), 2, '0'))"
-_CAS = f"concat(100 + k, '-', lpad(CAST(k % 97 AS VARCHAR), 2, '0'), '-', list_sum(list_transform(range(1, CAST(len({_BODY}) AS BIGINT) + 1), lambda i: i * CAST(substr(reverse({_BODY}), CAST(i AS INTEGER), 1) AS BIGINT))) % 10)"
+CAS_SQL = f"concat(100 + k, '-', lpad(CAST(k % 97 AS VARCHAR), 2, '0'), '-', list_sum(list_transform(range(1, CAST(len({_BODY}) AS BIGINT) + 1), lambda i: i * CAST(substr(reverse({_BODY}), CAST(i AS INTEGER), 1) AS BIGINT))) % 10)"
 _CODES = f"[{_list(HAZARDS)}[k % 10 + 1], {_list(HAZARDS)}[(k + 3) % 10 + 1]]"
 _DAY = "CAST(DATE '2015-01-01' + CAST(k % 3000 AS INTEGER) AS DATE)"
 
@@ -79,6 +79,10 @@ def _band(code: str) -> str:
     return _group(code)
 
 
+def _clean_lines_sql(value: str) -> str:
+    return rf"sha256(array_to_string(list_filter(list_transform(string_split({value}, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^[ •●▪■◦*·–—-]+', ''))), lambda x: x <> ''), chr(10)))"
+
+
 _FLAGSHIP_SQL = f"""WITH {_K}, c AS (SELECT *, {_CODES}[1] AS c1, {_CODES}[2] AS c2, ['solid', 'liquid', 'solid', 'other'][k % 4 + 1] AS kind FROM k),
     g AS (SELECT *, greatest({_band("c1")}, {_band("c2")}) AS hazard_group,
                  CASE kind WHEN 'solid' THEN 'Medium' WHEN 'liquid' THEN CASE WHEN p_size * 10 <= 20 THEN NULL WHEN p_size * 10 <= 60 THEN 'High' WHEN p_size * 10 >= 175 THEN 'Low' ELSE 'Medium' END END AS exposure_band FROM c),
@@ -109,9 +113,9 @@ QUERIES = {
     "confidence_score": lambda s, d: _facts(s, d, "sds_confidence"),
     "processing_status": lambda s, d: _facts(s, d, "processing_status", "classification_status").groupBy("processing_status", "classification_status").agg(F.count("*").alias("documents")),
     "s9_boiling": lambda s, d: _facts(s, d, "physical_state", "boiling_point"),
-    "text_normalise": lambda s, d: table(s, d, "documents").select("doc_id", F.length(text.normalised(F.col("text"))).alias("size")),
+    "text_normalise": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.normalised(F.col("text")), 256).alias("digest")),
     "ws_collapse": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.collapsed(F.col("text")), 256).alias("digest")),
-    "clean_lines": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(text.clean_lines(F.col("text"))).alias("lines")),
+    "clean_lines": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.sha2(F.array_join(text.clean_lines(F.col("text")), "\n"), 256).alias("digest")),
     "placeholder_filter": lambda s, d: table(s, d, "orders").select("o_orderkey", text.is_placeholder(F.element_at(F.array(*map(F.lit, [" -- ", "n/a", "...", "", " : - / ", "x"])), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("placeholder")),
     "unique_ci": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(text.unique_ci(F.array(F.upper("p_brand"), F.lit(" "), F.col("p_brand"), F.col("p_type"), F.lower("p_type"))), "|").alias("distinct_values")),
     "p_group_normalise": lambda s, d: _lines(s, d).select("p_partkey", fragments.joined_p_groups(fragments.joined_hazard_codes(F.col("spaced"))).alias("joined")),
@@ -121,19 +125,22 @@ QUERIES = {
     "s9_properties": lambda s, d: with_properties(_property_tables(s, d), "nine").select("p_partkey", *[f"properties.{f}" for f in ("physical_state", "odor", "ph", "boiling_point", "density", "flash_point", "viscosity")]),
     "s7_meaningful": lambda s, d: _lines(s, d).select("p_partkey", fragments.is_meaningful(F.col("value")).alias("meaningful")),
     "safe_file_name": lambda s, d: table(s, d, "part").select("p_partkey", safe_file_name(F.concat("p_name", F.lit(" : a/b?"))).alias("name")),
-    "html_text_lines": lambda s, d: table(s, d, "pages").select("page_id", F.size(text.clean_lines(F.regexp_replace("html", r"(?s)<[^>]*>", "\n"))).alias("lines")),
+    "html_text_lines": lambda s, d: table(s, d, "pages").select("page_id", F.sha2(F.array_join(text.clean_lines(F.regexp_replace("html", r"(?s)<[^>]*>", "\n")), "\n"), 256).alias("digest")),
 }
 
 ORACLE_SQL = {
     "flagship_band_summary": _FLAGSHIP_SQL,
-    "cas_extract_all": f"WITH {_K} SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN [] ELSE [{_CAS}] END AS component_cas FROM k",
-    "cas_checksum_valid": f"WITH {_K} SELECT k AS p_partkey, {_CAS} = concat(100 + k, '-', lpad(CAST(k % 97 AS VARCHAR), 2, '0'), '-', k % 10) AS valid FROM k",
+    "text_normalise": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{4,}', repeat(chr(10), 3), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""",
+    "clean_lines": f"SELECT conv_id, turn, {_clean_lines_sql('text')} AS digest FROM conversations",
+    "html_text_lines": f"SELECT page_id, {_clean_lines_sql("regexp_replace(html, '(?s)<[^>]*>', chr(10), 'g')")} AS digest FROM pages",
+    "cas_extract_all": f"WITH {_K} SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN [] ELSE [{CAS_SQL}] END AS component_cas FROM k",
+    "cas_checksum_valid": f"WITH {_K} SELECT k AS p_partkey, {CAS_SQL} = concat(100 + k, '-', lpad(CAST(k % 97 AS VARCHAR), 2, '0'), '-', k % 10) AS valid FROM k",
     "component_names": f"WITH {_K} SELECT k AS doc_id, [p_name] AS component_names FROM k",
     "reach_all": f"WITH {_K} SELECT k AS doc_id, [concat('01-2119', lpad(CAST(k % 1000000 AS VARCHAR), 6, '0'), '-33-0001')] AS component_reach FROM k",
     "ec_number_first": f"WITH {_K} SELECT k AS doc_id, concat('2', lpad(CAST(k % 100 AS VARCHAR), 2, '0'), '-181-', k % 10) AS component_ec FROM k",
     "ufi_join": f"WITH {_K} SELECT k AS doc_id, concat('V873-MN1G-R608-', lpad(CAST(k % 10000 AS VARCHAR), 4, '0')) AS ufi FROM k",
     "product_code": f"WITH {_K} SELECT k AS doc_id, concat('BK', k) AS product_code FROM k",
-    "product_name_clean": f"WITH {_K} SELECT k AS doc_id, p_name AS product_name, concat(p_brand, ' Chemicals') AS manufacturer FROM k",
+    "product_name_clean": f"WITH {_K} SELECT k AS doc_id, p_name AS product_name, CASE WHEN k % 13 <> 0 THEN concat(p_brand, ' Chemicals') END AS manufacturer FROM k",
     "hazard_codes": f"WITH {_K} SELECT k AS doc_id, {_CODES} AS hazard_codes FROM k",
     "p_code_groups": f"WITH {_K} SELECT k AS doc_id, [['P280', 'P305+P351+P338', 'P302+P352', 'P264'][k % 4 + 1]] AS precautionary_codes FROM k",
     "signal_word": f"WITH {_K} SELECT k AS doc_id, {_list(SIGNALS)}[k % 2 + 1] AS signal_word FROM k",
@@ -145,8 +152,8 @@ ORACLE_SQL = {
     "sections_split": f"WITH {_K} SELECT k AS doc_id, CASE WHEN k % 7 = 0 THEN 15 ELSE 16 END AS sections, 1 AS first, 16 AS last FROM k",
     "sections_reference_rejected": f"WITH {_K} SELECT k AS doc_id, 'SECTION 13: {TITLES[12]}' || chr(10) || 'General text of part 13.' AS content FROM k",
     "doc_classify": "SELECT 'SDS' AS kind, count(*) AS documents FROM part UNION ALL SELECT 'UNKNOWN', count(*) FROM documents",
-    "confidence_score": f"WITH {_K} SELECT k AS doc_id, CAST(1 AS DECIMAL(3, 2)) AS sds_confidence FROM k",
-    "processing_status": "SELECT 'sections_extracted' AS processing_status, 'classified' AS classification_status, count(*) AS documents FROM part",
+    "confidence_score": f"WITH {_K} SELECT k AS doc_id, CAST(CASE WHEN k % 11 = 0 THEN 0.85 ELSE 1 END AS DECIMAL(3, 2)) AS sds_confidence FROM k",
+    "processing_status": "SELECT CASE WHEN p_partkey % 13 = 0 THEN 'needs_review' ELSE 'sections_extracted' END AS processing_status, 'classified' AS classification_status, count(*) AS documents FROM part GROUP BY 1",
     "s9_boiling": f"WITH {_K} SELECT k AS doc_id, ['Katı', 'Sıvı', 'Toz', 'Gaz'][k % 4 + 1] AS physical_state, concat(p_size * 10, ' °C') AS boiling_point FROM k",
     "ws_collapse": r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents",
     "placeholder_filter": "SELECT o_orderkey, o_orderkey % 6 NOT IN (1, 5) AS placeholder FROM orders",

@@ -113,7 +113,7 @@ QUERIES = {
     "current_revision_fold": lambda s, d: rel.current_revisions(documents(s, d)),
     "history_order": _history,
     "chemical_summary": _summary,
-    "chemical_detail_nested": lambda s, d: _summary(s, d).join(documents(s, d).groupBy(F.col("chemical_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "processing_status"))).alias("sds")), "id", "left").select("id", F.to_json("sds").alias("documents"), "current_id"),
+    "chemical_detail_nested": lambda s, d: rel.details(_summary(s, d), documents(s, d)).select("id", F.to_json("sds").alias("documents"), "current_id"),
     "entity_match_priority": _matched,
     "codes_insert_missing": _missing,
     "replace_derived": _replaced,

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetwright.plans import banding, extraction, relational
+from sheetwright.plans import banding, extraction, relational, sheets
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **banding.QUERIES, **extraction.QUERIES}
-ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **banding.ORACLE_SQL, **extraction.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **banding.QUERIES, **extraction.QUERIES, **sheets.QUERIES}
+ORACLE_SQL: dict[str, str] = {**relational.ORACLE_SQL, **banding.ORACLE_SQL, **extraction.ORACLE_SQL, **sheets.ORACLE_SQL}
 FLAGSHIP = extraction.flagship
