@@ -44,8 +44,9 @@ LISTED = 16
 CROWD = 2048
 #: 64-bit words of a set's bitmap.
 WORDS = 8
-#: Sets of more shingles have a second bitmap, of four bits for each shingle: in the first, large sets look all alike.
-WIDE = 500
+#: Differences from which on sets need a second bitmap, of four bits for each shingle: unrelated sets differ in half of
+#: the first one's 512 places at most, so there large sets look all alike.
+WIDE = 160
 _BITS = [f"b{i}" for i in range(WORDS)]
 _MAPS = ", ".join([*(f"{b} long" for b in _BITS), "wide binary"])
 
@@ -110,11 +111,16 @@ def bitmaps(flat: np.ndarray, sizes: np.ndarray, words: int = WORDS) -> np.ndarr
     return out.reshape(-1, words)
 
 
-def wide_bitmaps(flat: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
-    """The second bitmap of each large set; null for others."""
+def wide_from(num: int, den: int) -> int:
+    """Sets of more shingles than this have a second bitmap."""
+    return WIDE * (den + num) // (2 * (den - num)) if den > num else 1 << 62
+
+
+def wide_bitmaps(flat: np.ndarray, sizes: np.ndarray, least: int) -> list[bytes | None]:
+    """The second bitmap of each set of more than ``least`` shingles; null for others."""
     out: list[bytes | None] = [None] * len(sizes)
     ends = np.cumsum(sizes)
-    for i in np.flatnonzero(sizes > WIDE).tolist():
+    for i in np.flatnonzero(sizes > least).tolist():
         words = 1 << (int(sizes[i]) * 4 // 64).bit_length()
         out[i] = bitmaps(flat[ends[i] - sizes[i] : ends[i]], sizes[i : i + 1], words).tobytes()
     return out
@@ -142,11 +148,11 @@ def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, end, flat, sizes in sets_of(batch.column(1), k):
             hi, lo = prints(flat, sizes)
-            maps = [*(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bitmaps(flat, sizes).T), pa.array(wide_bitmaps(flat, sizes), pa.binary())]
+            maps = [*(pa.array(np.ascontiguousarray(b).view(np.int64)) for b in bitmaps(flat, sizes).T), pa.array(wide_bitmaps(flat, sizes, least), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *maps], ["doc_id", "n", "hi", "lo", *_BITS, "wide"])
 
 
@@ -297,7 +303,7 @@ def _crowd(table: pa.Table, num: int, den: int) -> pa.Table:
             most = (n[some, None] + n[None, rest]) * (den - num) // (den + num)
             i, j = np.nonzero(apart <= most)
             i, j = some[i], rest[j]
-            if (large := (n[i] > WIDE) & (n[j] > WIDE) & (i != j)).any():
+            if (large := (n[i] > wide_from(num, den)) & (n[j] > wide_from(num, den)) & (i != j)).any():
                 fits = [not w or wide_apart(wide[a], wide[b]) <= (n[a] + n[b]) * (den - num) // (den + num) for a, b, w in zip(i.tolist(), j.tolist(), large.tolist(), strict=True)]
                 i, j = i[fits], j[fits]
             while len(i):  # join the groups that these pairs connect
@@ -466,7 +472,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     cluster of different near copies grows with the square of its size, as does the number of links to count.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = saved(docs.mapInArrow(partial(_describe, k=k), "doc_id long, n long, hi long, lo long, " + _MAPS), "sets")
+    sets = saved(docs.mapInArrow(partial(_describe, k=k, least=wide_from(num, den)), "doc_id long, n long, hi long, lo long, " + _MAPS), "sets")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(tokens * 2.5 * (den - num) / (den + num)) // PART_SIGNATURES + 8
     packed = docs.select("text").mapInArrow(partial(_pieces, k=k, num=num, den=den, parts=parts), _PIECE_ROW)
@@ -476,12 +482,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     key = classes["lo"].bitwiseAND(F.lit((1 << 48) - 1))
     maps = classes.select(key.alias("key"), "n", *_BITS, "wide")
     pairs = met.where("hot is null").select("a", "b").distinct()
-    both = pairs.join(maps.select(F.col("key").alias("a"), F.struct("n", *_BITS, "wide").alias("x")), "a").join(maps.select(F.col("key").alias("b"), F.struct("n", *_BITS, "wide").alias("y")), "b")
+    narrow = classes.select(key.alias("key"), F.struct("n", *_BITS).alias("x"))
+    both = pairs.join(narrow.select(F.col("key").alias("a"), "x"), "a").join(narrow.select(F.col("key").alias("b"), F.col("x").alias("y")), "b")
     apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in _BITS), F.lit(0))
     close = both.where(apart * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
-    large = saved(close.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.wide").alias("wide"), F.col("y.wide").alias("other")), "close")
-    fits = large.where("wide is not null and other is not null").mapInArrow(partial(_near, num=num, den=den), "a long, b long")
-    close = large.where("wide is null or other is null").select("a", "b").unionByName(fits)
+    close = saved(close.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), (F.least("x.n", "y.n") > wide_from(num, den)).alias("large")), "close")
+    wides = maps.where("wide is not null")  # only pairs that are left, of large sets, meet in their second bitmaps
+    large = close.where("large").join(wides.select(F.col("key").alias("a"), "wide"), "a").join(wides.select(F.col("key").alias("b"), F.col("wide").alias("other")), "b")
+    fits = large.select("a", "b", "n", "wide", "other").mapInArrow(partial(_near, num=num, den=den), "a long, b long")
+    close = close.where("not large").select("a", "b").unionByName(fits)
     crowds = met.where("hot is not null").select(F.col("a").alias("key"), "hot").distinct().join(maps, "key")
     clusters = components(close.unionByName(crowded(crowds, num, den)))
 
