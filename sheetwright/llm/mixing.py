@@ -97,26 +97,26 @@ def _found(rows: DataFrame, axis: str) -> dict[str, int]:
     return {r[axis]: r["tokens"] for r in large.orderBy(axis).collect()}
 
 
-def calibrated(docs: DataFrame, sources: Mapping[str, float] | None = None, languages: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None, topic_column: Column | None = None, keep: float = KEEP) -> tuple[DataFrame, DataFrame, tuple[Mapping[str, float], ...]]:
-    """(narrow rows with cell, tokens and draw; a row for each cell with its chance; the targets of each axis)."""
+def _measured(topic_column: Column | None) -> Column:
+    """What mixing needs of a document: its values on the axes, tokens, and the number it draws."""
     text = F.col("text").cast("string")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.col("lang").cast("string").alias("lang"),
-        (topic(text) if topic_column is None else topic_column).alias("topic"),
-        words(text).alias("tokens"),
-        _draw().alias("draw"),
-    )
-    rows = saved(rows, "cells")
+    kind = topic(text) if topic_column is None else topic_column
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), kind.alias("topic"), words(text).alias("tokens"), _draw().alias("draw"))
+
+
+def calibrated(rows: DataFrame, sources: Mapping[str, float] | None = None, languages: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None, keep: float = KEEP) -> tuple[DataFrame, tuple[Mapping[str, float], ...]]:
+    """(a row for each cell with its chance, the targets of each axis) of measured rows, a stored table."""
     if sources is None:
         sources = dict.fromkeys(_found(rows, "source"), 1.0)
     levelled = lambda axis: {k: float(n) ** LEVEL for k, n in _found(rows, axis).items()}
     listed = (sources, levelled("lang") if languages is None else languages, levelled("topic") if topics is None else topics)
-    rows = rows.withColumns({a: _category(F.col(a), names) for a, names in zip(_AXES, listed, strict=True)})
-    cells = rows.groupBy(*_AXES).agg(F.sum("tokens").alias("tokens")).collect()  # at most the product of the lists
+    cells = _categorised(rows, listed).groupBy(*_AXES).agg(F.sum("tokens").alias("tokens")).collect()  # at most the product of the lists
     chance = chances({tuple(r[a] for a in _AXES): r["tokens"] for r in cells}, listed, keep)
-    return rows, docs.sparkSession.createDataFrame([(*cell, p) for cell, p in sorted(chance.items())], _CELL), listed
+    return rows.sparkSession.createDataFrame([(*cell, p) for cell, p in sorted(chance.items())], _CELL), listed
+
+
+def _categorised(rows: DataFrame, listed: tuple[Mapping[str, float], ...]) -> DataFrame:
+    return rows.withColumns({a: _category(F.col(a), names) for a, names in zip(_AXES, listed, strict=True)})
 
 
 def wanted(natural: np.ndarray, names: Mapping[str, float]) -> np.ndarray:
@@ -149,15 +149,16 @@ def _draw() -> Column:
     return F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id").cast("long"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))), F.lit(1 << 53)) / float(1 << 53)
 
 
-def sampled(docs: DataFrame, **targets) -> DataFrame:
+def sampled(docs: DataFrame, topic_column: Column | None = None, **targets) -> DataFrame:
     """A row for each document: doc_id, source, lang, topic (as categories), tokens, chance, kept.
 
     Null or unlisted categories are one category, ``(other)``, with its natural share. Null and blank texts
     have no tokens. Rows that repeat id and text share their draw. Targets of categories without tokens go to
     the others in proportion. Empty tables give empty results; more columns are ignored, whatever their names.
     """
-    rows, cells, _ = calibrated(docs, **targets)
-    return rows.join(F.broadcast(cells), list(_AXES)).select("doc_id", *_AXES, "tokens", "chance", (F.col("draw") < F.col("chance")).alias("kept"))
+    rows = saved(docs.select(_measured(topic_column).alias("m")).select("m.*"), "cells")
+    cells, listed = calibrated(rows, **targets)
+    return _categorised(rows, listed).join(F.broadcast(cells), list(_AXES)).select("doc_id", *_AXES, "tokens", "chance", (F.col("draw") < F.col("chance")).alias("kept"))
 
 
 def achieved(sample: DataFrame) -> DataFrame:
@@ -171,12 +172,14 @@ def achieved(sample: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(whole)).select("axis", "category", "tokens", "kept_tokens", share("tokens", "all_tokens").alias("natural_share"), share("kept_tokens", "all_kept").alias("kept_share"))
 
 
-def mixed(docs: DataFrame, **targets) -> DataFrame:
-    """The sampled rows of ``docs``, with the columns of ``docs``."""
-    _, cells, (sources, languages, topics) = calibrated(docs, **targets)
-    text, names = F.col("text").cast("string"), ("mix_source", "mix_lang", "mix_topic", "mix_chance")
-    of = targets.get("topic_column")
-    keys = (_category(F.col("source").cast("string"), sources), _category(F.col("lang").cast("string"), languages), _category(topic(text) if of is None else of, topics))
-    cells = F.broadcast(cells.toDF(*names))
-    meets = (keys[0] == cells[names[0]]) & (keys[1] == cells[names[1]]) & (keys[2] == cells[names[2]])
-    return docs.join(cells, meets).where(_draw() < cells[names[3]]).select(*[docs[c] for c in docs.columns])
+def mixed(docs: DataFrame, topic_column: Column | None = None, **targets) -> DataFrame:
+    """The sampled rows of ``docs``, with the columns of ``docs``, whatever they are called.
+
+    Documents are written once with what was measured of them, so that no text is measured twice.
+    """
+    name = next(f"mix_{i}" for i in range(len(docs.columns) + 1) if f"mix_{i}" not in {c.lower() for c in docs.columns})
+    table = saved(docs.withColumn(name, _measured(topic_column)), "mixing")
+    cells, listed = calibrated(table.select(f"{name}.*"), **targets)
+    cells = F.broadcast(cells.toDF(*(f"{name}_{a}" for a in (*_AXES, "chance"))))
+    meets = [_category(F.col(f"{name}.{a}"), names) == cells[f"{name}_{a}"] for a, names in zip(_AXES, listed, strict=True)]
+    return table.join(cells, meets).where(F.col(f"{name}.draw") < cells[f"{name}_chance"]).select(*[table[c] for c in docs.columns])
