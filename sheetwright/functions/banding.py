@@ -66,7 +66,8 @@ def dustiness(value: Column) -> Column:
 def numeric_value(value: Column) -> Column:
     """The first signed decimal of a text, its first comma read as a point."""
     text = F.regexp_replace(value.cast("string"), r"(?s)^([^,]*),", "$1.")
-    return F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    number = F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1)
+    return F.when(number != "", number.try_cast("double"))
 
 
 def volatility(boiling: Column, process: Column) -> Column:

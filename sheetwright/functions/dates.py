@@ -15,7 +15,9 @@ _DATE = rf"\d{{1,2}}\s*[-./ ]\s*{_WORD}\s*[-./ ]\s*\d{{4}}|\d{{4}}[-/.]\d{{1,2}}
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """A date, or null where there is no such day."""
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    # Only whole dates are parsed: each failure costs an exception inside Spark.
+    whole = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when(whole.rlike(r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$"), F.try_to_date(whole, "yyyy-MM-dd"))
 
 
 def parse_date(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon_sections import PAGE_ADDRESS, PAGE_HEADING_LINES, PAGE_LINES, PAGE_MARKS, PAGE_TITLE
+from sheetwright.functions.text import without
 
 
 def alternation(labels: list[str]) -> str:
@@ -35,7 +36,7 @@ def numbered_parts(section: Column, number: int, most: int) -> Column:
 
     Numbers must rise: one that doesn't belongs to the part before it. Text before the first number belongs to none.
     """
-    text = F.translate(F.coalesce(section, F.lit("")), "\u0001\u0002", "")
+    text = without(F.coalesce(section, F.lit("")), "\u0001", "\u0002")
     marked = F.regexp_replace(text, rf"(?<!\d){number}\s*\.\s*([1-{most}])\s*\.?(?!\d)", "\u0001$1\u0002$0")
     pieces = F.transform(F.split(marked, "\u0001"), lambda p: F.split(p, "\u0002"))
     kind = "array<struct<key:int,value:string>>"

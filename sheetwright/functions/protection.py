@@ -13,7 +13,7 @@ from sheetwright.functions import lexicon_sections as lex
 from sheetwright.functions.fragments import sentences, thicknesses
 from sheetwright.functions.pages import alternation, without_marks, without_page_headings
 from sheetwright.functions.structure import quoted
-from sheetwright.functions.text import clean_lines, unique_ci, unused
+from sheetwright.functions.text import clean_lines, unique_ci, unused, without
 
 LISTS = ["respiratory_protection", "hand_protection", "glove_materials", "glove_thickness", "eye_face_protection", "body_protection", "engineering_controls", "exposure_limits", "dnel", "pnec", "hygiene_measures"]
 _NONE = "array<string>"
@@ -72,7 +72,7 @@ def with_protection(df: DataFrame, section: str, name: str = "protection") -> Da
     """``df`` with a struct of eleven lists found in the column ``section`` (null or empty: all empty)."""
     text, pairs, lists = unused(df, 3)
     every = [lex.PROTECTION_NUMBER + alternation([x for labels in lex.PROTECTION.values() for x in labels]), *lex.PROTECTION_ENDS]
-    plain = df.withColumn(text, F.translate(flat(F.coalesce(F.col(section), F.lit(""))), "\u0001\u0002", ""))
+    plain = df.withColumn(text, without(flat(F.coalesce(F.col(section), F.lit(""))), "\u0001", "\u0002"))
     pieces = F.filter(F.split(F.regexp_replace(F.col(text), rf"(?iU)({'|'.join(every)})", "\u0001$1\u0002"), "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
     field = F.lit(None).cast("string")
 

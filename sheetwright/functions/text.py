@@ -34,6 +34,13 @@ def unused(df: DataFrame, count: int) -> list[str]:
     return [name for name in free if name not in taken][:count]
 
 
+def without(value: Column, *marks: str) -> Column:
+    """Without the given characters."""
+    for mark in marks:
+        value = F.replace(value, F.lit(mark), F.lit(""))
+    return value
+
+
 def nfkc(value: Column) -> Column:
     """Unicode compatibility form, by the Unicode library that comes with Spark: no Python worker takes part."""
     return F.when(value.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(value, F.lit("")), F.lit(True)))

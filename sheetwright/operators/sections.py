@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.functions.codes import found
 from sheetwright.functions.lexicon import INSTRUCTION_MARKERS, NOT_CLASSIFIED, REFERENCE_STARTS, SCORE_CHEMISTRY, SCORE_HEADINGS, SCORE_TITLES, SECTION_TITLES, SHEET_MARKERS
-from sheetwright.functions.text import MARKED, PLAIN, fold, unused, upper_plain
+from sheetwright.functions.text import MARKED, PLAIN, unused, upper_plain, without
 
 #: What may begin a section: a word with a number, a first subsection (n.1), or a number at a line's start.
 _WORD = r"(?U:\b)(?iu:BÖLÜM|BOLUM|SECTION)(?U:\s*)(1[0-6]|[1-9])(?U:\s*)([:.\-]?)"
@@ -19,16 +21,19 @@ WORD_REACH, LINE_REACH, FIRST_REACH = 160, 220, 300
 _CUT, _FIELD = "\u0001", "\u0002"
 
 
-def _plain(word: str) -> str:
-    """``fold`` for a fixed word."""
-    low = word.replace("I", "i").replace("İ", "i").replace("ı", "i").lower()
-    return low.translate(str.maketrans(MARKED, PLAIN)).strip()
+def _loose(word: str) -> str:
+    """A pattern for a fixed word whatever its marks, case and white space."""
+    marks = {p: p + "".join(m for m, q in zip(MARKED, PLAIN, strict=True) if q == p) for p in set(PLAIN)}
+    low = word.replace("I", "i").replace("İ", "i").replace("ı", "i").lower().translate(str.maketrans(MARKED, PLAIN)).strip()
+    return "".join(r"\s+" if c == " " else f"[{marks[c]}]" if c in marks else re.escape(c) for c in low)
 
 
 def _titled(number: Column, following: Column) -> Column:
-    """A title word of section ``number`` occurs in the folded text after the heading (a stored value)."""
-    table = F.create_map(*[x for n, words in SECTION_TITLES.items() for x in (F.lit(n), F.array(*[F.lit(_plain(w)) for w in words]))])
-    return F.exists(F.try_element_at(table, number), lambda w: F.contains(following, w))
+    """A title word of section ``number`` occurs in the text after the heading (a stored value)."""
+    out = F.lit(False)
+    for n, words in SECTION_TITLES.items():
+        out = F.when(number == n, following.rlike("(?iuU)" + "|".join(dict.fromkeys(map(_loose, words))))).otherwise(out)
+    return out
 
 
 def _following(parts: Column, i: Column, size: int) -> Column:
@@ -50,27 +55,27 @@ def split_sections(docs: DataFrame, text: str = "text") -> DataFrame:
     One pass marks all candidates; the text is cut there once, and sections are put together from the pieces.
     """
     cut, near, found, chosen = unused(docs, 4)
-    whole = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _CUT + _FIELD, "")
+    whole = without(F.coalesce(F.col(text).cast("string"), F.lit("")), _CUT, _FIELD)
     # Word number, its mark, number of a subsection, number of a line; the heading; what follows.
     marked = F.regexp_replace(whole, _ANY, _CUT + _FIELD.join(["$1", "$2", "$4", "$5", "$0"]) + _FIELD)
     pieces = F.transform(F.split(F.concat(F.lit(_FIELD * 5), marked), _CUT), lambda p: F.split(p, _FIELD))
-    number = lambda p, k: p[k].try_cast("int")
+    number = lambda p, k: F.when(p[k] != "", p[k].cast("int"))  # noqa: E731 - trying to cast empty strings costs an exception each
     out = docs.withColumn(cut, F.transform(pieces, lambda p: F.struct(number(p, 0).alias("word"), p[1].alias("mark"), number(p, 2).alias("first"), number(p, 3).alias("line"), p[4].alias("head"), p[5].alias("rest"))))
     parts = F.col(cut)
 
     def around(p: Column, i: Column) -> Column:
-        """A candidate with the folded text after it and the end of the text before it."""
+        """A candidate with the text after it and how it stands to the text before it."""
         raw = F.when(p["word"].isNotNull(), _following(parts, i, WORD_REACH)).otherwise(_following(parts, i, LINE_REACH))
-        far = F.when(p["first"].isNotNull(), fold(F.replace(_following(parts, i, FIRST_REACH), F.lit("\n"), F.lit(" "))))
+        far = F.when(p["first"].isNotNull(), _following(parts, i, FIRST_REACH))
         before = F.substring(F.concat(parts[i - 1]["head"], parts[i - 1]["rest"]), -200, 200)
         n = F.coalesce(p["word"], p["line"], p["first"])
         at_start = F.when(p["word"].isNotNull(), before.rlike(r"(?s)(?:^|\n)[^\n\p{L}\p{N}]*$")).otherwise(p["line"].isNotNull() | F.endswith(before, F.lit("\n")))
-        return F.when(n.isNotNull(), F.struct(i.alias("at"), n.alias("n"), p["word"].isNotNull().alias("by_word"), p["mark"].alias("mark"), fold(F.replace(raw, F.lit("\n"), F.lit(" "))).alias("near"), far.alias("far"), at_start.alias("at_start")))
+        return F.when(n.isNotNull(), F.struct(i.alias("at"), n.alias("n"), p["word"].isNotNull().alias("by_word"), p["mark"].alias("mark"), raw.alias("near"), far.alias("far"), at_start.alias("at_start")))
 
     out = out.withColumn(near, F.filter(F.transform(parts, around), lambda c: c.isNotNull()))
 
     def judged(c: Column) -> Column:
-        refers = c["mark"].isin("", ".") & c["near"].rlike("^(?:" + "|".join(x.strip() for x in REFERENCE_STARTS) + ")")
+        refers = c["mark"].isin("", ".") & c["near"].rlike(r"(?iuU)^\s*(?:" + "|".join(map(_loose, REFERENCE_STARTS)) + ")")
         placed = F.when(c["by_word"], (c["mark"].isin(":", "-") | c["at_start"]) & ~refers).otherwise(c["at_start"])
         starts = c["far"].isNotNull() & _titled(c["n"], c["far"])
         return F.struct(c["at"].alias("at"), c["n"].alias("n"), (placed & _titled(c["n"], c["near"])).alias("is_heading"), starts.alias("is_first"))
@@ -109,7 +114,7 @@ def main_numbers(text: Column) -> Column:
     """Distinct section numbers from 1 to 16 that begin a line, ascending."""
     line = r"(?imU)^[ \t]*(?:(?:BÖLÜM|BOLUM|SECTION)\s*(1[0-6]|[1-9])\b|(1[0-6]|[1-9])\s*[.):-]\s+\S)"
     hits = F.concat(found(text, line, 1), found(text, line, 2))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(hits, lambda x: x.try_cast("int")), lambda x: x.isNotNull())))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(hits, lambda x: x != ""), lambda x: x.cast("int"))))
 
 
 def _any(text: Column, words: list[str]) -> Column:
