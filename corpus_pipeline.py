@@ -50,6 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each reads the table that the one before it wrote.
+
+    The result is that of the last stage, a row for each document that is left: its id, shard and slot. Null texts and
+    ids pass every stage (near duplicates keep all rows without an id); repeated rows count as copies of which one
+    stays; without labels nothing is rejected as toxic, without benchmark items nothing as leaked; an empty table gives
+    an empty result. More columns of documents are carried along.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.split()[0].lower())
