@@ -37,7 +37,7 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def pieces_of(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces_of(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs (first row, next row, bytes, row offsets into them) of at most ``most`` bytes, or one text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
