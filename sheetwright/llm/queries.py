@@ -70,6 +70,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.clustering import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64)
+
+
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), least=3, top=200)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetwright.llm.quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -81,6 +99,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_source_divergence_audit": op12_source_divergence_audit,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -122,3 +143,71 @@ def _url_sql() -> str:
 
 
 ORACLE_SQL["op8_url_filters"] = _url_sql()
+
+
+def _cluster_sql(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """Lloyd's rounds one after another, every vector against every centroid in whole numbers."""
+    far = f"list_sum([(v.e[i] - c.e[i]) * (v.e[i] - c.e[i]) for i in range(1, {width + 1})])"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+               WHERE len(embedding) = {width} AND list_count(embedding) = {width} AND len([x for x in embedding if NOT isfinite(x)]) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c, e FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v.e AS e, c, {far} AS d FROM v, c{i} AS c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS e FROM (SELECT c, i, CAST(floor_div AS BIGINT) AS m FROM
+                (SELECT c, i, CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS floor_div FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{i}) GROUP BY ALL))) GROUP BY c)""")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c))")
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.e, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} AS k USING (c)"""
+
+
+def _divergence_sql() -> str:
+    """Each pair of sources over every kept term, those that neither holds included."""
+    from sheetwright.llm.divergence import LOWER, TERM, UPPER
+
+    share = "1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY {by}) + count(*) OVER (PARTITION BY {by}))"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM d),
+        k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY ALL),
+        e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS MATERIALIZED (SELECT *, {share.format(by="lang, source")} AS p FROM e),
+        q AS (SELECT lang, term, {share.format(by="lang")} AS q FROM k),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o QUALIFY part = 'pair' OR rank <= 200"""
+
+
+def _quality_sql() -> str:
+    from sheetwright.llm.quality import LEAST_WORDS, MOST_REPEATED
+
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        s AS (SELECT *, regexp_extract_all(text, '{word}+') AS words, [x for x in string_split(text, chr(10)) if regexp_matches(x, '{word}')] AS lines FROM d),
+        w AS (SELECT r, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM s),
+        x AS (SELECT *, lead(a, 1) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM w),
+        y AS (SELECT r, i FROM x WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+        z AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM y, (VALUES (0), (1), (2)) AS v(o) GROUP BY r),
+        f AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+                     len([x for x in words if regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')]) AS letter_words,
+                     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters
+              FROM s LEFT JOIN z USING (r))
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+               NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR 100 * n_dup_lines > 30 * n_lines OR 100 * letter_words < 80 * n_words OR 100 * upper > 60 * letters) AS kept
+        FROM f"""
+
+
+ORACLE_SQL |= {"op11_centroid_clustering": _cluster_sql(), "op12_source_divergence_audit": _divergence_sql(), "op13_quality_rules": _quality_sql()}
