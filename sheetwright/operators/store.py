@@ -1,8 +1,10 @@
 """The tables of parsed sheets: child rows of each document, upload, reprocessing and its preview.
 
-A store is a folder with a Parquet table for each name in ``TABLES``, written batch by batch under ``batch=n``. A batch
-that is written again replaces itself, so a job that was cut off is simply run again. Documents are written last, and
-readers take for each document the rows of its latest batch: what a broken job left behind is never seen.
+A store is a folder with a Parquet table for each name in ``TABLES`` and a log of commits (``operators.commits``).
+Uploads, reprocessing and chemicals made by hand are batches of named writers, so none overwrites another's. A document
+belongs to the first commit that brought its id and its content; its rows are those of the last commit of that content.
+So two writers that bring the same content at once leave one document, and a second text under a known id leaves the
+first alone.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwright.operators.commits import Batch, Commit, every_commit, live, remove_unread, rows_of
 from sheetwright.operators.facts import document_facts, with_details
 from sheetwright.operators.relational import matched_chemicals, replace_refusal
 
@@ -57,61 +60,113 @@ def with_chemicals(facts: DataFrame, chemicals: DataFrame, ufis: DataFrame) -> D
     return found.withColumn("is_new", F.col("chemical_id").isNull()).withColumn("chemical_id", F.coalesce("chemical_id", own))
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The rows of a table that count: those of each document's latest batch; chemicals once each."""
-    rows = spark.read.parquet(f"{root}/{name}")
+def _owners(documents: DataFrame) -> DataFrame:
+    """(doc_id, place): the documents that count, with the commit whose rows are theirs."""
+    versions = documents.groupBy("doc_id", "file_hash").agg(F.min("place").alias("since"), F.max("place").alias("place"))
+    named = versions.groupBy("doc_id").agg(F.min_by(F.struct("file_hash", "since", "place"), F.struct("since", "file_hash")).alias("v")).select("doc_id", "v.*")
+    return named.groupBy("file_hash").agg(F.min_by(F.struct("doc_id", "place"), F.struct("since", "doc_id")).alias("d")).select("d.*")
+
+
+def _counted(spark: SparkSession, root: str, name: str, commits: list[Commit], schema: str | None = None) -> DataFrame:
+    """The rows of a table that count after ``commits``."""
+    rows = rows_of(spark, root, name, commits, schema)
     if name == "chemicals":
-        return rows.groupBy("id").agg(F.min_by(F.struct("product_name", "manufacturer", "internal_code"), "batch").alias("c")).select("id", "c.*")
-    latest = spark.read.parquet(f"{root}/documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["doc_id", "batch"]).drop("batch")
+        return rows.groupBy("id").agg(F.min_by(F.struct("product_name", "manufacturer", "internal_code"), "place").alias("c")).select("id", "c.*")
+    owners = _owners(rows_of(spark, root, "documents", commits, "doc_id long, file_hash string"))
+    return rows.join(owners, ["doc_id", "place"], "left_semi").drop("place")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a table that count: of each document those of its last commit; chemicals once each, as first made."""
+    return _counted(spark, root, name, live(every_commit(spark, root)))
 
 
-def _write(df: DataFrame, root: str, name: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+def outcomes(spark: SparkSession, root: str, writer: str, batch: int) -> DataFrame:
+    """What became of each document of a committed batch: (doc_id, file_hash, outcome)."""
+    found = [c for c in every_commit(spark, root) if (c.writer, c.batch) == (writer, batch)]
+    return rows_of(spark, root, "outcomes", found, "doc_id long, file_hash string, outcome string").drop("place")
 
 
-def _earlier(spark: SparkSession, root: str, name: str, batch: int, schema: str) -> DataFrame:
-    """Rows of a table that batches before this one wrote; none where there is no table yet."""
-    if not _exists(spark, f"{root}/{name}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{root}/{name}").where(F.col("batch") < batch)
+def create_chemicals(spark: SparkSession, root: str, rows: DataFrame, batch: int, writer: str = "by_hand") -> None:
+    """Add chemicals (product_name, manufacturer, internal_code) by hand. A chemical that is there stays as it is."""
+    attempt = Batch(spark, root, writer, batch)
+    if attempt.done is None:
+        made = rows.select(new_id(F.lit("made"), "product_name", "manufacturer", "internal_code").alias("id"), "product_name", "manufacturer", "internal_code").distinct()
+        attempt.write("chemicals", made)
+        attempt.commit()
 
 
-def create_chemicals(spark: SparkSession, root: str, rows: DataFrame, batch: int) -> None:
-    """Add chemicals (product_name, manufacturer, internal_code) by hand, as a batch of their own."""
-    _write(rows.select(new_id(F.lit("made"), "product_name", "manufacturer", "internal_code").alias("id"), "product_name", "manufacturer", "internal_code").distinct(), root, "chemicals", batch)
+def _parsed(docs: DataFrame) -> DataFrame:
+    """Facts and details of ``docs`` (doc_id, text and what else is there), without the text."""
+    return with_details(document_facts(docs)).drop("text")
 
 
-def _write_parsed(parsed: DataFrame, root: str, batch: int) -> None:
+def _write_parsed(parsed: DataFrame, attempt: Batch) -> None:
     for name, rows in child_rows(parsed).items():
-        _write(rows, root, name, batch)
-    _write(parsed.select(*_DOCUMENT, F.size("sections").alias("section_count")), root, "documents", batch)
+        attempt.write(name, rows)
+    attempt.write("documents", parsed.select(*_DOCUMENT, F.size("sections").alias("section_count")))
 
 
-def upload(docs: DataFrame, root: str, batch: int) -> None:
+def upload(docs: DataFrame, root: str, batch: int, writer: str = "upload") -> DataFrame:
     """Parse ``docs`` (doc_id, text) and add those whose text the store hasn't: match or make chemicals, child rows, documents.
 
-    Of equal texts within a batch the smallest doc_id stays. Batches are numbered upwards; a batch that is given again
-    replaces itself. Parsed rows are written once, so that no sheet is read twice. Null texts are sheets like others.
+    Returns (doc_id, file_hash, outcome) of each different (doc_id, text): ``stored``; ``known_content`` where the store
+    or a smaller doc_id of the batch has the text; ``id_taken`` where another text has the id (of two in a batch the
+    one with the smaller hash is taken); ``id_missing`` for a null id. A batch that is committed already is not read
+    again, its outcomes are returned. Parsed rows are written once, so that no sheet is read twice. Null texts are
+    sheets like others.
     """
     spark = docs.sparkSession
+    attempt = Batch(spark, root, writer, batch)
+    if attempt.done is not None:
+        return outcomes(spark, root, writer, batch)
+    earlier = lambda name, schema: _counted(spark, root, name, attempt.before, schema)
     hashed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("file_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    first = hashed.groupBy("file_hash").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("file_hash", "d.*")
-    fresh = first.join(_earlier(spark, root, "documents", batch, "file_hash string, batch int").select("file_hash"), "file_hash", "left_anti")
-    _write(with_details(document_facts(fresh)).drop("text"), root, "_parsed", batch)
-    facts = spark.read.parquet(f"{root}/_parsed/batch={batch}")
-    known = _earlier(spark, root, "chemicals", batch, "id long, product_name string, manufacturer string, internal_code string, batch int")
-    numbers = _earlier(spark, root, "identifiers", batch, "doc_id long, identifier_type string, identifier_value string, batch int").where("identifier_type = 'UFI'")
-    owners = _earlier(spark, root, "documents", batch, "doc_id long, chemical_id long, batch int").select("doc_id", "chemical_id").distinct()
-    parsed = with_chemicals(facts, known, numbers.join(owners, "doc_id").select("chemical_id", "identifier_value").distinct())
-    made = parsed.where("is_new").groupBy("chemical_id").agg(F.min_by(F.struct("product_name", "manufacturer", F.col("product_code").alias("internal_code")), "doc_id").alias("c"))
-    _write(made.select(F.col("chemical_id").alias("id"), "c.*"), root, "chemicals", batch)
-    _write_parsed(parsed, root, batch)
+    stored = earlier("documents", "doc_id long, file_hash string").select("doc_id", "file_hash")
+    keys = hashed.groupBy("doc_id", "file_hash").agg(F.lit(1).alias("one")).drop("one")
+    keys = keys.join(stored.select("file_hash", F.lit(True).alias("content")).distinct(), "file_hash", "left").join(stored.select("doc_id", F.lit(True).alias("named")).distinct(), "doc_id", "left")
+    judged = attempt.write("_keys", keys)
+    fresh = judged.where("content is null and named is null and doc_id is not null")
+    taken = fresh.groupBy("doc_id").agg(F.min("file_hash").alias("file_hash")).groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+    if taken.isEmpty():
+        said = F.when(F.col("doc_id").isNull(), "id_missing").when(F.col("content"), "known_content").otherwise("id_taken")
+        attempt.write("outcomes", judged.select("doc_id", "file_hash", said.alias("outcome")))
+        attempt.commit()
+        return outcomes(spark, root, writer, batch)
+    facts = attempt.write("_parsed", _parsed(hashed.join(taken, ["doc_id", "file_hash"], "left_semi").dropDuplicates(["doc_id"])))
+
+    numbers = earlier("identifiers", "doc_id long, identifier_type string, identifier_value string").where("identifier_type = 'UFI'")
+    owners = earlier("documents", "doc_id long, file_hash string, chemical_id long").select("doc_id", "chemical_id")
+    known = earlier("chemicals", "id long, product_name string, manufacturer string, internal_code string")
+    matched = with_chemicals(facts, known, numbers.join(owners, "doc_id").select("chemical_id", "identifier_value").distinct())
+    made = matched.where("is_new").groupBy("chemical_id").agg(F.min_by(F.struct("product_name", "manufacturer", F.col("product_code").alias("internal_code")), "doc_id").alias("c"))
+    attempt.write("chemicals", made.select(F.col("chemical_id").alias("id"), "c.*"))
+    _write_parsed(matched, attempt)
+    won = facts.select("doc_id", "file_hash", F.lit(True).alias("won"))
+    content_won = facts.select("file_hash", F.lit(True).alias("content_won"))
+    said = F.when(F.col("doc_id").isNull(), "id_missing").when(F.col("won"), "stored").when(F.col("content") | F.col("content_won"), "known_content").otherwise("id_taken")
+    attempt.write("outcomes", judged.join(won, ["doc_id", "file_hash"], "left").join(content_won, "file_hash", "left").select("doc_id", "file_hash", said.alias("outcome")))
+    attempt.commit()
+    return outcomes(spark, root, writer, batch)
+
+
+def compact(spark: SparkSession, root: str, batch: int, writer: str = "compaction") -> None:
+    """Put the rows that count into one batch, which stands in for all that it has read.
+
+    Commits that others make meanwhile stay as they are: the new batch has the number of the last that it has read.
+    """
+    attempt = Batch(spark, root, writer, batch)
+    if attempt.done is not None or len(attempt.before) < 2:
+        return
+    for name in TABLES:
+        if any(name in c.tables for c in attempt.before):
+            attempt.write(name, _counted(spark, root, name, attempt.before))
+    attempt.commit(replaces=[c.name for c in attempt.before], number=max(c.number for c in attempt.before))
+
+
+def clean_up(spark: SparkSession, root: str) -> int:
+    """Delete what broken attempts and compacted batches left; for quiet times. Outcomes of compacted batches go too."""
+    return remove_unread(spark, root, [*TABLES, "outcomes", "_keys", "_parsed", "_judged"])
 
 
 def preview(docs: DataFrame, root: str) -> DataFrame:
@@ -134,19 +189,24 @@ def differences(facts: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.select("doc_id", "refusal", F.explode_outer("changed").alias("c")).select("doc_id", "c.field", "c.stored", "c.parsed", "refusal")
 
 
-def reprocess(docs: DataFrame, root: str, batch: int) -> DataFrame:
-    """Parse ``docs`` (doc_id, text) again and replace what was derived; returns (doc_id, refusal).
+def reprocess(docs: DataFrame, root: str, batch: int, writer: str = "reprocess") -> DataFrame:
+    """Parse ``docs`` (doc_id, text) again and replace what was derived; returns (doc_id, file_hash, outcome).
 
-    Ids, hashes and chemicals stay. A document without a name, with other UFIs or a broken date is refused and keeps
-    its rows, as does one that the store hasn't.
+    Ids, hashes and chemicals stay. The outcome is ``replaced``, or why not: a document without a name, with other UFIs
+    or a broken date is refused and keeps its rows, as does one that the store hasn't. Of several texts of one id the
+    smallest is read. A batch that is committed already isn't read again.
     """
     spark = docs.sparkSession
-    _write(with_details(document_facts(docs.select("doc_id", "text"))).drop("text"), root, "_parsed", batch)
-    facts = spark.read.parquet(f"{root}/_parsed/batch={batch}")
-    stored = read_table(spark, root, "documents").select("doc_id", "file_hash", "chemical_id", F.col("ufi").alias("old_ufi"))
-    both = facts.join(stored, "doc_id", "left")
+    attempt = Batch(spark, root, writer, batch)
+    if attempt.done is not None:
+        return outcomes(spark, root, writer, batch)
+    once = docs.groupBy("doc_id").agg(F.min(F.col("text").cast("string")).alias("text"))
+    facts = attempt.write("_parsed", _parsed(once))
+    stored = _counted(spark, root, "documents", attempt.before, "doc_id long, file_hash string, chemical_id long, ufi string")
+    both = facts.join(stored.select("doc_id", "file_hash", "chemical_id", F.col("ufi").alias("old_ufi")), "doc_id", "left")
     refusal = F.when(F.col("file_hash").isNull(), "unknown_document").otherwise(replace_refusal(F.col("product_name"), F.col("old_ufi"), F.col("ufi"), F.col("revision_date").cast("string")))
-    _write(both.withColumn("refusal", refusal), root, "_judged", batch)
-    judged = spark.read.parquet(f"{root}/_judged/batch={batch}")
-    _write_parsed(judged.where("refusal is null"), root, batch)
-    return judged.select("doc_id", "refusal")
+    judged = attempt.write("_judged", both.withColumn("refusal", refusal))
+    _write_parsed(judged.where("refusal is null"), attempt)
+    attempt.write("outcomes", judged.select("doc_id", "file_hash", F.coalesce("refusal", F.lit("replaced")).alias("outcome")))
+    attempt.commit()
+    return outcomes(spark, root, writer, batch)

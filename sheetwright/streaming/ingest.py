@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,10 +28,17 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return facts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_tables(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def ingest_tables(stream: DataFrame, root: str, checkpoint: str, writer: str = "stream") -> StreamingQuery:
     """Upload each micro-batch of (doc_id, text) to the store at ``root``, then stop when no more are waiting.
 
-    Contents that the store has are skipped by a join with its documents, so no state grows. A micro-batch that is
-    given again after a failure replaces itself.
+    Contents that the store has are skipped by a join with its documents, so no state grows. Batches are named by
+    ``writer``, the id that the checkpoint gives the query, and the micro-batch: one that is given again after a failure
+    is done already, and a stream that starts anew with another checkpoint has names of its own.
     """
-    return stream.writeStream.foreachBatch(lambda docs, n: upload(docs, root, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+
+    def write(docs: DataFrame, n: int) -> None:
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        upload(docs, root, n, f"{writer}-{query}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
