@@ -17,33 +17,40 @@ from sheetwright.operators.facts import document_facts, with_details
 from sheetwright.operators.relational import matched_chemicals, replace_refusal
 
 TABLES = ("chemicals", "identifiers", "sections", "hazard_codes", "precautionary_codes", "ghs_codes", "storage_info", "ppe_info", "physical_properties", "documents")
-_DOCUMENT = ["doc_id", "file_hash", "chemical_id", "document_type", "product_name", "manufacturer", "product_code", "ufi", "signal_word", "revision_date", "preparation_date", "version", "sds_confidence", "classification_status", "processing_status", "review_reasons"]
+#: Columns of a document.
+DOCUMENT = ["doc_id", "file_hash", "chemical_id", "document_type", "product_name", "manufacturer", "product_code", "ufi", "signal_word", "revision_date", "preparation_date", "version", "sds_confidence", "classification_status", "processing_status", "review_reasons"]
 #: Values that a preview compares.
 COMPARED = ["product_name", "manufacturer", "product_code", "ufi", "signal_word", "revision_date", "preparation_date", "version", "processing_status"]
 
 
-def child_rows(facts: DataFrame) -> dict[str, DataFrame]:
-    """The child tables of parsed documents (``with_details``), keyed by doc_id; a document has a code once.
-
-    Arrays are exploded in the outer form: the inner one makes the optimizer add a filter that computes them again.
-    """
-    codes = lambda c: facts.select("doc_id", F.explode_outer(F.array_distinct(c)).alias("code")).where("code is not null")
+def child_arrays() -> dict[str, Column]:
+    """For each child table the rows of one parsed document (``with_details``) as an array of structs; a document has a code once."""
+    one = lambda values, name="code": F.transform(F.array_distinct(values), lambda v: F.struct(v.alias(name)))
     kinds = [("UFI", F.split("ufi", "; ")), ("CAS", F.col("component_cas")), ("EC", F.array("component_ec")), ("REACH", F.col("component_reach")), ("PRODUCT_CODE", F.array("product_code"))]
     typed = lambda kind: (lambda v: F.struct(F.lit(kind).alias("identifier_type"), v.alias("identifier_value")))
     pairs = F.flatten(F.array(*[F.transform(values, typed(kind)) for kind, values in kinds]))
-    identifiers = facts.select("doc_id", F.explode_outer(F.array_distinct(pairs)).alias("i")).select("doc_id", "i.*").where("identifier_value <> ''")
+    of_section = lambda n, *columns: F.when(F.map_contains_key("sections", F.lit(n)), F.array(F.struct(*columns)))
     return {
-        "identifiers": identifiers,
-        "sections": facts.select("doc_id", F.explode_outer("sections").alias("section_number", "content")).where("section_number is not null"),
-        "hazard_codes": codes("hazard_codes"),
-        "precautionary_codes": codes("precautionary_codes"),
-        "ghs_codes": codes("ghs_codes"),
-        "storage_info": facts.where(F.map_contains_key("sections", F.lit(7))).select("doc_id", *[f"handling.{c}" for c in ("handling_precautions", "storage_conditions", "incompatible_materials", "fire_explosion_precautions", "specific_end_use")]),
-        "ppe_info": facts.where(F.map_contains_key("sections", F.lit(8))).select("doc_id", "protection.*"),
-        "physical_properties": facts.where(F.map_contains_key("sections", F.lit(9))).select("doc_id", "properties.*"),
+        "identifiers": F.filter(F.array_distinct(pairs), lambda i: i["identifier_value"] != ""),
+        "sections": F.transform(F.map_entries("sections"), lambda e: F.struct(e["key"].alias("section_number"), e["value"].alias("content"))),
+        "hazard_codes": one(F.col("hazard_codes")),
+        "precautionary_codes": one(F.col("precautionary_codes")),
+        "ghs_codes": one(F.col("ghs_codes")),
+        "storage_info": of_section(7, *[f"handling.{c}" for c in ("handling_precautions", "storage_conditions", "incompatible_materials", "fire_explosion_precautions", "specific_end_use")]),
+        "ppe_info": of_section(8, "protection.*"),
+        "physical_properties": of_section(9, "properties.*"),
     }
 
 
+def child_rows(facts: DataFrame) -> dict[str, DataFrame]:
+    """The child tables of parsed documents, keyed by doc_id.
+
+    Arrays are exploded in the outer form: the inner one makes the optimizer add a filter that computes them again.
+    """
+    rows = lambda found: facts.select("doc_id", F.explode_outer(found).alias("row")).where("row is not null").select("doc_id", "row.*")
+    return {name: rows(found) for name, found in child_arrays().items()}
+
+
 def new_id(*values: Column) -> Column:
     """A positive id that the values decide, so that no counter has to be shared."""
     return F.xxhash64(*values).bitwiseAND(F.lit((1 << 62) - 1))
@@ -104,7 +111,7 @@ def _parsed(docs: DataFrame) -> DataFrame:
 def _write_parsed(parsed: DataFrame, attempt: Batch) -> None:
     for name, rows in child_rows(parsed).items():
         attempt.write(name, rows)
-    attempt.write("documents", parsed.select(*_DOCUMENT, F.size("sections").alias("section_count")))
+    attempt.write("documents", parsed.select(*DOCUMENT, F.size("sections").alias("section_count")))
 
 
 def upload(docs: DataFrame, root: str, batch: int, writer: str = "upload") -> DataFrame:

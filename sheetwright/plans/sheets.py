@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwright.functions import layout, lexicon_sections as lex, text
@@ -13,9 +13,9 @@ from sheetwright.functions.properties import with_properties
 from sheetwright.functions.protection import LISTS, with_protection
 from sheetwright.functions.structure import structured
 from sheetwright.operators import relational, reports
-from sheetwright.operators.facts import backfill_profile, document_facts
+from sheetwright.operators.facts import backfill_profile, document_facts, with_details
 from sheetwright.operators.sections import section_rows, split_sections
-from sheetwright.operators.store import child_rows, differences
+from sheetwright.operators.store import DOCUMENT, child_arrays, differences
 from sheetwright.plans.extraction import CAS_SQL
 from sheetwright.plans.views import table
 from sheetwright.sources.render import HAZARDS, TITLES, rendered
@@ -104,13 +104,26 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _children(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each child table by document, for the tables that need no details."""
-    facts = document_facts(rendered(spark, d))
-    out = None
-    for name in ("identifiers", "sections", "hazard_codes", "precautionary_codes", "ghs_codes"):
-        rows = child_rows(facts.withColumns({c: F.lit(None).cast("struct<handling_precautions:int,storage_conditions:int,incompatible_materials:int,fire_explosion_precautions:int,specific_end_use:int>") for c in ("handling", "protection", "properties")}))[name].select(F.lit(name).alias("child"), "doc_id")
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("child", "doc_id").agg(F.count("*").alias("rows"))
+    """Rows of the child tables, documents and chemicals that an upload of the sheets makes: child, doc_id, value.
+
+    Values are joined; of sections the heading is taken, of documents what the key decides.
+    """
+    sheets = rendered(spark, d)
+    for old, new in (("Keep closed.", "concat('7.2 Storage conditions: Keep item ', doc_id, ' in a dry room.')"), ("General text of part 8.", "concat('Hand protection: Wear nitrile gloves of 0,', doc_id % 9 + 1, ' mm.')"), ("\nState: ", "'\\nPhysical state: '")):
+        sheets = sheets.withColumn("text", F.expr(f"if(doc_id % 2 = 1, replace(text, '{old.replace(chr(10), chr(92) + 'n')}', {new}), text)"))
+    parsed = with_details(document_facts(sheets))
+    arrays = child_arrays()
+    arrays["sections"] = F.transform(arrays["sections"], lambda x: F.struct(x["section_number"], F.substring_index(x["content"], "\n", 1)))
+    arrays["documents"] = F.array(F.struct(*[c for c in DOCUMENT if c not in ("doc_id", "file_hash", "chemical_id")], F.size("sections").alias("section_count")))
+    arrays["chemicals"] = F.array(F.struct("product_name", "manufacturer", "product_code"))
+    flat = {"identifiers", "sections", "hazard_codes", "precautionary_codes", "ghs_codes", "chemicals"}
+
+    def rows(name: str) -> Column:
+        value = lambda x: F.to_csv(x, {"sep": "|", "emptyValue": ""}) if name in flat else F.to_json(x)
+        return F.transform(arrays[name], lambda x: F.struct(F.lit(name).alias("child"), value(x).alias("value")))
+
+    every = F.flatten(F.array_compact(F.array(*map(rows, arrays))))
+    return parsed.select("doc_id", F.explode(every).alias("r")).select("r.child", "doc_id", "r.value")
 
 
 def _preview(spark: SparkSession, d: str) -> DataFrame:
@@ -158,8 +171,33 @@ QUERIES = {
     "code_lists": lambda s, d: relational.code_lists(table(s, d, "lineitem").selectExpr("l_orderkey as doc_id", "if(l_partkey % 9 = 0, ' ', concat(' H', l_partkey % 30)) as code"), "doc_id", "code").select("doc_id", F.array_join("values", "|").alias("codes")),
 }
 
-_K = "k AS (SELECT p_partkey AS k, p_name, p_brand FROM part)"
+_K = "k AS (SELECT p_partkey AS k, p_name, p_brand, p_size FROM part)"
 _H = f"[{', '.join(repr(x) for x in HAZARDS)}]"
+
+
+def _children_sql() -> str:
+    headings = [f"{n}|{'SECTION' if n % 2 else 'BÖLÜM'} {n}: {title}" for n, title in enumerate(TITLES, 1)]
+    none = lambda names: ",".join(f'"{n}":[]' for n in names)
+    glove = "'\"Wear nitrile gloves of 0,' || (k % 9 + 1) || ' mm.\"'"
+    protection = "'{\"respiratory_protection\":[],\"hand_protection\":[' || g || '],\"glove_materials\":[' || g || '],\"glove_thickness\":[' || t || '],' || '" + none(LISTS[LISTS.index("glove_thickness") + 1 :]) + "}'"
+    return f"""WITH {_K}, f AS (SELECT *, k % 2 = 1 AS odd, {CAS_SQL} AS cas, 'V873-MN1G-R608-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS ufi, k % 13 <> 0 AS named FROM k)
+        SELECT 'chemicals' AS child, k AS doc_id, p_name || '|' || CASE WHEN named THEN p_brand || ' Chemicals' ELSE '' END || '|BK' || k AS value FROM f
+        UNION ALL SELECT 'documents', k, '{{"document_type":"SDS","product_name":"' || p_name || '",' || CASE WHEN named THEN '"manufacturer":"' || p_brand || ' Chemicals",' ELSE '' END || '"product_code":"BK' || k || '","ufi":"' || ufi
+            || '","signal_word":"' || CASE WHEN k % 2 = 0 THEN 'Danger' ELSE 'Warning' END || '","revision_date":"' || CAST(CAST(DATE '2015-01-01' + CAST(k % 3000 AS INTEGER) AS DATE) AS VARCHAR) || '","version":"' || (k % 9 + 1) || '.' || (k % 5)
+            || '","sds_confidence":' || CASE WHEN k % 11 = 0 THEN '0.85' ELSE '1.00' END || ',"classification_status":"classified","processing_status":"' || CASE WHEN named THEN 'sections_extracted' ELSE 'needs_review' END
+            || '","review_reasons":[' || CASE WHEN named THEN '' ELSE '"manufacturer_needs_review"' END || '],"section_count":' || CASE WHEN k % 7 = 0 THEN 15 ELSE 16 END || '}}' FROM f
+        UNION ALL SELECT 'hazard_codes', k, unnest([{_H}[k % 10 + 1], {_H}[(k + 3) % 10 + 1]]) FROM f
+        UNION ALL SELECT 'precautionary_codes', k, ['P280', 'P305+P351+P338', 'P302+P352', 'P264'][k % 4 + 1] FROM f
+        UNION ALL SELECT 'ghs_codes', k, unnest(list_distinct(list_filter(list_transform([{_H}[k % 10 + 1], {_H}[(k + 3) % 10 + 1]], lambda c: CASE WHEN c = 'H225' THEN 'GHS02' WHEN c IN ('H290', 'H314') THEN 'GHS05' WHEN c IN ('H315', 'H302', 'H319') THEN 'GHS07' WHEN c IN ('H351', 'H340') THEN 'GHS08' END), lambda g: g IS NOT NULL))) FROM f
+        UNION ALL SELECT 'identifiers', k, unnest(list_filter(['UFI|' || ufi, CASE WHEN k % 3 <> 0 THEN 'CAS|' || cas END, 'EC|2' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || '-181-' || (k % 10),
+            'REACH|01-2119' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') || '-33-0001', 'PRODUCT_CODE|BK' || k], lambda x: x IS NOT NULL)) FROM f
+        UNION ALL SELECT 'sections', k, h FROM f, (SELECT unnest({headings!r}) AS h) WHERE k % 7 <> 0 OR NOT starts_with(h, '12|')
+        UNION ALL SELECT 'physical_properties', k, '{{' || CASE WHEN odd THEN '"physical_state":"' || ['Katı', 'Sıvı', 'Toz', 'Gaz'][k % 4 + 1] || '",' ELSE '' END || '"boiling_point":"' || (p_size * 10) || ' °C"}}' FROM f
+        UNION ALL SELECT 'ppe_info', k, {protection} FROM (SELECT k, CASE WHEN odd THEN {glove} ELSE '' END AS g, CASE WHEN odd THEN '"0,' || (k % 9 + 1) || ' mm"' ELSE '' END AS t FROM f)
+        UNION ALL SELECT 'storage_info', k, '{{"handling_precautions":[],"storage_conditions":[' || CASE WHEN odd THEN '"Keep item ' || k || ' in a dry room.' || CASE WHEN k % 5 = 0 THEN ' For disposal see Section 13 of this sheet.' ELSE '' END || '"' ELSE '' END
+            || '],"incompatible_materials":[],"fire_explosion_precautions":[]}}' FROM f"""
+
+
 ORACLE_SQL = {
     "s7_handling": f"""WITH {_K} SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN 'Handle item ' || k || ' with all due care.' ELSE 'Avoid contact with item ' || k || ' at all times.' END AS handling_precautions,
         'Store item ' || k || ' in a dry room.' AS storage_conditions, 'Acids and item ' || (k + 1) || ' mixed, see 7.1' AS incompatible_materials, CASE WHEN k % 5 = 0 THEN '' ELSE 'Keep item ' || k || ' away from heat.' END AS fire_explosion_precautions,
@@ -181,9 +219,7 @@ ORACLE_SQL = {
     "column_values": f"WITH {_K} SELECT k AS p_partkey, unnest(['physical_state', 'color', 'odor', 'density']) AS field, unnest(['sıvı', 'c' || k, 'solvent', '0,' || k]) AS value FROM k",
     "meaningful_values": f"WITH {_K} SELECT k AS p_partkey, 'a|b ' || k || CASE WHEN k % 2 = 0 THEN '' ELSE '|c' END AS kept, CAST(CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END AS INTEGER) AS n, k % 2 = 1 AS last FROM k",
     "no_data_values": f"WITH {_K} SELECT k AS p_partkey, k % 4 IN (0, 2) AS no_data, k % 4 = 3 AS suspicious FROM k",
-    "child_tables": f"""WITH {_K} SELECT 'identifiers' AS child, k AS doc_id, CAST(CASE WHEN k % 3 = 0 THEN 4 ELSE 5 END AS BIGINT) AS rows FROM k UNION ALL SELECT 'sections', k, CASE WHEN k % 7 = 0 THEN 15 ELSE 16 END FROM k
-        UNION ALL SELECT 'hazard_codes', k, 2 FROM k UNION ALL SELECT 'precautionary_codes', k, 1 FROM k
-        UNION ALL SELECT 'ghs_codes', k, len(list_distinct(list_filter(list_transform([{_H}[k % 10 + 1], {_H}[(k + 3) % 10 + 1]], lambda c: CASE WHEN c = 'H225' THEN 'GHS02' WHEN c IN ('H290', 'H314') THEN 'GHS05' WHEN c IN ('H315', 'H302', 'H319') THEN 'GHS07' WHEN c IN ('H351', 'H340') THEN 'GHS08' END), lambda g: g IS NOT NULL))) FROM k""",
+    "child_tables": _children_sql(),
     "reprocess_preview": f"""WITH {_K}, j AS (SELECT *, k % 10 <> 0 AS known, CASE WHEN k % 10 = 0 THEN 'unknown_document' WHEN k % 7 = 0 THEN 'ufi_mismatch' END AS refusal FROM k)
         SELECT k AS doc_id, 'product_name' AS field, 'Old name' AS stored, p_name AS parsed, refusal FROM j WHERE known AND k % 3 = 0
         UNION ALL SELECT k, 'ufi', 'AAAA-MN1G-R608-0000', 'V873-MN1G-R608-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0'), refusal FROM j WHERE known AND k % 7 = 0
