@@ -22,48 +22,49 @@ REVISION_NOISE = [rf"\bRevizyon\s+tarihi\s+{NAMED_DAY}", rf"\bRevision\s+date\s*
 HEADING_MARKERS = ["güvenlik bilgi formu", "safety data sheet", "sayfa no:", "page no:", "düzenleme sayısı", "hazırlama tarihi", "yeniden düzenlenme ve yayın tarihi", "form no:", "www."]
 
 # Labels of section 7.
-HANDLING = [r"Güvenli\s+elleçleme\s+için\s+tavsiye", r"Elleçleme\s+için\s+tavsiye", r"Güvenli\s+kullanım\s+için\s+tavsiye", r"Güvenli\s+Elleçleme\s+İçin\s+Uyarılar", r"Advice\s+on\s+safe\s+handling", r"Precautions\s+for\s+safe\s+handling", r"Safe\s+handling\s+advice"]
-HANDLING_HEADINGS = [r"Güvenli\s+elleçleme\s+için\s+önlemler", r"Precautions\s+for\s+safe\s+handling"]
-HANDLING_HYGIENE = [r"Genel\s+hijyen\s+hususları", r"Genel\s+hijyen\s+önlemleri", r"Genel\s+Mesleki\s+Hijyen\s+İle\s+İlgili\s+Tavsiyeler", r"Hijyen\s+önlemleri", r"General\s+hygiene\s+considerations", r"Hygiene\s+measures"]
+HANDLING = ["Güvenli elleçleme için tavsiye", "Elleçleme için tavsiye", "Güvenli kullanım için tavsiye", "Güvenli Elleçleme İçin Uyarılar", "Advice on safe handling", "Precautions for safe handling", "Safe handling advice"]
+HANDLING_HEADINGS = ["Güvenli elleçleme için önlemler", "Precautions for safe handling"]
+HANDLING_HYGIENE = ["Genel hijyen hususları", "Genel hijyen önlemleri", "Genel Mesleki Hijyen İle İlgili Tavsiyeler", "Hijyen önlemleri", "General hygiene considerations", "Hygiene measures"]
 FIRE = [
-    r"Yangın\s+ve\s+patlamadan\s+korunmak\s+için\s+uyarılar", r"Yangın\s+ve\s+patlamadan\s+korunma\s+için\s+uyarılar", r"Yangın\s+ve\s+patlamadan\s+korunma", r"Yangın\s+ve\s+patlama\s+önlemleri",
-    r"Yangın\s+ve\s+patlama\s+tehlikelerine\s+karşı\s+önlemler", r"Information\s+about\s+fire\s*[-–—]\s*and\s+explosion\s+protection", r"Advice\s+on\s+protection\s+against\s+fire\s+and\s+explosion",
-    r"Advice\s+on\s+protection\s+against\s+fire", r"Fire\s+and\s+explosion\s+protection",
+    "Yangın ve patlamadan korunmak için uyarılar", "Yangın ve patlamadan korunma için uyarılar", "Yangın ve patlamadan korunma", "Yangın ve patlama önlemleri",
+    "Yangın ve patlama tehlikelerine karşı önlemler", "Information about fire - and explosion protection", "Advice on protection against fire and explosion",
+    "Advice on protection against fire", "Fire and explosion protection",
 ]
-HANDLING_ENDS = [r"Madde\s+veya\s+Karışımların\s+Uyuşmazlıkları", r"Çevre\s+İle\s+İlgili\s+Uyarılar", r"Ek\s+Uyarılar"]
-FIRE_ENDS = [r"7\s*\.\s*1\s*\.\s*1\s*\.\s*2", r"Madde\s+veya\s+Karışımların\s+Uyuşmazlıkları", r"Çevre\s+İle\s+İlgili\s+Uyarılar"]
+HANDLING_ENDS = ["Madde veya Karışımların Uyuşmazlıkları", "Çevre İle İlgili Uyarılar", "Ek Uyarılar"]
+FIRE_ENDS = ["7.1.1.2", "Madde veya Karışımların Uyuşmazlıkları", "Çevre İle İlgili Uyarılar"]
 STORAGE = [
-    r"Depolama\s+Koşulları", r"Depolama\s+Şartları", r"Saklama\s+Koşulları", r"Saklama\s+Şartları", r"Further\s+information\s+about\s+storage\s+conditions", r"Storage\s+conditions", r"Conditions\s+for\s+safe\s+storage",
-    r"Requirements\s+for\s+storage\s+areas\s+and\s+containers",
+    "Depolama Koşulları", "Depolama Şartları", "Saklama Koşulları", "Saklama Şartları", "Further information about storage conditions", "Storage conditions", "Conditions for safe storage",
+    "Requirements for storage areas and containers",
 ]
-STORAGE_HEADINGS = [r"Uyuşmazlıkları\s+da\s+içeren\s+güvenli\s+depolama\s+için\s+koşullar", r"Uyuşmazlıkları\s+da\s+içeren\s+güvenli\s+depolama\s+koşulları", r"Conditions\s+for\s+safe\s+storage,\s+including\s+any\s+incompatibilities"]
-STORAGE_CLASSES = [r"Alman\s+depolama\s+sınıfı(?:\s*\(TRGS\s*510\))?", r"Depolama\s+sınıfı", r"Storage\s+class"]
+STORAGE_HEADINGS = ["Uyuşmazlıkları da içeren güvenli depolama için koşullar", "Uyuşmazlıkları da içeren güvenli depolama koşulları", "Conditions for safe storage, including any incompatibilities"]
+STORAGE_CLASSES = ["Alman depolama sınıfı (TRGS 510)", "Alman depolama sınıfı", "Depolama sınıfı", "Storage class"]
 INCOMPATIBLE = [
-    r"Uyumsuz\s+Maddeler", r"Uyumsuz\s+malzemeler", r"Uyuşmayan\s+malzemeler", r"Madde\s+veya\s+Karışımların\s+Uyuşmazlıkları\s+İle\s+İlgili\s+Uyarılar", r"Birlikte\s+depolanmaması\s+gereken\s+malzemeler",
-    r"Birlikte\s+depolamayın", r"Information\s+about\s+storage\s+in\s+one\s+common\s+storage\s+facility", r"Incompatible\s+materials", r"Materials\s+to\s+avoid",
+    "Uyumsuz Maddeler", "Uyumsuz malzemeler", "Uyuşmayan malzemeler", "Madde veya Karışımların Uyuşmazlıkları İle İlgili Uyarılar", "Birlikte depolanmaması gereken malzemeler",
+    "Birlikte depolamayın", "Information about storage in one common storage facility", "Incompatible materials", "Materials to avoid",
 ]
-STORAGE_ENDS = [r"Ortak\s+Depolama\s+Şartları", r"Maksimum\s+Depolama\s+Süresi"]
-STORAGE_CLASS_ENDS = [r"Uyumsuz\s+malzemeler", r"Uyumsuz\s+Maddeler", r"Uyuşmayan\s+malzemeler", r"Incompatible\s+materials"]
-INCOMPATIBLE_ENDS = [r"7\s*\.\s*3", r"Belirli\s+Son\s+Kullanımlar", r"Specific\s+end\s+uses?"]
-END_USE = [r"Spesifik\s+kullanım\s*\(lar\)", r"Spesifik\s+kullanımlar", r"Specific\s+end\s+use\s*\(s\)", r"Specific\s+end\s+uses", r"Specific\s+use\s*\(s\)"]
-END_USE_HEADINGS = [r"Belirli\s+son\s+kullanım\s*\(lar\)", r"Belirli\s+son\s+kullanımlar", r"Specific\s+end\s+use\s*\(s\)", r"Specific\s+end\s+uses"]
-END_USE_ENDS = [r"Tanımlanan\s+Kullanımlar", r"Tanımlanmış\s+Kullanımlar", r"Risk\s+Yönetim\s+Yöntemleri", r"Risk\s+Yönetim\s+Önlemleri", r"Identified\s+uses", r"Risk\s+management\s+measures", r"\bRMM\b"]
+STORAGE_ENDS = ["Ortak Depolama Şartları", "Maksimum Depolama Süresi"]
+#: Labels of a storage class and what ends it.
+STORAGE_CLASS = {"Depolama sınıfı": ["Uyumsuz malzemeler", "Uyumsuz Maddeler", "Uyuşmayan malzemeler", "Incompatible materials"], "Storage class": [".", ";"]}
+INCOMPATIBLE_ENDS = ["7.3", "Belirli Son Kullanımlar", "Specific end uses", "Specific end use"]
+END_USE = ["Spesifik kullanım (lar)", "Spesifik kullanımlar", "Specific end use (s)", "Specific end uses", "Specific use (s)"]
+END_USE_HEADINGS = ["Belirli son kullanım (lar)", "Belirli son kullanımlar", "Specific end use (s)", "Specific end uses"]
+END_USE_ENDS = ["Tanımlanan Kullanımlar", "Tanımlanmış Kullanımlar", "Risk Yönetim Yöntemleri", "Risk Yönetim Önlemleri", "Identified uses", "Risk management measures", "RMM"]
 
 # Labels of section 8, each of which a number like 8.2.1 may lead, and what else ends a value.
 PROTECTION = {
-    "engineering_controls": [r"Uygun\s+mühendislik\s+kontrolleri", r"Mühendislik\s+kontrolleri", r"Mühendislik\s+önlemleri", r"Teknik\s+kontroller", r"Appropriate\s+engineering\s+controls", r"Engineering\s+controls", r"Engineering\s+measures"],
-    "respiratory_protection": [r"Solunum\s+korunması", r"Solunum\s+sisteminin\s+korunması", r"Solunum\s+ile\s+ilgili\s+önlemler", r"Solunumun\s+korunması", r"Solunum\s+koruması", r"Respiratory\s+protection", r"Breathing\s+protection"],
-    "hand_protection": [r"Ellerin\s+korunması", r"Elleri\s+koruma", r"El\s+koruması", r"El\s+korunması", r"Hand\s+protection"],
+    "engineering_controls": ["Uygun mühendislik kontrolleri", "Mühendislik kontrolleri", "Mühendislik önlemleri", "Teknik kontroller", "Appropriate engineering controls", "Engineering controls", "Engineering measures"],
+    "respiratory_protection": ["Solunum korunması", "Solunum sisteminin korunması", "Solunum ile ilgili önlemler", "Solunumun korunması", "Solunum koruması", "Respiratory protection", "Breathing protection"],
+    "hand_protection": ["Ellerin korunması", "Elleri koruma", "El koruması", "El korunması", "Hand protection"],
     "eye_face_protection": [
-        r"Göz\s*/\s*yüz\s+korunması", r"Göz\s*/\s*yüz\s+koruması", r"Göz\s+ve\s+yüz\s+korunması", r"Göz\s+ve\s+yüz\s+koruması", r"Gözlerin\s*/\s*yüzün\s+korunması", r"Gözlerin\s+korunması", r"Gözleri\s+koruma",
-        r"Göz\s+koruması", r"Eye\s*/\s*face\s+protection", r"Eye\s+and\s+face\s+protection", r"Eye\s+protection",
+        "Göz / yüz korunması", "Göz / yüz koruması", "Göz ve yüz korunması", "Göz ve yüz koruması", "Gözlerin / yüzün korunması", "Gözlerin korunması", "Gözleri koruma",
+        "Göz koruması", "Eye / face protection", "Eye and face protection", "Eye protection",
     ],
     "body_protection": [
-        r"Cildin\s+ve\s+vücudun\s+korunması", r"Cilt\s+ve\s+vücudun\s+korunması", r"Deri\s+ve\s+vücudun\s+korunması", r"Cildin\s+korunması", r"Deri\s+korunması", r"Vücudun\s+korunması", r"Vücut\s+koruması",
-        r"Skin\s+and\s+body\s+protection", r"Skin\s+protection", r"Body\s+protection",
+        "Cildin ve vücudun korunması", "Cilt ve vücudun korunması", "Deri ve vücudun korunması", "Cildin korunması", "Deri korunması", "Vücudun korunması", "Vücut koruması",
+        "Skin and body protection", "Skin protection", "Body protection",
     ],
-    "hygiene_measures": [r"Genel\s+hijyen\s+hususları", r"Genel\s+hijyen\s+önlemleri", r"Sağlık\s+tedbirleri", r"Hijyen\s+önlemleri", r"General\s+hygiene\s+considerations", r"General\s+hygiene\s+measures", r"Hygiene\s+measures"],
-    "environmental_controls": [r"Çevresel\s+maruziyet\s+kontrolleri", r"Çevresel\s+maruz\s+kalma\s+kontrolleri", r"Environmental\s+exposure\s+controls"],
+    "hygiene_measures": ["Genel hijyen hususları", "Genel hijyen önlemleri", "Sağlık tedbirleri", "Hijyen önlemleri", "General hygiene considerations", "General hygiene measures", "Hygiene measures"],
+    "environmental_controls": ["Çevresel maruziyet kontrolleri", "Çevresel maruz kalma kontrolleri", "Environmental exposure controls"],
 }
 PROTECTION_NUMBER = r"(?:(?<!\d)8(?:\s*\.\s*\d+){1,4}\s*\.?\s*(?!\d))?"
 PROTECTION_ENDS = [
@@ -79,7 +80,7 @@ LIMIT_MEASURE = r"\b\d+(?:[.,]\d+)?\s*(?:ppm|mg\s*/\s*m[3³])"
 LIMIT_UNIT = r"\b(?:ppm|mg/m3|mg/m³|twa|stel|pel|tlv)\b"
 # Words of engineering controls, glove materials and hygiene; headings above engineering controls.
 ENGINEERING_WORDS = ["havalandır", "ventilat", "lokal emiş", "local exhaust", "göz yıkama", "eye wash", "eyewash", "duş", "shower", "kapalı sistem", "closed system", "maruziyet sınır", "maruz kalma sınır", "işverenin uygun olduğu", "mühendislik kontrol", "engineering control"]
-ENGINEERING_HEADINGS = [r"Maruz\s+kalma\s+kontrolleri", r"Kişisel\s+koruyucu\s+ekipman", r"Kişisel\s+koruyucu\s+donanım", r"Exposure\s+controls"]
+ENGINEERING_HEADINGS = ["Maruz kalma kontrolleri", "Kişisel koruyucu ekipman", "Kişisel koruyucu donanım", "Exposure controls"]
 GLOVE_WORDS = ["nitril", "nitrile", "kauçuk", "rubber", "bütil", "butil", "butyl", "neopren", "neoprin", "neoprene", "pvc", "polivinil", "latex", "viton", "eval", "polietilen", "polyethylene"]
 HYGIENE_WORDS = ["ellerinizi yık", "elleri yık", "kirlenmiş giysi", "kirli kıyafet", "wash hands", "contaminated clothing", "sigara", "yemeyin", "içmeyin"]
 
@@ -134,10 +135,7 @@ PROPERTY_NAMES = {
     "upper_explosion_limit": ["üst patlama limiti", "üst patlama sınırı", "alevlenme üst limiti", "upper explosion limit", "upper flammability limit"],
 }
 # Labels that lost the blank before their value, with those values.
-JOINED_VALUES = {r"Uyarı\s+kelimesi": ["Dikkat", "Tehlike", "Warning", "Danger"], r"Signal\s+word": ["Warning", "Danger"]}
-# Words that earlier normalising split at a label inside them, and how they are put right.
-BAD_SPLITS = {
-    r"\brenk\s*:\s*siz\b": "renksiz", r"\bkoku\s*:\s*suz\b": "kokusuz", r"\bDNEL\s*:\s*s\b": "DNELs", r"\bPNEC\s*:\s*s\b": "PNECs", r"\bteleph\s*:\s*one\b": "telephone",
-    r"\btripolyph\s*:\s*osph\s*:\s*ate\b": "tripolyphosphate", r"\btripolyph\s*:\s*osphate\b": "tripolyphosphate", r"\bkullanım\s*:\s*ları\b": "kullanımları", r"\bUyuşmaz\s*:\s*lıkları\b": "Uyuşmazlıkları",
-    r"\balev\s*:\s*len": "alevlen",
-}
+JOINED_VALUES = {"Uyarı kelimesi": ["Dikkat", "Tehlike", "Warning", "Danger"], "Signal word": ["Warning", "Danger"]}
+# Words that earlier normalising split at a label inside them, with a colon where; the last is a stem.
+BAD_SPLITS = ["renk:siz", "koku:suz", "DNEL:s", "PNEC:s", "teleph:one", "tripolyph:osph:ate", "tripolyph:osphate", "kullanım:ları", "Uyuşmaz:lıkları"]
+BAD_SPLIT_STEMS = ["alev:len"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,19 @@ def alternation(labels: list[str]) -> str:
     return "(?:" + "|".join(labels) + ")"
 
 
+def spelled(word: str) -> str:
+    """A pattern for a word of the lexicon: blanks, and those around slashes, dashes, dots of numbers and brackets, may vary."""
+    out = re.sub(r"([.()])", r"\\\1", word)
+    for plain, loose in ((" / ", r"\s*/\s*"), (" - ", r"\s*[-–—]\s*"), (" \\(", r"\s*\("), (" ", r"\s+")):
+        out = out.replace(plain, loose)
+    return re.sub(r"(?<=\d)\\\.(?=\d)", r"\\s*\\.\\s*", out)
+
+
+def words(labels: list[str]) -> str:
+    """An alternation of the lexicon's words, of which the first that fits at a place counts."""
+    return alternation([rf"\b{spelled(w)}\b" if w.isupper() else spelled(w) for w in labels])
+
+
 def without_page_headings(text: Column) -> Column:
     """Without page marks, without heading blocks (a title line to the next address line), and without header lines."""
     whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")

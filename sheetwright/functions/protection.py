@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sheetwright.functions import lexicon_sections as lex
 from sheetwright.functions.fragments import sentences, thicknesses
-from sheetwright.functions.pages import alternation, without_marks, without_page_headings
+from sheetwright.functions.pages import alternation, without_marks, without_page_headings, words
 from sheetwright.functions.structure import quoted
 from sheetwright.functions.text import clean_lines, unique_ci, unused, without
 
@@ -71,7 +71,7 @@ def first_part(section: Column) -> Column:
 def with_protection(df: DataFrame, section: str, name: str = "protection") -> DataFrame:
     """``df`` with a struct of eleven lists found in the column ``section`` (null or empty: all empty)."""
     text, pairs, lists = unused(df, 3)
-    every = [lex.PROTECTION_NUMBER + alternation([x for labels in lex.PROTECTION.values() for x in labels]), *lex.PROTECTION_ENDS]
+    every = [lex.PROTECTION_NUMBER + words([x for labels in lex.PROTECTION.values() for x in labels]), *lex.PROTECTION_ENDS]
     plain = df.withColumn(text, without(flat(F.coalesce(F.col(section), F.lit(""))), "\u0001", "\u0002"))
     pieces = F.filter(F.split(F.regexp_replace(F.col(text), rf"(?iU)({'|'.join(every)})", "\u0001$1\u0002"), "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
     field = F.lit(None).cast("string")
@@ -79,7 +79,7 @@ def with_protection(df: DataFrame, section: str, name: str = "protection") -> Da
     def field_of(label: Column) -> Column:
         out = field
         for known, labels in lex.PROTECTION.items():
-            out = F.when(label.rlike(f"(?iU){alternation(labels)}$"), F.lit(known)).otherwise(out)
+            out = F.when(label.rlike(f"(?iU){words(labels)}$"), F.lit(known)).otherwise(out)
         return out
 
     marked = F.transform(F.transform(pieces, lambda p: F.split(p, "\u0002")), lambda p: F.struct(field_of(p[0]).alias("field"), p[0].alias("label"), p[1].alias("raw"), tidy(p[1]).alias("value")))
@@ -94,7 +94,7 @@ def with_protection(df: DataFrame, section: str, name: str = "protection") -> Da
     stop = F.array_position(F.transform(later, lambda p: F.coalesce(p["field"].isin(equipment), F.lit(False))), True).cast("int")
     until = F.when(stop > 0, F.slice(later, F.lit(1), stop - 1)).otherwise(later)
     joined = tidy(F.array_join(F.transform(until, lambda p: F.concat(F.when(p["label"].rlike(r"^8\s*\.\s*2\s*\.?$"), "").otherwise(p["label"]), p["raw"])), ""))
-    joined = F.trim(F.regexp_replace(joined, rf"(?iU)^{alternation(lex.ENGINEERING_HEADINGS)}\s*:?\s*", ""))
+    joined = F.trim(F.regexp_replace(joined, rf"(?iU)^{words(lex.ENGINEERING_HEADINGS)}\s*:?\s*", ""))
     loose = F.when((F.size(F.split(joined, " ")) >= 3) & _holds(joined, lex.ENGINEERING_WORDS), sentences(joined)).otherwise(none)
     limits, lines = content_lines(first_part(F.col(section))), content_lines(F.col(section))
     found = {

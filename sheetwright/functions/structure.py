@@ -1,4 +1,9 @@
-"""Structure normaliser: puts headings, subsections and labels that ran together back on lines of their own."""
+"""Structure normaliser: what ran together stands on lines of its own again.
+
+Everything before which a line has to end is an alternative of one pattern: page marks and what follows them, long
+rules, headings, numbered parts, known labels. A text is scanned once for all of them; what is found is the blank space
+in front, which becomes a line end. Other steps put values, codes and split words right.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetwright.functions.fragments import joined_hazard_codes, joined_p_groups
-from sheetwright.functions.lexicon_sections import BAD_SPLITS, JOINED_VALUES, PROPERTY_NAMES, STRUCTURE_LABELS
+from sheetwright.functions.lexicon_sections import BAD_SPLIT_STEMS, BAD_SPLITS, JOINED_VALUES, PROPERTY_NAMES, STRUCTURE_LABELS
+from sheetwright.functions.pages import alternation, spelled
 
 
 def quoted(words: list[str]) -> str:
@@ -14,64 +20,50 @@ def quoted(words: list[str]) -> str:
     return "(?:" + "|".join(rf"\Q{w}\E" for w in sorted({w.strip() for w in words}, key=lambda w: (-len(w), w))) + ")"
 
 
-def one_blank(text: Column) -> Column:
-    """One kind of line end; tabs, hard blanks and runs of blanks as one blank."""
-    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "[  \t]+", " ")
-
-
-def pages_apart(text: Column) -> Column:
-    """Page marks on lines of their own, long rules as line ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?iU)\s*(---\s*PAGE\s+\d+\s*---)\s*", "\n$1\n"), "_{20,}", "\n")
-
-
-def headings_apart(text: Column) -> Column:
-    """A new line before ``SECTION n:``; without the colon it is a mere reference."""
-    return F.regexp_replace(text, r"(?iU)[ \t]*((?:BÖLÜM|BOLUM|SECTION)\s*(?:1[0-6]|[1-9])\s*:)", "\n$1")
+_LABEL = quoted([w for group in (*STRUCTURE_LABELS.values(), *PROPERTY_NAMES.values()) for w in group])
+_PAGE = r"---\s{0,9}PAGE\s{1,9}\d{1,9}\s{0,9}---"
+_NUMBER = r"(?:1[0-6]|[1-9])(?:\.\d{1,2}){1,3}\.?"
+#: Space before which, or in whose place, a line ends. The group keeps a number; a blank behind it is doubled.
+LINE_ENDS = [
+    rf"\s+(?={_PAGE})|(?<!\s)(?={_PAGE})",
+    rf"(?<={_PAGE})(?:\s+|(?!\s))",
+    "_{20,}",
+    r"[ \t]+(?={0})|(?<![ \t])(?={0})".format(r"(?:BÖLÜM|BOLUM|SECTION)\s*(?:1[0-6]|[1-9])\s*:"),
+    rf"(?<![\d.])[ \t]+({_NUMBER})(?=([ \t]))",
+    rf"[ \t]+(?={_LABEL}(?:[ \t\n:]|$))",
+]
 
 
-def subsections_apart(text: Column) -> Column:
-    """A new line before ``n.n`` up to four levels, where blanks stand around it and no digit or dot before."""
-    return F.regexp_replace(text, r"(?<![\d.])[ \t]+((?:1[0-6]|[1-9])(?:\.\d{1,2}){1,3}\.?)(?=[ \t])", "\n$1 ")
+def lines_marked(text: Column) -> Column:
+    """A new line wherever one has to begin. A section without its colon is a mere reference, and words that only hold
+    a label (``renksiz``, ``DNELs``) stay whole."""
+    return F.regexp_replace(text, "(?iu)" + alternation(LINE_ENDS), "\n$1$2")
 
 
 def values_apart(text: Column) -> Column:
-    """``Signal wordWarning`` becomes ``Signal word: Warning``."""
-    for label, values in JOINED_VALUES.items():
-        text = F.regexp_replace(text, rf"(?iU)(?<!\w)({label})({'|'.join(values)})\b", "$1: $2")
-    return text
-
-
-def labels_apart(text: Column) -> Column:
-    """A new line before every known label that follows a blank and ends at a blank, a colon or the text's end.
-
-    One pass looks for all labels; words that only hold a label (``renksiz``, ``DNELs``) stay whole.
-    """
-    every = [w for group in (*STRUCTURE_LABELS.values(), *PROPERTY_NAMES.values()) for w in group]
-    return F.regexp_replace(text, rf"(?iu)(?<=[^\S\n])(?={quoted(every)}(?:[ \t\n:]|$))", "\n")
+    """A colon between a label and the value that is stuck to it."""
+    stuck = alternation([rf"(?<!\w){spelled(label)}(?={alternation(values)}\b)" for label, values in JOINED_VALUES.items()])
+    return F.regexp_replace(text, f"(?iU)({stuck})", "$1: ")
 
 
 def splits_repaired(text: Column) -> Column:
     """Words that were split at a label inside them, put right."""
-    mended = text
-    for pattern, whole in BAD_SPLITS.items():
-        mended = F.regexp_replace(mended, f"(?iU){pattern}", whole)
-    return F.when(text.rlike("(?iU)" + "|".join(BAD_SPLITS)), mended).otherwise(text)
-
-
-def lines_tidy(text: Column) -> Column:
-    """No blanks around line ends, two line ends in a row at most, none at the text's ends."""
-    out = F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    pattern = lambda split: r"\b" + split.replace(":", r"\s*:\s*") + ("" if split in BAD_SPLIT_STEMS else r"\b")
+    every, mended = [*BAD_SPLITS, *BAD_SPLIT_STEMS], text
+    for split in every:
+        mended = F.regexp_replace(mended, f"(?iU){pattern(split)}", split.replace(":", ""))
+    return F.when(text.rlike("(?iU)" + alternation([pattern(s) for s in every])), mended).otherwise(text)
 
 
-def codes_joined(text: Column) -> Column:
-    """``P305 + 351`` becomes ``P305+P351`` and ``H 315`` becomes ``H315``."""
-    return joined_hazard_codes(joined_p_groups(F.regexp_replace(text, r"(?i)\bP\s*(\d{3})\b", "P$1")))
+def tidy(text: Column) -> Column:
+    """Lines without blanks at their ends, one empty line in a row at most, none at the text's ends."""
+    lines = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t"))), "\n")
+    return F.btrim(F.regexp_replace(lines, r"\n{3,}", "\n\n"), F.lit("\n"))
 
 
 def structured(text: Column) -> Column:
-    """All steps in their order; a null text gives an empty one."""
-    out = F.coalesce(text, F.lit(""))
-    for step in (one_blank, pages_apart, headings_apart, subsections_apart, values_apart, labels_apart, codes_joined, splits_repaired, lines_tidy):
-        out = step(out)
-    return out
+    """A text with its structure; a null text gives an empty one."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "[  \t]+", " ")
+    marked = lines_marked(values_apart(plain))
+    codes = joined_hazard_codes(joined_p_groups(F.regexp_replace(marked, r"(?i)\bP\s*(\d{3})\b", "P$1")))
+    return tidy(splits_repaired(codes))

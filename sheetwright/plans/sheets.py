@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +19,9 @@ from sheetwright.plans.views import table
 from sheetwright.sources.render import HAZARDS, TITLES, rendered
 
 
-def _spelled(labels: list[str]) -> list[str]:
-    """Label patterns as plain words; patterns with choices are left out."""
-    plain = [re.sub(r"\\s[+*]", " ", x).replace("\\(", "(").replace("\\)", ")") for x in labels]
-    return [x for x in plain if not re.search(r"[\\?\[\]|*+^$]", x)]
-
-
 def _pick(labels: list[str], by: str = "k") -> str:
     """SQL for the label that a key picks."""
-    words = _spelled(labels)
-    return "array(" + ", ".join(f"'{w}'" for w in words) + f")[int({by} % {len(words)})]"
+    return "array(" + ", ".join(f"'{w}'" for w in labels) + f")[int({by} % {len(labels)})]"
 
 
 def _keyed(spark: SparkSession, d: str, value: str, name: str = "value") -> DataFrame:
@@ -53,7 +44,7 @@ _EIGHT = (
     f"if(k % 4 = 0, concat('Good ventilation of room ', k, '. Provide a shower.\\n'), concat('8.2.1 ', {_pick(lex.PROTECTION['engineering_controls'])}, ': Ventilate room ', k, '.\\n')), "
     f"'8.2.2.1. ', {_pick(lex.PROTECTION['respiratory_protection'])}, ' Wear mask ', k, '.\\n', {_pick(lex.PROTECTION['hand_protection'])}, ': Use nitrile gloves ≥ 0,', k % 9 + 1, ' mm. Change them daily.\\n', "
     f"{_pick(lex.PROTECTION['eye_face_protection'])}, ': Wear goggles ', k, '.\\n', {_pick(lex.PROTECTION['body_protection'])}, ': Wear coat ', k, '.\\n', "
-    f"if(k % 3 = 0, concat('{lex.PROTECTION['environmental_controls'][-1].replace(chr(92) + 's+', ' ')}: none.\\nPlease wash hands after shift ', k), concat({_pick(lex.PROTECTION['hygiene_measures'])}, ': Wash hands after shift ', k, '.')))"
+    f"if(k % 3 = 0, concat('{lex.PROTECTION['environmental_controls'][-1]}: none.\\nPlease wash hands after shift ', k), concat({_pick(lex.PROTECTION['hygiene_measures'])}, ': Wash hands after shift ', k, '.')))"
 )
 
 
@@ -201,7 +192,7 @@ def _children_sql() -> str:
 ORACLE_SQL = {
     "s7_handling": f"""WITH {_K} SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN 'Handle item ' || k || ' with all due care.' ELSE 'Avoid contact with item ' || k || ' at all times.' END AS handling_precautions,
         'Store item ' || k || ' in a dry room.' AS storage_conditions, 'Acids and item ' || (k + 1) || ' mixed, see 7.1' AS incompatible_materials, CASE WHEN k % 5 = 0 THEN '' ELSE 'Keep item ' || k || ' away from heat.' END AS fire_explosion_precautions,
-        'Only use as item ' || k || ' intends.' AS specific_end_use, CAST(length('7.3 ' || {str(_spelled(lex.END_USE))}[k % {len(_spelled(lex.END_USE))} + 1] || ': Only use as item ' || k || ' intends.') AS INTEGER) AS raw_3 FROM k""",
+        'Only use as item ' || k || ' intends.' AS specific_end_use, CAST(length('7.3 ' || {str(lex.END_USE)}[k % {len(lex.END_USE)} + 1] || ': Only use as item ' || k || ' intends.') AS INTEGER) AS raw_3 FROM k""",
     "s8_protection": f"""WITH {_K} SELECT k AS p_partkey, 'Wear mask ' || k || '.' AS respiratory_protection, 'Use nitrile gloves ≥ 0,' || (k % 9 + 1) || ' mm.|Change them daily.' AS hand_protection, 'Use nitrile gloves ≥ 0,' || (k % 9 + 1) || ' mm.' AS glove_materials,
         '≥ 0,' || (k % 9 + 1) || ' mm' AS glove_thickness, 'Wear goggles ' || k || '.' AS eye_face_protection, 'Wear coat ' || k || '.' AS body_protection,
         CASE WHEN k % 4 = 0 THEN 'Good ventilation of room ' || k || '.|Provide a shower.' ELSE 'Ventilate room ' || k || '.' END AS engineering_controls, 'TWA ' || (k % 50 + 1) || ' ppm for item ' || k || ' in air' AS exposure_limits,

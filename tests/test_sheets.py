@@ -90,15 +90,43 @@ def test_no_word_is_split(spark, word):
     assert one(spark, f"it is {word} here", structure.structured) == f"it is {word} here"
 
 
-def test_structure_steps(spark):
-    assert one(spark, "a\t b\r\nc", structure.one_blank) == "a b\nc"
-    assert one(spark, "a --- PAGE 2 --- b" + "_" * 25 + "c", structure.pages_apart) == "a\n--- PAGE 2 ---\nb\nc"
-    assert one(spark, "x SECTION 7: y, see section 8 z", structure.headings_apart) == "x\nSECTION 7: y, see section 8 z"
-    assert one(spark, "on 15.07.2016 a 8.2.1 b 17.1 c", structure.subsections_apart) == "on 15.07.2016 a\n8.2.1  b 17.1 c"
-    assert one(spark, "Uyarı kelimesiDikkat", structure.values_apart) == "Uyarı kelimesi: Dikkat"
-    assert one(spark, "x Renk: y güvenli depolama", structure.labels_apart) == "x \nRenk: y \ngüvenli \ndepolama"
-    assert one(spark, "renk: siz", structure.splits_repaired) == "renksiz"
-    assert one(spark, None, structure.structured) == ""
+@pytest.mark.parametrize(
+    ("text_", "want"),
+    [
+        ("a\t b\r\nc", "a b\nc"),
+        ("a --- PAGE 2 --- b" + "_" * 25 + "c", "a\n--- PAGE 2 ---\nb\nc"),
+        ("a\n--- PAGE 2 ---\n--- PAGE 3 ---b", "a\n--- PAGE 2 ---\n--- PAGE 3 ---\nb"),
+        ("x SECTION 7: y, see section 8 z", "x\nSECTION 7: y, see section 8 z"),
+        ("SECTION 7: y BÖLÜM 17: z", "SECTION 7: y BÖLÜM 17: z"),
+        ("on 15.07.2016 a 8.2.1 b 17.1 c", "on 15.07.2016 a\n8.2.1  b 17.1 c"),
+        ("Uyarı kelimesiDikkat Signal word Danger", "Uyarı kelimesi: Dikkat\nSignal word Danger"),
+        ("x Renk: y güvenli depolama", "x\nRenk: y\ngüvenli\ndepolama"),
+        ("x Renk: y güvenli elleçleme", "x\nRenk: y\ngüvenli\nelleçleme"),
+        ("Colour: blue Product name X 2.1. Label elements H 315 P305 + 351", "Colour: blue\nProduct name X\n2.1.\nLabel elements H315 P305+P351"),
+        ("renk: siz alev : lenir", "renksiz\nalevlenir"),
+        ("\n\n\n a \n \n \n\n b \n", "a\n\nb"),
+        (None, ""),
+    ],
+)
+def test_structure(spark, text_, want):
+    assert one(spark, text_, structure.structured) == want
+
+
+def test_storage_class(spark):
+    from sheetwright.functions.handling import storage_class
+
+    for flat, want in [("Depolama sınıfı: 10 - yanıcı Uyumsuz maddeler: x", "Depolama sınıfı 10 - yanıcı"), ("Depolama sınıfı 8", "Depolama sınıfı 8"), ("Depolama sınıfı: yok Storage class 8A; b", "Storage class 8A"), ("none", None), (None, None)]:
+        assert one(spark, flat, storage_class) == want
+
+
+def test_spelled_words():
+    import re
+
+    from sheetwright.functions.pages import words
+
+    for label, texts in {"Göz / yüz korunması": ["Göz/yüz  korunması", "Göz / yüz korunması"], "Specific end use (s)": ["Specific end use(s)", "Specific  end use (s)"], "7.1.1.2": ["7 . 1. 1.2"], "fire - and": ["fire–and"], "RMM": ["RMM"]}.items():
+        assert all(re.fullmatch(words([label]), t) for t in texts), label
+    assert not re.search(words(["RMM"]), "ARMMS")
 
 
 def test_layout(spark):
