@@ -118,8 +118,8 @@ ORACLE_SQL = {
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
         SELECT page_id, payload_bytes, p.payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to, true AS intact
+               CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to, true AS intact
         FROM p LEFT JOIN f USING (payload_digest)""",
 }
 

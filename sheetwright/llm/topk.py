@@ -9,6 +9,10 @@ Vectors lie in buckets of bounded bytes by their nearest pivot, queries likewise
 one bucket of its own pivot, which gives its queries a k-th score to beat. Buckets keep the least and greatest
 distance to each pivot, so a whole bucket has a bound too: only buckets that can still beat a query's score are
 read for its block. The best of all buckets are merged by a window.
+
+Vectors too long for exact float64 lie in buckets and blocks of their own, so they change nothing for the others.
+Where one takes part, float64 products with intervals for their rounding shortlist the candidates, and integers of any
+size decide among those.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ PIVOTS, MOST_PIVOTS, PER_PIVOT = 16, 128, 8
 SAMPLE, BUCKET_BYTES, BLOCK, CHUNK = 512, 8 << 20, 512, 256
 #: Candidates evaluated first, and in each further step.
 FIRST, STEP = 256, 1024
-#: Squared lengths below which sums of products of whole numbers are exact in float64.
-_EXACT = 2.0**50
+#: Squared lengths below which sums of products of whole numbers are exact in float64; the cell of longer vectors.
+_EXACT, _LONG_CELL = 2.0**50, -1
 _LONG = (1 << 63) - 1
 
 
@@ -62,8 +66,6 @@ def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first: each pivot is the vector farthest from those before it."""
     if not len(vectors):
         return vectors
-    if not np.isfinite(vectors).all() or (_squares(vectors) >= _EXACT).any():
-        return vectors[:0]  # distances would not be sure
     far = np.linalg.norm(vectors - vectors.mean(0), axis=1)
     chosen: list[int] = []
     near = np.full(len(vectors), np.inf)
@@ -92,29 +94,31 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _place(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Append each vector's nearest pivot of those given, and its width."""
+    """Append each vector's cell, its nearest pivot of those given or the cell of long vectors, and its width."""
     for batch in batches:
-        raw = _matrix(batch.column(1).to_pylist())
-        far = _distances(_whole(raw), pivots) if len(pivots) else np.zeros((len(raw), 1))
-        cell = np.argmin(np.where(np.isfinite(far), far, np.inf), axis=1)
+        whole = _whole(_matrix(batch.column(1).to_pylist()))
+        cell = np.argmin(_distances(whole, pivots), axis=1) if len(pivots) and len(whole) else np.zeros(len(whole), int)
+        cell = np.where(_squares(whole) < _EXACT, cell, _LONG_CELL)
         width = pc.list_value_length(batch.column(1)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), width], ["vec_id", "vector", "cell", "width"])
 
 
-_PACK = "bucket long, ids binary, vectors binary, far binary, floors binary, low binary, high binary, most double"
+_PARTS = ("ids", "rows", "vectors", "far", "floors", "squares", "low", "high")
+_PACK = "bucket long, " + ", ".join(f"{c} binary" for c in _PARTS) + ", most double"
 
 
 def _pack(table: pa.Table, pivots: np.ndarray) -> pa.Table:
-    """One row for a bucket or a block: ids, vectors, distances to pivots, scores to beat, and the bucket's bounds."""
-    table = table.sort_by("vec_id")
+    """One row for a bucket or a block: ids, rows, vectors, distances to pivots, scores to beat, squared lengths, and its bounds."""
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
     x = _matrix(table["vector"].to_pylist())
     whole = _whole(x)
-    far = _distances(whole, pivots) if len(pivots) else np.zeros((len(x), 0))
-    most = float(_squares(whole).max(initial=0))
-    exact = most < _EXACT
-    low, high = (far.min(0), far.max(0)) if exact else (np.zeros(far.shape[1]), np.full(far.shape[1], np.inf))
-    row = {"bucket": table["bucket"][:1], "ids": [table["vec_id"].to_numpy().tobytes()], "vectors": [x.tobytes()], "far": [far.tobytes()], "floors": [table["floor"].to_numpy().astype(float).tobytes()], "low": [low.tobytes()], "high": [high.tobytes()], "most": [most if exact else np.inf]}
-    return pa.table(row, schema=pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("ids", "vectors", "far", "floors", "low", "high")), ("most", pa.float64())]))
+    squares = _squares(whole)
+    short = bool((squares < _EXACT).all())  # of long vectors distances say nothing
+    far = _distances(whole, pivots) if len(pivots) and short else np.zeros((len(x), len(pivots)))
+    low, high = (far.min(0), far.max(0)) if short else (np.zeros(far.shape[1]), np.full(far.shape[1], np.inf))
+    found = {"ids": table["vec_id"].to_numpy(), "rows": table["row"].to_numpy(), "vectors": x, "far": far, "floors": table["floor"].to_numpy().astype(float), "squares": squares, "low": low, "high": high}
+    row = {"bucket": table["bucket"][:1], **{c: [found[c].tobytes()] for c in _PARTS}, "most": [float(squares.max(initial=0))]}
+    return pa.table(row, schema=pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in _PARTS), ("most", pa.float64())]))
 
 
 def _chunk(table: pa.Table) -> pa.Table:
@@ -131,14 +135,14 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             buckets, mosts, floors = np.frombuffer(r["buckets"], np.int64), np.frombuffer(r["mosts"]), np.frombuffer(r["floors"])
             far = np.frombuffer(r["far"]).reshape(len(floors), -1)
             lows, highs = (np.frombuffer(r[c]).reshape(len(buckets), -1) for c in ("lows", "highs"))
-            x = np.frombuffer(r["vectors"]).reshape(len(floors), -1)
-            q2 = _squares(_whole(x))
-            q2 = np.where(q2 < _EXACT, q2, np.inf)
+            q2 = np.frombuffer(r["squares"])
             for j, bucket in enumerate(buckets.tolist()):
                 with np.errstate(invalid="ignore", over="ignore"):
                     gap = np.maximum(np.maximum(far - highs[j], lows[j] - far), 0).max(1, initial=0)
-                    gap = np.where(np.isfinite(gap), gap, 0)
-                    bound = (q2 + mosts[j] - gap * gap) / 2 + 1e-12 * (q2 + mosts[j]) + 1
+                    gap = np.where(q2 < _EXACT, gap, 0)
+                    # The lesser of two bounds of a product: by distances, and by lengths.
+                    both = q2 + mosts[j]
+                    bound = np.fmin((both - gap * gap) / 2 + 1e-12 * both, np.sqrt(q2) * np.sqrt(mosts[j]) * (1 + 1e-9)) + 1
                 if bucket != r["first"] and not (bound < floors).all():
                     blocks.append(r["block"])
                     found.append(bucket)
@@ -154,11 +158,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _by_integers(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[int], list[int]]:
-    """The best by Python integers, for whole numbers beyond float64; scores are held to the range of long."""
-    own = _integers(q)
-    scores = [max(-_LONG, min(_LONG, sum(a * b for a, b in zip(own, _integers(row), strict=True)))) for row in x]
-    order = sorted(zip(scores, ids.tolist(), strict=True), key=lambda s: (-s[0], s[1]))[:k]
+def _by_intervals(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """The best where vectors are long: float64 products shortlist, Python's integers decide; scores are held to the range of long."""
+    own, whole = _whole(q), _whole(x)
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = whole @ own
+        # Rounding of a sum of n products: gamma(n) times the lengths, whatever the order; lengths are rounded up.
+        error = (len(own) + 2) * 2.0**-52 * np.sqrt(_squares(own[None])[0]) * np.sqrt(_squares(whole)) * 1.001 + 1
+        low, high = score - error, score + error
+    unsure = ~(np.isfinite(low) & np.isfinite(high))
+    low = np.where(unsure, -_LONG, np.clip(low, -_LONG, _LONG))
+    high = np.where(unsure, _LONG, np.clip(high, -_LONG, _LONG))
+    listed = np.flatnonzero(high >= np.partition(low, len(low) - k)[len(low) - k]) if len(low) > k else np.arange(len(low))
+    mine = _integers(q)
+    exact = [max(-_LONG, min(_LONG, sum(a * b for a, b in zip(mine, _integers(x[i]), strict=True)))) for i in listed.tolist()]
+    order = sorted(zip(exact, ids[listed].tolist(), strict=True), key=lambda s: (-s[0], s[1]))[:k]
     return [i for _, i in order], [s for s, _ in order]
 
 
@@ -188,20 +202,20 @@ def _by_bounds(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bound: np.ndarray,
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, vec_id, score): the best of a bucket for each query of a block."""
+    """(query, query_id, vec_id, score): the best of a bucket for each query row of a block."""
     for r in (row for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
-        q_ids, ids, floors = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["floors"])
+        q_ids, q_rows, ids, rows = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_rows", "ids", "rows"))
+        floors, q2, x2 = (np.frombuffer(r[c]) for c in ("floors", "q_squares", "squares"))
         q_raw, x_raw = np.frombuffer(r["q_vectors"]).reshape(len(q_ids), -1), np.frombuffer(r["vectors"]).reshape(len(ids), -1)
         q_far, far = np.frombuffer(r["q_far"]).reshape(len(q_ids), -1), np.frombuffer(r["far"]).reshape(len(ids), -1)
         width = max(q_raw.shape[1], x_raw.shape[1])
         q_raw, x_raw = _fit(q_raw, width), _fit(x_raw, width)
         q, x = _whole(q_raw), _whole(x_raw)
-        q2, x2 = _squares(q), _squares(x)
-        exact = max(q2.max(initial=0), x2.max(initial=0)) < _EXACT
-        out: tuple[list, list, list] = ([], [], [])
+        short = max(q2.max(initial=0), x2.max(initial=0)) < _EXACT
+        out: tuple[list, list, list, list] = ([], [], [], [])
         for at in range(0, len(q), 32):
             part = slice(at, at + 32)
-            if exact:
+            if short:
                 low = np.zeros((len(q[part]), len(x)))
                 for p in range(far.shape[1]):
                     np.maximum(low, np.abs(q_far[part, p, None] - far[None, :, p]), out=low)
@@ -209,26 +223,28 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 # The slack covers rounding: a bound is never below the score it bounds.
                 bounds = (both - low * low) / 2 + 1e-12 * both + 1
             for i in range(len(q[part])):
-                others = np.flatnonzero(ids != q_ids[at + i])
-                if exact:
+                others = np.flatnonzero(rows != q_rows[at + i])
+                if short:
                     others = others[bounds[i, others] >= floors[at + i]]
                     found, score = _by_bounds(q[at + i], x[others], ids[others], bounds[i, others], floors[at + i], k)
                 else:
-                    found, score = _by_integers(q_raw[at + i], x_raw[others], ids[others], k)
-                out[0].extend([int(q_ids[at + i])] * len(found))
-                out[1].extend(found)
-                out[2].extend(score)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                    found, score = _by_intervals(q_raw[at + i], x_raw[others], ids[others], k)
+                out[0].extend([int(q_rows[at + i])] * len(found))
+                out[1].extend([int(q_ids[at + i])] * len(found))
+                out[2].extend(found)
+                out[3].extend(score)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The ``k`` highest integer inner products of each query: query_id, rank (from 1), vec_id, score.
 
     Components count as floor(64 x). Queries are the rows whose id is divisible by ``every``, candidates all
-    rows with another id; ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
+    other rows; ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
     components take no part, nor do rows without an id. A shorter vector counts as ending in zeros, an empty
-    one as zero. Rows that repeat an id are candidates each; as a query the smallest of their vectors counts.
-    Scores beyond long are held to its range. Other columns are ignored; an empty table gives an empty result.
+    one as zero. Rows that repeat an id are candidates each, for each other too, and queries each: their ranks stand
+    under one query_id. Scores beyond long are held to its range. Other columns are ignored; an empty table gives an
+    empty result.
 
     ``pivots``: their number, by default between PIVOTS and MOST_PIVOTS by the vectors' width. They come from
     ``SAMPLE`` vectors at most (those of smallest hash); all rows are indexed.
@@ -236,11 +252,13 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int | None =
     usable = "vec_id is not null and vector is not null and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(usable)
     count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    short = "aggregate(vector, 0D, (a, x) -> a + 4096D * x * x) < 5e14"  # below _EXACT for sure
+    sample = rows.where(short).orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).collect()
     found = choose_pivots(_whole(_matrix([r["vector"] for r in sample])), pivots or min(MOST_PIVOTS, max(PIVOTS, width // PER_PIVOT))) if sample else np.zeros((0, 0))
     # As many pivots part the vectors as there will be full buckets.
     near = found[: max(1, count * width * 8 // BUCKET_BYTES)]
-    placed = saved(rows.mapInArrow(partial(_place, pivots=near), "vec_id long, vector array<double>, cell int, width long"), "placed")
+    placed = rows.mapInArrow(partial(_place, pivots=near), "vec_id long, vector array<double>, cell int, width long")
+    placed = saved(placed.withColumn("row", F.monotonically_increasing_id()), "placed")  # rows keep their number from here on
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("width").alias("width")).orderBy("cell").collect()  # one row for each pivot
 
     def dealt(df: DataFrame, sizes: dict[int, int]) -> DataFrame:
@@ -249,13 +267,12 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int | None =
         for cell, n in sorted(sizes.items()):
             begin[cell], at = at, at + n
         lookup = lambda d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in d.items() for v in pair]), F.col("cell")), F.lit(0)) if d else F.lit(0)
-        return df.withColumn("bucket", (lookup(begin) + F.pmod(F.xxhash64("vec_id"), F.greatest(lookup(sizes), F.lit(1)))).cast("long"))
+        return df.withColumn("bucket", (lookup(begin) + F.pmod(F.xxhash64("row"), F.greatest(lookup(sizes), F.lit(1)))).cast("long"))
 
     many = {r["cell"]: -(-r["n"] * max(1, r["width"]) * 8 // BUCKET_BYTES) for r in cells}
     run = on_table(_pack, pivots=found)
     buckets = saved(dealt(placed, many).withColumn("floor", F.lit(0.0)).groupBy("bucket").applyInArrow(run, _PACK), "buckets")
-    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("vector", "cell"), "vector").alias("v")).select("vec_id", "v.*")
-    asked = saved(asked, "asked")
+    asked = placed.where(F.col("vec_id") % every == 0)
     own = {r["cell"]: -(-r["count"] // BLOCK) for r in asked.groupBy("cell").count().collect()}
     blocked = dealt(asked, own)
     firsts = {cell: sum(n for c, n in many.items() if c < cell) for cell in many}  # each cell's first bucket
@@ -264,24 +281,25 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int | None =
     first = spark.createDataFrame(cell_of, "block long, first long")
 
     def blocks_with(floors: DataFrame | None) -> DataFrame:
-        rows = blocked.withColumn("floor", F.lit(float("-inf"))) if floors is None else blocked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        rows = blocked.withColumn("floor", F.lit(float("-inf"))) if floors is None else blocked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
         packed = rows.groupBy("bucket").applyInArrow(run, _PACK)
-        return packed.select(F.col("bucket").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("far").alias("q_far"), "floors").join(F.broadcast(first), "block")
+        return packed.select(F.col("bucket").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "vectors", "far", "squares")], "floors").join(F.broadcast(first), "block")
 
     def met(pairs: DataFrame) -> DataFrame:
-        rows = pairs.hint("shuffle_hash").join(buckets.select("bucket", "ids", "vectors", "far"), "bucket")
-        return rows.select("q_ids", "q_vectors", "q_far", "floors", "ids", "vectors", "far").mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
+        rows = pairs.hint("shuffle_hash").join(buckets.select("bucket", "ids", "rows", "vectors", "far", "squares"), "bucket")
+        return rows.select("q_ids", "q_rows", "q_vectors", "q_far", "q_squares", "floors", "ids", "rows", "vectors", "far", "squares").mapInArrow(partial(_search, k=k), "query long, query_id long, vec_id long, score long")
 
     home = saved(met(blocks_with(None).withColumn("bucket", F.col("first"))), "home")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     ranked = lambda best: best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     if sum(many.values()) <= 1:  # every block has met the only bucket
         return ranked(home)
-    kth = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    floors = kth.select("vec_id", F.when((F.col("n") >= k) & (F.col("least") > -_LONG), F.col("least").cast("double")).alias("floor"))
+    kth = home.groupBy(F.col("query").alias("row")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    # Rounded down, since a floor must never be above the score that it stands for.
+    floors = kth.select("row", F.when((F.col("n") >= k) & (F.col("least") > -_LONG), F.col("least").cast("double") - F.abs(F.col("least").cast("double")) * 1e-15).alias("floor"))
     blocks = saved(blocks_with(floors), "blocks")
     chunks = buckets.select("bucket", "low", "high", "most", F.expr(f"bucket div {CHUNK}").alias("chunk")).groupBy("chunk").applyInArrow(on_table(_chunk), "chunk long, buckets binary, lows binary, highs binary, mosts binary")
-    bounds = blocks.select("block", "first", "floors", F.col("q_far").alias("far"), F.col("q_vectors").alias("vectors"))
+    bounds = blocks.select("block", "first", "floors", F.col("q_far").alias("far"), F.col("q_squares").alias("squares"))
     bounds = bounds.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sum(many.values()) // CHUNK).cast("long")))).join(chunks, "chunk")
     pairs = saved(bounds.mapInArrow(_reach, "block long, bucket long"), "pairs")
     rest = met(pairs.repartition("block", "bucket").join(blocks.drop("first"), "block"))

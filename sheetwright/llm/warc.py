@@ -96,15 +96,18 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     Of records with equal payloads of at least ``LEAST`` bytes, the one with the smallest page_id is a response
     and the others are revisits that refer to it; their payload is written all the same, so that a reader can
     check it. Smaller payloads are all responses. Rows that share the smallest page_id are all responses. A
-    null payload is empty; a row with a null page_id is a response and no other refers to it. Columns beside
-    the three are ignored; an empty table makes archives without records.
+    null payload is empty. A row with a null page_id revisits the record with the smallest page_id like any other;
+    where no record of a payload has an id, all are responses. Columns beside the three are ignored; an empty table
+    makes archives without records.
     """
     kept = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     kept = kept.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    prints = saved(kept.where(F.octet_length("html") >= LEAST).where("page_id is not null").select("page_id", "digest"), "payloads")
-    firsts = prints.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("other")).where("other > first_page")
-    later = saved(prints.distinct().join(firsts.drop("other"), "digest").where("page_id <> first_page"), "revisits")
-    typed = kept.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, ["page_id", "digest"], "left").select("page_id", "url", "html", "first_page")
+    prints = saved(kept.where(F.octet_length("html") >= LEAST).select("page_id", "digest"), "payloads")
+    firsts = prints.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("other"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
+    firsts = firsts.where("other > first_page or (nameless > 0 and first_page is not null)").select("digest", "first_page")
+    later = saved(prints.distinct().join(firsts, "digest").where("page_id is null or page_id <> first_page"), "revisits").alias("r")
+    same = (F.col("p.digest") == F.col("r.digest")) & F.col("p.page_id").eqNullSafe(F.col("r.page_id"))
+    typed = kept.alias("p").join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, same, "left").select("p.page_id", "url", "html", "first_page")
     chunks = typed.mapInArrow(partial(_cut, chunk=chunk, archive=path), _ROW)
     lines = chunks.mapInArrow(_render, "value string")
     lines.write.option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", FILE_CHUNKS).text(path)

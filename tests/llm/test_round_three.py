@@ -252,3 +252,75 @@ def test_big_vocabulary(monkeypatch):
     text = " ".join(map(str, range((1 << 21) + 5))) + " 5 6 7 8"
     ((_, _, data, offsets),) = pieces_of(pa.array([text]))
     assert Texts(data, offsets).n_repeat_words.tolist() == [8]
+
+
+# --- exact top-k: long vectors and repeated ids ----------------------------------------------------------------------
+def _nearest(rows, every=20, k=20):
+    """The best of each query row by Python's integers."""
+    most = (1 << 63) - 1
+    own = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows]
+    out = []
+    for a, (i, v) in enumerate(own):
+        if i % every == 0:
+            best = sorted((-max(-most, min(most, sum(p * q for p, q in zip(v, w, strict=True)))), j) for b, (j, w) in enumerate(own) if b != a)[:k]
+            out += [(i, r, j, -score) for r, (score, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [400, 8 << 20])
+def test_top_k_of_long_vectors(spark, monkeypatch, size):
+    """Long vectors, whose scores no machine number holds, lie apart; ids repeat; zeros and ties."""
+    from sheetwright.llm import topk
+
+    monkeypatch.setattr(topk, "BUCKET_BYTES", size)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    rng = random.Random(4)
+    rows = [(i % 150, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(260)]
+    rows += [(300 + i, [rng.choice([1e6, -1e7, 1e8, 3e17, 1e30, 1e307]) * rng.uniform(0.5, 1), *[rng.uniform(-2, 2) for _ in range(5)]]) for i in range(45)]
+    rows += [(20, [0.0] * 6), (340, [1e8, 0.0, 0.0, 0.0, 0.0, 0.0]), (340, [1e8, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == _nearest(rows)
+
+
+def test_long_vectors_keep_pivots(spark, monkeypatch):
+    """One long vector leaves the others on the pivot path: integers of any size are used for its own pairs only."""
+    from sheetwright.llm import topk
+
+    rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(400)]
+    pairs = []
+    by_bounds, by_intervals = topk._by_bounds, topk._by_intervals
+    monkeypatch.setattr(topk, "_by_bounds", lambda q, x, *more: pairs.append(("bounds", len(x))) or by_bounds(q, x, *more))
+    monkeypatch.setattr(topk, "_by_intervals", lambda q, x, *more: pairs.append(("intervals", len(x))) or by_intervals(q, x, *more))
+    import pyarrow as pa
+
+    def packed(part, bucket):
+        table = pa.table({"bucket": [bucket] * len(part), "vec_id": [i for i, _ in part], "row": [i for i, _ in part], "vector": [v for _, v in part], "floor": [float("-inf")] * len(part)})
+        return topk._pack(table, topk.choose_pivots(topk._whole(np.array([v for _, v in rows])), 16)).to_pylist()[0]
+
+    long = packed([(1000, [1e8] + [0.0] * 7)], 1)
+    for q, x in ((packed(rows[:20], 0), packed(rows, 0)), (packed(rows[:20], 0), long)):
+        met = {**{f"q_{c}": q[c] for c in ("ids", "rows", "vectors", "far", "squares")}, "floors": q["floors"], **{c: x[c] for c in ("ids", "rows", "vectors", "far", "squares")}}
+        list(topk._search(iter([pa.RecordBatch.from_pylist([met])]), 20))
+    assert sum(n for kind, n in pairs if kind == "intervals") == 20
+    assert sum(kind == "bounds" for kind, _ in pairs) == 20
+
+
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_warc_without_ids(spark, monkeypatch, broadcast):
+    """Rows without an id revisit the smallest id; without any id all are responses. SQL says the same."""
+    import duckdb
+
+    from sheetwright.llm import warc
+    from sheetwright.llm.queries import ORACLE_SQL
+
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    rows = [(9, "x" * 200), (5, "x" * 200), (None, "x" * 200), (None, "x" * 200), (5, "x" * 200), (None, "y" * 200), (None, "y" * 200), (3, "z" * 200), (None, "short"), (4, "short"), (None, None), (7, None)]
+    df = spark.createDataFrame([(i, f"u{i}", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to), r.intact) for r in warc.round_trip(df).collect())
+    con = duckdb.connect()
+    con.register("pages", df.toArrow())
+    want = sorted((str(i), n, d, t, str(f), ok) for i, n, d, t, f, ok in con.execute(ORACLE_SQL["op5_warc"]).fetchall())
+    assert got == want
+    kinds = {(i, t, f) for i, _, _, t, f, _ in got}
+    assert ("None", "revisit", "5") in kinds and ("9", "revisit", "5") in kinds and ("5", "response", "None") in kinds and ("5", "revisit", "5") not in kinds
