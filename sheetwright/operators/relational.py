@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwright.functions.dates import effective_date, version_key
+from sheetwright.functions.text import unused
 
 
 def deduplicated_by_hash(docs: DataFrame, content: Column, doc_id: str = "doc_id") -> DataFrame:
@@ -34,13 +35,41 @@ def current_revisions(docs: DataFrame) -> DataFrame:
     return out.select("chemical_id", current.alias("current_id"))
 
 
-def history(docs: DataFrame) -> DataFrame:
+def _place_in_history() -> Column:
+    """What a chemical's history is sorted by, upwards: current first, then by date, upload and id, latest first."""
+    late = F.lit((1 << 63) - 1)
+    micros = F.unix_micros(F.col("uploaded_at").cast("timestamp"))
+    return F.struct(
+        F.when(F.col("is_current"), 0).otherwise(1).alias("current"),
+        F.coalesce(-F.unix_date("revision_date").cast("long"), late).alias("day"),
+        F.coalesce(-micros, late).alias("at"),
+        (-F.col("id").cast("long")).alias("id"),
+    )
+
+
+def history(docs: DataFrame, hot: int = 500_000, cells: int = 64) -> DataFrame:
     """``docs`` with ``position`` within a chemical's history: current first, then by date and upload, latest first.
 
-    Positions need a chemical's documents in one task, narrow rows that are sorted and may spill.
+    A chemical with more than ``hot`` documents is ranked in two phases: quantiles of a sample of its documents (those
+    with certain hashes, some 50 for each cell) part it into cells, counts of the cells give offsets, and each cell is
+    numbered on its own. So no task gets all its documents, and what is collected of it is bounded by ``cells``. Which
+    cells there are has no influence on positions. Documents without a chemical are numbered like one chemical.
     """
-    w = Window.partitionBy("chemical_id").orderBy(F.desc("is_current"), F.desc_nulls_last("revision_date"), F.desc_nulls_last("uploaded_at"), F.desc("id"))
-    return docs.withColumn("position", F.row_number().over(w))
+    names = unused(docs, 5)
+    key, cell, bounds, count, offset = map(F.col, names)
+    rows = docs.withColumn(names[0], _place_in_history()).withColumn("chemical_id", F.col("chemical_id"))
+    many = rows.groupBy("chemical_id").agg(F.count("*").alias(names[3])).where(count > hot).where("chemical_id is not null")
+    sample = rows.select("chemical_id", names[0]).join(many, "chemical_id").where(F.pmod(F.xxhash64(key["id"]), F.greatest(F.lit(1), F.floor(count / (50 * cells)))) == 0)
+    keys = sample.groupBy("chemical_id").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(cells - 1)), lambda i: F.element_at("keys", F.floor(i * F.size("keys") / cells).cast("int") + 1))
+    placed = rows.join(keys.select("chemical_id", cuts.alias(names[2])), "chemical_id", "left")
+    placed = placed.withColumn(names[1], F.coalesce(F.size(F.filter(bounds, lambda b: b <= key)), F.lit(0))).drop(names[2])
+    counts = placed.where("chemical_id is not null").join(many.select("chemical_id"), "chemical_id", "left_semi").groupBy("chemical_id", names[1]).agg(F.count("*").alias(names[3]))
+    before = Window.partitionBy("chemical_id").orderBy(names[1]).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as cells
+    offsets = counts.select("chemical_id", names[1], F.coalesce(F.sum(count).over(before), F.lit(0)).alias(names[4]))
+    numbered = placed.withColumn("position", F.row_number().over(Window.partitionBy("chemical_id", names[1]).orderBy(names[0])))
+    out = numbered.join(offsets, ["chemical_id", names[1]], "left").withColumn("position", F.col("position") + F.coalesce(offset, F.lit(0)))
+    return out.select(*docs.columns, F.col("position").cast("long").alias("position"))
 
 
 def summaries(chemicals: DataFrame, docs: DataFrame) -> DataFrame:
@@ -76,28 +105,32 @@ def identifier_of(identifiers: DataFrame, kind: str, blank: str = "—") -> Data
     return rows.groupBy("chemical_id").agg(F.min_by("identifier_value", "id").alias("found")).select("chemical_id", F.coalesce(F.nullif(F.trim("found"), F.lit("")), F.lit(blank)).alias("identifier"))
 
 
+#: The ways in which a chemical is recognised, the surest first.
+WAYS = ("ufi", "name_maker", "code", "name")
+
+
 def matched_chemicals(parsed: DataFrame, chemicals: DataFrame, ufis: DataFrame) -> DataFrame:
     """``parsed`` with the chemical that is meant: by UFI, by name and maker, by code and maker, or by name.
 
     The first way that finds one decides; of several the smallest id is taken. Comparison ignores case and
     surrounding blanks; missing values match nothing.
+
+    All ways are looked up by one join in long form, (way, key): different probes once each, so that values which most
+    sheets share are not met again and again, and the surest way that was found comes back by an aggregation.
     """
     key = lambda *cols: F.when(F.concat(*cols).isNotNull() & (F.concat(*[F.trim(c) for c in cols]) != ""), F.concat_ws("\x1f", *[F.lower(F.trim(c)) for c in cols]))
-    ways = [
-        (key(F.col("ufi")), ufis.select(key(F.col("identifier_value")).alias("k"), F.col("chemical_id").alias("id"))),
-        (key(F.col("product_name"), F.col("manufacturer")), chemicals.select(key(F.col("product_name"), F.col("manufacturer")).alias("k"), "id")),
-        (key(F.col("product_code"), F.col("manufacturer")), chemicals.select(key(F.col("internal_code"), F.col("manufacturer")).alias("k"), "id")),
-        (key(F.col("product_name")), chemicals.select(key(F.col("product_name")).alias("k"), "id")),
-    ]
-    out = parsed
-    for i, (probe, table) in enumerate(ways):
-        side = table.where("k is not null").groupBy("k").agg(F.min("id").alias(f"m{i}")).withColumnRenamed("k", f"k{i}")
-        out = out.withColumn(f"p{i}", probe).join(side, F.col(f"p{i}") == F.col(f"k{i}"), "left").drop(f"p{i}", f"k{i}")
-    names = [f"m{i}" for i in range(len(ways))]
-    way = F.lit(None).cast("string")
-    for name, label in zip(reversed(names), ("name", "code", "name_maker", "ufi"), strict=True):
-        way = F.when(F.col(name).isNotNull(), label).otherwise(way)
-    return out.withColumn("chemical_id", F.coalesce(*names)).withColumn("matched_by", way).drop(*names)
+    ways = lambda *keys: F.filter(F.array(*[F.struct(F.lit(i).alias("way"), k.alias("key")) for i, k in enumerate(keys)]), lambda w: w["key"].isNotNull())
+    name, maker, code = F.col("product_name"), F.col("manufacturer"), F.col("internal_code")
+    known = chemicals.select("id", F.explode(ways(F.lit(None).cast("string"), key(name, maker), key(code, maker), key(name))).alias("w")).select("id", "w.*")
+    known = known.unionByName(ufis.select(F.col("chemical_id").alias("id"), F.explode(ways(key(F.col("identifier_value")))).alias("w")).select("id", "w.*"))
+    known = known.groupBy("way", "key").agg(F.min("id").alias("id"))
+    probe, found = unused(parsed, 2)
+    asked = parsed.withColumn(probe, ways(key(F.col("ufi")), key(name, maker), key(F.col("product_code"), maker), key(name)))
+    probes = asked.where(F.size(probe) > 0).select(probe).distinct().select(probe, F.explode(probe).alias("w")).select(probe, "w.*")
+    best = probes.join(known, ["way", "key"]).groupBy(probe).agg(F.min(F.struct("way", "id")).alias(found))
+    out = asked.join(best, probe, "left")
+    way = F.when(F.col(f"{found}.id").isNotNull(), F.element_at(F.array(*map(F.lit, WAYS)), F.col(f"{found}.way") + 1))
+    return out.withColumn("chemical_id", F.col(f"{found}.id")).withColumn("matched_by", way).drop(probe, found).select(*[c for c in parsed.columns if c not in ("chemical_id", "matched_by")], "chemical_id", "matched_by")
 
 
 def missing_rows(wanted: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

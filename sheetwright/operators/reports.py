@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon import MONTH_NAMES, STATUS_LABELS, TEST_NAMES
 from sheetwright.functions.text import lower_tr
 
 NO_MAKER, NO_SHEET = "(none)", "no_sds"
+MISSING_MAKER = "Üretici bilgisi yok"
 
 
 def inventory_totals(summary: DataFrame) -> DataFrame:
@@ -30,6 +31,22 @@ def by_manufacturer(chemicals: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("manufacturer", "chemicals", (F.col("chemicals") * 100.0 / F.col("total")).alias("share")).orderBy(F.desc("chemicals"), "manufacturer")
 
 
+def manufacturer_report(chemicals: DataFrame, collation: str = "tr") -> DataFrame:
+    """Manufacturers by their number of chemicals, ties in the order of a language: position, manufacturer, chemicals.
+
+    Missing makers count under a name of their own. Makers with the same count are ranked among themselves, in one task
+    that sorts them and may spill, behind all with larger counts; different counts are few (their sum is at most the
+    number of chemicals).
+    """
+    name = F.coalesce(F.nullif(F.trim("manufacturer"), F.lit("")), F.lit(MISSING_MAKER))
+    counts = chemicals.groupBy(name.alias("manufacturer")).agg(F.count("*").alias("chemicals"))
+    sizes = counts.groupBy("chemicals").agg(F.count("*").alias("same"))
+    above = Window.orderBy(F.desc("chemicals")).rowsBetween(Window.unboundedPreceding, -1)
+    larger = sizes.select("chemicals", F.coalesce(F.sum("same").over(above), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("chemicals").orderBy(F.collate("manufacturer", collation), "manufacturer"))
+    return counts.withColumn("own", own).join(larger, "chemicals").select((F.col("own") + F.col("before")).alias("position"), "manufacturer", "chemicals")
+
+
 def by_status(summary: DataFrame, docs: DataFrame) -> DataFrame:
     """Chemicals by the status of their current document."""
     status = docs.select(F.col("id").alias("current_id"), "processing_status")

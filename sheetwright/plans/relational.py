@@ -106,7 +106,26 @@ def _search(spark, d):
     return reports.search(named, "MAKER 1", ["product_name", "manufacturer", "internal_code", "segment"]).select("id", "product_name", "manufacturer")
 
 
+#: Makers in the order of the Turkish alphabet.
+_TURKISH = ["cam", "Çam", "dağ", "Demir", "Ilgaz", "ışık", "inci", "İzmir", "kum", "oda", "Öz", "su", "Şeker", "un", "Üzüm", "zar"]
+
+
+def _report(spark, d):
+    """Chemicals of makers with Turkish letters: some makers have as many chemicals as others, some chemicals no maker."""
+    maker = F.element_at(F.array(*map(F.lit, _TURKISH)), (F.col("id") * 7 % 23 % 16 + 1).cast("int"))
+    rows = chemicals(spark, d).withColumn("manufacturer", F.when(F.col("id") % 29 == 0, " ").when(F.col("id") % 31 == 0, None).otherwise(maker))
+    return reports.manufacturer_report(rows)
+
+
+def _hot_history(spark, d):
+    """History of documents of which a third belong to one chemical."""
+    docs = documents(spark, d).selectExpr("id", "if(id % 3 = 0, 0, chemical_id) as chemical_id", "revision_date", "uploaded_at", "id % 11 = 0 as is_current")
+    return rel.history(docs, hot=1000, cells=16).select("chemical_id", "id", "position")
+
+
 QUERIES = {
+    "history_hot_chemical": _hot_history,
+    "manufacturer_report": _report,
     "dedup_by_hash": lambda s, d: rel.deduplicated_by_hash(table(s, d, "documents"), F.col("text")),
     "version_compare": lambda s, d: documents(s, d).select("id", (version_key(F.col("version")) > F.array(F.lit(2), F.lit(5))).alias("newer")),
     "effective_date": lambda s, d: documents(s, d).select("id", F.coalesce("revision_date", "preparation_date").alias("day")),
@@ -134,6 +153,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "history_hot_chemical": f"""WITH {DOCUMENTS_SQL}, h AS (SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE chemical_id END AS chemical_id, revision_date, uploaded_at, id % 11 = 0 AS is_current FROM documents_)
+        SELECT chemical_id, id, row_number() OVER (PARTITION BY chemical_id ORDER BY is_current DESC, revision_date DESC NULLS LAST, uploaded_at DESC NULLS LAST, id DESC) AS position FROM h""",
+    "manufacturer_report": f"""WITH t AS (SELECT unnest({_TURKISH!r}) AS manufacturer, unnest(range({len(_TURKISH)})) AS place UNION ALL SELECT 'Üretici bilgisi yok', 14.5),
+        m AS (SELECT CASE WHEN c_custkey % 29 = 0 OR c_custkey % 31 = 0 THEN 'Üretici bilgisi yok' ELSE {_TURKISH!r}[c_custkey * 7 % 23 % 16 + 1] END AS manufacturer FROM customer),
+        c AS (SELECT manufacturer, count(*) AS chemicals FROM m GROUP BY 1)
+        SELECT row_number() OVER (ORDER BY chemicals DESC, place) AS position, manufacturer, chemicals FROM c JOIN t USING (manufacturer)""",
     "dedup_by_hash": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "version_compare": f"WITH {DOCUMENTS_SQL} SELECT id, CASE WHEN version IS NOT NULL THEN {_KEY} > [2, 5] END AS newer FROM documents_",
     "effective_date": f"WITH {DOCUMENTS_SQL} SELECT id, coalesce(revision_date, preparation_date) AS day FROM documents_",

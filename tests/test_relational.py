@@ -8,12 +8,8 @@ from sheetwright.operators import relational as rel
 
 
 def test_current_revision_is_the_fold(spark):
-    rng = random.Random(4)
-    rows = []
-    for i in range(600):
-        day = dt.date(2020, 1, rng.randint(1, 4)) if rng.random() < 0.8 else None
-        rows.append((i, rng.randint(0, 60), dt.datetime(2021, 1, rng.randint(1, 28)), day, None, rng.choice([None, "1.0", "1.2", "2", "x"])))
-    docs = spark.createDataFrame(rows, "id long, chemical_id long, uploaded_at timestamp, revision_date date, preparation_date date, version string")
+    rows = _uploads(random.Random(4), 600, 60)
+    docs = spark.createDataFrame(rows, UPLOAD)
     got = {r.chemical_id: r.current_id for r in rel.current_revisions(docs).collect()}
     want = {}
     for i, chem, _, day, _, version in sorted(rows, key=lambda r: (r[2], r[0])):
@@ -27,6 +23,73 @@ def test_current_revision_is_the_fold(spark):
     assert got == {c: v[0] for c, v in want.items()}
 
 
+def _uploads(rng, n, chemicals):
+    rows = []
+    for i in range(n):
+        day = dt.date(2020, 1, rng.randint(1, 4)) if rng.random() < 0.8 else None
+        rows.append((i, rng.randint(0, chemicals), dt.datetime(2021, 1, rng.randint(1, 28)), day, None, rng.choice([None, "1.0", "1.2", "2", "x"])))
+    return rows
+
+
+UPLOAD = "id long, chemical_id long, uploaded_at timestamp, revision_date date, preparation_date date, version string"
+
+
+def test_current_revision_of_a_stream(spark, tmp_path):
+    """Any split of the uploads, in any order, and a restart between them, come to what a batch finds."""
+    from sheetwright.streaming.current import current_table, follow_current
+
+    rng = random.Random(9)
+    rows = _uploads(rng, 300, 40)
+    rng.shuffle(rows)
+    want = {r.chemical_id: r.current_id for r in rel.current_revisions(spark.createDataFrame(rows, UPLOAD)).collect()}
+    root, state = str(tmp_path / "store"), str(tmp_path / "state")
+    assert current_table(spark, root).count() == 0
+    cuts = [0, *sorted(rng.sample(range(300), 4)), 300]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        spark.createDataFrame(rows[a:b], UPLOAD).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
+        if i in (1, 4):  # what has come so far, file by file
+            stream = spark.readStream.schema(UPLOAD).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            follow_current(stream, root, state).awaitTermination(120)
+    assert {r.chemical_id: r.current_id for r in current_table(spark, root).collect()} == want
+
+
+def test_history_of_a_hot_chemical(spark):
+    """Two-phase ranks are those of one window, and no cell holds most of a hot chemical."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), dt.datetime(2021, 1, rng.randint(1, 3)) if rng.random() < 0.9 else None, dt.date(2020, 1, rng.randint(1, 3)) if rng.random() < 0.7 else None, rng.choice([True, False, False, None])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "id long, chemical_id long, uploaded_at timestamp, revision_date date, is_current boolean")
+    plain = {r.id: r.position for r in rel.history(docs).collect()}
+    got = rel.history(docs, hot=50, cells=8)
+    assert {r.id: r.position for r in got.collect()} == plain
+    key = lambda r: (not r[4], -(r[3].toordinal() if r[3] else 0), -(r[2].timestamp() if r[2] else 0), -r[0])
+    for chem in (1, 2, 3, None):
+        mine = sorted((r for r in rows if r[1] == chem), key=key)
+        assert [plain[r[0]] for r in mine] == list(range(1, len(mine) + 1))
+    assert got.columns == [*docs.columns, "position"]
+    assert rel.history(docs.limit(0), hot=1).count() == 0
+
+
+def test_match_by_one_join(spark):
+    """Every way in its order, duplicates, missing values; the parsed rows are shuffled once."""
+    chemicals = spark.createDataFrame([(1, "Acid", "Acme", "A1"), (2, "acid ", "Other", None), (3, "Base", None, "B1"), (0, "Base", "Acme", "A1")], "id long, product_name string, manufacturer string, internal_code string")
+    ufis = spark.createDataFrame([(2, "AAAA"), (1, " aaaa"), (3, None)], "chemical_id long, identifier_value string")
+    kind = "doc_id long, ufi string, product_name string, manufacturer string, product_code string, tmp_0 string"
+    parsed = spark.createDataFrame([(1, "aaaa ", "Base", "x", "y", "k"), (2, "zzzz", " ACID", "acme", None, "k"), (2, None, "Nothing", "ACME", "a1", "k"), (3, None, "base", None, None, "k"), (4, "", None, None, " ", "k"), (5, "", "Unknown", "Acme", None, "k")], kind)
+    out = rel.matched_chemicals(parsed, chemicals, ufis)
+    assert out.columns == [*parsed.columns, "chemical_id", "matched_by"]
+    got = sorted((r.doc_id, r.chemical_id if r.chemical_id is not None else -1, str(r.matched_by), r.tmp_0) for r in out.collect())
+    assert got == [(1, 1, "ufi", "k"), (2, 0, "code", "k"), (2, 1, "name_maker", "k"), (3, 0, "name", "k"), (4, -1, "None", "k"), (5, -1, "None", "k")]
+
+
+def test_turkish_order(spark):
+    from sheetwright.operators.reports import manufacturer_report
+
+    words = ["zar", "Üzüm", "un", "Şeker", "su", "Öz", "oda", "inci", "ışık", "Demir", "Çam", "cam", "ağ"]
+    rows = [(w,) for w in words] + [("zar",), (None,), (" ",), ("  zar ",)]
+    got = [(r.position, r.manufacturer, r.chemicals) for r in manufacturer_report(spark.createDataFrame(rows, "manufacturer string")).orderBy("position").collect()]
+    assert got == list(zip(range(1, 15), ["zar", "Üretici bilgisi yok", "ağ", "cam", "Çam", "Demir", "ışık", "inci", "oda", "Öz", "su", "Şeker", "un", "Üzüm"], [3, 2] + [1] * 12, strict=True))
+
+
 def test_insert_if_absent_and_replace(spark):
     have = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, code string")
     new = spark.createDataFrame([(1, "a"), (1, "c"), (1, "c")], "doc_id long, code string")
