@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon import (
@@ -15,11 +15,13 @@ from sheetwright.functions.lexicon import (
     LIQUID,
     NO_CONTROLS_ADVICE,
     RECOMMENDATIONS,
+    REFUSALS,
     SKIN_EYE,
     SKIN_EYE_ADVICE,
     SOLID,
+    SOLID_FORM,
 )
-from sheetwright.functions.text import lower_tr
+from sheetwright.functions.text import lower_tr, unused
 
 
 def _array(values: list[str]) -> Column:
@@ -48,6 +50,13 @@ def hazard_group(codes: Column) -> Column:
     return out
 
 
+def worst_group(tidy: Column) -> Column:
+    """The worst group that one of the tidy codes lies in, E first."""
+    worst = {code: group for group, members in HAZARD_GROUPS.items() for code in members}  # A first: worse ones stay
+    groups = F.create_map(*[F.lit(x) for pair in worst.items() for x in pair])
+    return F.array_max(F.transform(tidy, lambda c: F.try_element_at(groups, c)))
+
+
 def skin_eye_codes(codes: Column) -> Column:
     return F.filter(code_list(codes), lambda c: c.isin(SKIN_EYE))
 
@@ -93,17 +102,6 @@ def matrix_number(group: Column, amount: Column, column: Column) -> Column:
     return F.try_element_at(table, F.concat_ws("|", group, amount, column))
 
 
-def control(group: Column, amount: Column, form: Column, exposure: Column) -> Column:
-    """struct(number, status): needs_review without inputs, special_case (4) for other forms, else the matrix."""
-    missing = group.isNull() | amount.isNull() | (F.coalesce(form, F.lit("")) == "") | exposure.isNull()
-    solid, liquid = is_solid(form), is_liquid(form)
-    column = F.when(exposure != "Medium", exposure).otherwise(F.when(solid, "MediumSolid").otherwise("MediumLiquid"))
-    number = matrix_number(group, amount, column)
-    value = F.when(missing, None).when(~solid & ~liquid, 4).otherwise(number)
-    status = F.when(missing, "needs_review").when(~solid & ~liquid, "special_case").when(number.isNull(), "needs_review").otherwise("calculated")
-    return F.struct(value.cast("int").alias("number"), status.alias("status"))
-
-
 def approach(number: Column, field: int) -> Column:
     """The title (0) or sheet (1) of a control approach."""
     return F.try_element_at(F.create_map(*[F.lit(x) for n, texts in CONTROL_APPROACHES.items() for x in (n, texts[field])]), number)
@@ -118,22 +116,48 @@ def recommendations(number: Column, skin_eye: Column, existing: Column, form: Co
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
-def assess(codes: Column, amount: Column, unit: Column, form: Column, dust: Column, boiling: Column, process: Column, existing: Column) -> Column:
-    """The whole assessment of one use of a chemical as a struct."""
-    hazard, skin = hazard_group(codes), skin_eye_codes(codes)
-    size = amount_band(amount, unit)
-    exposure = F.when(is_solid(form), dustiness(dust)).when(is_liquid(form), volatility(boiling, process)["band"])
-    result = control(hazard["grp"], size, form, exposure)
-    review = (result["status"] != "calculated") | hazard["grp"].isNull() | size.isNull() | exposure.isNull()
-    return F.struct(
-        hazard["grp"].alias("hazard_group"),
-        hazard["matched"].alias("matched_codes"),
+def with_assessment(df: DataFrame, codes: Column, amount: Column, unit: Column, form: Column, dust: Column, boiling: Column, process: Column, existing: Column, name: str = "assessment") -> DataFrame:
+    """``df`` with the whole assessment of one use of a chemical as a struct.
+
+    What several parts of it read is computed in columns of its own first, since the optimizer writes an expression out
+    wherever it is used.
+    """
+    names = unused(df, 9)
+    tidy, size, solid, liquid, high, grp, exposure, number, status = map(F.col, names)
+    steps = df.withColumns(dict(zip(names[:4], (code_list(codes), amount_band(amount, unit), is_solid(form), is_liquid(form)), strict=True)))
+    steps = steps.withColumns({names[4]: volatility(boiling, process)["band"], names[5]: worst_group(tidy)})
+    steps = steps.withColumn(names[6], F.when(solid, dustiness(dust)).when(liquid, high))
+    column = F.when(exposure != "Medium", exposure).otherwise(F.when(solid, "MediumSolid").otherwise("MediumLiquid"))
+    missing = grp.isNull() | size.isNull() | (F.coalesce(form, F.lit("")) == "") | exposure.isNull()
+    steps = steps.withColumn(names[7], F.when(missing, None).when(~solid & ~liquid, 4).otherwise(matrix_number(grp, size, column)).cast("int"))
+    steps = steps.withColumn(names[8], F.when(missing | number.isNull(), "needs_review").when(~solid & ~liquid, "special_case").otherwise("calculated"))
+    members = F.create_map(*[F.lit(x) if isinstance(x, str) else _array(x) for pair in HAZARD_GROUPS.items() for x in pair])
+    matched = F.coalesce(F.array_intersect(tidy, F.try_element_at(members, grp)), F.array().cast("array<string>"))
+    skin = F.filter(tidy, lambda c: c.isin(SKIN_EYE))
+    found = F.struct(
+        grp.alias("hazard_group"),
+        matched.alias("matched_codes"),
         (F.size(skin) > 0).alias("skin_eye"),
         size.alias("amount_band"),
         exposure.alias("exposure_band"),
-        result["number"].alias("control_number"),
-        result["status"].alias("control_status"),
-        approach(result["number"], 1).alias("sheet"),
-        recommendations(result["number"], F.size(skin) > 0, existing, form).alias("recommendations"),
-        review.alias("needs_review"),
+        number.alias("control_number"),
+        status.alias("control_status"),
+        approach(number, 1).alias("sheet"),
+        recommendations(number, F.size(skin) > 0, existing, form).alias("recommendations"),
+        ((status != "calculated") | grp.isNull() | (grp == "E") | size.isNull() | exposure.isNull()).alias("needs_review"),
     )
+    return steps.withColumn(name, found).drop(*names)
+
+
+def refusal(chosen: Column, current: Column, process: Column, amount: Column, form: Column, dust: Column) -> Column:
+    """Why a use can't be assessed, the first of six reasons; null where it can.
+
+    ``chosen`` and ``current`` are the ids of the chemical and its current document. A process of blanks counts as
+    missing; solids need a dustiness.
+    """
+    missing = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
+    rules = [chosen.isNull(), current.isNull(), missing(F.trim(process)), missing(amount), missing(form), (form == SOLID_FORM) & missing(dust)]
+    out = F.lit(None).cast("string")
+    for rule, text in reversed(list(zip(rules, REFUSALS, strict=True))):
+        out = F.when(rule, text).otherwise(out)
+    return out

@@ -157,6 +157,12 @@ CONTROL_APPROACHES = {1: ("Genel Havalandırma", "G100"), 2: ("Mühendislik Kont
 AMOUNT_UNITS = {"Small": ["g", "gram", "grams", "ml"], "Medium": ["kg", "kilogram", "kilograms", "l", "lt", "litre", "liter"], "Large": ["ton", "tonne", "tonnes", "t", "m3", "m³"]}
 DUSTINESS = {"Low": ["düşük", "dusuk", "low"], "Medium": ["orta", "medium"], "High": ["yüksek", "yuksek", "high"]}
 SOLID, LIQUID = ["katı", "kati", "solid"], ["sıvı", "sivi", "liquid"]
+# The physical form that needs a dustiness, and why a use can't be assessed, in the order of the checks.
+SOLID_FORM = "Katı"
+REFUSALS = [
+    "Önce değerlendirme yapılacak kimyasalı seçin.", "Değerlendirme için güncel SDS gereklidir.", "Proses / faaliyet adını girin.", "Kullanılan miktarı girin.", "Fiziksel formu seçin.",
+    "Katı kimyasal için tozluluk seviyesini seçin.",
+]
 # Recommendations of each control approach, and those of further conditions.
 RECOMMENDATIONS = {
     1: [

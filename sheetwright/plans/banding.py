@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetwright.functions import banding
-from sheetwright.functions.lexicon import AMOUNTS, CONTROL_MATRIX, EXPOSURES, HAZARD_GROUPS, SKIN_EYE
+from sheetwright.functions.lexicon import AMOUNTS, CONTROL_MATRIX, EXPOSURES, HAZARD_GROUPS, REFUSALS, SKIN_EYE
 from sheetwright.operators.facts import physical_form
 from sheetwright.operators.reports import numbered
 from sheetwright.plans.views import table
@@ -65,10 +65,21 @@ _ASSESS_SQL = f"""WITH {_USES_SQL}, {_MATRIX_SQL},
 
 def _assessed(spark, d):
     uses = _uses(spark, d)
-    return uses.select("id", banding.assess(*[F.col(c) for c in ("codes", "amount", "unit", "form", "dust", "boiling", "process", "existing")]).alias("a"))
+    return banding.with_assessment(uses, *[F.col(c) for c in ("codes", "amount", "unit", "form", "dust", "boiling", "process", "existing")], name="a").select("id", "a")
 
 
+def _refusals(spark, d):
+    """Uses that lack something: a chemical, its document, a process, an amount, a form, a dustiness, or nothing."""
+    k = F.col("l_partkey")
+    lacks = lambda n, value: F.when(k % 11 == n, F.lit(None)).when((k + F.col("l_suppkey")) % 17 == n, F.lit("")).otherwise(F.lit(value))
+    rows = table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.when(k % 13 != 0, k).alias("chosen"), F.when(k % 7 != 0, k).alias("current"), F.when(k % 5 == 0, "  ").otherwise("Mixing").alias("process"),
+        lacks(2, "5").alias("amount"), F.when(k % 3 == 0, "Katı").otherwise(lacks(3, "Sıvı")).alias("form"), lacks(4, "Orta").alias("dust"),
+    )
+    return rows.select("id", banding.refusal(*[F.col(c) for c in ("chosen", "current", "process", "amount", "form", "dust")]).alias("refusal"))
+
 QUERIES = {
+    "assessment_refusals": _refusals,
     "hazard_group": lambda s, d: _uses(s, d).select("id", banding.hazard_group(F.col("codes"))["grp"].alias("grp")),
     "skin_eye": lambda s, d: _uses(s, d).select("id", F.size(banding.skin_eye_codes(F.col("codes"))).alias("codes")),
     "amount_band": lambda s, d: _uses(s, d).select("id", banding.amount_band(F.col("amount"), F.col("unit")).alias("band")),
@@ -88,6 +99,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "assessment_refusals": f"""WITH u AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey AS k, (l_partkey + l_suppkey) % 17 AS j FROM lineitem)
+        SELECT id, CASE WHEN k % 13 = 0 THEN {REFUSALS[0]!r} WHEN k % 7 = 0 THEN {REFUSALS[1]!r} WHEN k % 5 = 0 THEN {REFUSALS[2]!r} WHEN k % 11 = 2 OR j = 2 THEN {REFUSALS[3]!r}
+            WHEN k % 3 <> 0 AND (k % 11 = 3 OR j = 3) THEN {REFUSALS[4]!r} WHEN k % 3 = 0 AND (k % 11 = 4 OR j = 4) THEN {REFUSALS[5]!r} END AS refusal FROM u""",
     "hazard_group": f"WITH {_USES_SQL} SELECT id, greatest({_group('c1')}, {_group('c2')}) AS grp FROM uses",
     "skin_eye": f"WITH {_USES_SQL} SELECT id, len(list_filter(list_distinct([c1, c2]), lambda c: c IN ({_SKIN}))) AS codes FROM uses",
     "amount_band": f"WITH {_USES_SQL} SELECT id, CASE WHEN amount <> 'x' THEN nullif(unit_band, '') END AS band FROM uses",
@@ -96,7 +110,7 @@ ORACLE_SQL = {
     "volatility": f"{_ASSESS_SQL} SELECT id, volatile AS band, CASE WHEN bp IS NULL THEN 'needs_review' WHEN bp <= 20 THEN 'special_case' ELSE 'calculated' END AS status FROM b",
     "control_matrix": f"WITH {_MATRIX_SQL} SELECT * FROM matrix",
     "coshh_full": f"""{_ASSESS_SQL} SELECT id, grp AS hazard_group, len(skin) > 0 AS skin_eye, amount_band, exposure_band, number AS control_number,
-        CASE WHEN number IS NULL THEN 'needs_review' ELSE 'calculated' END AS control_status, number IS NULL AS needs_review FROM a""",
+        CASE WHEN number IS NULL THEN 'needs_review' ELSE 'calculated' END AS control_status, number IS NULL OR grp = 'E' AS needs_review FROM a""",
     "control_approach_counts": f"{_ASSESS_SQL} SELECT grp AS hazard_group, CASE WHEN number IS NOT NULL THEN concat('G', number, '00') END AS sheet, count(*) AS uses FROM a GROUP BY 1, 2",
     "recommendations": f"{_ASSESS_SQL} SELECT id, CASE WHEN number IS NULL THEN 0 ELSE 3 END + CASE WHEN len(skin) > 0 THEN 2 ELSE 0 END + CASE WHEN has_controls THEN 0 ELSE 1 END + CASE WHEN dusty THEN 1 ELSE 0 END AS texts FROM a",
     "export_recommendation_rows": f"""{_ASSESS_SQL}, n AS (SELECT CASE WHEN number IS NULL THEN 0 WHEN c1 <> c2 AND {_group("c1")} = {_group("c2")} THEN 2 ELSE 1 END AS codes FROM a),

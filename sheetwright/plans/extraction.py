@@ -21,8 +21,9 @@ def _facts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Sheets to facts to control bands, counted."""
     facts = _facts(spark, d, "hazard_codes", "physical_state", "boiling_point")
-    use = banding.assess(F.col("hazard_codes"), F.lit("5"), F.lit("kg"), physical_form(F.col("physical_state")), F.lit("Orta"), F.col("boiling_point"), F.lit(None).cast("string"), F.lit("LEV"))
-    return facts.select(use.alias("a")).groupBy("a.hazard_group", "a.exposure_band", "a.control_number", "a.control_status").agg(F.count("*").alias("sheets"))
+    facts = facts.withColumn("form", physical_form(F.col("physical_state")))
+    uses = banding.with_assessment(facts, F.col("hazard_codes"), F.lit("5"), F.lit("kg"), F.col("form"), F.lit("Orta"), F.col("boiling_point"), F.lit(None).cast("string"), F.lit("LEV"), "a")
+    return uses.groupBy("a.hazard_group", "a.exposure_band", "a.control_number", "a.control_status").agg(F.count("*").alias("sheets"))
 
 
 def _date_forms(spark: SparkSession, d: str) -> DataFrame:
