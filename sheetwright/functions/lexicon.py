@@ -192,6 +192,32 @@ SKIN_EYE_ADVICE = [
 ]
 NO_CONTROLS_ADVICE = "Mevcut kontrol tedbirleri kayıt altına alınmamış; değerlendirme tamamlanmadan önce mevcut kontroller doğrulanmalıdır."
 DUST_ADVICE = "Toz oluşumunu azaltacak çalışma yöntemleri ve temizlik prosedürleri uygulayın; kuru süpürme gibi toz kaldıran yöntemlerden kaçının."
+# Names of amounts and exposures, and the texts of an assessment's workbook.
+AMOUNT_NAMES = {"Small": "Küçük", "Medium": "Orta", "Large": "Büyük"}
+EXPOSURE_NAMES = {"Low": "Düşük", "Medium": "Orta", "High": "Yüksek"}
+EXPORT = {
+    "sheets": ["COSHH Analiz Tablosu", "Değerlendirme Özeti", "Kontrol Faaliyetleri", "H-P-GHS Kodları"],
+    "widths": [[28, 18, 24, 24, 28, 24, 20, 18, 22, 18, 18, 22, 20, 20, 18, 30, 20, 45, 60, 30], [38, 85], [10, 100], [20, 30]],
+    "columns": [
+        "Tehlikeli Madde", "CAS No", "Maruziyet Sınır Değeri", "Kullanılan Bölüm", "Maruz Kalan Çalışan / Görev", "H Kodları", "GHS", "Tehlike Grubu", "Günlük Kullanım Miktarı", "Miktar Grubu", "Fiziksel Form",
+        "Tozluluk / Uçuculuk", "Kaynama Noktası", "Proses Sıcaklığı", "Cilt / Göz Grubu", "Kontrol Yaklaşımı", "Kontrol Rehberi", "Mevcut Kontroller", "Önerilen Kontrol Faaliyetleri", "Değerlendirme Durumu",
+    ],
+    "titles": ["GEBKİM SDS AI PLATFORM", "ILO / COSHH KİMYASAL MARUZİYET RİSK DEĞERLENDİRMESİ"],
+    "summary": [
+        "Kimyasal", "Üretici", "CAS No", "SDS ID", "SDS Revizyon", "Proses / Faaliyet", "Bölüm", "Maruz Kalan Çalışan / Görev", "Maruziyet Sınır Değeri", "Kullanılan Miktar", "Fiziksel Form", "Tozluluk", "Kaynama Noktası",
+        "Proses Sıcaklığı", "Tehlike Grubu", "Tehlike Grubu ile Eşleşen H Kodları", "Miktar Grubu", "Tozluluk / Uçuculuk Grubu", "Cilt / Göz Grubu", "Kontrol Yaklaşımı", "Kontrol Rehberi", "Skin Rehberleri", "Analiz Durumu",
+        "H Kodları", "P Kodları", "GHS Kodları", "Metodoloji", "Uyarı",
+    ],
+    "controls": {"closed_system": "Kapalı sistem", "local_exhaust": "LEV", "general_ventilation": "Genel havalandırma", "existing_ppe": "KKD"},
+    "advice": ["No", "Önerilen Kontrol Faaliyeti"],
+    "no_advice": "Öneri oluşturulamadı. Uzman incelemesi gerekli.",
+    "codes": ["Kategori", "Kod"],
+    "kinds": {"H": "H Kodu", "P": "P Kodu", "GHS": "GHS Kodu"},
+    "no_codes": ["Bilgi", "Tehlike kodu bulunamadı."],
+    "review": "Uzman incelemesi gerekli", "done": "Ön değerlendirme tamamlandı", "look": "İnceleme gerekli", "expert": "Uzman incelemesi", "unknown": "Belirlenemedi", "skin_sheets": "S100, S101, S102",
+    "method": "ILO International Chemical Control Toolkit / HSE COSHH Essentials control banding",
+    "warning": "Bu sonuç kontrol banding esaslı bir ön değerlendirmedir. İşyeri risk değerlendirmesi, maruziyet ölçümleri, mesleki maruziyet sınırları ve uzman değerlendirmesinin yerine geçmez.",
+}
 STATUS_LABELS = {
     "pending": "Bekliyor", "processing": "İşleniyor", "uploaded": "Yüklendi", "classified": "Sınıflandırıldı", "sections_extracted": "Bölümler Çıkarıldı", "needs_review": "İnceleme Gerekli",
     "failed": "Hata", "completed": "Tamamlandı",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetwright.functions import banding
 from sheetwright.functions.lexicon import AMOUNTS, CONTROL_MATRIX, EXPOSURES, HAZARD_GROUPS, REFUSALS, SKIN_EYE
+from sheetwright.operators.export import workbook_rows
 from sheetwright.operators.facts import physical_form
 from sheetwright.operators.reports import numbered
 from sheetwright.plans.views import table
@@ -78,7 +79,23 @@ def _refusals(spark, d):
     )
     return rows.select("id", banding.refusal(*[F.col(c) for c in ("chosen", "current", "process", "amount", "form", "dust")]).alias("refusal"))
 
+def _workbooks(spark, d):
+    """Codes and some lines of the summary in the workbooks of one draft for each part."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    fields = {
+        "product_name": F.col("p_name"), "manufacturer": F.col("p_brand"), "cas_number": none, "sds_id": k, "revision_date": F.concat(F.lit("2020-01-1"), (k % 10).cast("string")), "process_name": F.concat(F.lit("Mix "), k.cast("string")),
+        "amount_value": (k % 5).cast("string"), "amount_unit": F.lit("kg"), "physical_form": F.when(k % 2 == 0, "Katı").otherwise("Sıvı"), "dustiness": F.lit("Orta"), "boiling_point": F.concat((F.col("p_size") * 10).cast("string"), F.lit(" °C")),
+        "hazard_codes": F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.element_at(_array(_CODES), (k % len(_CODES) + 1).cast("int")))), "precautionary_codes": F.when(k % 3 == 0, F.array(F.lit("P280"), F.lit("P264"))), "ghs_codes": F.array().cast("array<string>"),
+        **{c: none for c in ("department", "exposed_workers", "occupational_exposure_limit", "process_temperature", "closed_system", "local_exhaust", "general_ventilation", "existing_ppe", "existing_controls")},
+    }
+    drafts = table(spark, d, "part").select(*[v.alias(n) for n, v in fields.items()])
+    drafts = banding.with_assessment(drafts, *[F.col(c) for c in ("hazard_codes", "amount_value", "amount_unit", "physical_form", "dustiness", "boiling_point", "process_temperature", "existing_controls")])
+    rows = workbook_rows(drafts).where("sheet_no = 4 or sheet_no = 2 and row_no in (4, 7, 8, 10, 14, 15, 17, 20, 22)")
+    return rows.select("workbook", "sheet_no", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
 QUERIES = {
+    "export_workbooks": _workbooks,
     "assessment_refusals": _refusals,
     "hazard_group": lambda s, d: _uses(s, d).select("id", banding.hazard_group(F.col("codes"))["grp"].alias("grp")),
     "skin_eye": lambda s, d: _uses(s, d).select("id", F.size(banding.skin_eye_codes(F.col("codes"))).alias("codes")),
@@ -99,6 +116,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "export_workbooks": f"""WITH d AS (SELECT p_partkey AS k, p_name, p_size, 'ILO_COSHH_' || replace(p_name, ' ', '_') || '_Mix_' || p_partkey || '.xlsx' AS workbook, CASE WHEN p_partkey % 4 <> 0 THEN {_list(_CODES)}[p_partkey % {len(_CODES)} + 1] END AS code FROM part),
+        s AS (SELECT workbook, unnest([4, 7, 8, 10, 14, 15, 17, 20, 22]) AS row_no, unnest(['Kimyasal|' || p_name, 'SDS ID|' || k, 'SDS Revizyon|1' || (k % 10) || '.01.2020', 'Proses / Faaliyet|Mix ' || k, 'Kullanılan Miktar|' || (k % 5) || ' kg',
+              'Fiziksel Form|' || CASE WHEN k % 2 = 0 THEN 'Katı' ELSE 'Sıvı' END, 'Kaynama Noktası|' || (p_size * 10) || ' °C', 'Tehlike Grubu|' || coalesce({_group("code")}, 'Belirlenemedi'), 'Miktar Grubu|' || CASE WHEN k % 5 = 0 THEN '—' ELSE 'Orta' END]) AS cells FROM d),
+        c AS (SELECT workbook, list_concat(CASE WHEN code IS NULL THEN [] ELSE ['H Kodu|' || code] END, CASE WHEN k % 3 = 0 THEN ['P Kodu|P280', 'P Kodu|P264'] ELSE [] END) AS codes FROM d),
+        r AS (SELECT workbook, list_concat(['Kategori|Kod'], CASE WHEN len(codes) = 0 THEN ['Bilgi|Tehlike kodu bulunamadı.'] ELSE codes END) AS codes FROM c)
+        SELECT workbook, 2 AS sheet_no, row_no, cells FROM s UNION ALL SELECT workbook, 4, unnest(range(1, len(codes) + 1)), unnest(codes) FROM r""",
     "assessment_refusals": f"""WITH u AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey AS k, (l_partkey + l_suppkey) % 17 AS j FROM lineitem)
         SELECT id, CASE WHEN k % 13 = 0 THEN {REFUSALS[0]!r} WHEN k % 7 = 0 THEN {REFUSALS[1]!r} WHEN k % 5 = 0 THEN {REFUSALS[2]!r} WHEN k % 11 = 2 OR j = 2 THEN {REFUSALS[3]!r}
             WHEN k % 3 <> 0 AND (k % 11 = 3 OR j = 3) THEN {REFUSALS[4]!r} WHEN k % 3 = 0 AND (k % 11 = 4 OR j = 4) THEN {REFUSALS[5]!r} END AS refusal FROM u""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +12,6 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> Da
     return files.select("path", F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
 
 
-def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, file_hash, text) of PDF files; ``extract`` gives the text of each page of one file.
-
-    No PDF library is part of this repository, so the caller brings one. Pages are marked as
-    ``--- PAGE n ---`` lines.
-    """
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def pages(content: pd.Series) -> pd.Series:
-        return content.map(lambda data: "\n".join(f"\n--- PAGE {n} ---\n{page}" for n, page in enumerate(extract(bytes(data)), 1)).strip())
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("file_hash"), pages("content").alias("text"))
-
-
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line; dates in ISO form."""
     df.write.mode("overwrite").option("dateFormat", "yyyy-MM-dd").json(path)
