@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheetwright.functions.lexicon import HAZARD_SUFFIXES, PICTOGRAMS
+from sheetwright.functions.lexicon import HAZARD_SUFFIXES, PICTOGRAMS, PRODUCT_CODE_LABELS
 from sheetwright.functions.text import unique_ci
 
 
@@ -37,6 +37,13 @@ def ec_number(text: Column) -> Column:
     return first(text, r"(?iU)\b(?:EC|EG|EINECS)(?:\s*[-.]?\s*(?:No|Nr|Number|Numarası))?\.?\s*:?\s*(\d{3}-\d{3}-\d)(?!\d)")
 
 
+def ec_numbers(text: Column) -> Column:
+    """All labelled EC numbers, distinct, label by label."""
+    number = r"\s*[:\-]?\s*(\d{3}-\d{3}-\d)\b"
+    labels = [rf"\bEC\s*(?:number|no\.?|numarası|numarasi)?{number}", r"\bEC-No\.?\s*:\s*(\d{3}-\d{3}-\d)\b", rf"\bEG\s*(?:number|no\.?|numarası|numarasi)?{number}", rf"\bEINECS\s*(?:number|no\.?)?{number}"]
+    return F.array_distinct(F.flatten(F.array(*[found(text, f"(?iU){label}", 1) for label in labels])))
+
+
 def reach_numbers(text: Column) -> Column:
     """REACH registration numbers, distinct, in order."""
     return F.array_distinct(found(text, r"(?<!\d)\d{2}-\d{10}-\d{2}-\d{4}(?!\d)"))
@@ -48,8 +55,8 @@ def ufis(text: Column) -> Column:
 
 
 def product_code(text: Column) -> Column:
-    """The first labelled product code."""
-    return first(text, r"(?iU)(?:Ürün\s+kodu|Product\s+code|Article\s+(?:number|no\.?)|Item\s+(?:number|no\.?))\s*:?\s*([A-Za-z0-9][A-Za-z0-9._/-]*)")
+    """The code after the first of the labels, in their order, that stands in the text."""
+    return F.coalesce(*[first(text, rf"(?iU){label}\s*:?\s*([A-Z0-9][A-Z0-9._/\-]*)") for label in PRODUCT_CODE_LABELS])
 
 
 def hazard_codes(text: Column) -> Column:

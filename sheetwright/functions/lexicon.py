@@ -101,6 +101,8 @@ VERSION_LABELS = [
     r"Kaçıncı\s+Düzenleme\s+Olduğu", r"Düzenleme\s+Sayısı", r"Düzenleme\s+Numarası", r"Düzenleme\s+No\.?", r"Revizyon\s+Numarası", r"Revizyon\s+No\.?", r"Revision\s+Number", r"Revision\s+No\.?",
     r"Version\s+number", r"Version\s+No\.?", r"Version(?!\s+(?:number|no\.?))", r"Sürüm\s+Numarası", r"Sürüm\s+No\.?", r"Sürüm",
 ]
+# Labels of a product code, in the order in which they count.
+PRODUCT_CODE_LABELS = [r"Ürün\s+Kodu(?:\s*\(\s*ları\s*\))?", r"Ürün\s+Kodları", r"Product\s+Code(?:\(s\))?", r"Article\s+(?:No|Number)\.?"]
 VERSION_WORDS = ["number", "no", "numara", "numarası", "numarasi", "sayısı", "sayisi"]
 
 # Official letter suffixes of hazard codes, in their canonical case.

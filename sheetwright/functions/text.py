@@ -73,6 +73,17 @@ def collapsed(value: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), F.lit(""))
 
 
+def preview(value: Column, most: int = 700, mark: str = "\n...[DEVAMI KESİLDİ]...") -> Column:
+    """A trimmed text, cut with a mark beyond ``most`` characters."""
+    whole = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.left(whole, F.lit(most)), F.lit(mark)))
+
+
+def value_list(values: Column) -> Column:
+    """An array without null and empty values; a null array is empty. Order and repeated values stay."""
+    return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x != "")
+
+
 def clean_line(line: Column) -> Column:
     """A line without bullets and surplus blanks."""
     return F.trim(F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), r"^[ •●▪■◦*·–—-]+", ""))

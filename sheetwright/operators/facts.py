@@ -54,6 +54,7 @@ def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
             "component_names": codes.component_names(s[3]),
             "component_reach": codes.reach_numbers(s[3]),
             "component_ec": codes.ec_number(s[3]),
+            "component_ecs": codes.ec_numbers(s[3]),
             "hazard_codes": codes.hazard_codes(s[2]),
             "precautionary_codes": codes.precautionary_codes(s[2]),
             "signal_word": codes.signal_word(s[2]),

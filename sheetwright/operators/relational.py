@@ -109,6 +109,11 @@ def identifier_of(identifiers: DataFrame, kind: str, blank: str = "—") -> Data
 WAYS = ("ufi", "name_maker", "code", "name")
 
 
+def identifiers_of(identifiers: DataFrame, kind: str) -> DataFrame:
+    """(chemical_id, values): all identifiers of exactly this kind, trimmed, distinct, sorted; blank ones are left out."""
+    return code_lists(identifiers.where(F.col("identifier_type") == kind), "chemical_id", "identifier_value")
+
+
 def matched_chemicals(parsed: DataFrame, chemicals: DataFrame, ufis: DataFrame) -> DataFrame:
     """``parsed`` with the chemical that is meant: by UFI, by name and maker, by code and maker, or by name.
 

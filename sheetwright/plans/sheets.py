@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.functions import layout, lexicon_sections as lex, text
+from sheetwright.functions import codes, layout, lexicon_sections as lex, text
 from sheetwright.functions.handling import with_handling
 from sheetwright.functions.properties import with_properties
 from sheetwright.functions.protection import LISTS, with_protection
 from sheetwright.functions.structure import structured
 from sheetwright.operators import relational, reports
+from sheetwright.operators.answers import golden, parsed_answers
 from sheetwright.operators.facts import backfill_profile, document_facts, with_details
 from sheetwright.operators.sections import section_rows, split_sections
 from sheetwright.operators.store import DOCUMENT, child_arrays, differences
@@ -144,7 +145,32 @@ def _identifiers(spark: SparkSession, d: str) -> DataFrame:
     return relational.identifier_of(rows, "CAS")
 
 
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("record")
+    found = golden(rendered(spark, d))
+    return found.select("doc_id", F.to_json(F.struct(r["section_count"].alias("sections"), r["section_1"].alias("s1"), r["section_2"].alias("s2"), r["section_3"].alias("s3"), r["revision"].alias("revision"), r["ingestion_summary"].alias("summary"))).alias("record"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    parsed = with_details(document_facts(rendered(spark, d)))
+    return parsed_answers(parsed, ["product_name", "manufacturer", "signal_word"]).select("doc_id", F.to_json(answer_head(F.col("answer"))).alias("answer"))
+
+
+def answer_head(answer: Column) -> Column:
+    """An answer with its sections' numbers in place of their texts."""
+    return F.struct(*[answer[c].alias(c) for c in ("document", "hazard_codes", "precautionary_codes", "ghs_codes", "identifiers", "physical_properties", "section_count")], F.transform(answer["sections"], lambda s: s["section_number"]).alias("numbers"))
+
+
+_NUMBERS = "concat(if(k % 4 = 0, '', concat('EINECS No: 1', lpad(k % 100, 2, '0'), '-000-1 ')), 'EC-No.: 200-', lpad(k % 1000, 3, '0'), '-2 EG numarası 300-300-', k % 10, ' EC 400-400-4, EC: 400-400-4 Article No: A', k, if(k % 3 = 0, concat(' Product code(s) P', k), ''), if(k % 5 = 0, concat(' Ürün Kodu ( ları ) : T/', k), ''))"
+
 QUERIES = {
+    "ec_numbers_all": lambda s, d: _keyed(s, d, _NUMBERS).select("p_partkey", F.array_join(codes.ec_numbers(F.col("value")), "|").alias("numbers")),
+    "product_code_labels": lambda s, d: _keyed(s, d, _NUMBERS).select("p_partkey", codes.product_code(F.col("value")).alias("code")),
+    "identifier_lists": lambda s, d: relational.identifiers_of(table(s, d, "lineitem").selectExpr("l_orderkey as chemical_id", "if(l_linenumber % 2 = 0, 'CAS', 'cas') as identifier_type", "if(l_partkey % 5 = 0, ' ', concat(' N', l_partkey % 50)) as identifier_value"), "CAS").select("chemical_id", F.array_join("values", "|").alias("found")),
+    "preview_texts": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.preview(F.col("text")), 256).alias("digest")),
+    "value_lists": lambda s, d: _keyed(s, d, "if(k % 7 = 0, null, array('a', '', null, concat('v', k % 9), 'a', ' '))").select("p_partkey", F.array_join(text.value_list(F.col("value")), "|").alias("kept")),
+    "sheet_golden": _golden,
+    "sheet_answers": _answers,
     "s7_handling": _handling,
     "s8_protection": _protection,
     "s9_all_properties": lambda s, d: with_properties(_keyed(s, d, _NINE), "value").select("p_partkey", "properties.*"),
@@ -189,7 +215,26 @@ def _children_sql() -> str:
             || '],"incompatible_materials":[],"fire_explosion_precautions":[]}}' FROM f"""
 
 
+_SHEET_SQL = f"""{_K}, f AS (SELECT *, k % 13 <> 0 AS named, 'V873-MN1G-R608-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS ufi, CASE WHEN k % 2 = 0 THEN 'Danger' ELSE 'Warning' END AS word, [{_H}[k % 10 + 1], {_H}[(k + 3) % 10 + 1]] AS h,
+    '2' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || '-181-' || (k % 10) AS ec, '01-2119' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') || '-33-0001' AS reach, CASE WHEN k % 3 <> 0 THEN {CAS_SQL} END AS cas,
+    ['P280', 'P305+P351+P338', 'P302+P352', 'P264'][k % 4 + 1] AS p FROM k),
+    l AS (SELECT *, list_filter(list_transform(h, lambda c: CASE WHEN c = 'H225' THEN 'GHS02' WHEN c IN ('H290', 'H314') THEN 'GHS05' WHEN c IN ('H315', 'H302', 'H319') THEN 'GHS07' WHEN c IN ('H351', 'H340') THEN 'GHS08' END), lambda x: x IS NOT NULL) AS implied FROM f),
+    g AS (SELECT *, CASE WHEN len(implied) = 2 AND implied[1] = implied[2] THEN implied[1:1] ELSE implied END AS ghs0 FROM l)"""
+_QUOTED = "'[' || array_to_string(list_transform({0}, lambda x: '\"' || x || '\"'), ',') || ']'"
+_NAMED = """'"product_name":"' || p_name || '",' || CASE WHEN named THEN '"manufacturer":"' || p_brand || ' Chemicals",' ELSE '' END"""
 ORACLE_SQL = {
+    "ec_numbers_all": f"""WITH {_K} SELECT k AS p_partkey, '400-400-4|200-' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '-2|300-300-' || (k % 10) || CASE WHEN k % 4 = 0 THEN '' ELSE '|1' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || '-000-1' END AS numbers FROM k""",
+    "product_code_labels": f"WITH {_K} SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN 'T/' || k WHEN k % 3 = 0 THEN 'P' || k ELSE 'A' || k END AS code FROM k",
+    "identifier_lists": "SELECT l_orderkey AS chemical_id, array_to_string(list_sort(list(DISTINCT 'N' || (l_partkey % 50))), '|') AS found FROM lineitem WHERE l_partkey % 5 <> 0 AND l_linenumber % 2 = 0 GROUP BY 1",
+    "preview_texts": r"WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, sha256(CASE WHEN length(t) <= 700 THEN t ELSE left(t, 700) || chr(10) || '...[DEVAMI KESİLDİ]...' END) AS digest FROM t",
+    "value_lists": f"WITH {_K} SELECT k AS p_partkey, CASE WHEN k % 7 = 0 THEN '' ELSE 'a|v' || (k % 9) || '|a| ' END AS kept FROM k",
+    "sheet_golden": f"""WITH {_SHEET_SQL} SELECT k AS doc_id, '{{"sections":' || CASE WHEN k % 7 = 0 THEN 15 ELSE 16 END || ',"s1":{{' || {_NAMED} || '"cas_numbers":[],"product_code":"BK' || k || '","ufi":"' || ufi || '"}},"s2":{{"hazard_codes":' || {_QUOTED.format("h")}
+        || ',"precautionary_codes":["' || p || '"],"signal_word":"' || word || '","ghs_codes":[]}},"s3":{{"cas_numbers":' || CASE WHEN cas IS NULL THEN '[]' ELSE '["' || cas || '"]' END || ',"ec_numbers":["' || ec || '"],"reach_numbers":["' || reach || '"],"component_names":["' || p_name
+        || '"],"ec_number":"' || ec || '","reach_number":"' || reach || '"}},"revision":{{"revision_date":"' || CAST(CAST(DATE '2015-01-01' + CAST(k % 3000 AS INTEGER) AS DATE) AS VARCHAR) || '","version":"' || (k % 9 + 1) || '.' || (k % 5) || '"}},"summary":{{"is_probable_sds":true,"sds_confidence":'
+        || CASE WHEN k % 11 = 0 THEN '0.85' ELSE '1.00' END || ',"ghs_codes":' || {_QUOTED.format("ghs0")} || ',"needs_review":' || CASE WHEN named THEN 'false' ELSE 'true' END || ',"review_reasons":' || CASE WHEN named THEN '[]' ELSE '["manufacturer_needs_review"]' END || '}}}}' AS record FROM g""",
+    "sheet_answers": f"""WITH {_SHEET_SQL} SELECT k AS doc_id, '{{"document":{{' || {_NAMED} || '"signal_word":"' || word || '"}},"hazard_codes":' || {_QUOTED.format("list_sort(h)")} || ',"precautionary_codes":["' || p || '"],"ghs_codes":' || {_QUOTED.format("list_sort(ghs0)")} || ',"identifiers":['
+        || CASE WHEN cas IS NULL THEN '' ELSE '{{"identifier_type":"CAS","identifier_value":"' || cas || '"}},' END || '{{"identifier_type":"EC","identifier_value":"' || ec || '"}},{{"identifier_type":"PRODUCT_CODE","identifier_value":"BK' || k || '"}},{{"identifier_type":"REACH","identifier_value":"' || reach
+        || '"}},{{"identifier_type":"UFI","identifier_value":"' || ufi || '"}}],"physical_properties":{{"boiling_point":"' || (p_size * 10) || ' °C"}},"section_count":' || CASE WHEN k % 7 = 0 THEN 15 ELSE 16 END || ',"numbers":' || CASE WHEN k % 7 = 0 THEN '[1,2,3,4,5,6,7,8,9,10,11,13,14,15,16]' ELSE '[1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16]' END || '}}' AS answer FROM g""",
     "s7_handling": f"""WITH {_K} SELECT k AS p_partkey, CASE WHEN k % 5 = 0 THEN 'Handle item ' || k || ' with all due care.' ELSE 'Avoid contact with item ' || k || ' at all times.' END AS handling_precautions,
         'Store item ' || k || ' in a dry room.' AS storage_conditions, 'Acids and item ' || (k + 1) || ' mixed, see 7.1' AS incompatible_materials, CASE WHEN k % 5 = 0 THEN '' ELSE 'Keep item ' || k || ' away from heat.' END AS fire_explosion_precautions,
         'Only use as item ' || k || ' intends.' AS specific_end_use, CAST(length('7.3 ' || {str(lex.END_USE)}[k % {len(lex.END_USE)} + 1] || ': Only use as item ' || k || ' intends.') AS INTEGER) AS raw_3 FROM k""",
