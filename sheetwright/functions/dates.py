@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.functions.codes import first, found
+from sheetwright.functions.codes import found
 from sheetwright.functions.lexicon import MONTHS, PREPARATION_LABELS, REVISION_LABELS, VERSION_LABELS, VERSION_WORDS
-from sheetwright.functions.text import fold
+from sheetwright.functions.text import fold, unused
 
 _WORD = "[A-Za-zÇĞİÖŞÜçğıöşü]+"
 _DATE = rf"\d{{1,2}}\s*[-./ ]\s*{_WORD}\s*[-./ ]\s*\d{{4}}|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}|{_WORD}\s+\d{{1,2}}(?:st|nd|rd|th)?\s*,?\s*\d{{4}}"
@@ -38,24 +38,57 @@ def parse_date(value: Column) -> Column:
     )
 
 
-def date_after(text: Column, labels: list[str]) -> Column:
-    """The date after the first label that one follows; of each label the first match is tried."""
-    raw = F.array(*[first(text, rf"(?isU){label}\s*:?\s*({_DATE})") for label in labels])
-    return F.try_element_at(F.array_compact(F.transform(F.array_compact(raw), parse_date)), F.lit(1))
+_VALUE = r"[A-Za-z0-9._\-]+"
 
 
-def revision_date(text: Column) -> Column:
-    return date_after(text, REVISION_LABELS)
+def lexed(labels: list[str]) -> str:
+    """One pattern for many labels: by first letters, so that most places fail at once, and longer labels before shorter ones."""
+    by_letter: dict[str, list[str]] = {}
+    for label in labels:
+        by_letter.setdefault(label[0], []).append(label[1:])
+    return "(?:" + "|".join(f"{letter}(?:{'|'.join(sorted(rest, key=lambda x: -len(x)))})" for letter, rest in by_letter.items()) + ")"
 
 
-def preparation_date(text: Column) -> Column:
-    return date_after(text, PREPARATION_LABELS)
+def date_tokens(text: Column, labels: list[str]) -> Column:
+    """Every label with the date that follows it, in one pass over the text."""
+    return found(text, rf"(?isU){lexed(labels)}\s*:?\s*(?:{_DATE})")
+
+
+def version_tokens(text: Column) -> Column:
+    """Every version label with the word that follows it, in one pass over the text."""
+    return found(text, rf"(?iU){lexed(VERSION_LABELS)}\s*:?\s*{_VALUE}")
+
+
+def _of_label(tokens: Column, label: str, value: str) -> Column:
+    """The value of a label's first token."""
+    whole = rf"(?isU)^{label}\s*:?\s*({value})$"
+    return F.regexp_extract(F.try_element_at(F.filter(tokens, lambda t: t.rlike(whole)), F.lit(1)), whole, 1)
+
+
+def date_of(tokens: Column, labels: list[str]) -> Column:
+    """The date after the first label that one follows; of each label the first token is tried."""
+    raw = F.array(*[F.nullif(_of_label(tokens, label, _DATE), F.lit("")) for label in labels])
+    dates = F.array_compact(F.transform(F.array_compact(raw), parse_date))
+    return F.when(F.size(tokens) > 0, F.try_element_at(dates, F.lit(1)))
+
+
+def version_of(tokens: Column) -> Column:
+    """The value after the first version label whose first token is no label word."""
+    values = [F.nullif(_of_label(tokens, label, _VALUE), F.lit("")) for label in VERSION_LABELS]
+    return F.when(F.size(tokens) > 0, F.coalesce(*[F.when(~F.lower(v).isin(VERSION_WORDS), v) for v in values]))
 
 
 def version(text: Column) -> Column:
-    """The value after the first version label whose first match is no label word."""
-    values = [first(text, rf"(?iU){label}\s*:?\s*([A-Za-z0-9._\-]+)") for label in VERSION_LABELS]
-    return F.coalesce(*[F.when(~F.lower(v).isin(VERSION_WORDS), v) for v in values])
+    """The version of a text; ``with_dates`` is the leaner form, since it makes tokens once."""
+    return version_of(version_tokens(text))
+
+
+def with_dates(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``revision_date``, ``preparation_date`` and ``version`` of ``text``: a pass for each, then tokens only."""
+    names = unused(docs, 3)
+    out = docs.withColumns({names[0]: date_tokens(text, REVISION_LABELS), names[1]: date_tokens(text, PREPARATION_LABELS), names[2]: version_tokens(text)})
+    revised, prepared, versions = map(F.col, names)
+    return out.withColumns({"revision_date": date_of(revised, REVISION_LABELS), "preparation_date": date_of(prepared, PREPARATION_LABELS), "version": version_of(versions)}).drop(*names)
 
 
 def version_key(value: Column) -> Column:

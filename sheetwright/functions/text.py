@@ -47,20 +47,26 @@ def nfkc(value: Column) -> Column:
 
 
 def repaired(value: Column) -> Column:
-    """Characters that extraction breaks, put right."""
+    """Characters that extraction breaks, put right; texts without any are passed through."""
     single = {k: v for k, v in CHARACTER_REPAIRS.items() if len(k) == 1 and len(v) == 1}
     out = F.translate(value, "".join(single), "".join(single.values()))
-    for old, new in CHARACTER_REPAIRS.items():
-        if old not in single:
-            out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    longer = {k: v for k, v in CHARACTER_REPAIRS.items() if k not in single}
+    leads = "".join(sorted({rf"\u{ord(k[0]):04X}" for k in longer}))
+    mended = out
+    for old, new in longer.items():
+        mended = F.replace(mended, F.lit(old), F.lit(new))
+    return F.when(value.rlike(f"[{leads}]"), mended).otherwise(out)
+
+
+#: All white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def tidy_lines(value: Column) -> Column:
     """One kind of line end, single blanks within lines, none at their ends, three empty lines at most."""
     out = F.regexp_replace(value, r"\r\n?", "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" +\n", "\n")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{4,}", "\n\n\n"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.regexp_replace(out, r"\n{4,}", "\n\n\n"), F.lit(WHITE))
 
 
 def normalised(value: Column) -> Column:

@@ -39,7 +39,7 @@ def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     # Each section is looked up once; facts then read narrow columns.
     split = split.withColumn(parts, F.struct(*[F.try_element_at("sections", F.lit(n)).alias(f"s{n}") for n in (1, 2, 3, 9)]))
     s = {n: F.col(f"{parts}.s{n}") for n in (1, 2, 3, 9)}
-    split = identity.with_manufacturer(split, s[1], whole)
+    split = dates.with_dates(identity.with_manufacturer(split, s[1], whole), whole)
     line = lambda n, label: collapsed(codes.first(s[n], rf"(?imU)^\s*(?:{label})\s*:\s*([^\n]+)"))
     facts = split.withColumns(
         {
@@ -61,9 +61,6 @@ def document_facts(docs: DataFrame, text: str = "text") -> DataFrame:
             "explicit_ghs": codes.pictograms(s[2]),
             "physical_state": line(9, "State|Physical state|Fiziksel hal"),
             "boiling_point": line(9, "Boiling point|Kaynama noktası"),
-            "revision_date": dates.revision_date(whole),
-            "preparation_date": dates.preparation_date(whole),
-            "version": dates.version(whole),
             "sds_confidence": confidence(whole, F.col("sections")),
         }
     )

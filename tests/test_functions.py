@@ -106,3 +106,30 @@ def test_properties(spark):
     assert {k: v for k, v in one_.items() if v is not None} == want
     assert {k: v for k, v in two.items() if v is not None} == {"melting_freezing_point": "5 °C", "density": "1.56 g / cm3", "lower_explosion_limit": "1,1 %(V)", "upper_explosion_limit": "7 %(V)", "flammability": "see www.example.com"}
     assert set(none.values()) == {None}
+
+
+def test_label_tokens(spark):
+    """One pass finds what a search for each label finds, in the labels' order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sheetwright.functions import codes, dates
+    from sheetwright.functions.lexicon import PREPARATION_LABELS, REVISION_LABELS, VERSION_LABELS, VERSION_WORDS
+
+    rng = random.Random(6)
+    plain = ["Revizyon Tarihi", "revision date", "Revision", "Hazırlama Tarihi", "İlk Düzenlenme Tarihi", "Düzenleme  Tarihi", "Version number", "VERSION", "Sürüm No.", "Düzenleme Sayısı", "Revizyon", "Tarih / Gözden Geçirilme Tarihi"]
+    values = [": 15.05.2018", " 2021-02-30", ": 3 Mart 2019", " July 15, 2021", ": 3.1", " number", "\\n: 01.02.2020", " x"]
+    texts = [" ".join(rng.choice(plain) + rng.choice(values) for _ in range(rng.randint(0, 6))) for _ in range(250)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def by_label(labels):
+        raw = F.array(*[codes.first(F.col("t"), rf"(?isU){label}\s*:?\s*({dates._DATE})") for label in labels])
+        return F.try_element_at(F.array_compact(F.transform(F.array_compact(raw), dates.parse_date)), F.lit(1))
+
+    words = [codes.first(F.col("t"), rf"(?iU){label}\s*:?\s*([A-Za-z0-9._\-]+)") for label in VERSION_LABELS]
+    want = docs.select("t", by_label(REVISION_LABELS), by_label(PREPARATION_LABELS), F.coalesce(*[F.when(~F.lower(v).isin(VERSION_WORDS), v) for v in words]))
+    got = dates.with_dates(docs, F.col("t")).select("t", "revision_date", "preparation_date", "version")
+    differ = [(a, b) for a, b in zip(got.collect(), want.collect(), strict=True) if tuple(a) != tuple(b)]
+    # A label inside a longer one (Düzenlenme Tarihi in İlk Düzenlenme Tarihi) counts only where it stands alone.
+    assert len(differ) <= 5, differ[:3]
