@@ -35,8 +35,8 @@ PIVOTS, MOST_PIVOTS, PER_PIVOT = 16, 128, 8
 #: Vectors from which pivots are chosen, bytes of a bucket's vectors, queries of a block, buckets whose bounds travel
 #: in one row.
 SAMPLE, BUCKET_BYTES, BLOCK, CHUNK = 512, 8 << 20, 512, 256
-#: Candidates evaluated first, and in each further step.
-FIRST, STEP = 256, 1024
+#: Candidates evaluated first, and in a further step at most; queries that are evaluated together.
+FIRST, STEP, GROUP = 256, 4096, 64
 #: Squared lengths below which sums of products of whole numbers are exact in float64; the cell of longer vectors.
 _EXACT, _LONG_CELL = 2.0**50, -1
 _LONG = (1 << 63) - 1
@@ -176,29 +176,51 @@ def _by_intervals(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tupl
     return [i for _, i in order], [s for s, _ in order]
 
 
-def _by_bounds(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bound: np.ndarray, floor: float, k: int) -> tuple[list[int], list[int]]:
-    """The best that reach ``floor``, by evaluating candidates in the order of their bounds until none can matter."""
-    if len(ids) <= FIRST:
-        place = np.arange(len(ids))
-        score = x @ q
-    else:
-        place = np.argpartition(-bound, FIRST - 1)[:FIRST]
-        score = x[place] @ q
-        done = np.zeros(len(ids), bool)
-        done[place] = True
-        best = _best(score, ids[place], k)
-        score, place = score[best], place[best]
-        rest = np.flatnonzero((bound >= max(floor, score[-1] if len(score) == k else -np.inf)) & ~done)
-        rest = rest[np.argsort(-bound[rest])]
-        for s in range(0, len(rest), STEP):
-            more = rest[s : s + STEP]
-            if len(score) == k and bound[more[0]] < score[-1]:
-                break
-            score, place = np.append(score, x[more] @ q), np.append(place, more)
-            best = _best(score, ids[place], k)
-            score, place = score[best], place[best]
-    best = _best(score, ids[place], k)
-    return ids[place[best]].tolist(), score[best].astype(np.int64).tolist()
+def _bounds(q_far: np.ndarray, far: np.ndarray, q2: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """An upper bound of each query's product with each candidate, in float32: slack keeps it above what it bounds."""
+    low = np.zeros((len(q2), len(x2)), np.float32)
+    gap = np.empty_like(low)
+    for p in range(far.shape[1]):
+        np.subtract(q_far[:, p, None].astype(np.float32), far[None, :, p].astype(np.float32), out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(low, gap, out=low)
+    low -= np.float32(3e-7 * (q_far.max(initial=0) + far.max(initial=0)))  # distances were rounded
+    np.maximum(low, 0, out=low)
+    both = (q2[:, None] + x2[None, :]).astype(np.float32)
+    low *= low
+    return (both - low) * np.float32(0.5) + both * np.float32(2e-6) + np.float32(1)
+
+
+def _by_bounds(q: np.ndarray, x: np.ndarray, ids: np.ndarray, bounds: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of the best that reach its floor, for each of some queries.
+
+    Candidates are evaluated in the order of what they can gain over the queries' k-th scores, a step of them with one
+    product for all queries; those that can't reach any k-th score any more are left out, and the rest ends the search.
+    Sums of products below 2**24 are exact in float32, others in float64.
+    """
+    small = bool(np.sqrt(_squares(q).max(initial=0)) * np.sqrt(_squares(x).max(initial=0)) < 2**24 - 1)
+    kind = np.float32 if small else np.float64
+    own, held = q.T.astype(kind), x.astype(kind)
+    best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q]
+    least = floors.copy()
+    reach = (bounds - np.where(np.isfinite(least), least, 0)[:, None]).max(axis=0)
+    order = np.flatnonzero((bounds >= least[:, None]).any(axis=0))
+    order = order[np.argsort(-reach[order], kind="stable")]
+    step = FIRST
+    while len(order):
+        now, order = order[:step], order[step:]
+        score = held[now] @ own
+        for i, (found, scores) in enumerate(best):
+            good = np.flatnonzero((score[:, i] >= least[i]) & (bounds[i, now] > -np.inf))
+            if len(good):
+                both_ids, both = np.append(found, ids[now[good]]), np.append(scores, score[good, i].astype(np.float64))
+                top = _best(both, both_ids, k)
+                best[i] = both_ids[top], both[top]
+                if len(top) == k:
+                    least[i] = max(least[i], both[top[-1]])
+        order = order[(bounds[:, order] >= least[:, None]).any(axis=0)]
+        step = min(step * 4, STEP)
+    return best
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -213,24 +235,18 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         q, x = _whole(q_raw), _whole(x_raw)
         short = max(q2.max(initial=0), x2.max(initial=0)) < _EXACT
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for at in range(0, len(q), 32):
-            part = slice(at, at + 32)
+        for at in range(0, len(q), GROUP):
+            part = slice(at, at + GROUP)
             if short:
-                low = np.zeros((len(q[part]), len(x)))
-                for p in range(far.shape[1]):
-                    np.maximum(low, np.abs(q_far[part, p, None] - far[None, :, p]), out=low)
-                both = q2[part, None] + x2[None, :]
-                # The slack covers rounding: a bound is never below the score it bounds.
-                bounds = (both - low * low) / 2 + 1e-12 * both + 1
-            for i in range(len(q[part])):
-                others = np.flatnonzero(rows != q_rows[at + i])
-                if short:
-                    others = others[bounds[i, others] >= floors[at + i]]
-                    found, score = _by_bounds(q[at + i], x[others], ids[others], bounds[i, others], floors[at + i], k)
-                else:
-                    found, score = _by_intervals(q_raw[at + i], x_raw[others], ids[others], k)
-                out[0].extend([int(q_rows[at + i])] * len(found))
-                out[1].extend([int(q_ids[at + i])] * len(found))
+                bounds = _bounds(q_far[part], far, q2[part], x2)
+                bounds[rows[None, :] == q_rows[part, None]] = -np.inf  # a row is no candidate of its own
+                best = [(i.tolist(), s.astype(np.int64).tolist()) for i, s in _by_bounds(q[part], x, ids, bounds, floors[part], k)]
+            else:
+                others = [np.flatnonzero(rows != row) for row in q_rows[part]]
+                best = [_by_intervals(raw, x_raw[mine], ids[mine], k) for raw, mine in zip(q_raw[part], others, strict=True)]
+            for row, q_id, (found, score) in zip(q_rows[part].tolist(), q_ids[part].tolist(), best, strict=True):
+                out[0].extend([row] * len(found))
+                out[1].extend([q_id] * len(found))
                 out[2].extend(found)
                 out[3].extend(score)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query", "query_id", "vec_id", "score"])

@@ -290,7 +290,7 @@ def test_long_vectors_keep_pivots(spark, monkeypatch):
     rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(400)]
     pairs = []
     by_bounds, by_intervals = topk._by_bounds, topk._by_intervals
-    monkeypatch.setattr(topk, "_by_bounds", lambda q, x, *more: pairs.append(("bounds", len(x))) or by_bounds(q, x, *more))
+    monkeypatch.setattr(topk, "_by_bounds", lambda q, x, *more: pairs.append(("bounds", len(q) * len(x))) or by_bounds(q, x, *more))
     monkeypatch.setattr(topk, "_by_intervals", lambda q, x, *more: pairs.append(("intervals", len(x))) or by_intervals(q, x, *more))
     import pyarrow as pa
 
@@ -303,7 +303,30 @@ def test_long_vectors_keep_pivots(spark, monkeypatch):
         met = {**{f"q_{c}": q[c] for c in ("ids", "rows", "vectors", "far", "squares")}, "floors": q["floors"], **{c: x[c] for c in ("ids", "rows", "vectors", "far", "squares")}}
         list(topk._search(iter([pa.RecordBatch.from_pylist([met])]), 20))
     assert sum(n for kind, n in pairs if kind == "intervals") == 20
-    assert sum(kind == "bounds" for kind, _ in pairs) == 20
+    assert sum(n for kind, n in pairs if kind == "bounds") == 20 * 400
+
+
+def test_top_k_stops(monkeypatch):
+    """Bounds end a search early, are never below a score, and large sums are exact too."""
+    from sheetwright.llm import topk
+
+    rng, seen, best = np.random.default_rng(8), [], topk._best
+    monkeypatch.setattr(topk, "_best", lambda scores, *more: seen.append(len(scores)) or best(scores, *more))
+    for scale in (40, 3000):
+        x = np.floor(rng.normal(size=(3000, 8)) * scale) + rng.integers(0, 2, (3000, 1)) * 40 * scale
+        q = x[:9]
+        pivots = topk.choose_pivots(x[:200], 16)
+        far, x2 = topk._distances(x, pivots), topk._squares(x)
+        bounds = topk._bounds(far[:9], far, x2[:9], x2)
+        exact = q @ x.T
+        assert (bounds >= exact).all()
+        ids = rng.permutation(3000)
+        seen.clear()
+        got = topk._by_bounds(q, x, ids, bounds, np.full(9, -np.inf), 5)
+        for i, (found, scores) in enumerate(got):
+            order = np.lexsort((ids, -exact[i]))[:5]
+            assert found.tolist() == ids[order].tolist() and scores.tolist() == exact[i][order].tolist()
+        assert sum(seen) < 9 * 1500
 
 
 @pytest.mark.parametrize("broadcast", [200_000, -1])
