@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetwright.functions.dates import version_key
 from sheetwright.operators import relational as rel
-from sheetwright.operators import reports
+from sheetwright.operators import reports, search
 from sheetwright.plans.views import CHEMICALS_SQL, DOCUMENTS_SQL, chemicals, documents, table
 
 _KEY = "list_transform(string_split(version, '.'), lambda x: CAST(x AS INTEGER))"
@@ -123,7 +123,14 @@ def _hot_history(spark, d):
     return rel.history(docs, hot=1000, cells=16).select("chemical_id", "id", "position")
 
 
+def _search_many(spark, d):
+    """Terms of each supplier, long, short and unknown, looked up in three fields of all chemicals."""
+    terms = table(spark, d, "supplier").selectExpr("case s_suppkey % 4 when 0 then concat(' AKER ', s_suppkey % 25) when 1 then concat('#00000', lpad(s_suppkey, 3, '0')) when 2 then concat('C', s_suppkey % 10) else concat('maker x', s_suppkey) end as term")
+    return search.search_terms(chemicals(spark, d), terms, ["product_name", "manufacturer", "internal_code"])
+
+
 QUERIES = {
+    "search_terms": _search_many,
     "history_hot_chemical": _hot_history,
     "manufacturer_report": _report,
     "dedup_by_hash": lambda s, d: rel.deduplicated_by_hash(table(s, d, "documents"), F.col("text")),
@@ -153,6 +160,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "search_terms": f"""WITH {CHEMICALS_SQL}, t AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN concat(' AKER ', s_suppkey % 25) WHEN 1 THEN concat('#00000', lpad(CAST(s_suppkey AS VARCHAR), 3, '0')) WHEN 2 THEN concat('C', s_suppkey % 10) ELSE concat('maker x', s_suppkey) END AS term FROM supplier)
+        SELECT term, id FROM t JOIN chemicals ON contains(lower(product_name), lower(trim(term))) OR contains(lower(manufacturer), lower(trim(term))) OR contains(lower(internal_code), lower(trim(term)))""",
     "history_hot_chemical": f"""WITH {DOCUMENTS_SQL}, h AS (SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE chemical_id END AS chemical_id, revision_date, uploaded_at, id % 11 = 0 AS is_current FROM documents_)
         SELECT chemical_id, id, row_number() OVER (PARTITION BY chemical_id ORDER BY is_current DESC, revision_date DESC NULLS LAST, uploaded_at DESC NULLS LAST, id DESC) AS position FROM h""",
     "manufacturer_report": f"""WITH t AS (SELECT unnest({_TURKISH!r}) AS manufacturer, unnest(range({len(_TURKISH)})) AS place UNION ALL SELECT 'Üretici bilgisi yok', 14.5),

@@ -117,3 +117,22 @@ def test_stream(spark, tmp_path):
     query = ingest(document_stream(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_search_by_trigrams(spark):
+    """What contains finds, in any field, with Turkish letters; candidates are few where a term has a rare trigram."""
+    from sheetwright.functions.text import lower_tr
+    from sheetwright.operators import search
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcIİıiŞş ") for _ in range(rng.randint(0, 9)))
+    rows = [(i, word(), word() if i % 5 else None) for i in range(150)] + [(900 + i, f"common text {i}", "zzz rare") for i in range(3)]
+    chemicals = spark.createDataFrame(rows, "id long, a string, b string")
+    terms = spark.createDataFrame([(word()[:4],) for _ in range(60)] + [("common rare",), ("RARE",), ("x t",), (" ",), (None,), ("none such",)], "term string")
+    got = {tuple(r) for r in search.search_terms(chemicals, terms, ["a", "b"], search.postings(chemicals, ["a", "b"])).collect()}
+    lowered = {r.t: r.low for r in terms.where("term is not null").selectExpr("term as t").withColumn("low", lower_tr("t")).collect()}
+    texts = chemicals.selectExpr("id", "coalesce(a, '') as a", "coalesce(b, '') as b").withColumns({c: lower_tr(c) for c in "ab"}).collect()
+    want = {(t, r.id) for t, low in lowered.items() for r in texts if low.strip(" ") and (low.strip(" ") in r.a or low.strip(" ") in r.b)}
+    assert got == want
+    few = search.candidates(search.postings(chemicals, ["a", "b"]), terms.where("term = 'RARE'"))
+    assert few.count() == 3
