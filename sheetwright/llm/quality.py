@@ -26,6 +26,8 @@ from sheetwright.llm.wordsets import pieces_of
 SAMPLE, SAMPLE_BYTES, SPREAD = 512, 64 << 10, 16
 #: Least words of a text, and the percentage of words in repeated windows beyond which it goes: the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Fewer lines that repeat earlier ones are no pattern, whatever their share of a short text.
+LEAST_DUP_LINES = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -173,7 +175,7 @@ RULES = (
     Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > MOST_REPEATED * t.n_words),
     Rule("symbols", lambda t: 100 * t.n_symbols > 10 * t.n_words),
     Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words)),
-    Rule("repeated_lines", lambda t: 100 * t.n_dup_lines > 30 * t.n_lines),
+    Rule("repeated_lines", lambda t: (t.n_dup_lines >= LEAST_DUP_LINES) & (100 * t.n_dup_lines > 30 * t.n_lines)),
     Rule("no_letters", lambda t: 100 * t.letter_words < 80 * t.n_words),
     Rule("capitals", lambda t: 100 * t.capitals[:, 0] > 60 * t.capitals[:, 1]),
 )

@@ -188,7 +188,7 @@ def _divergence_sql() -> str:
 
 
 def _quality_sql() -> str:
-    from sheetwright.llm.quality import LEAST_WORDS, MOST_REPEATED
+    from sheetwright.llm.quality import LEAST_DUP_LINES, LEAST_WORDS, MOST_REPEATED
 
     word = r"[^\x20\x09-\x0D]"
     return rf"""
@@ -206,7 +206,7 @@ def _quality_sql() -> str:
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
                CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
                NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-                    OR 100 * n_dup_lines > 30 * n_lines OR 100 * letter_words < 80 * n_words OR 100 * upper > 60 * letters) AS kept
+                    OR n_dup_lines >= {LEAST_DUP_LINES} AND 100 * n_dup_lines > 30 * n_lines OR 100 * letter_words < 80 * n_words OR 100 * upper > 60 * letters) AS kept
         FROM f"""
 
 
