@@ -54,7 +54,7 @@ def product_name(section: Column, text: Column) -> Column:
     """The value of the first label, in label order, that has one; else the first labelled line of the text.
 
     A label begins a line and its value may stand on the next; only where no label does so, one inside a
-    line counts. Ends of values need no word boundary, as in the original.
+    line counts. Ends of values need no word boundary.
     """
     held = F.coalesce(section, F.lit(""))
     lines = F.array(*[F.regexp_extract(held, rf"(?imdU)^\s*[{_DECORATION}]*\s*{label}\s*:?\s*(.+?)\s*$", 1) for label in NAME_LABELS])
