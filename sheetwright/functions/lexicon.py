@@ -204,7 +204,7 @@ EXPORT = {
         "Tehlikeli Madde", "CAS No", "Maruziyet Sınır Değeri", "Kullanılan Bölüm", "Maruz Kalan Çalışan / Görev", "H Kodları", "GHS", "Tehlike Grubu", "Günlük Kullanım Miktarı", "Miktar Grubu", "Fiziksel Form",
         "Tozluluk / Uçuculuk", "Kaynama Noktası", "Proses Sıcaklığı", "Cilt / Göz Grubu", "Kontrol Yaklaşımı", "Kontrol Rehberi", "Mevcut Kontroller", "Önerilen Kontrol Faaliyetleri", "Değerlendirme Durumu",
     ],
-    "titles": ["GEBKİM SDS AI PLATFORM", "ILO / COSHH KİMYASAL MARUZİYET RİSK DEĞERLENDİRMESİ"],
+    "title": "ILO / COSHH KİMYASAL MARUZİYET RİSK DEĞERLENDİRMESİ",
     "summary": [
         "Kimyasal", "Üretici", "CAS No", "SDS ID", "SDS Revizyon", "Proses / Faaliyet", "Bölüm", "Maruz Kalan Çalışan / Görev", "Maruziyet Sınır Değeri", "Kullanılan Miktar", "Fiziksel Form", "Tozluluk", "Kaynama Noktası",
         "Proses Sıcaklığı", "Tehlike Grubu", "Tehlike Grubu ile Eşleşen H Kodları", "Miktar Grubu", "Tozluluk / Uçuculuk Grubu", "Cilt / Göz Grubu", "Kontrol Yaklaşımı", "Kontrol Rehberi", "Skin Rehberleri", "Analiz Durumu",

@@ -24,7 +24,7 @@ def _named(value: Column, names: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value)
 
 
-def workbook_rows(drafts: DataFrame) -> DataFrame:
+def workbook_rows(drafts: DataFrame, platform: str = "Sheetwright") -> DataFrame:
     """(workbook, sheet_no, sheet, row_no, cells) of assessed uses, for ``write_workbooks``.
 
     ``drafts`` has the fields of the form (``process_name``, ``department``, ``exposed_workers``,
@@ -32,7 +32,7 @@ def workbook_rows(drafts: DataFrame) -> DataFrame:
     ``process_temperature``, ``closed_system``, ``local_exhaust``, ``general_ventilation``, ``existing_ppe``,
     ``existing_controls``), those of the chemical (``product_name``, ``manufacturer``, ``cas_number``, ``sds_id``,
     ``revision_date``, ``boiling_point``, ``hazard_codes``, ``precautionary_codes``, ``ghs_codes``) and ``assessment``.
-    Missing values show a dash. Each draft is one workbook; all its rows come from its one row, without a shuffle.
+    Missing values show a dash; ``platform`` is the summary's first line. Each draft is one workbook; all its rows come from its one row, without a shuffle.
     """
     c, a = F.col, lambda f: F.col(f"assessment.{f}")
     number = a("control_number")
@@ -58,7 +58,7 @@ def workbook_rows(drafts: DataFrame) -> DataFrame:
     ]
     cells = lambda *texts: F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts])
     labels = iter(EXPORT["summary"])
-    summary = [cells(title_, "") for title_ in EXPORT["titles"]] + [cells("", "")] + [cells("", "") if v is None else cells(next(labels), v) for v in values]
+    summary = [cells(platform, ""), cells(EXPORT["title"], ""), cells("", "")] + [cells("", "") if v is None else cells(next(labels), v) for v in values]
     advice = F.coalesce(a("recommendations"), F.array().cast("array<string>"))
     advice = F.when(F.size(advice) > 0, F.transform(advice, lambda x, i: F.array((i + 1).cast("string"), x))).otherwise(F.array(cells("1", EXPORT["no_advice"])))
     every = F.flatten(F.array(*[_pairs(EXPORT["kinds"][kind], v) for kind, v in codes.items()]))

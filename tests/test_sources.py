@@ -35,7 +35,7 @@ def test_workbook_of_an_assessment(drafts):
     assert rows[name, 1, 2][19] == "Ön değerlendirme tamamlandı"
     summary = {cells[0]: cells[1] for (book, sheet, _), cells in rows.items() if book == name and sheet == 2}
     assert (summary["SDS Revizyon"], summary["Skin Rehberleri"], summary["P Kodları"]) == ("15.07.2021", "S100, S101, S102", "P280")
-    assert [c[0] for (b, s, n), c in sorted(rows.items()) if b == name and s == 2 and c[0]] == [*EXPORT["titles"], *EXPORT["summary"]]
+    assert [c[0] for (b, s, n), c in sorted(rows.items()) if b == name and s == 2 and c[0]] == ["Sheetwright", EXPORT["title"], *EXPORT["summary"]]
     assert rows[name, 3, 2][0] == "1" and rows[name, 4, 2] == ["H Kodu", "H315"] and rows[name, 4, 5] == ["GHS Kodu", "GHS07"]
     assert rows[empty, 4, 2] == EXPORT["no_codes"] and rows[empty, 1, 2][0] == "—" and rows[empty, 1, 2][19] == "Uzman incelemesi gerekli"
 
