@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetwright.functions.lexicon import HAZARD_SUFFIXES, PICTOGRAMS, PRODUCT_CODE_LABELS
-from sheetwright.functions.text import unique_ci
+from sheetwright.functions.text import bound, unique_ci
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -97,5 +97,5 @@ def component_names(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     heading = r"(?iU)^(?:Kimyasal\s+yap[ıi]s[ıi]|Kimyasal\s+özellikleri|Chemical\s+composition)\s*:?$"
     label = r"(?iU)^(?:Kimyasal\s+ad[ıi]|Madde\s+ad[ıi](?:\s*\([^)]*\))?|Chemical\s+name|Substance\s+name)\s*:?\s*(.+)$"
-    named = F.transform(lines, lambda x, i: F.array(F.when(x.rlike(heading), F.try_element_at(lines, (i + 2).cast("int"))), F.regexp_extract(x, label, 1)))
-    return unique_ci(F.flatten(named))
+    name = lambda all_: lambda x, i: F.array(F.when(x.rlike(heading), F.try_element_at(all_, (i + 2).cast("int"))), F.regexp_extract(x, label, 1))
+    return unique_ci(F.flatten(bound(lines, lambda all_: F.transform(all_, name(all_)))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetwright.functions.codes import found
-from sheetwright.functions.text import collapsed, unique_ci
+from sheetwright.functions.text import bound, collapsed, unique_ci
 
 
 def joined_hazard_codes(text: Column) -> Column:
@@ -43,8 +43,7 @@ def subsections(section: Column, number: int) -> Column:
     heads = found(section, rf"(?m)^[ \t]*{number}\.([1-9])(?![.\d])", 1)
     texts = F.slice(F.split(F.coalesce(section, F.lit("")), rf"(?m)^[ \t]*{number}\.[1-9](?![.\d])", -1), F.lit(2), F.size(heads))
     pairs = F.zip_with(heads, texts, lambda n, t: F.struct(n.cast("int").alias("key"), F.trim(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).alias("value")))
-    rising = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["key"] >= p["key"]))
-    return F.map_from_entries(rising)
+    return F.map_from_entries(bound(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: q["key"] >= p["key"]))))
 
 
 def file_size(size: Column) -> Column:

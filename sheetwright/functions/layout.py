@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetwright.functions.structure import quoted
-from sheetwright.functions.text import clean_line, clean_lines, collapsed, is_placeholder, unique_ci
+from sheetwright.functions.text import bound, clean_line, clean_lines, collapsed, is_placeholder, unique_ci
 
 _NUMBERING = r"^\d+(?:\.\d+)*\.?\s*"
 
@@ -46,7 +46,8 @@ def value_below(lines: Column, i: Column, aliases: list[str]) -> Column:
 
 def field_value(lines: Column, aliases: list[str], every: list[str] | None = None) -> Column:
     """The value beside or below the first line with a label that has one; ``every``: labels that can't be values."""
-    each = F.transform(lines, lambda x, i: F.when(leading_label(x, aliases).isNotNull(), F.coalesce(value_beside(x, aliases), value_below(lines, i, every or aliases))))
+    value = lambda all_: lambda x, i: F.when(leading_label(x, aliases).isNotNull(), F.coalesce(value_beside(x, aliases), value_below(all_, i, every or aliases)))
+    each = bound(lines, lambda all_: F.transform(all_, value(all_)))
     return F.try_element_at(F.array_compact(each), F.lit(1))
 
 
@@ -87,9 +88,9 @@ def column_values(lines: Column, fields: dict[str, list[str]], least: int = 3) -
             .otherwise(taken.cast(state))
         )
 
-    pairs = F.aggregate(kinds, empty, step, closed)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(pairs, lambda p: p["key"] == k)[0]["value"]))
+    keys = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    firsts = lambda pairs: F.transform(keys(pairs), lambda k: F.filter(pairs, lambda p: p["key"] == k)[0])
+    return F.map_from_entries(bound(F.aggregate(kinds, empty, step, closed), firsts))
 
 
 def block(text: Column, aliases: list[str], stops: list[str], stop_patterns: tuple[str, ...] = ()) -> Column:

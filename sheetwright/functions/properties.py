@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sheetwright.functions.codes import first
 from sheetwright.functions.lexicon import DENSITY_UNITS, FOREIGN_MARKERS, FOREIGN_PROPERTY_MARKERS, NEAR_PERCENT, NO_VALUE_NOTES, PRESSURE_UNITS, PROPERTY_ECHOES, PROPERTY_ENDS, PROPERTY_LABELS, PROPERTY_NOTES, PROPERTY_TABLE_HEADINGS, SPLIT_SENTENCE, VISCOSITY_UNITS
 from sheetwright.functions.lexicon_sections import PAGE_MARKS, REVISION_NOISE
-from sheetwright.functions.text import collapsed, unused, without
+from sheetwright.functions.text import bound, collapsed, unused, without
 
 #: A number with a comparison before it and a range after it.
 _NUMBER = r"(?:[<>≤≥~]|yaklaşık)?\s*\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]\d+)?)?"
@@ -50,7 +50,8 @@ def labelled(text: Column) -> Column:
             out = F.when(label.rlike(rf"(?iU)^{_any(labels)}$"), F.lit(field)).otherwise(out)
         return out
 
-    return F.transform(pieces, lambda p, i: F.struct(field_of(p[0]).alias("field"), p[0].alias("label"), p[1].alias("raw"), tidy_value(p[1]).alias("value"), F.when(i > 0, pieces[i - 1][1]).alias("ahead")))
+    described = lambda all_: lambda p, i: F.struct(field_of(p[0]).alias("field"), p[0].alias("label"), p[1].alias("raw"), tidy_value(p[1]).alias("value"), F.when(i > 0, all_[i - 1][1]).alias("ahead"))
+    return bound(pieces, lambda all_: F.transform(all_, described(all_)))
 
 
 def tidy_value(value: Column) -> Column:
@@ -58,7 +59,7 @@ def tidy_value(value: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(value, "[ꞏ▤▪■]+", " "), r"(?U)\s+", " ")
     out = F.regexp_replace(out, r"^[ :;–—•·]+|[ :;–—•·]+$", "")
     out = F.trim(F.regexp_replace(out, rf"(?iU)(?<=\S)\s*{_any(PROPERTY_NOTES)}.*$", ""))
-    return F.when(~out.isin("", "/", "-"), out)
+    return bound(out, lambda x: F.when(~x.isin("", "/", "-"), x))
 
 
 def is_foreign(field: str, value: Column) -> Column:

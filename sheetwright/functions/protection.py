@@ -13,7 +13,7 @@ from sheetwright.functions import lexicon_sections as lex
 from sheetwright.functions.fragments import sentences, thicknesses
 from sheetwright.functions.pages import alternation, without_marks, without_page_headings, words
 from sheetwright.functions.structure import quoted
-from sheetwright.functions.text import clean_lines, unique_ci, unused, without
+from sheetwright.functions.text import bound, clean_lines, unique_ci, unused, without
 
 LISTS = ["respiratory_protection", "hand_protection", "glove_materials", "glove_thickness", "eye_face_protection", "body_protection", "engineering_controls", "exposure_limits", "dnel", "pnec", "hygiene_measures"]
 _NONE = "array<string>"
@@ -30,7 +30,7 @@ def tidy(value: Column) -> Column:
     out = F.regexp_replace(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), r"^[ :\-–—•·]+|[ :\-–—•·]+$", "")
     out = F.regexp_replace(out, r"(?<=[a-zçğıöşü])(?=[A-ZÇĞİÖŞÜ])", " ")
     out = F.trim(F.regexp_replace(F.regexp_replace(without_marks(out), f"(?iU){lex.PAGE_TITLE}", " "), r"(?U)\s+", " "))
-    return F.when(~out.isin("", "-", "—", "/"), out)
+    return bound(out, lambda x: F.when(~x.isin("", "-", "—", "/"), x))
 
 
 def _holds(text: Column, words: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def unused(df: DataFrame, count: int) -> list[str]:
     return [name for name in free if name not in taken][:count]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once. A lambda that names an expression has it made again for each element;
+    the element of an array of one is a variable, which isn't.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def without(value: Column, *marks: str) -> Column:
     """Without the given characters."""
     for mark in marks:
@@ -103,9 +112,9 @@ def clean_lines(value: Column) -> Column:
 def unique_ci(values: Column, key=F.lower) -> Column:
     """Trimmed values, the first spelling of each, in order; ``key`` says what counts as equal."""
     trimmed = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(trimmed, lambda x: key(x))
     # Distinct keys keep their order, and the first place of each is that of its first spelling.
-    return F.transform(F.array_distinct(keys), lambda k: F.element_at(trimmed, F.array_position(keys, k).cast("int")))
+    first_of = lambda t, keys: F.transform(F.array_distinct(keys), lambda k: F.element_at(t, F.array_position(keys, k).cast("int")))
+    return bound(trimmed, lambda t: bound(F.transform(t, lambda x: key(x)), lambda keys: first_of(t, keys)))
 
 
 def is_placeholder(value: Column) -> Column:

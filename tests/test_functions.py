@@ -69,6 +69,18 @@ def test_text(spark):
     assert one(spark, "• one\n\n - two ", text.clean_lines) == ["one", "two"]
 
 
+def test_bound_value_is_computed_once(spark):
+    drawn = spark.range(20).select(text.bound(F.rand(7), lambda x: F.array(x, x, x)).alias("out"), text.bound(F.lit(None).cast("string"), F.upper).alias("none")).collect()
+    assert all(len(set(r.out)) == 1 and r.none is None for r in drawn) and len({r.out[0] for r in drawn}) == 20
+
+
+def test_distinct_spellings_of_nothing(spark):
+    assert one(spark, None, text.unique_ci, "array<string>") is None
+    assert one(spark, [], text.unique_ci, "array<string>") == []
+    assert one(spark, [None, " "], text.unique_ci, "array<string>") == []
+    assert one(spark, "x; Y; X; y; z", lambda v: text.unique_ci(F.split(v, ";"))) == ["x", "Y", "z"]
+
+
 @pytest.mark.parametrize(
     ("boiling", "process", "want"),
     [(None, None, None), ("20", None, None), ("20.01", None, "High"), ("60", None, "High"), ("60.01", None, "Medium"), ("174.99", None, "Medium"), ("175", None, "Low"), ("> 100 °C", "60", "High"), ("300", "100", "Medium")],
