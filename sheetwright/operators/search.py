@@ -33,17 +33,31 @@ def postings(chemicals: DataFrame, fields: list[str], key: str = "id") -> DataFr
     return _texts(chemicals, fields, key).select(F.explode(_grams(F.col("text"))).alias("gram"), "id", "field")
 
 
+def _rarest(grams: DataFrame, holders: DataFrame, most: int) -> DataFrame:
+    """The rows of ``grams`` (term, gram) with the ``most`` rarest grams of each term in ``holders``, and how many of them hold it."""
+    known = grams.select("gram").distinct()
+    counts = holders.join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = grams.join(counts, "gram", "left").fillna(0, ["n"]).withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("n", "gram")))
+    return ranked.where(F.col("place") <= most)
+
+
 def candidates(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, id, field) that hold the rarest trigrams of a term of three characters or more."""
     asked = terms.select("term", lower_tr(F.trim("term")).alias("low")).where(F.length("low") >= 3).distinct()
     grams = asked.select("term", F.explode(_grams(F.col("low"))).alias("gram"))
-    known = grams.select("gram").distinct()
-    counts = index.join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = grams.join(counts, "gram", "left").fillna(0, ["n"]).withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("n", "gram")))
-    rare = ranked.where(F.col("place") <= RAREST).withColumn("wanted", F.count("*").over(Window.partitionBy("term")))  # grams of one term
+    rare = _rarest(grams, index, RAREST).withColumn("wanted", F.count("*").over(Window.partitionBy("term")))  # grams of one term
     return rare.join(index, "gram").groupBy("term", "id", "field").agg(F.count("*").alias("has"), F.first("wanted").alias("wanted")).where("has = wanted").select("term", "id", "field")
 
 
+def _scanned(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, id) without an index: texts meet the terms whose rarest trigram they hold, and are compared where they meet."""
+    asked = terms.select("term", lower_tr(F.trim("term")).alias("low")).where(F.length("low") >= 3).distinct()
+    grams = asked.select("term", "low", F.explode(_grams(F.col("low"))).alias("gram"))
+    held = texts.select("id", "text", F.explode(_grams(F.col("text"))).alias("gram"))
+    rare = _rarest(grams, held.select("gram"), 1).where("n > 0").select("term", "low", "gram")
+    return held.join(rare, "gram").where(F.contains(F.col("text"), F.col("low"))).select("term", "id")
+
+
 def search_terms(chemicals: DataFrame, terms: DataFrame, fields: list[str], index: DataFrame | None = None, key: str = "id") -> DataFrame:
     """(term, id): the chemicals of which a field holds a term, by Turkish lower case, each once.
 
@@ -52,9 +66,11 @@ def search_terms(chemicals: DataFrame, terms: DataFrame, fields: list[str], inde
     that there can be are compared with every text.
     """
     texts = _texts(chemicals, fields, key)
-    index = postings(chemicals, fields, key) if index is None else index
     low = lower_tr(F.trim("term"))
-    found = candidates(index, terms).join(texts, ["id", "field"]).where(F.contains(F.col("text"), low)).select("term", "id")
+    if index is None:
+        found = _scanned(texts, terms)
+    else:
+        found = candidates(index, terms).join(texts, ["id", "field"]).where(F.contains(F.col("text"), low)).select("term", "id")
     short = terms.select("term", low.alias("low")).where("length(low) between 1 and 2").distinct()
     near = texts.join(short, F.contains(texts["text"], short["low"])).select("term", "id")
     return found.unionByName(near).distinct()
